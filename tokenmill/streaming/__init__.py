@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The corpus pipeline this library re-expresses is bounded batch work end to
+end - no watermark, event-time window, stateful operator or late data exists
+in it; its only incremental behaviour is full overwrite of a store partition,
+which :func:`tokenmill.sources.store.write_token_store` covers with dynamic
+partition overwrite.  No streaming operator is provided on purpose.
+"""
