@@ -39,10 +39,17 @@ def rows_of(columns, records):
     return sorted(tuple(_norm(r[i]) for i in order) for r in records), [columns[i] for i in order]
 
 
-def compare(spark, sf_dir: str, name: str, fn, sql: str | None, con) -> tuple[bool, str]:
+def compare(spark, sf_dir: str, name: str, fn, sql: str | None, con, limit: float = 240.0) -> tuple[bool, str]:
+    import threading
+
     t0 = time.time()
-    sdf = fn(spark, sf_dir)
-    srows = [tuple(r) for r in sdf.collect()]
+    timer = threading.Timer(limit, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    try:
+        sdf = fn(spark, sf_dir)
+        srows = [tuple(r) for r in sdf.collect()]
+    finally:
+        timer.cancel()
     t1 = time.time()
     scols = sdf.columns
     if sql is None:

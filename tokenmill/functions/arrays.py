@@ -1,4 +1,11 @@
-"""Array-column expressions shared by the operators (all JVM-side)."""
+"""Array-column expressions shared by the operators (all JVM-side).
+
+Rule followed throughout: a lambda never reads an *outer* array column.
+Catalyst's CollapseProject may inline a computed array into the lambda,
+which re-evaluates it once per element (quadratic).  Element lookups are
+therefore expressed with ``slice``, ``arrays_zip`` and ``zip_with`` on
+whole arrays, which stay linear whatever the producer is.
+"""
 
 from __future__ import annotations
 
@@ -10,25 +17,32 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def safe_slice(arr, start0, length) -> Column:
-    """``arr[start0 : start0 + length]`` with Python clipping semantics.
+def _lit(c) -> Column:
+    return F.lit(c) if isinstance(c, int) else _col(c)
+
 
-    ``start0`` is 0-based; a start past the end or a non-positive length
-    yields an empty array (Spark's ``slice`` rejects negative lengths).
-    """
-    arr, start0, length = _col(arr), _col(start0), _col(length)
+def safe_slice(arr, start0, length) -> Column:
+    """``arr[start0 : start0 + length]`` with Python clipping semantics (0-based start)."""
+    arr, start0, length = _col(arr), _lit(start0), _lit(length)
     avail = F.greatest(F.lit(0), F.least(length, F.size(arr) - start0))
-    return F.when(avail > 0, F.slice(arr, start0 + 1, avail)).otherwise(
-        F.array_remove(F.slice(arr, 1, 0), F.lit(None))  # typed empty array
-    )
+    return F.slice(arr, start0 + 1, avail)
 
 
 def index_range(n) -> Column:
     """``[0, 1, ..., n-1]``; empty for n <= 0 (``sequence`` would count down)."""
-    n = _col(n)
-    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(
-        F.array_remove(F.array(F.lit(0)), F.lit(0))
-    )
+    n = _lit(n)
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array_remove(F.array(F.lit(0)), F.lit(0)))
+
+
+def null_of(arr) -> Column:
+    """A null of the element type of ``arr``."""
+    return F.get(_col(arr), F.lit(-1))
+
+
+def zip_rows(arrays: list[Column]) -> Column:
+    """Equal-length arrays ``[a0, a1, ...]`` -> ``[[a0[t], a1[t], ...] for t]`` (transpose)."""
+    z = F.arrays_zip(*[a.alias(f"c{q}") for q, a in enumerate(arrays)])
+    return F.transform(z, lambda s: F.array(*[s[f"c{q}"] for q in range(len(arrays))]))
 
 
 def digest(arr) -> Column:
@@ -48,17 +62,24 @@ def array_sum(arr) -> Column:
     return F.aggregate(arr, F.lit(0).cast("bigint"), lambda a, y: a + y.cast("bigint"))
 
 
+def _run_flags(arr) -> Column:
+    """``[(x, starts_run)]``: element paired with "differs from its predecessor"."""
+    arr = _col(arr)
+    prev = F.concat(F.array(null_of(arr)), F.slice(arr, 1, F.greatest(F.size(arr) - 1, F.lit(0))))
+    return F.zip_with(arr, prev, lambda x, p: F.struct(x.alias("x"), (p.isNull() | (x != p)).alias("s")))
+
+
 def dedupe_consecutive(arr) -> Column:
     """Collapse runs of equal consecutive values (``unique_consecutive``)."""
     arr = _col(arr)
-    return F.filter(arr, lambda x, i: (i == 0) | (x != F.get(arr, i - 1)))
+    kept = F.transform(F.filter(_run_flags(arr), lambda s: s["s"]), lambda s: s["x"])
+    return F.when(F.size(arr) > 0, kept).otherwise(arr)
 
 
 def run_lengths(arr) -> Column:
     """Lengths of the runs collapsed by :func:`dedupe_consecutive`."""
     arr = _col(arr)
-    starts = F.filter(index_range(F.size(arr)), lambda i: (i == 0) | (F.get(arr, i) != F.get(arr, i - 1)))
-    return F.transform(
-        starts,
-        lambda s, j: F.coalesce(F.get(starts, j + 1), F.size(arr)) - s,
-    )
+    starts = F.filter(F.transform(_run_flags(arr), lambda s, i: F.when(s["s"], i)), lambda i: i.isNotNull())
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(arr)))
+    lengths = F.zip_with(starts, ends, lambda s, e: e - s)
+    return F.when(F.size(arr) > 0, lengths).otherwise(F.array_remove(F.array(F.lit(0)), F.lit(0)))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.functions import constants as K
-from tokenmill.functions.arrays import dedupe_consecutive, index_range, run_lengths, safe_slice
+from tokenmill.functions.arrays import dedupe_consecutive, run_lengths, safe_slice, zip_rows
 from tokenmill.functions.hashing import uniform
 
 
@@ -90,12 +90,13 @@ def size_filter(
 
 
 def codebook_truncate(tokens, length, keep: int = K.CODEC_DEPTH) -> Column:
-    """Flat codebook-major ``[depth * L]`` -> time-major ``[L][keep]``."""
+    """Flat codebook-major ``[depth * L]`` -> time-major ``[L][keep]``.
+
+    One ``slice`` per kept codebook, transposed with ``arrays_zip``: linear in
+    the kept cells, never touches the dropped codebooks.
+    """
     tokens, length = _c(tokens), _c(length)
-    return F.transform(
-        index_range(length),
-        lambda t: F.transform(F.sequence(F.lit(0), F.lit(keep - 1)), lambda q: F.get(tokens, q * length + t)),
-    )
+    return zip_rows([F.slice(tokens, length * q + 1, length) for q in range(keep)])
 
 
 def crop_start(key, len_s, max_source: int = K.MAX_SOURCE_POSITIONS, seed: int = 42) -> Column:
@@ -151,14 +152,9 @@ def crop_pair(
         .withColumn("units", safe_slice("units", F.col("crop_start"), F.lit(max_source)))
         .withColumn("n_a", F.greatest(F.lit(0), F.least(F.lit(max_target), L - F.col("ac_start"))))
     )
-    tokens = F.col("tokens")
     a0 = F.col("ac_start")
     out = out.withColumn(
-        "codes",
-        F.transform(
-            index_range(F.col("n_a")),
-            lambda t: F.transform(F.sequence(F.lit(0), F.lit(keep - 1)), lambda q: F.get(tokens, q * L + a0 + t)),
-        ),
+        "codes", zip_rows([safe_slice("tokens", L * q + a0, F.col("n_a")) for q in range(keep)])
     )
     return out.drop("tokens", "n_a")
 
@@ -256,3 +252,72 @@ def assemble_rows(
     if reduce:
         cropped = run_length_units_array(cropped)
     return encode_rows(cropped, keep)
+
+
+# ---------------------------------------------------------------- P23 - P26
+
+
+def detokenize(ids, nspecial: int = K.NSPECIAL) -> Column:
+    """Ids -> space-joined symbols; specials dropped, symbol of id i is ``str(i - nspecial)``."""
+    return F.array_join(
+        F.transform(F.filter(_c(ids), lambda x: x >= nspecial), lambda x: (x - nspecial).cast("string")), " "
+    )
+
+
+def prompt_slice(df: DataFrame, units: str = "units", codes: str = "codes", modes=(0, 1, 2, 3)) -> DataFrame:
+    """Prompt of each mode, one row per (key, mode).
+
+    0 none; 1 full semantic, no acoustic; 2 half semantic + half acoustic;
+    3 half semantic only.  ``half = floor(len / 2)``.
+    """
+    mode = F.col("mode")
+    half_s = F.floor(F.size(units) / 2).cast("int")
+    half_a = F.floor(F.size(codes) / 2).cast("int")
+    n_sem = F.when(mode == 0, 0).when(mode == 1, F.size(units)).otherwise(half_s)
+    n_ac = F.when(mode == 2, half_a).otherwise(0)
+    return (
+        df.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))
+        .withColumn("prompt_units", safe_slice(units, F.lit(0), n_sem))
+        .withColumn("prompt_codes", safe_slice(codes, F.lit(0), n_ac))
+    )
+
+
+def bandwidth_table(spark):
+    """Codec bandwidth (kbps) -> codebook count; a fixed five-row table."""
+    rows = [(float(bw), int(n)) for bw, n in sorted(K.BANDWIDTH_CODEBOOKS.items())]
+    return spark.createDataFrame(rows, "bandwidth double, depth int")
+
+
+def token_budget(sem: DataFrame, ac: DataFrame, src_hz: int = K.SEMANTIC_HZ, tgt_hz: int = K.ACOUSTIC_HZ) -> DataFrame:
+    """P25: audit stored acoustic depth and length against bandwidth and duration.
+
+    The depth maps to a bandwidth through the fixed codebook table (broadcast,
+    five rows); the expected acoustic length is the semantic length at the
+    frame-rate ratio (75 / 50 Hz).
+    """
+    bw = F.broadcast(bandwidth_table(ac.sparkSession))
+    a = ac.select("key", "depth", F.col("len").alias("len_ac"))
+    s = sem.select("key", F.col("len").alias("len_sem"))
+    out = a.join(s, "key").join(bw, "depth", "left")
+    expected = F.expr(f"cast(len_sem * {tgt_hz} div {src_hz} as int)")
+    return out.select(
+        "key",
+        "depth",
+        "bandwidth",
+        "len_ac",
+        expected.alias("expected_len_ac"),
+        ((F.col("len_ac") == expected) & F.col("bandwidth").isNotNull()).alias("ok"),
+    )
+
+
+def subset_route(df: DataFrame, split: str = "split") -> DataFrame:
+    """Splits naming a prompt go to the prompt builder; ``train*`` cannot be sharded."""
+    return df.withColumn("builder", F.when(F.col(split).contains("prompt"), "prompt").otherwise("standard")).withColumn(
+        "shardable", ~F.col(split).startswith("train")
+    )
+
+
+def check_shard_request(split: str, num_shards: int) -> None:
+    """API-side validation of P26: sharded loading is refused for training splits."""
+    if num_shards > 0 and split.startswith("train"):
+        raise ValueError(f"sharded loading is not allowed for training split {split!r}")

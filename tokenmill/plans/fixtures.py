@@ -50,11 +50,25 @@ def fx_sem(spark, sf_dir) -> DataFrame:
 
 
 def fx_ac(spark, sf_dir) -> DataFrame:
-    return spark.sql(
-        "SELECT key, 4 AS depth, la AS len, transform(sequence(0, 4 * la - 1), "
-        "i -> (units[cast((i % la) * 2 div 3 as int)] * (i div la + 1) + (i % la) * 7 + (i div la) * 13) % 1024) AS tokens "
-        "FROM (SELECT *, cast(len * 3 div 2 as int) AS la FROM {s}) WHERE doc_id % 31 <> 0",
-        s=fx_sem0(spark, sf_dir),
+    """Acoustic stand-in: 4 codebooks of ``la = len * 3 div 2`` frames, flat codebook-major.
+
+    Frame ``t`` of codebook ``c`` is ``(units[t * 2 div 3] * (c + 1) + t * 7 + c * 13) % 1024``.
+    The semantic units are first upsampled 2:1:2:1... (unit ``j`` covers
+    ``2 - j % 2`` frames) so no lambda reads an outer array.
+    """
+    from pyspark.sql import functions as F
+
+    s0 = fx_sem0(spark, sf_dir).where("doc_id % 31 <> 0")
+    la = F.expr("cast(len * 3 div 2 as int)")
+    up = F.slice(F.flatten(F.transform("units", lambda x, j: F.array_repeat(x, 2 - j % 2))), 1, F.col("la"))
+    def book(c: int):
+        return F.transform("ue", lambda x, t: (x * (c + 1) + t * 7 + c * 13) % 1024)
+
+    books = [book(c) for c in range(4)]
+    return (
+        s0.withColumn("la", la)
+        .withColumn("ue", up)
+        .select("key", F.lit(4).alias("depth"), F.col("la").alias("len"), F.concat(*books).alias("tokens"))
     )
 
 

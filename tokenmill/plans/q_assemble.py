@@ -104,3 +104,435 @@ def q_length_order(spark, sf):
 
     sizes = size_clip(pair_streams(fx.fx_sem(spark, sf), fx.fx_ac(spark, sf), with_tokens=False))
     return length_order(sizes.select("key", "len_s")).select("key", "len_s", F.col("order_rank").cast("bigint"))
+
+
+# ---------------------------------------------------------------- shared pieces
+
+KEEP = 2  # stored depth 4, keep 2: the reference's 16 -> 8 ratio at test scale
+
+
+def dg(list_sql: str) -> str:
+    """DuckDB twin of :func:`tokenmill.functions.arrays.digest`."""
+    return f"coalesce(list_sum(list_transform({list_sql}, lambda x, i: x * i)), 0)::BIGINT"
+
+
+def _cropped(spark, sf, keep=KEEP):
+    from tokenmill.operators.assemble import crop_pair, pair_streams, size_clip
+
+    return crop_pair(size_clip(pair_streams(fx.fx_sem(spark, sf), fx.fx_ac(spark, sf))), keep=keep)
+
+
+def _rows(spark, sf, keep=KEEP):
+    from tokenmill.operators.assemble import encode_rows, run_length_units_array
+
+    return encode_rows(run_length_units_array(_cropped(spark, sf, keep)), keep)
+
+
+# cropped codes of the first KEEP codebooks, flattened time-major, as DuckDB text
+_CODES = "tokens[(j % 2) * len_ac + ac_start + j // 2 + 1]"
+
+
+# ---------------------------------------------------------------- J1 / J2 / P10 / P11
+
+
+@query(
+    "pair_streams",
+    with_views("ox_pair") + "SELECT key, len_sem, depth, len_ac FROM ox_pair",
+)
+def q_pair_streams(spark, sf):
+    from tokenmill.operators.assemble import pair_streams
+
+    return pair_streams(fx.fx_sem(spark, sf), fx.fx_ac(spark, sf), with_tokens=False)
+
+
+@query(
+    "unpaired_keys",
+    with_views("fx_sem", "fx_ac")
+    + "SELECT key, 'acoustic' AS missing_from FROM (SELECT key FROM fx_sem EXCEPT SELECT key FROM fx_ac) "
+    "UNION ALL SELECT key, 'semantic' FROM (SELECT key FROM fx_ac EXCEPT SELECT key FROM fx_sem)",
+)
+def q_unpaired_keys(spark, sf):
+    from tokenmill.operators.assemble import unpaired_keys
+
+    return unpaired_keys(fx.fx_sem(spark, sf), fx.fx_ac(spark, sf))
+
+
+@query(
+    "size_clip",
+    with_views("ox_pair") + "SELECT key, least(len_sem, 650) AS len_s, least(len_ac, 975) AS len_a FROM ox_pair",
+)
+def q_size_clip(spark, sf):
+    from tokenmill.operators.assemble import pair_streams, size_clip
+
+    return size_clip(pair_streams(fx.fx_sem(spark, sf), fx.fx_ac(spark, sf), with_tokens=False)).select(
+        "key", "len_s", "len_a"
+    )
+
+
+@query(
+    "size_filter",
+    with_views("ox_pair")
+    + "SELECT key, len_sem > 650 OR len_ac > 975 AS was_clipped, len_sem <= 650 AND len_ac <= 975 AS fits FROM ox_pair",
+)
+def q_size_filter(spark, sf):
+    from tokenmill.operators.assemble import pair_streams, size_filter
+
+    return size_filter(pair_streams(fx.fx_sem(spark, sf), fx.fx_ac(spark, sf), with_tokens=False)).select(
+        "key", "was_clipped", "fits"
+    )
+
+
+# ---------------------------------------------------------------- P12 / P13 / J5
+
+
+@query(
+    "codebook_truncate",
+    with_views("fx_ac")
+    + "SELECT key, len AS n_frames, 2 AS depth_kept, "
+    "coalesce(list_sum(list_transform(range(0, len * 2), lambda j: tokens[(j % 2) * len + j // 2 + 1] * (j + 1))), 0)::BIGINT AS codes_digest "
+    "FROM fx_ac",
+)
+def q_codebook_truncate(spark, sf):
+    from tokenmill.functions.arrays import nested_digest
+    from tokenmill.operators.assemble import codebook_truncate
+
+    ac = fx.fx_ac(spark, sf).withColumn("codes", codebook_truncate("tokens", "len", KEEP))
+    return ac.select(
+        "key",
+        F.size("codes").alias("n_frames"),
+        F.size(F.get(F.col("codes"), 0)).alias("depth_kept"),
+        nested_digest("codes").alias("codes_digest"),
+    )
+
+
+@query(
+    "aligned_crop",
+    with_views("ox_crop")
+    + f"SELECT key, crop_start, ac_start, len(cu)::INT AS n_s, n_a, {dg('cu')} AS units_digest, "
+    f"coalesce(list_sum(list_transform(range(0, n_a * 2), lambda j: {_CODES} * (j + 1))), 0)::BIGINT AS codes_digest "
+    "FROM ox_crop",
+)
+def q_aligned_crop(spark, sf):
+    from tokenmill.functions.arrays import digest, nested_digest
+
+    return _cropped(spark, sf).select(
+        "key",
+        "crop_start",
+        "ac_start",
+        F.size("units").alias("n_s"),
+        F.size("codes").alias("n_a"),
+        digest("units").alias("units_digest"),
+        nested_digest("codes").alias("codes_digest"),
+    )
+
+
+@query(
+    "crop_range_join",
+    with_views("ox_crop")
+    + "SELECT key, count(*) AS n_cells, sum(code * ((t - ac_start) * 2 + q + 1))::BIGINT AS codes_digest FROM ("
+    "SELECT key, ac_start, (p // len_ac)::INT AS q, (p % len_ac)::INT AS t, tokens[p + 1] AS code "
+    "FROM (SELECT key, ac_start, len_ac, tokens, unnest(range(0, len_ac * 2)) AS p FROM ox_crop)) "
+    "WHERE t >= ac_start AND t < ac_start + 975 GROUP BY key",
+)
+def q_crop_range_join(spark, sf):
+    from tokenmill.operators.joins import crop_range_join
+    from tokenmill.operators.assemble import crop_start
+
+    paired = fx.fx_sem(spark, sf).select("key", "units").join(fx.fx_ac(spark, sf), "key")
+    crops = paired.select("key", crop_start(F.col("key"), F.size("units")).alias("crop_start"))
+    cells = crop_range_join(fx.fx_ac(spark, sf), crops, keep=KEEP)
+    return cells.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n_cells"),
+        F.sum(F.col("code") * (F.col("t_out") * KEEP + F.col("q") + 1)).cast("bigint").alias("codes_digest"),
+    )
+
+
+# ---------------------------------------------------------------- A3
+
+
+@query(
+    "run_length_units_array",
+    with_views("fx_sem")
+    + "SELECT key, len(du)::INT AS n_runs, "
+    + dg("du")
+    + " AS units_digest, "
+    + dg("dur")
+    + " AS durations_digest FROM (SELECT key, list_filter(units, lambda x, i: i = 1 OR x <> units[i - 1]) AS du, "
+    "list_transform(st, lambda s, j: coalesce(st[j + 1], len(units) + 1) - s) AS dur FROM ("
+    "SELECT key, units, list_filter(range(1, len(units) + 1), lambda i: i = 1 OR units[i] <> units[i - 1]) AS st FROM fx_sem))",
+)
+def q_run_length_units_array(spark, sf):
+    from tokenmill.functions.arrays import digest
+    from tokenmill.operators.assemble import run_length_units_array
+
+    df = run_length_units_array(fx.fx_sem(spark, sf), keep_durations=True)
+    return df.select(
+        "key", F.size("units").alias("n_runs"), digest("units").alias("units_digest"), digest("durations").alias("durations_digest")
+    )
+
+
+@query(
+    "run_length_units",
+    with_views("fx_runs")
+    + "SELECT user_id, min(pos) AS run_start, any_value(unit) AS unit, count(*) AS run_len FROM ("
+    "SELECT *, sum(CASE WHEN prev IS NULL OR prev <> unit THEN 1 ELSE 0 END) OVER "
+    "(PARTITION BY user_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run_id FROM ("
+    "SELECT *, lag(unit) OVER (PARTITION BY user_id ORDER BY pos) AS prev FROM fx_runs)) GROUP BY user_id, run_id",
+)
+def q_run_length_units(spark, sf):
+    from tokenmill.operators.aggregates import run_length_units
+
+    return run_length_units(fx.fx_runs(spark, sf), ["user_id"], "pos", "unit")
+
+
+# ---------------------------------------------------------------- P14 - P18
+
+
+@query(
+    "source_encode",
+    with_views("fx_sem")
+    + "SELECT key, (len(units) + 1)::INT AS n, "
+    + dg("list_append(list_transform(units, lambda x: x + 4), 2)")
+    + " AS digest FROM fx_sem",
+)
+def q_source_encode(spark, sf):
+    from tokenmill.functions.arrays import digest
+    from tokenmill.operators.assemble import source_encode
+
+    src = fx.fx_sem(spark, sf).withColumn("src", source_encode("units"))
+    return src.select("key", F.size("src").alias("n"), digest("src").alias("digest"))
+
+
+_TGT_WHOLE = (
+    "coalesce(list_sum(list_transform(range(0, (len + 1) * 2), lambda j: "
+    "(CASE WHEN j // 2 < len THEN tokens[(j % 2) * len + j // 2 + 1] + (j % 2) * 1024 + 4 ELSE 2 END) * (j + 1))), 0)::BIGINT"
+)
+
+
+@query(
+    "target_encode",
+    with_views("fx_ac") + f"SELECT key, (len + 1)::INT AS n_rows, {_TGT_WHOLE} AS digest FROM fx_ac",
+)
+def q_target_encode(spark, sf):
+    from tokenmill.functions.arrays import nested_digest
+    from tokenmill.operators.assemble import codebook_truncate, target_encode
+
+    ac = fx.fx_ac(spark, sf).withColumn("target", target_encode(codebook_truncate("tokens", "len", KEEP), KEEP))
+    return ac.select("key", F.size("target").alias("n_rows"), nested_digest("target").alias("digest"))
+
+
+@query(
+    "depth_tile",
+    with_views("fx_sem")
+    + "SELECT key, (len(units) + 1)::INT AS n_rows, coalesce(list_sum(list_transform(range(0, (len(units) + 1) * 2), lambda j: "
+    "(CASE WHEN j % 2 = 1 THEN 1 WHEN j // 2 < len(units) THEN units[j // 2 + 1] + 4 ELSE 2 END) * (j + 1))), 0)::BIGINT AS digest "
+    "FROM fx_sem",
+)
+def q_depth_tile(spark, sf):
+    from tokenmill.functions.arrays import nested_digest
+    from tokenmill.operators.assemble import depth_tile, source_encode
+
+    src = fx.fx_sem(spark, sf).withColumn("source", depth_tile(source_encode("units"), KEEP))
+    return src.select("key", F.size("source").alias("n_rows"), nested_digest("source").alias("digest"))
+
+
+_ROW_CELL = (
+    "CASE WHEN j // 2 = 0 THEN (CASE WHEN j % 2 = 0 THEN 2 ELSE 1 END) "
+    "WHEN j // 2 <= len(du) THEN (CASE WHEN j % 2 = 0 THEN du[j // 2] + 4 ELSE 1 END) "
+    "WHEN j // 2 = len(du) + 1 THEN 10006 "
+    "ELSE tokens[(j % 2) * len_ac + ac_start + (j // 2 - len(du) - 2) + 1] + (j % 2) * 1024 + 4 + 10004 END"
+)
+
+
+@query(
+    "lm_interleave",
+    with_views("ox_dedup")
+    + "SELECT key, (len(du) + n_a + 2)::INT AS n_rows, "
+    f"coalesce(list_sum(list_transform(range(0, (len(du) + n_a + 2) * 2), lambda j: ({_ROW_CELL}) * (j + 1))), 0)::BIGINT AS digest "
+    "FROM ox_dedup",
+)
+def q_lm_interleave(spark, sf):
+    from tokenmill.functions.arrays import nested_digest
+
+    return _rows(spark, sf).select("key", F.size("src_tokens").alias("n_rows"), nested_digest("src_tokens").alias("digest"))
+
+
+@query(
+    "lm_labels",
+    with_views("ox_dedup")
+    + "SELECT key, (len(du) + 1)::INT AS n_labels, "
+    + dg("list_append(list_transform(du, lambda x: x + 4), 2)")
+    + " AS labels_digest, (n_a + 1)::INT AS target_length, "
+    "coalesce(list_sum(list_transform(range(0, (n_a + 1) * 2), lambda j: "
+    f"(CASE WHEN j // 2 < n_a THEN {_CODES} + (j % 2) * 1024 + 4 ELSE 2 END) * (j + 1))), 0)::BIGINT AS target_digest "
+    "FROM ox_dedup",
+)
+def q_lm_labels(spark, sf):
+    from tokenmill.functions.arrays import digest, nested_digest
+    from tokenmill.operators.assemble import lm_labels
+
+    return lm_labels(_rows(spark, sf)).select(
+        "key",
+        F.size("src_labels").alias("n_labels"),
+        digest("src_labels").alias("labels_digest"),
+        "target_length",
+        nested_digest("prev_output_tokens").alias("target_digest"),
+    )
+
+
+@query(
+    "target_unoffset",
+    with_views("fx_ac")
+    + "SELECT key, (len + 1)::INT AS n_rows, coalesce(list_sum(list_transform(range(0, (len + 1) * 2), lambda j: "
+    "(CASE WHEN j // 2 < len THEN tokens[(j % 2) * len + j // 2 + 1] + 4 ELSE 2 END) * (j + 1))), 0)::BIGINT AS digest FROM fx_ac",
+)
+def q_target_unoffset(spark, sf):
+    from tokenmill.functions.arrays import nested_digest
+    from tokenmill.operators.assemble import codebook_truncate, target_encode
+    from tokenmill.operators.scoring import target_unoffset
+
+    ac = fx.fx_ac(spark, sf).withColumn("target", target_encode(codebook_truncate("tokens", "len", KEEP), KEEP))
+    ac = ac.withColumn("labels", target_unoffset("target"))
+    return ac.select("key", F.size("labels").alias("n_rows"), nested_digest("labels").alias("digest"))
+
+
+# ---------------------------------------------------------------- P20 / P21 / P22 / W4
+
+
+def _batched_rows(spark, sf):
+    from tokenmill.operators.batching import token_budget_batches
+
+    rows = _rows(spark, sf)
+    shapes = row_shapes(fx.fx_sem(spark, sf), fx.fx_ac(spark, sf)).select("key", "len_s")
+    ids = token_budget_batches(shapes).select("key", "batch_id")
+    return rows.join(ids, "key")
+
+
+@query(
+    "position_class",
+    with_views("ox_batched")
+    + "SELECT key, batch_id, src_length::BIGINT AS n_semantic, target_length::BIGINT AS n_acoustic, "
+    "(max(row_length) OVER (PARTITION BY batch_id) - row_length)::BIGINT AS n_pad FROM ox_batched",
+)
+def q_position_class(spark, sf):
+    from tokenmill.operators.scoring import pad_to_batch, position_class_counts
+
+    padded = pad_to_batch(_batched_rows(spark, sf), "src_tokens", "batch_id", KEEP)
+    return position_class_counts(padded, "src_tokens").select("key", "batch_id", "n_semantic", "n_acoustic", "n_pad")
+
+
+@query(
+    "frame_mask",
+    with_views("ox_batched")
+    + "SELECT batch_id, (count(*) * max(target_length))::BIGINT AS n_frames, sum(target_length)::BIGINT AS n_kept "
+    "FROM ox_batched GROUP BY batch_id",
+)
+def q_frame_mask(spark, sf):
+    from tokenmill.operators.scoring import frame_mask, pad_to_batch
+
+    padded = pad_to_batch(_batched_rows(spark, sf), "target", "batch_id", KEEP)
+    return frame_mask(padded, "target", "batch_id")
+
+
+@query(
+    "local_drop",
+    with_views("ox_crop")
+    + "SELECT key, count(*) AS n_frames, count(*) FILTER (WHERE rk <= k) AS n_kept, "
+    "coalesce(sum(t + 1) FILTER (WHERE rk <= k), 0)::BIGINT AS kept_digest FROM ("
+    f"SELECT key, t, k, row_number() OVER (PARTITION BY key ORDER BY {u('drop', "key || '#' || t")}, t) AS rk FROM ("
+    "SELECT key, least(n_a + 1, floor((n_a + 1) * (1 - 0.5) + 1))::BIGINT AS k, unnest(range(0, n_a + 1)) AS t FROM ox_crop)) "
+    "GROUP BY key",
+)
+def q_local_drop(spark, sf):
+    from tokenmill.operators.assemble import target_encode
+    from tokenmill.operators.scoring import local_drop
+
+    rows = _cropped(spark, sf).withColumn("target", target_encode("codes", KEEP))
+    kept = local_drop(rows, "target", p=0.5)
+    return kept.select(
+        "key",
+        F.size("target").cast("bigint").alias("n_frames"),
+        F.size("kept_frames").cast("bigint").alias("n_kept"),
+        F.aggregate("kept_frames", F.lit(0).cast("bigint"), lambda a, t: a + t + 1).alias("kept_digest"),
+    )
+
+
+@query(
+    "batch_row_order",
+    with_views("ox_batched")
+    + "SELECT key, batch_id, (row_number() OVER (PARTITION BY batch_id ORDER BY src_length DESC, key) - 1)::INT AS rank_in_batch "
+    "FROM ox_batched",
+)
+def q_batch_row_order(spark, sf):
+    from tokenmill.operators.batching import batch_row_order, token_budget_batches
+
+    shapes = row_shapes(fx.fx_sem(spark, sf), fx.fx_ac(spark, sf))
+    return batch_row_order(token_budget_batches(shapes)).select("key", "batch_id", "rank_in_batch")
+
+
+# ---------------------------------------------------------------- P23 / P24 / P25 / P26
+
+
+@query(
+    "detokenize",
+    with_views("ox_dedup") + "SELECT key, array_to_string(list_transform(du, lambda x: CAST(x AS VARCHAR)), ' ') AS text FROM ox_dedup",
+)
+def q_detokenize(spark, sf):
+    from tokenmill.operators.assemble import detokenize
+
+    return _rows(spark, sf).select("key", detokenize("src_labels").alias("text"))
+
+
+@query(
+    "prompt_slice",
+    with_views("ox_dedup")
+    + "SELECT key, mode, n_sem::INT AS n_sem, n_ac::INT AS n_ac, "
+    + dg("list_slice(du, 1, n_sem)")
+    + " AS sem_digest FROM (SELECT key, du, mode, "
+    "CASE mode WHEN 0 THEN 0 WHEN 1 THEN len(du) ELSE len(du) // 2 END AS n_sem, "
+    "CASE mode WHEN 2 THEN n_a // 2 ELSE 0 END AS n_ac FROM (SELECT *, unnest([0, 1, 2, 3]) AS mode FROM ox_dedup))",
+)
+def q_prompt_slice(spark, sf):
+    from tokenmill.functions.arrays import digest
+    from tokenmill.operators.assemble import prompt_slice, run_length_units_array
+
+    rows = run_length_units_array(_cropped(spark, sf))
+    out = prompt_slice(rows, "units", "codes")
+    return out.select(
+        "key", "mode", F.size("prompt_units").alias("n_sem"), F.size("prompt_codes").alias("n_ac"), digest("prompt_units").alias("sem_digest")
+    )
+
+
+@query(
+    "token_budget",
+    with_views("fx_sem", "fx_ac")
+    + "SELECT a.key, a.depth, CASE a.depth WHEN 2 THEN 1.5 WHEN 4 THEN 3.0 WHEN 8 THEN 6.0 WHEN 16 THEN 12.0 WHEN 32 THEN 24.0 END::DOUBLE AS bandwidth, "
+    "a.len AS len_ac, (s.len * 75 // 50)::INT AS expected_len_ac, a.len = s.len * 75 // 50 AND a.depth IN (2, 4, 8, 16, 32) AS ok "
+    "FROM fx_ac a JOIN fx_sem s USING (key)",
+)
+def q_token_budget(spark, sf):
+    from tokenmill.operators.assemble import token_budget
+
+    return token_budget(fx.fx_sem(spark, sf), fx.fx_ac(spark, sf))
+
+
+@query(
+    "subset_route",
+    with_views("fx_clips")
+    + "SELECT key, split, CASE WHEN contains(split, 'prompt') THEN 'prompt' ELSE 'standard' END AS builder, "
+    "NOT starts_with(split, 'train') AS shardable FROM ("
+    f"SELECT key, concat(CASE WHEN {u('split', 'key')} > 0.1 THEN 'train' ELSE 'valid' END, '-', split_part(key, '/', 2), "
+    "CASE WHEN n % 2 = 0 THEN '' ELSE '_prompt' END) AS split FROM fx_clips)",
+)
+def q_subset_route(spark, sf):
+    from tokenmill.functions.hashing import uniform
+    from tokenmill.operators.assemble import subset_route
+
+    clips = fx.fx_clips(spark, sf)
+    split = F.concat(
+        F.when(uniform("split", F.col("key")) > 0.1, "train").otherwise("valid"),
+        F.lit("-"),
+        F.split(F.col("key"), "/").getItem(1),
+        F.when(F.col("n") % 2 == 0, "").otherwise("_prompt"),
+    )
+    return subset_route(clips.select("key", split.alias("split"))).select("key", "split", "builder", "shardable")
