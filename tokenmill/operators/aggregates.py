@@ -49,3 +49,34 @@ def assert_depth(store: DataFrame, codec_depth: int = K.CODEC_DEPTH) -> None:
     bad = depth_check(store, codec_depth, by=()).where(~F.col("ok")).first()
     if bad is not None:
         raise ValueError(f"stored acoustic depth {bad['min_depth']}..{bad['max_depth']} < codec_depth={codec_depth} or mixed")
+
+
+def vocab_sizing(spark, sem: DataFrame, ac: DataFrame, source_symbols: int = K.SOURCE_VOCAB,
+                 codec_depth: int = K.CODEC_DEPTH, codec_dim: int = K.CODEC_DIM) -> DataFrame:
+    """A10: dictionary sizes (symbols + specials), combined size, and whether the data fits.
+
+    Target symbols are ``codec_depth * codec_dim`` (the configured size is
+    overridden when it disagrees); the largest offset code of the kept
+    codebooks is read from the acoustic store.
+    """
+    from tokenmill.operators.joins import build_vocab, target_vocab_size
+
+    n_tgt = target_vocab_size(codec_depth, codec_dim)
+    src_size = build_vocab(spark, source_symbols).count()
+    tgt_size = build_vocab(spark, n_tgt).count()
+    src_max = sem.select(F.max(F.array_max("units")).alias("m"))
+    kept = F.slice("tokens", 1, F.col("len") * codec_depth)
+    offset = F.transform(kept, lambda x, j: x + F.floor(j / F.col("len")).cast("long") * codec_dim)
+    tgt_max = ac.select(F.max(F.array_max(offset)).alias("m"))
+    combined = src_size + tgt_size
+    src = src_max.select(
+        F.lit("source").alias("dictionary"), F.lit(source_symbols).cast("bigint").alias("n_symbols"),
+        F.lit(src_size).cast("bigint").alias("vocab_size"), F.col("m").cast("bigint").alias("max_seen"),
+        (F.col("m") < source_symbols).alias("fits"), F.lit(combined).cast("bigint").alias("combined_size"),
+    )
+    tgt = tgt_max.select(
+        F.lit("target").alias("dictionary"), F.lit(n_tgt).cast("bigint").alias("n_symbols"),
+        F.lit(tgt_size).cast("bigint").alias("vocab_size"), F.col("m").cast("bigint").alias("max_seen"),
+        (F.col("m") < n_tgt).alias("fits"), F.lit(combined).cast("bigint").alias("combined_size"),
+    )
+    return src.unionByName(tgt)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tokenmill.functions import constants as K
 from tokenmill.functions.hashing import uniform
-from tokenmill.functions.numeric import LN2, round_half_up
+from tokenmill.functions.numeric import LN2, round_half_up, round_significant
 from tokenmill.operators.ordered import running_sums
 
 
@@ -180,21 +180,26 @@ def log_partial_sum(log: DataFrame, by: str = "update", worker: str = "worker")
     return per_worker.groupBy(by).agg(*[F.sum(c).alias(c) for c in num])
 
 
-def reduce_metrics(log: DataFrame, by: str = "update", worker: str = "worker") -> DataFrame:
+def reduce_metrics(log: DataFrame, by: str = "update", worker: str = "worker", ppl_sig_digits: int | None = None) -> DataFrame:
     """Reduce worker logs to metrics, long form ``(update, metric, value)``.
 
     loss and nll_loss in bits (sum / sample_size / ln 2, 3 decimals); ppl =
     2^loss (2 decimals); ``total_x``/``n_correct_x`` -> ``accuracy_x`` = 100 *
     sum n / sum total when the total is positive; ``x-loss`` -> ``x``.
+    ``ppl_sig_digits`` additionally rounds the perplexity to significant
+    digits: 2^loss magnifies last-bit summation noise into its integer digits.
     """
     totals, comps = _log_columns(log)
     sums = log_partial_sum(log, by, worker)
     ss = F.col("sample_size")
     bits = lambda c: F.col(c) / ss / F.lit(LN2)
+    ppl = round_half_up(F.pow(F.lit(2.0), bits("loss")), 2)
+    if ppl_sig_digits:
+        ppl = round_significant(ppl, ppl_sig_digits)
     metrics = [
         F.struct(F.lit("loss").alias("metric"), round_half_up(bits("loss"), 3).alias("value")),
         F.struct(F.lit("nll_loss").alias("metric"), round_half_up(bits("nll_loss"), 3).alias("value")),
-        F.struct(F.lit("ppl").alias("metric"), round_half_up(F.pow(F.lit(2.0), bits("loss")), 2).alias("value")),
+        F.struct(F.lit("ppl").alias("metric"), ppl.alias("value")),
     ]
     for t in totals:
         name = t[len("total") :]

@@ -30,4 +30,5 @@ def load_all() -> None:
     """Import every query module so that it registers itself."""
     from tokenmill.plans import (  # noqa: F401
         q_assemble,
+        q_scoring,
     )
