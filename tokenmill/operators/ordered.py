@@ -100,7 +100,7 @@ def running_sums(
     out_schema = T.StructType(
         out_fields
         + [T.StructField(nm, k, True) for nm, k in zip(names, kinds)]
-        + [T.StructField("__pid", T.IntegerType(), False), T.StructField("__idx", T.LongType(), False)]
+        + [T.StructField("__scan_pid", T.IntegerType(), False), T.StructField("__scan_idx", T.LongType(), False)]
     )
     keep_cols = [f.name for f in out_fields]
 
@@ -122,8 +122,8 @@ def running_sums(
                     cs = cs + np.where(gid == 0, carry[j], 0)
                 out[nm] = cs
                 carry[j] = cs[-1]
-            out["__pid"] = np.int32(pid)
-            out["__idx"] = np.arange(idx, idx + len(pdf), dtype=np.int64)
+            out["__scan_pid"] = np.int32(pid)
+            out["__scan_idx"] = np.arange(idx, idx + len(pdf), dtype=np.int64)
             idx += len(pdf)
             carry_key = _key(pdf, group_cols, len(pdf) - 1)
             yield out
@@ -132,15 +132,15 @@ def running_sums(
 
     gstruct = F.struct(*[F.col(c) for c in group_cols]) if group_cols else F.lit(0)
     stats = (
-        local.groupBy("__pid")
+        local.groupBy("__scan_pid")
         .agg(
-            F.min_by(gstruct, "__idx").alias("first"),
-            F.max_by(gstruct, "__idx").alias("last"),
-            *[F.max_by(F.col(nm), "__idx").alias(f"last_{j}") for j, nm in enumerate(names)],
+            F.min_by(gstruct, "__scan_idx").alias("first"),
+            F.max_by(gstruct, "__scan_idx").alias("last"),
+            *[F.max_by(F.col(nm), "__scan_idx").alias(f"last_{j}") for j, nm in enumerate(names)],
         )
         .collect()  # one row per partition
     )
-    stats.sort(key=lambda r: r["__pid"])
+    stats.sort(key=lambda r: r["__scan_pid"])
 
     rows = []
     prev_last = None
@@ -151,22 +151,22 @@ def running_sums(
         off = list(carry) if (prev_last is not None and first == prev_last) else [0] * len(names)
         if any(off):
             first_vals = [r["first"][c] for c in group_cols] if group_cols else []
-            rows.append((r["__pid"], *first_vals, *off))
+            rows.append((r["__scan_pid"], *first_vals, *off))
         last_vals = [r[f"last_{j}"] or 0 for j in range(len(names))]
         carry = [o + v for o, v in zip(off, last_vals)] if first == last else last_vals
         prev_last = last
 
     if not rows:
-        return local.drop("__pid", "__idx")
+        return local.drop("__scan_pid", "__scan_idx")
 
     off_schema = T.StructType(
-        [T.StructField("__pid", T.IntegerType(), False)]
+        [T.StructField("__scan_pid", T.IntegerType(), False)]
         + [T.StructField(f"__first_{c}", df.schema[c].dataType, True) for c in group_cols]
         + [T.StructField(f"__off{j}", k, True) for j, k in enumerate(kinds)]
     )
     # one row per partition that continues a group from earlier partitions
     offsets = spark.createDataFrame(rows, off_schema)
-    joined = local.join(F.broadcast(offsets), "__pid", "left")
+    joined = local.join(F.broadcast(offsets), "__scan_pid", "left")
     if group_cols:
         same = F.lit(True)
         for c in group_cols:
@@ -175,7 +175,7 @@ def running_sums(
         same = F.lit(True)
     for j, nm in enumerate(names):
         joined = joined.withColumn(nm, F.col(nm) + F.when(same, F.coalesce(F.col(f"__off{j}"), F.lit(0))).otherwise(0))
-    drop = ["__pid", "__idx"] + [f"__off{j}" for j in range(len(names))] + [f"__first_{c}" for c in group_cols]
+    drop = ["__scan_pid", "__scan_idx"] + [f"__off{j}" for j in range(len(names))] + [f"__first_{c}" for c in group_cols]
     return joined.drop(*drop)
 
 
@@ -216,8 +216,8 @@ def run_starts(
         list(df.schema.fields)
         + [
             T.StructField(out, pos_type, True),
-            T.StructField("__pid", T.IntegerType(), False),
-            T.StructField("__idx", T.LongType(), False),
+            T.StructField("__scan_pid", T.IntegerType(), False),
+            T.StructField("__scan_idx", T.LongType(), False),
         ]
     )
     cols = list(df.columns)
@@ -246,8 +246,8 @@ def run_starts(
             filled = marks.ffill()
             out = pdf[cols].copy()
             out[out_name] = filled.to_numpy()
-            out["__pid"] = np.int32(pid)
-            out["__idx"] = np.arange(idx, idx + len(pdf), dtype=np.int64)
+            out["__scan_pid"] = np.int32(pid)
+            out["__scan_idx"] = np.arange(idx, idx + len(pdf), dtype=np.int64)
             idx += len(pdf)
             prev = (_key(pdf, group_cols, len(pdf) - 1), vals[-1], filled.iloc[-1])
             yield out
@@ -256,18 +256,18 @@ def run_starts(
 
     gstruct = F.struct(*[F.col(c) for c in group_cols]) if group_cols else F.lit(0)
     stats = (
-        local.groupBy("__pid")
+        local.groupBy("__scan_pid")
         .agg(
-            F.min_by(gstruct, "__idx").alias("first_g"),
-            F.min_by(F.col(value_col), "__idx").alias("first_v"),
-            F.min_by(F.col(pos_col), "__idx").alias("first_pos"),
-            F.max_by(gstruct, "__idx").alias("last_g"),
-            F.max_by(F.col(value_col), "__idx").alias("last_v"),
-            F.max_by(F.col(out), "__idx").alias("last_rs"),
+            F.min_by(gstruct, "__scan_idx").alias("first_g"),
+            F.min_by(F.col(value_col), "__scan_idx").alias("first_v"),
+            F.min_by(F.col(pos_col), "__scan_idx").alias("first_pos"),
+            F.max_by(gstruct, "__scan_idx").alias("last_g"),
+            F.max_by(F.col(value_col), "__scan_idx").alias("last_v"),
+            F.max_by(F.col(out), "__scan_idx").alias("last_rs"),
         )
         .collect()  # one row per partition
     )
-    stats.sort(key=lambda r: r["__pid"])
+    stats.sort(key=lambda r: r["__scan_pid"])
     fix = []
     prev = None  # (group, value, resolved run start) of the previous partition's last row
     for r in stats:
@@ -275,12 +275,12 @@ def run_starts(
         lg = _row_key(r["last_g"], group_cols) if group_cols else ()
         continues = prev is not None and prev[0] == fg and prev[1] == r["first_v"]
         head_start = prev[2] if continues else r["first_pos"]
-        fix.append((r["__pid"], head_start))
+        fix.append((r["__scan_pid"], head_start))
         # last row's run start: null means the partition's leading run reaches the end
         last_rs = r["last_rs"] if r["last_rs"] is not None else head_start
         prev = (lg, r["last_v"], last_rs)
     fix_df = spark.createDataFrame(
-        fix, T.StructType([T.StructField("__pid", T.IntegerType(), False), T.StructField("__head", pos_type, True)])
+        fix, T.StructType([T.StructField("__scan_pid", T.IntegerType(), False), T.StructField("__head", pos_type, True)])
     )
-    joined = local.join(F.broadcast(fix_df), "__pid", "left")
-    return joined.withColumn(out, F.coalesce(F.col(out), F.col("__head"))).drop("__pid", "__idx", "__head")
+    joined = local.join(F.broadcast(fix_df), "__scan_pid", "left")
+    return joined.withColumn(out, F.coalesce(F.col(out), F.col("__head"))).drop("__scan_pid", "__scan_idx", "__head")

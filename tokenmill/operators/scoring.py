@@ -193,9 +193,8 @@ def reduce_metrics(log: DataFrame, by: str = "update", worker: str = "worker", p
     sums = log_partial_sum(log, by, worker)
     ss = F.col("sample_size")
     bits = lambda c: F.col(c) / ss / F.lit(LN2)
-    ppl = round_half_up(F.pow(F.lit(2.0), bits("loss")), 2)
-    if ppl_sig_digits:
-        ppl = round_significant(ppl, ppl_sig_digits)
+    raw = F.pow(F.lit(2.0), bits("loss"))
+    ppl = round_half_up(round_significant(raw, ppl_sig_digits) if ppl_sig_digits else raw, 2)
     metrics = [
         F.struct(F.lit("loss").alias("metric"), round_half_up(bits("loss"), 3).alias("value")),
         F.struct(F.lit("nll_loss").alias("metric"), round_half_up(bits("nll_loss"), 3).alias("value")),

@@ -98,7 +98,7 @@ def q_smoothed_nll(spark, sf):
     with_views("ox_logsum")
     + f"SELECT update, 'loss' AS metric, {round_sql('l / ss / ln(2)', 3)} AS value FROM ox_logsum UNION ALL "
     f"SELECT update, 'nll_loss', {round_sql('nl / ss / ln(2)', 3)} FROM ox_logsum UNION ALL "
-    f"SELECT update, 'ppl', {round_significant_sql(round_sql('pow(2.0, l / ss / ln(2))', 2), 6)} FROM ox_logsum UNION ALL "
+    f"SELECT update, 'ppl', {round_sql(round_significant_sql('pow(2.0, l / ss / ln(2))', 6), 2)} FROM ox_logsum UNION ALL "
     f"SELECT update, 'accuracy_acoustic', {round_sql('(100.0::DOUBLE * nc::DOUBLE) / tt::DOUBLE', 3)} FROM ox_logsum WHERE tt > 0",
 )
 def q_reduce_metrics(spark, sf):

@@ -31,4 +31,5 @@ def load_all() -> None:
     from tokenmill.plans import (  # noqa: F401
         q_assemble,
         q_scoring,
+        q_corpus,
     )
