@@ -32,4 +32,6 @@ def load_all() -> None:
         q_assemble,
         q_scoring,
         q_corpus,
+        q_store,
+        q_vector,
     )
