@@ -78,11 +78,14 @@ def token_budget_batches(
 ) -> DataFrame:
     """Assign every row the id of its token-budget batch (0-based)."""
     spark = df.sparkSession
-    longest = df.agg(F.max(len_col)).first()[0]
-    if longest is not None and longest > max_tokens:
-        raise ValueError(f"sample of size {longest} exceeds max_tokens={max_tokens}")
-    # at most max_tokens + 1 distinct lengths: a proven bound for collect/broadcast
-    hist = [(r[0], r[1]) for r in df.groupBy(len_col).count().collect()]
+    staged = df.withColumn("__shuffle", uniform("shuffle", F.col(key), seed)) if shuffle else df
+    staged = staged.checkpoint(eager=True)  # read by the histogram and the rank scan
+    # valid lengths are 0..max_tokens, so a histogram of more rows than that
+    # already proves a violation: the collect is bounded either way
+    hist = [(r[0], r[1]) for r in staged.groupBy(len_col).count().limit(max_tokens + 2).collect()]
+    over = [ln for ln, _ in hist if ln is not None and ln > max_tokens]
+    if over or len(hist) > max_tokens + 1:
+        raise ValueError(f"sample of size {max(over) if over else '>' + str(max_tokens)} exceeds max_tokens={max_tokens}")
     plan = batch_plan(hist, max_tokens)
     schema = T.StructType(
         [
@@ -94,7 +97,6 @@ def token_budget_batches(
         ]
     )
     plan_df = spark.createDataFrame(plan, schema)
-    staged = df.withColumn("__shuffle", uniform("shuffle", F.col(key), seed)) if shuffle else df
     order = ([F.col("__shuffle")] if shuffle else []) + [F.col(key)]
     ranked = row_number_within(staged, [len_col], order, out="__rank")
     rank = F.col("__rank")

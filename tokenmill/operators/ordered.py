@@ -94,6 +94,9 @@ def running_sums(
 
     n = _num_partitions(df, num_partitions)
     keys = [F.col(c) for c in group_cols] + order_exprs
+    # range partitioning samples its input in a separate job: materialise the
+    # (narrow) input once so the sample and the scan read the same rows
+    staged = _checkpoint(staged)
     ordered = staged.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
 
     out_fields = [f for f in staged.schema.fields if f.name not in tmp]
@@ -210,7 +213,7 @@ def run_starts(
     spark = df.sparkSession
     n = _num_partitions(df, num_partitions)
     keys = [F.col(c) for c in group_cols] + [F.col(pos_col)]
-    ordered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    ordered = _checkpoint(df).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     pos_type = df.schema[pos_col].dataType
     out_schema = T.StructType(
         list(df.schema.fields)
