@@ -37,10 +37,12 @@ def fx_clips(spark, sf_dir) -> DataFrame:
 
 
 def fx_sem0(spark, sf_dir) -> DataFrame:
+    # len = size(units) = number of words; spelled from the split so a size-only
+    # read (column pruning) never computes the per-word hashes
     return spark.sql(
-        "SELECT doc_id, key, cast(size(units) as int) AS len, units FROM ("
-        f"SELECT doc_id, key, transform(split(text, ' ', -1), w -> {_h('substr(w, 1, 1)')} % 10000) AS units "
-        "FROM {c})",
+        "SELECT doc_id, key, cast(size(split(text, ' ', -1)) as int) AS len, "
+        f"transform(split(text, ' ', -1), w -> {_h('substr(w, 1, 1)')} % 10000) AS units "
+        "FROM {c}",
         c=fx_clips(spark, sf_dir),
     )
 
