@@ -28,28 +28,35 @@ def _c(c) -> Column:
 # ---------------------------------------------------------------- J1 / J2 / P10 / P11
 
 
-def pair_streams(sem: DataFrame, ac: DataFrame, with_tokens: bool = True) -> DataFrame:
+def pair_streams(sem: DataFrame, ac: DataFrame, with_tokens: bool = True, keep: int | None = None) -> DataFrame:
     """Inner key join of the semantic and acoustic stores.
 
     With ``with_tokens=False`` only ``key`` and the size columns are read, so
     the parquet scans prune the token arrays (the size index of the store).
+    With ``keep`` the acoustic arrays are cut to their first ``keep``
+    codebooks *before* the join, so dropped codebooks are never shuffled.
     Keys are unique per store, so the join is skew-free; both sides are
     large, so Spark plans a sort-merge join on ``key``.
     """
     s = sem.select("key", F.col("len").alias("len_sem"), *(["units"] if with_tokens else []))
-    a = ac.select(
-        "key", F.col("depth").alias("depth"), F.col("len").alias("len_ac"), *(["tokens"] if with_tokens else [])
-    )
+    toks = []
+    if with_tokens:
+        t = F.col("tokens") if keep is None else F.slice("tokens", 1, F.col("len") * keep)
+        toks = [t.alias("tokens")]
+    a = ac.select("key", F.col("depth").alias("depth"), F.col("len").alias("len_ac"), *toks)
     return s.join(a, "key", "inner")
 
 
 def unpaired_keys(sem: DataFrame, ac: DataFrame) -> DataFrame:
-    """Keys present in one stream only, with the stream they are missing from."""
-    s = sem.select("key")
-    a = ac.select("key")
-    return s.join(a, "key", "left_anti").withColumn("missing_from", F.lit("acoustic")).unionByName(
-        a.join(s, "key", "left_anti").withColumn("missing_from", F.lit("semantic"))
-    )
+    """Keys present in one stream only, with the stream they are missing from.
+
+    One full outer join on ``key`` with presence flags: each side is
+    shuffled once (two anti joins would shuffle each side twice).
+    """
+    s = sem.select("key", F.lit(True).alias("__in_s"))
+    a = ac.select("key", F.lit(True).alias("__in_a"))
+    j = s.join(a, "key", "full_outer").where(F.col("__in_s").isNull() | F.col("__in_a").isNull())
+    return j.select("key", F.when(F.col("__in_a").isNull(), "acoustic").otherwise("semantic").alias("missing_from"))
 
 
 def size_clip(
@@ -247,7 +254,7 @@ def assemble_rows(
     seed: int = 42,
 ) -> DataFrame:
     """J1 -> P10 -> P12/P13 -> A3 -> P14-P17 for every paired key."""
-    paired = size_clip(pair_streams(sem, ac), max_source, max_target)
+    paired = size_clip(pair_streams(sem, ac, keep=keep), max_source, max_target)
     cropped = crop_pair(paired, keep, max_source, max_target, seed)
     if reduce:
         cropped = run_length_units_array(cropped)

@@ -32,9 +32,9 @@ def _rows_of(stream: str, keys, toks) -> list[tuple]:
     for key, t in zip(keys, toks):
         a = np.asarray(t, dtype=np.int64)
         if a.ndim == 1:
-            out.append((key, stream, 1, int(a.shape[0]), a.tolist(), None))
+            out.append((key, stream, 1, int(a.shape[0]), a, None))
         else:
-            out.append((key, stream, int(a.shape[0]), int(a.shape[-1]), a.reshape(-1).tolist(), None))
+            out.append((key, stream, int(a.shape[0]), int(a.shape[-1]), a.reshape(-1), None))
     return out
 
 

@@ -119,7 +119,7 @@ def dg(list_sql: str) -> str:
 def _cropped(spark, sf, keep=KEEP):
     from tokenmill.operators.assemble import crop_pair, pair_streams, size_clip
 
-    return crop_pair(size_clip(pair_streams(fx.fx_sem(spark, sf), fx.fx_ac(spark, sf))), keep=keep)
+    return crop_pair(size_clip(pair_streams(fx.fx_sem(spark, sf), fx.fx_ac(spark, sf), keep=keep)), keep=keep)
 
 
 def _rows(spark, sf, keep=KEEP):

@@ -43,7 +43,7 @@ def _decode_batches(batches: Iterator[pd.DataFrame], with_samples: bool) -> Iter
                     raw = w.readframes(n)
                 x = _pcm_to_float(raw, width, ch)
                 # mono keeps its samples; multi-channel is kept interleaved for the reject path
-                samples = x.reshape(-1).tolist() if with_samples else None
+                samples = x.reshape(-1) if with_samples else None  # numpy -> Arrow list without Python floats
                 out.append((key, sr, ch, width, int(n), samples, None))
             except Exception as e:  # a bad file is reported, not fatal
                 out.append((key, None, None, None, None, None, f"{type(e).__name__}: {e}"))
