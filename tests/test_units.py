@@ -40,6 +40,16 @@ def test_chunk_boundaries(spark, n):
         assert sorted(keys) == sorted(f"a.flac{i}" for i in range(1, len(rows) + 1))
 
 
+@pytest.mark.parametrize("n", [0, 99, 100, 2999, 3000, 3001, 3099, 3100, 5999, 6000, 6001])
+def test_chunk_samples_agrees_with_plan(spark, n):
+    from tokenmill.operators.chunking import chunk_samples
+
+    df = spark.createDataFrame([("a", 100, [float(i) for i in range(n)])], "key string, sr int, samples array<float>")
+    got = sorted((r.chunk_no, r.start, r.len, r.is_chunked, r.samples[0] if r.samples else None) for r in chunk_samples(df).collect())
+    assert [g[:4] for g in got] == pieces_expected(n)
+    assert all(g[4] == float(g[1]) for g in got)
+
+
 def test_chunk_samples_are_sliced(spark):
     df = spark.createDataFrame([("a", 250, 10, list(map(float, range(250))))], "key string, n long, sr int, s array<double>")
     got = chunk_clips(df, chunk_s=10, samples="s").orderBy("chunk_no").collect()

@@ -26,8 +26,8 @@ def chunk_clips(
     With ``C = chunk_s * sr``: ``n <= C`` gives one unchunked piece; longer
     clips give full pieces and a tail that is dropped when shorter than
     ``min_s`` seconds, else back-aligned to the last ``C`` samples (so it
-    overlaps its neighbour), or kept as is when exactly ``C``.  With
-    ``samples`` the piece's samples are sliced out too.
+    overlaps its neighbour), or kept as is when exactly ``C``.  This is the
+    plan only (no samples move); :func:`chunk_samples` cuts the audio.
     """
     C = F.col(sr) * chunk_s
     N = F.col(n)
@@ -48,10 +48,58 @@ def chunk_clips(
         "len", F.when(F.col("is_chunked"), C).otherwise(N).cast("long")
     )
     if samples:
+        # small arrays only: the row (with all samples) is copied per piece
+        # before slicing; audio clips go through chunk_samples instead
         out = out.withColumn(samples, safe_slice(samples, F.col("start").cast("int"), F.col("len").cast("int")))
     return out.drop("__k")
 
 
+def piece_plan(n: int, sr: int, chunk_s: int = K.CHUNK_SECONDS, min_s: int = K.MIN_SECONDS) -> list[tuple[int, int, int, bool]]:
+    """``(chunk_no, start, len, is_chunked)`` of one clip - the P2 rule, per row."""
+    C = chunk_s * sr
+    if n <= C:
+        return [(1, 0, n, False)]
+    k = -(-n // C)
+    tail = n - (k - 1) * C
+    out = [(i + 1, i * C, C, True) for i in range(k - 1)]
+    if tail >= min_s * sr:
+        out.append((k, n - C if tail != C else (k - 1) * C, C, True))
+    return out
+
+
+def chunk_samples(
+    clips: DataFrame,
+    key: str = "key",
+    samples: str = "samples",
+    sr: str = "sr",
+    chunk_s: int = K.CHUNK_SECONDS,
+    min_s: int = K.MIN_SECONDS,
+) -> DataFrame:
+    """P2-P4 on decoded audio: one row per kept piece with only its own samples.
+
+    An Arrow pass cuts numpy views, so a clip of ``n`` samples emits about
+    ``n`` samples in total instead of one full copy per piece.  Output:
+    ``key, chunk_no, start, len, is_chunked, chunk_key, sr, samples``.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def cut(batches):
+        for pdf in batches:
+            rows = []
+            for k, x, r in zip(pdf["key"], pdf["samples"], pdf["sr"]):
+                x = np.asarray(x, dtype=np.float32)
+                for no, start, ln, chunked in piece_plan(len(x), int(r), chunk_s, min_s):
+                    if not chunked and ln < min_s * r:
+                        continue  # P4: short unchunked clip dropped
+                    rows.append((k, no, start, ln, chunked, f"{k}{no}" if chunked else k, int(r), x[start : start + ln]))
+            yield pd.DataFrame(rows, columns=["key", "chunk_no", "start", "len", "is_chunked", "chunk_key", "sr", "samples"])
+
+    schema = "key string, chunk_no long, start long, len long, is_chunked boolean, chunk_key string, sr int, samples array<float>"
+    staged = clips.select(F.col(key).alias("key"), F.col(samples).alias("samples"), F.col(sr).alias("sr"))
+    return staged.mapInPandas(cut, schema)
+
+
 def chunk_key(path, chunk_no, is_chunked) -> "F.Column":
     """Chunked piece ``i`` (1-based) is ``path || i``; an unchunked clip keeps ``path``."""
     path, chunk_no, is_chunked = F.col(path), F.col(chunk_no), F.col(is_chunked)

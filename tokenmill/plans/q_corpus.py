@@ -206,14 +206,12 @@ def q_mono_contract(spark, sf):
 
 
 def _encoded(spark, sf, fail_mod=None):
-    from tokenmill.operators.chunking import chunk_clips, chunk_key, short_clip_filter
+    from tokenmill.operators.chunking import chunk_samples
     from tokenmill.operators.encode import encode_job, toy_acoustic, toy_semantic
     from tokenmill.sources.audio import decode_wav, mono_contract
 
     clips = mono_contract(decode_wav(wav_clips(spark, sf))).where("status = 'accepted'")
-    clips = clips.select("key", F.col("n_samples").alias("n"), "sr", "samples")
-    pieces = short_clip_filter(chunk_clips(clips, samples="samples")).where("kept")
-    pieces = pieces.withColumn("chunk_key", chunk_key("key", "chunk_no", "is_chunked"))
+    pieces = chunk_samples(clips.select("key", "sr", "samples"))
     encoders = {"semantic": toy_semantic(2), "acoustic": toy_acoustic(4, 3, fail_when_len_mod=fail_mod)}
     return encode_job(pieces, encoders)
 
