@@ -42,6 +42,17 @@ def test_wav_decode_mono_contract_and_chunks(spark):
     assert per == {"m30.wav": 1, "m61.wav": 3}  # 0.5 s dropped, 61 s tail back-aligned
     listed = manifest_scan(spark, d, ext="wav").count()
     assert listed == 4
+    from tokenmill.sources.audio import decode_pieces
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(d).select(F.col("path").alias("key"), "content")
+    fused = decode_pieces(files).collect()
+    kept = {}
+    for r in fused:
+        if r.reason is None:
+            kept[os.path.basename(r.key)] = kept.get(os.path.basename(r.key), 0) + 1
+            assert len(r.samples) == r.len == 30 * 16000
+    assert kept == per
+    assert {os.path.basename(r.key): r.reason for r in fused if r.reason} == {"stereo.wav": "not_mono"}
 
 
 def test_manifest_round_trip(spark):

@@ -206,12 +206,10 @@ def q_mono_contract(spark, sf):
 
 
 def _encoded(spark, sf, fail_mod=None):
-    from tokenmill.operators.chunking import chunk_samples
     from tokenmill.operators.encode import encode_job, toy_acoustic, toy_semantic
-    from tokenmill.sources.audio import decode_wav, mono_contract
+    from tokenmill.sources.audio import decode_pieces
 
-    clips = mono_contract(decode_wav(wav_clips(spark, sf))).where("status = 'accepted'")
-    pieces = chunk_samples(clips.select("key", "sr", "samples"))
+    pieces = decode_pieces(wav_clips(spark, sf)).where(F.col("reason").isNull())
     encoders = {"semantic": toy_semantic(2), "acoustic": toy_acoustic(4, 3, fail_when_len_mod=fail_mod)}
     return encode_job(pieces, encoders)
 

@@ -56,6 +56,47 @@ def decode_wav(df: DataFrame, key: str = "key", content: str = "content", with_s
     return staged.mapInPandas(lambda it: _decode_batches(it, with_samples), DECODED_SCHEMA)
 
 
+PIECES_SCHEMA = (
+    "key string, sr int, n_channels int, n_samples long, chunk_no long, start long, len long, "
+    "is_chunked boolean, chunk_key string, samples array<float>, reason string"
+)
+
+
+def decode_pieces(df: DataFrame, chunk_s: int = 30, min_s: int = 1, key: str = "key", content: str = "content") -> DataFrame:
+    """S4 + P5 + P2-P4 fused: decode each file once and emit its kept pieces.
+
+    Mono clips yield one row per piece carrying only that piece's samples
+    (``reason`` null); a clip that is not mono or fails to decode yields one
+    row with its ``reason`` and no samples, so the reject list is a filter.
+    """
+    from tokenmill.operators.chunking import piece_plan
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k, blob in zip(pdf["key"], pdf["content"]):
+                try:
+                    with wave.open(io.BytesIO(bytes(blob)), "rb") as w:
+                        ch, width, sr, n = w.getnchannels(), w.getsampwidth(), w.getframerate(), w.getnframes()
+                        raw = w.readframes(n)
+                except Exception as e:
+                    out.append((k, None, None, None, None, None, None, None, None, None, f"decode_error: {e}"))
+                    continue
+                if ch != 1:
+                    out.append((k, sr, ch, n, None, None, None, None, None, None, "not_mono"))
+                    continue
+                x = _pcm_to_float(raw, width, 1)
+                for no, start, ln, chunked in piece_plan(n, sr, chunk_s, min_s):
+                    if not chunked and ln < min_s * sr:
+                        continue
+                    out.append((k, sr, ch, n, no, start, ln, chunked, f"{k}{no}" if chunked else k, x[start : start + ln], None))
+            cols = [c.split()[0] for c in PIECES_SCHEMA.split(", ")]
+            yield pd.DataFrame(out, columns=cols)
+
+    staged = df.select(F.col(key).alias("key"), F.col(content).alias("content"))
+    return staged.mapInPandas(run, PIECES_SCHEMA)
+
+
 def clip_load(spark: SparkSession, root: str, ext: str = "wav", with_samples: bool = True) -> DataFrame:
     """List and decode clips; the file path is the clip key."""
     files = (
