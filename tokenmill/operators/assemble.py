@@ -28,7 +28,9 @@ def _c(c) -> Column:
 # ---------------------------------------------------------------- J1 / J2 / P10 / P11
 
 
-def pair_streams(sem: DataFrame, ac: DataFrame, with_tokens: bool = True, keep: int | None = None) -> DataFrame:
+def pair_streams(
+    sem: DataFrame, ac: DataFrame, with_tokens: bool = True, keep: int | None = None, extra: list[str] | None = None
+) -> DataFrame:
     """Inner key join of the semantic and acoustic stores.
 
     With ``with_tokens=False`` only ``key`` and the size columns are read, so
@@ -38,7 +40,7 @@ def pair_streams(sem: DataFrame, ac: DataFrame, with_tokens: bool = True, keep:
     Keys are unique per store, so the join is skew-free; both sides are
     large, so Spark plans a sort-merge join on ``key``.
     """
-    s = sem.select("key", F.col("len").alias("len_sem"), *(["units"] if with_tokens else []))
+    s = sem.select("key", F.col("len").alias("len_sem"), *(["units"] if with_tokens else []), *(extra or []))
     toks = []
     if with_tokens:
         t = F.col("tokens") if keep is None else F.slice("tokens", 1, F.col("len") * keep)
@@ -138,6 +140,17 @@ def aligned_crop(
     )
 
 
+def crop_semantic(sem: DataFrame, max_source: int = K.MAX_SOURCE_POSITIONS, seed: int = 42) -> DataFrame:
+    """Semantic half of P13: ``crop_start`` and the cropped ``units``.
+
+    Depends on the key and the semantic length only, so it runs before the
+    pairing join and at most ``max_source`` units per row are shuffled.
+    """
+    return sem.withColumn("crop_start", crop_start(F.col("key"), F.size("units"), max_source, seed)).withColumn(
+        "units", safe_slice("units", F.col("crop_start"), F.lit(max_source))
+    )
+
+
 def crop_pair(
     df: DataFrame,
     keep: int = K.CODEC_DEPTH,
@@ -152,12 +165,11 @@ def crop_pair(
     ``units`` (cropped) and time-major ``codes [n_a][keep]``.
     """
     L = F.col("len_ac")
-    start = crop_start(F.col("key"), F.size("units"), max_source, seed)
-    out = (
-        df.withColumn("crop_start", start)
-        .withColumn("ac_start", F.expr(f"cast(crop_start * {max_target} div {max_source} as int)"))
-        .withColumn("units", safe_slice("units", F.col("crop_start"), F.lit(max_source)))
-        .withColumn("n_a", F.greatest(F.lit(0), F.least(F.lit(max_target), L - F.col("ac_start"))))
+    out = df
+    if "crop_start" not in df.columns:  # not pre-cropped on the semantic side
+        out = crop_semantic(out, max_source, seed)
+    out = out.withColumn("ac_start", F.expr(f"cast(crop_start * {max_target} div {max_source} as int)")).withColumn(
+        "n_a", F.greatest(F.lit(0), F.least(F.lit(max_target), L - F.col("ac_start")))
     )
     a0 = F.col("ac_start")
     out = out.withColumn(
@@ -254,10 +266,11 @@ def assemble_rows(
     seed: int = 42,
 ) -> DataFrame:
     """J1 -> P10 -> P12/P13 -> A3 -> P14-P17 for every paired key."""
-    paired = size_clip(pair_streams(sem, ac, keep=keep), max_source, max_target)
-    cropped = crop_pair(paired, keep, max_source, max_target, seed)
+    sem = crop_semantic(sem.select("key", "len", "units"), max_source, seed)
     if reduce:
-        cropped = run_length_units_array(cropped)
+        sem = run_length_units_array(sem)
+    paired = size_clip(pair_streams(sem, ac, keep=keep, extra=["crop_start"]), max_source, max_target)
+    cropped = crop_pair(paired, keep, max_source, max_target, seed)
     return encode_rows(cropped, keep)
 
 

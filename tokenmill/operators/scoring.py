@@ -147,7 +147,7 @@ def smoothed_nll(
     if mask is not None:
         lp = lp.join(mask.select(pos), pos, "left_semi")
     agg = lp.agg(
-        F.countDistinct(pos).alias("n_positions"),
+        F.count_if(F.col(cls) == F.col(target)).alias("n_positions"),  # one label row per position
         (-F.avg(F.when(F.col(cls) == F.col(target), F.col("lprob")))).alias("nll"),
         F.avg("lprob").alias("mean_lprob"),
     )

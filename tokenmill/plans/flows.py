@@ -29,21 +29,22 @@ def row_shapes(
     side contributes its size column alone, so the scan of the largest store
     prunes every token array.
     """
-    s = sem.select("key", F.col("len").alias("len_sem"), "units")
+    # everything semantic is known before pairing: crop offset (key, length),
+    # cropped + deduped length.  The join then moves scalars only.
+    s = (
+        sem.select("key", F.col("len").alias("len_sem"), "units")
+        .withColumn("crop_start", crop_start(F.col("key"), F.size("units"), max_source, seed))
+        .withColumn("units", safe_slice("units", F.col("crop_start"), F.lit(max_source)))
+    )
+    n_units = F.size(dedupe_consecutive("units")) if reduce else F.size("units")
+    s = s.select("key", "len_sem", "crop_start", (n_units + 1).alias("src_length"))
     a = ac.select("key", F.col("len").alias("len_ac"))
     paired = size_clip(s.join(a, "key", "inner"), max_source, max_target)
     a0 = F.expr(f"cast(crop_start * {max_target} div {max_source} as int)")
     n_a = F.greatest(F.lit(0), F.least(F.lit(max_target), F.col("len_ac") - a0))
-    staged = paired.withColumn("crop_start", crop_start(F.col("key"), F.size("units"), max_source, seed)).withColumn(
-        "units", safe_slice("units", F.col("crop_start"), F.lit(max_source))
+    return paired.select("key", "len_s", "src_length", (n_a + 1).alias("target_length")).withColumn(
+        "row_length", F.col("src_length") + F.col("target_length")
     )
-    n_units = F.size(dedupe_consecutive("units")) if reduce else F.size("units")
-    return staged.select(
-        "key",
-        "len_s",
-        (n_units + 1).alias("src_length"),
-        (n_a + 1).alias("target_length"),
-    ).withColumn("row_length", F.col("src_length") + F.col("target_length"))
 
 
 def training_batches(

@@ -117,15 +117,17 @@ def dg(list_sql: str) -> str:
 
 
 def _cropped(spark, sf, keep=KEEP):
-    from tokenmill.operators.assemble import crop_pair, pair_streams, size_clip
+    from tokenmill.operators.assemble import crop_pair, crop_semantic, pair_streams, size_clip
 
-    return crop_pair(size_clip(pair_streams(fx.fx_sem(spark, sf), fx.fx_ac(spark, sf), keep=keep)), keep=keep)
+    sem = crop_semantic(fx.fx_sem(spark, sf))
+    paired = pair_streams(sem, fx.fx_ac(spark, sf), keep=keep, extra=["crop_start"])
+    return crop_pair(size_clip(paired), keep=keep)
 
 
 def _rows(spark, sf, keep=KEEP):
-    from tokenmill.operators.assemble import encode_rows, run_length_units_array
+    from tokenmill.operators.assemble import assemble_rows
 
-    return encode_rows(run_length_units_array(_cropped(spark, sf, keep)), keep)
+    return assemble_rows(fx.fx_sem(spark, sf), fx.fx_ac(spark, sf), keep=keep)
 
 
 # cropped codes of the first KEEP codebooks, flattened time-major, as DuckDB text
