@@ -24,3 +24,16 @@ def test_oracle_coverage():
 def test_query_matches_oracle(spark, name):
     ok, msg = compare_query(spark, SMALL, name, QUERIES[name], ORACLE.get(name))
     assert ok, msg
+
+
+@pytest.mark.parametrize("name", ["training_batches", "run_length_units", "weighted_meter", "shard_merge"])
+def test_same_result_under_any_partitioning(spark, name):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    results = []
+    try:
+        for parts in (1, 8, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            results.append(sorted(tuple(r) for r in QUERIES[name](spark, SMALL).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert results[0] == results[1] == results[2]
