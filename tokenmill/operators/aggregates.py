@@ -20,9 +20,9 @@ def run_length_units(df: DataFrame, group_cols: list[str], pos: str, unit: str)
     combined map-side.  Output ``(group..., run_start, unit, run_len)``.
     """
     tagged = run_starts(df.select(*group_cols, pos, unit), group_cols, pos, unit, out="run_start")
-    return tagged.groupBy(*group_cols, "run_start").agg(
-        F.min(unit).alias(unit), F.count(F.lit(1)).alias("run_len")
-    )
+    # the unit is constant within a run, so it joins the grouping key: a
+    # count-only hash aggregate instead of a sort-based min(string)
+    return tagged.groupBy(*group_cols, "run_start", unit).agg(F.count(F.lit(1)).alias("run_len"))
 
 
 def store_stats(store: DataFrame, by=("stream", "split")) -> DataFrame:
