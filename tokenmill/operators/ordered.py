@@ -37,9 +37,17 @@ _NULL = "\x00<null>"
 
 
 def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
+    """Range partitions for a scan: explicit, else sized like the (materialised) input.
+
+    Twice the input's partition count (files are split by
+    ``spark.sql.files.maxPartitionBytes``), capped by
+    ``spark.sql.shuffle.partitions``: a small input does not fan out into
+    hundreds of empty tasks, a 100 TB input gets the cluster's full width.
+    """
     if num_partitions:
         return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cap = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(cap, 2 * df.rdd.getNumPartitions()))
 
 
 def _group_ids(pdf: pd.DataFrame, group_cols: list[str]) -> np.ndarray:
@@ -92,11 +100,11 @@ def running_sums(
         kinds.append(T.LongType() if isinstance(dt, (T.IntegralType, T.BooleanType)) else T.DoubleType())
         staged = staged.withColumn(t, F.col(t).cast(kinds[-1]))
 
-    n = _num_partitions(df, num_partitions)
     keys = [F.col(c) for c in group_cols] + order_exprs
     # range partitioning samples its input in a separate job: materialise the
     # (narrow) input once so the sample and the scan read the same rows
     staged = _checkpoint(staged)
+    n = _num_partitions(staged, num_partitions)
     ordered = staged.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
 
     out_fields = [f for f in staged.schema.fields if f.name not in tmp]
@@ -211,9 +219,10 @@ def run_starts(
     holding a third of the rows is combined map-side.
     """
     spark = df.sparkSession
-    n = _num_partitions(df, num_partitions)
     keys = [F.col(c) for c in group_cols] + [F.col(pos_col)]
-    ordered = _checkpoint(df).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    staged = _checkpoint(df)
+    n = _num_partitions(staged, num_partitions)
+    ordered = staged.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     pos_type = df.schema[pos_col].dataType
     out_schema = T.StructType(
         list(df.schema.fields)
