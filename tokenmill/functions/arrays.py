@@ -57,11 +57,6 @@ def nested_digest(arr2d) -> Column:
     return digest(F.flatten(_col(arr2d)))
 
 
-def array_sum(arr) -> Column:
-    arr = _col(arr)
-    return F.aggregate(arr, F.lit(0).cast("bigint"), lambda a, y: a + y.cast("bigint"))
-
-
 def _run_flags(arr) -> Column:
     """``[(x, starts_run)]``: element paired with "differs from its predecessor"."""
     arr = _col(arr)

@@ -23,10 +23,6 @@ from tokenmill.functions.numeric import round_half_up
 from tokenmill.operators.ordered import global_index, row_number_within
 
 
-def _order_cols(key: str, shuffle: bool, seed: int):
-    return [uniform("shuffle", F.col(key), seed), F.col(key)] if shuffle else [F.col(key)]
-
-
 def length_order(
     df: DataFrame, len_col: str = "len_s", key: str = "key", shuffle: bool = True, seed: int = 42, out: str = "order_rank"
 ) -> DataFrame:
