@@ -94,7 +94,7 @@ def token_budget_batches(
     )
     plan_df = spark.createDataFrame(plan, schema)
     order = ([F.col("__shuffle")] if shuffle else []) + [F.col(key)]
-    ranked = row_number_within(staged, [len_col], order, out="__rank")
+    ranked = row_number_within(staged, [len_col], order, out="__rank", materialized=True)
     rank = F.col("__rank")
     batch = F.when(rank <= F.col("__head"), F.col("__open")).otherwise(
         F.col("__first") + F.floor((rank - F.col("__head") - 1) / F.col("__cap")).cast("long")

@@ -79,12 +79,14 @@ def running_sums(
     order_cols: list,
     values: dict[str, Column | None],
     num_partitions: int | None = None,
+    materialized: bool = False,
 ) -> DataFrame:
     """Append running sums (inclusive) of ``values`` within ``group_cols``.
 
     ``values`` maps an output column to a numeric expression; ``None`` counts
     rows, i.e. yields a 1-based ``row_number``.  Integer expressions give
-    ``bigint`` sums, anything else ``double``.
+    ``bigint`` sums, anything else ``double``.  ``materialized=True`` says
+    the input is already a checkpoint, so it is not written again.
     """
     spark = df.sparkSession
     order_exprs = [F.col(c) if isinstance(c, str) else c for c in order_cols]
@@ -103,7 +105,8 @@ def running_sums(
     keys = [F.col(c) for c in group_cols] + order_exprs
     # range partitioning samples its input in a separate job: materialise the
     # (narrow) input once so the sample and the scan read the same rows
-    staged = _checkpoint(staged)
+    if not materialized:
+        staged = _checkpoint(staged)
     n = _num_partitions(staged, num_partitions)
     ordered = staged.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
 
@@ -191,10 +194,15 @@ def running_sums(
 
 
 def row_number_within(
-    df: DataFrame, group_cols: list[str], order_cols: list, out: str = "rn", num_partitions: int | None = None
+    df: DataFrame,
+    group_cols: list[str],
+    order_cols: list,
+    out: str = "rn",
+    num_partitions: int | None = None,
+    materialized: bool = False,
 ) -> DataFrame:
     """Skew-safe ``row_number() over (partition by group order by order)``, 1-based."""
-    return running_sums(df, group_cols, order_cols, {out: None}, num_partitions)
+    return running_sums(df, group_cols, order_cols, {out: None}, num_partitions, materialized)
 
 
 def global_index(df: DataFrame, order_cols: list, out: str = "idx", num_partitions: int | None = None) -> DataFrame:
