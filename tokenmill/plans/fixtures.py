@@ -29,11 +29,18 @@ def fx_manifest(spark, sf_dir) -> DataFrame:
 
 
 def fx_clips(spark, sf_dir) -> DataFrame:
+    """Clips hash-partitioned by ``key`` at the session's shuffle width.
+
+    The given documents file has only a few row groups; spreading it lets the
+    per-row array work use every core, and both token streams derived from
+    it arrive co-partitioned on the pairing key.
+    """
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return spark.sql(
         "SELECT doc_id, concat_ws('/', source, lang, concat(cast(doc_id as string), '.flac')) AS key, "
         "n_chars AS n, 100 AS sr, text FROM {d}",
         d=table(spark, sf_dir, "documents"),
-    )
+    ).repartition(width, "key")
 
 
 def fx_sem0(spark, sf_dir) -> DataFrame:

@@ -173,7 +173,10 @@ def wav_clips(spark, sf):
     # stereo frames need an even byte count: pad with one silent sample
     pcm = F.when((ch == 2) & (F.octet_length(pcm) % 2 == 1), F.concat(pcm, F.unhex(F.lit("80")))).otherwise(pcm)
     key = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".wav")))
-    return d.select(key.alias("key"), wav_bytes(pcm, F.lit(100), ch).alias("content"))
+    # the documents file has few row groups; spread the (Python-heavy) decode
+    # and encode work over the session's width, deterministically by key
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return d.select(key.alias("key"), wav_bytes(pcm, F.lit(100), ch).alias("content")).repartition(width, "key")
 
 
 add_view(
