@@ -36,9 +36,10 @@ def fx_clips(spark, sf_dir) -> DataFrame:
     it arrive co-partitioned on the pairing key.
     """
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # n_words is computed before the exchange: size-only plans prune the text
     return spark.sql(
         "SELECT doc_id, concat_ws('/', source, lang, concat(cast(doc_id as string), '.flac')) AS key, "
-        "n_chars AS n, 100 AS sr, text FROM {d}",
+        "n_chars AS n, 100 AS sr, text, size(split(text, ' ', -1)) AS n_words FROM {d}",
         d=table(spark, sf_dir, "documents"),
     ).repartition(width, "key")
 
@@ -47,7 +48,7 @@ def fx_sem0(spark, sf_dir) -> DataFrame:
     # len = size(units) = number of words; spelled from the split so a size-only
     # read (column pruning) never computes the per-word hashes
     return spark.sql(
-        "SELECT doc_id, key, cast(size(split(text, ' ', -1)) as int) AS len, "
+        "SELECT doc_id, key, cast(n_words as int) AS len, "
         f"transform(split(text, ' ', -1), w -> {_h('substr(w, 1, 1)')} % 10000) AS units "
         "FROM {c}",
         c=fx_clips(spark, sf_dir),
