@@ -2,6 +2,7 @@
 
 FIXED VALUES (do not change; results depend on them):
   special symbols (fairseq Dictionary order): bos 0, pad 1, eos 2, unk 3; nspecial 4
+  special symbol strings: "<s>", "<pad>", "</s>", "<unk>"
   chunk length 30 s, minimum clip length 1 s
   max_source_positions 650, max_target_positions 975
   codec_depth 8, codec_dim 1024
@@ -21,6 +22,7 @@ PAD = 1
 EOS = 2
 UNK = 3
 NSPECIAL = 4
+SPECIAL_SYMBOLS = ["<s>", "<pad>", "</s>", "<unk>"]
 
 CHUNK_SECONDS = 30
 MIN_SECONDS = 1

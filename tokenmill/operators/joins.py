@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tokenmill.functions import constants as K
 
-SPECIAL_SYMBOLS = ["<s>", "<pad>", "</s>", "<unk>"]  # fixed fairseq order: bos, pad, eos, unk
+SPECIAL_SYMBOLS = K.SPECIAL_SYMBOLS
 
 
 def crop_range_join(
