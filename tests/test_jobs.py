@@ -58,3 +58,32 @@ def test_unpaired_keys_both_ways(spark):
     a = spark.createDataFrame([("b",), ("c",)], "key string")
     got = sorted((r.key, r.missing_from) for r in unpaired_keys(s, a).collect())
     assert got == [("a", "acoustic"), ("c", "semantic")]
+
+
+def test_paired_rows_equal_join(spark):
+    from tokenmill.operators.assemble import pair_streams
+    from tokenmill.operators.encode import paired_rows, toy_acoustic, toy_semantic
+
+    pieces = _pieces(spark, [30, 31, 40, 13], chunked=False)
+    enc = encode_job(pieces, {"semantic": toy_semantic(2), "acoustic": toy_acoustic(4, 3, fail_when_len_mod=13)})
+    good, _ = quarantine(enc)
+    sem = good.where("stream = 'semantic'").select("key", "len", F.col("tokens").alias("units"))
+    ac = good.where("stream = 'acoustic'").select("key", "depth", "len", "tokens")
+    cols = ["key", "len_sem", "units", "depth", "len_ac", "tokens"]
+    joined = sorted(tuple(map(str, r)) for r in pair_streams(sem, ac).select(*cols).collect())
+    paired = sorted(tuple(map(str, r)) for r in paired_rows(enc).select(*cols).collect())
+    assert paired == joined and len(paired) == 3
+
+
+def test_paired_encode_needs_no_join(spark):
+    from tokenmill.operators.encode import paired_rows, toy_acoustic, toy_semantic
+
+    pieces = _pieces(spark, [30, 31, 40, 13], chunked=False)
+    enc = {"semantic": toy_semantic(2), "acoustic": toy_acoustic(4, 3, fail_when_len_mod=13)}
+    wide = encode_job(pieces, enc, paired=("semantic", "acoustic"))
+    assert "Exchange" not in wide._jdf.queryExecution().executedPlan().toString()
+    cols = ["key", "len_sem", "units", "depth", "len_ac", "tokens"]
+    got = sorted(tuple(map(str, r)) for r in wide.where("error is null").select(*cols).collect())
+    ref = sorted(tuple(map(str, r)) for r in paired_rows(encode_job(pieces, enc)).select(*cols).collect())
+    assert got == ref and len(got) == 3
+    assert [r.key for r in wide.where("error is not null").collect()] == ["k3"]

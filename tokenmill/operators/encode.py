@@ -46,8 +46,14 @@ def encode_job(
     sr: str = "sr",
     is_chunked: str = "is_chunked",
     micro_batch: int = K.ENCODER_MICRO_BATCH,
+    paired: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """D1 + P9: run every encoder over every piece -> ``(key, stream, depth, len, tokens, error)``."""
+    """D1 + P9: run every encoder over every piece -> ``(key, stream, depth, len, tokens, error)``.
+
+    With ``paired=(semantic, acoustic)`` each piece instead yields one row
+    ``(key, len_sem, units, depth, len_ac, tokens, error)``: the pairing join
+    (J1) of the two streams becomes a projection, with no shuffle.
+    """
     names = list(encoders)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,12 +79,57 @@ def encode_job(
                                     out += _rows_of(n, [k1], models[n]([w1], [r1])["tokens"])
                                 except Exception as e:  # quarantined, the run continues
                                     out.append((k1, n, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["key", "stream", "depth", "len", "tokens", "error"])
+            long = pd.DataFrame(out, columns=["key", "stream", "depth", "len", "tokens", "error"])
+            yield _pair(long, *paired) if paired else long
 
     staged = pieces.select(
         F.col(key).alias("key"), F.col(samples).alias("samples"), F.col(sr).alias("sr"), F.col(is_chunked).alias("is_chunked")
     )
-    return staged.mapInPandas(run, OUT_SCHEMA)
+    return staged.mapInPandas(run, PAIRED_SCHEMA if paired else OUT_SCHEMA)
+
+
+PAIRED_SCHEMA = "key string, len_sem int, units array<bigint>, depth int, len_ac int, tokens array<bigint>, error string"
+
+
+def _pair(long: pd.DataFrame, semantic: str, acoustic: str) -> pd.DataFrame:
+    """Fold the per-stream rows of one Arrow batch into one row per key."""
+    rows = {}
+    for key, stream, depth, length, tokens, error in long.itertuples(index=False):
+        r = rows.setdefault(key, {"key": key, "len_sem": None, "units": None, "depth": None, "len_ac": None, "tokens": None, "error": None})
+        if error is not None:
+            r["error"] = f"{stream}: {error}" if r["error"] is None else f"{r['error']}; {stream}: {error}"
+        elif stream == semantic:
+            r["len_sem"], r["units"] = length, tokens
+        elif stream == acoustic:
+            r["depth"], r["len_ac"], r["tokens"] = depth, length, tokens
+    return pd.DataFrame(list(rows.values()), columns=["key", "len_sem", "units", "depth", "len_ac", "tokens", "error"])
+
+
+def paired_rows(encoded: DataFrame, semantic: str = "semantic", acoustic: str = "acoustic") -> DataFrame:
+    """J1 over the long encode output: both streams of a key side by side.
+
+    Both streams of a piece come from the same task, so partial aggregation
+    folds them into one row before the shuffle (one row per key moves, not
+    two).  For no shuffle at all, run ``encode_job(..., paired=...)``.
+    Output has J1's shape ``(key, len_sem, units, depth, len_ac, tokens)``;
+    keys that failed in either stream are left out (see :func:`quarantine`).
+    """
+    good = encoded.where(F.col("error").isNull())
+    s = F.col("stream")
+    return (
+        good.groupBy("key")
+        .agg(
+            F.max(F.when(s == semantic, F.col("len"))).alias("len_sem"),
+            F.max_by(F.col("tokens"), (s == semantic).cast("int")).alias("units"),
+            F.max(F.when(s == acoustic, F.col("depth"))).alias("depth"),
+            F.max(F.when(s == acoustic, F.col("len"))).alias("len_ac"),
+            F.max_by(F.col("tokens"), (s == acoustic).cast("int")).alias("tokens"),
+            F.count_if(s == semantic).alias("__ns"),
+            F.count_if(s == acoustic).alias("__na"),
+        )
+        .where((F.col("__ns") == 1) & (F.col("__na") == 1))
+        .drop("__ns", "__na")
+    )
 
 
 def quarantine(encoded: DataFrame) -> tuple[DataFrame, DataFrame]:

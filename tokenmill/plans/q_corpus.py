@@ -249,3 +249,19 @@ def q_quarantine_failures(spark, sf):
 
     good, bad = quarantine(_encoded(spark, sf, fail_mod=13))
     return bad.select("key", "stream")
+
+
+@query(
+    "encode_job_paired",
+    with_views("ox_wpieces")
+    + "SELECT chunk_key AS key, (len // 2)::INT AS len_sem, 4 AS depth, (len // 3)::INT AS len_ac FROM ox_wpieces",
+)
+def q_encode_job_paired(spark, sf):
+    """D1 emitting both streams per row: J1 is a projection, no shuffle."""
+    from tokenmill.operators.encode import encode_job, toy_acoustic, toy_semantic
+    from tokenmill.sources.audio import decode_pieces
+
+    pieces = decode_pieces(wav_clips(spark, sf)).where(F.col("reason").isNull())
+    encoders = {"semantic": toy_semantic(2), "acoustic": toy_acoustic(4, 3)}
+    out = encode_job(pieces, encoders, paired=("semantic", "acoustic"))
+    return out.where(F.col("error").isNull()).select("key", "len_sem", "depth", "len_ac")
