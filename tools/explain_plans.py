@@ -29,6 +29,15 @@ def plan(df) -> str:
     return "\n".join(line[:220] for line in text.splitlines())
 
 
+def _paired_encode(spark, sf):
+    from tokenmill.operators.encode import encode_job, toy_acoustic, toy_semantic
+    from tokenmill.plans.q_corpus import wav_clips
+    from tokenmill.sources.audio import decode_pieces
+
+    pieces = decode_pieces(wav_clips(spark, sf)).where(F.col("reason").isNull())
+    return encode_job(pieces, {"semantic": toy_semantic(2), "acoustic": toy_acoustic(4, 3)}, paired=("semantic", "acoustic"))
+
+
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = local_session(8, 8)
@@ -45,6 +54,7 @@ def main() -> None:
         ("J2 unpaired_keys (one full outer join)", unpaired_keys(sem, ac)),
         ("U1 shard_merge (max_by, partial aggregation)", shard_merge(fx.fx_shards(spark, sf))),
         ("A3 run_length_units long form (skew-safe scan + algebraic aggregate)", run_length_units(fx.fx_runs(spark, sf), ["user_id"], "pos", "unit")),
+        ("D1 encode_job with paired output (J1 without any exchange)", _paired_encode(spark, sf)),
     ]
     out = ["# Physical plans of key operators", "", f"Generated by `tools/explain_plans.py` on `{sf}` (store written as Parquet first).", ""]
     for title, df in cases:
