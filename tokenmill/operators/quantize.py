@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_CELLS = 64 * 1024 * 1024  # centroid count x dimension broadcast bound (512 MiB of float64)
+MAX_CELLS = 16 * 1024 * 1024  # centroid count x dimension broadcast bound (128 MiB of float64; 10k x 1280 fits)
 EXACT_LIMIT = 1 << 16  # K * D up to which exact differences are used
 
 
