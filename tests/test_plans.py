@@ -49,3 +49,22 @@ def test_codebooks_cut_before_the_join(spark):
     a = read_token_store(spark, root, stream="acoustic", bandwidth=1.5)
     row = pair_streams(s, a, keep=1).where("key = 'k7'").first()
     assert row.tokens == [7, 7] and row.depth == 2
+
+
+def test_codebook_columns_prune_unread_codebooks(spark):
+    root = scratch_path(spark, "t-plan-books")
+    L, depth = 3, 4
+    rows = [(f"k{i}", depth, L, [q * 100 + i * 10 + t for q in range(depth) for t in range(L)]) for i in range(30)]
+    df = spark.createDataFrame(rows, "key string, depth int, len int, tokens array<bigint>")
+    write_token_store(df, root, "acoustic", split="train", bandwidth=3.0, codebook_columns=True)
+    write_token_store(df, root, "acoustic", split="valid", bandwidth=3.0)  # flat layout beside it
+    full = {r.key: list(r.tokens) for r in read_token_store(spark, root, stream="acoustic", split="train").collect()}
+    assert full == {k: t for k, _, _, t in rows}
+    kept = read_token_store(spark, root, stream="acoustic", keep=2)
+    plan = _plan(kept)
+    schema = plan.split("ReadSchema: ")[1].split("\n")[0] if "ReadSchema: " in plan else ""
+    got = {(r.key, r.split): list(r.tokens) for r in kept.collect()}
+    for k, _, _, t in rows:
+        assert got[(k, "train")] == t[: 2 * L] and got[(k, "valid")] == t[: 2 * L]
+    fmt = kept._jdf.queryExecution().executedPlan().toString()
+    assert "cb02" not in fmt and "cb01" in fmt

@@ -35,6 +35,15 @@ STORE_SCHEMA = T.StructType(
 )
 PARTITIONS = ["stream", "bandwidth", "split"]
 
+# codebook-per-column layout: up to 32 codebooks (24 kbps) as cb00..cb31
+MAX_CODEBOOKS = 32
+CODEBOOK_COLUMNS = [f"cb{q:02d}" for q in range(MAX_CODEBOOKS)]
+STORE_SCHEMA = T.StructType(
+    STORE_SCHEMA.fields[:4]
+    + [T.StructField(c, T.ArrayType(T.LongType()), True) for c in CODEBOOK_COLUMNS]
+    + STORE_SCHEMA.fields[4:]
+)
+
 
 def store_name(stream: str, bandwidth: float | None = None) -> str:
     """Reference folder name of a stream (kept for export/import tooling)."""
@@ -58,9 +67,15 @@ def write_token_store(
     split=None,
     bandwidth: float | None = None,
     files_per_partition: int | None = None,
+    codebook_columns: bool = False,
 ) -> str:
     """Write ``(key, [depth], len, tokens)`` rows into the store.
 
+    With ``codebook_columns=True`` the flat codebook-major ``tokens`` are
+    stored as one column per codebook (``cb00``, ``cb01``, ...), so a reader
+    that keeps the first k codebooks reads only k columns (Parquet column
+    pruning), e.g. 8 of 16 at 12 kbps.
+
     ``split`` is a literal split name or the name of a column holding it.
     Only the partitions present in ``df`` are replaced.  Rows are
     clustered by ``key`` within each task (no shuffle unless
@@ -70,11 +85,23 @@ def write_token_store(
     if "depth" not in out.columns:
         out = out.withColumn("depth", F.lit(1))
     split_col = F.col(split) if isinstance(split, str) and split in df.columns else F.lit(split or "train")
+    toks = F.col("tokens").cast("array<bigint>")
+    if codebook_columns:
+        depth_max = out.agg(F.max("depth")).first()[0] or 0
+        if depth_max > MAX_CODEBOOKS:
+            raise ValueError(f"depth {depth_max} exceeds {MAX_CODEBOOKS} codebook columns")
+        # only the codebook columns are written; readers see tokens = null
+        payload = [
+            F.when(F.col("depth") > q, F.slice(toks, F.col("len") * q + 1, F.col("len"))).alias(c)
+            for q, c in enumerate(CODEBOOK_COLUMNS[:depth_max])
+        ]
+    else:
+        payload = [toks.alias("tokens")]  # codebook columns read back as null
     out = out.select(
         F.col("key").cast("string").alias("key"),
         F.col("depth").cast("int").alias("depth"),
         F.col("len").cast("int").alias("len"),
-        F.col("tokens").cast("array<bigint>").alias("tokens"),
+        *payload,
         F.lit(stream).alias("stream"),
         F.lit(_bw(bandwidth)).alias("bandwidth"),
         split_col.cast("string").alias("split"),
@@ -97,9 +124,24 @@ def read_token_store(
     stream: str | None = None,
     split: str | None = None,
     bandwidth: float | None = None,
+    keep: int | None = None,
 ) -> DataFrame:
-    """Read the store; stream/split/bandwidth filters prune partitions."""
-    df = spark.read.schema(STORE_SCHEMA).option("basePath", root).parquet(root)
+    """Read the store; stream/split/bandwidth filters prune partitions.
+
+    ``tokens`` is always the flat codebook-major array.  Rows written with
+    codebook columns are reassembled from them; with ``keep`` only the first
+    ``keep`` codebook columns are read, so ``tokens`` holds ``keep * len``
+    values (what the pairing join would cut to anyway).
+    """
+    raw = spark.read.schema(STORE_SCHEMA).option("basePath", root).parquet(root)
+    n = keep if keep is not None else MAX_CODEBOOKS
+    from_books = F.flatten(F.filter(F.array(*[F.col(c) for c in CODEBOOK_COLUMNS[:n]]), lambda a: a.isNotNull()))
+    flat = F.col("tokens") if keep is None else F.slice("tokens", 1, F.col("len") * keep)
+    df = raw.select(
+        "key", "depth", "len",
+        F.coalesce(flat, from_books).alias("tokens"),
+        *PARTITIONS,
+    )
     if stream is not None:
         df = df.where(F.col("stream") == stream)
     if bandwidth is not None or stream == SEMANTIC:
