@@ -125,3 +125,19 @@ def q_depth_check(spark, sf):
 
     store = read_token_store(spark, _write_store(spark, sf), stream="acoustic")
     return depth_check(store, codec_depth=2)
+
+
+@query(
+    "token_store_read_kept",
+    with_views("ox_store")
+    + "SELECT key, len, (2 * len)::INT AS n_tokens, "
+    "coalesce(list_sum(list_transform(list_slice(tokens, 1, 2 * len), lambda v, i: v * i)), 0)::BIGINT AS digest "
+    "FROM ox_store WHERE stream = 'acoustic'",
+)
+def q_token_store_read_kept(spark, sf):
+    """S6 reading the first 2 of 4 codebooks: only two codebook columns are scanned."""
+    from tokenmill.functions.arrays import digest
+    from tokenmill.sources.store import read_token_store
+
+    store = read_token_store(spark, _write_store(spark, sf), stream="acoustic", bandwidth=3.0, keep=2)
+    return store.select("key", "len", F.size("tokens").alias("n_tokens"), digest("tokens").alias("digest"))
