@@ -84,3 +84,24 @@ def test_store_overwrite_and_point_read(spark):
     assert store.where("split = 'train'").count() == 20
     assert [r.len for r in store.where("split = 'valid'").collect()] == [9]  # only that partition replaced
     assert point_read(read_token_store(spark, root), "k7").first().tokens == [7, 7, 7]
+
+
+def test_tokenize_corpus_end_to_end(spark):
+    from tokenmill.operators.assemble import assemble_rows
+    from tokenmill.operators.encode import toy_acoustic, toy_semantic
+    from tokenmill.plans.flows import load_streams, tokenize_corpus, training_batches
+
+    d = tempfile.mkdtemp(prefix="tm-e1-")
+    for name, (sec, ch) in {"a.wav": (2, 1), "b.wav": (40, 1), "s.wav": (1, 2), "t.wav": (0.5, 1)}.items():
+        _wav(os.path.join(d, name), sec, ch, sr=300)
+    store = scratch_path(spark, "t-e1-store")
+    enc = {"semantic": toy_semantic(2), "acoustic": toy_acoustic(4, 3)}
+    report = {(os.path.basename(r.key), r.stage, r.reason) for r in tokenize_corpus(spark, d, enc, store, bandwidth=3.0).collect()}
+    assert report == {("s.wav", "decode", "not_mono")}
+    sem, ac = load_streams(spark, store, "train", 3.0, keep=2)
+    keys = sorted(os.path.basename(r.key) for r in sem.collect())
+    assert keys == ["a.wav", "b.wav1", "b.wav2"]  # 0.5 s dropped; 40 s -> 30 s + back-aligned tail
+    row = ac.where(F.col("key").endswith("a.wav")).first()
+    assert row.depth == 4 and len(row.tokens) == 2 * row.len == 2 * (600 // 3)
+    assert assemble_rows(sem, ac, keep=2).count() == 3
+    assert training_batches(sem, ac).count() >= 1

@@ -58,3 +58,66 @@ def training_batches(
     shapes = row_shapes(sem, ac, reduce=reduce, seed=seed)
     batched = token_budget_batches(shapes, "len_s", "key", max_tokens=max_tokens, seed=seed)
     return batch_stats(batched)
+
+
+def tokenize_corpus(
+    spark,
+    audio_root: str,
+    encoders: dict,
+    store_root: str,
+    split: str = "train",
+    bandwidth: float | None = None,
+    ext: str = "wav",
+    chunk_s: int = K.CHUNK_SECONDS,
+    min_s: int = K.MIN_SECONDS,
+    semantic: str = "semantic",
+    acoustic: str = "acoustic",
+) -> DataFrame:
+    """List audio -> decode + chunk -> encode every stream once -> write both stores.
+
+    The encode output is checkpointed (reliably) because model inference is
+    the expensive step: both store writes and the report read it instead of
+    re-running the encoders.  Returns the report of rejected clips and failed
+    encodes ``(key, stage, reason)``.
+    """
+    from tokenmill.operators.encode import encode_job, quarantine
+    from tokenmill.sources.audio import decode_pieces
+    from tokenmill.sources.store import write_token_store
+
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", f"*.{ext}")
+        .load(audio_root)
+        .select(F.regexp_replace("path", "^file:", "").alias("key"), "content")
+    )
+    pieces = decode_pieces(files, chunk_s=chunk_s, min_s=min_s)
+    encoded = encode_job(pieces.where(F.col("reason").isNull()), encoders).checkpoint(eager=True)
+    good, bad = quarantine(encoded)
+    write_token_store(
+        good.where(F.col("stream") == semantic).select("key", "len", "tokens"), store_root, semantic, split=split
+    )
+    write_token_store(
+        good.where(F.col("stream") == acoustic).select("key", "depth", "len", "tokens"),
+        store_root,
+        acoustic,
+        split=split,
+        bandwidth=bandwidth,
+        codebook_columns=True,
+    )
+    rejects = pieces.where(F.col("reason").isNotNull()).select("key", F.lit("decode").alias("stage"), "reason")
+    failures = bad.select("key", F.concat(F.lit("encode:"), F.col("stream")).alias("stage"), F.col("error").alias("reason"))
+    return rejects.unionByName(failures)
+
+
+def load_streams(spark, store_root: str, split: str, bandwidth: float, keep: int | None = None):
+    """E2 inputs from the store: ``(semantic, acoustic)`` frames, acoustic cut to ``keep`` codebooks at read."""
+    from tokenmill.sources.store import read_token_store
+
+    sem = read_token_store(spark, store_root, stream="semantic", split=split).select(
+        "key", "len", F.col("tokens").alias("units")
+    )
+    ac = read_token_store(spark, store_root, stream="acoustic", split=split, bandwidth=bandwidth, keep=keep).select(
+        "key", "depth", "len", "tokens"
+    )
+    return sem, ac
