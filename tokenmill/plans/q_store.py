@@ -31,7 +31,7 @@ def _write_store(spark, sf, root=None):
     sem = split_train_valid(fx.fx_sem(spark, sf).select("key", "len", F.col("units").alias("tokens")), 0.1, path="key")
     ac = split_train_valid(fx.fx_ac(spark, sf), 0.1, path="key")
     write_token_store(sem, root, SEMANTIC, split="subset")
-    write_token_store(ac, root, ACOUSTIC, split="subset", bandwidth=3.0, codebook_columns=True)
+    write_token_store(ac, root, ACOUSTIC, split="subset", bandwidth=3.0, codebook_columns=True, max_depth=4)
     return root
 
 

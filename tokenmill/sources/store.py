@@ -68,13 +68,15 @@ def write_token_store(
     bandwidth: float | None = None,
     files_per_partition: int | None = None,
     codebook_columns: bool = False,
+    max_depth: int | None = None,
 ) -> str:
     """Write ``(key, [depth], len, tokens)`` rows into the store.
 
     With ``codebook_columns=True`` the flat codebook-major ``tokens`` are
     stored as one column per codebook (``cb00``, ``cb01``, ...), so a reader
     that keeps the first k codebooks reads only k columns (Parquet column
-    pruning), e.g. 8 of 16 at 12 kbps.
+    pruning), e.g. 8 of 16 at 12 kbps.  ``max_depth`` (the codebook count)
+    saves the pass that would otherwise find it.
 
     ``split`` is a literal split name or the name of a column holding it.
     Only the partitions present in ``df`` are replaced.  Rows are
@@ -87,7 +89,7 @@ def write_token_store(
     split_col = F.col(split) if isinstance(split, str) and split in df.columns else F.lit(split or "train")
     toks = F.col("tokens").cast("array<bigint>")
     if codebook_columns:
-        depth_max = out.agg(F.max("depth")).first()[0] or 0
+        depth_max = max_depth if max_depth is not None else (out.agg(F.max("depth")).first()[0] or 0)
         if depth_max > MAX_CODEBOOKS:
             raise ValueError(f"depth {depth_max} exceeds {MAX_CODEBOOKS} codebook columns")
         # only the codebook columns are written; readers see tokens = null
