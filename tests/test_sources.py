@@ -105,3 +105,22 @@ def test_tokenize_corpus_end_to_end(spark):
     assert row.depth == 4 and len(row.tokens) == 2 * row.len == 2 * (600 // 3)
     assert assemble_rows(sem, ac, keep=2).count() == 3
     assert training_batches(sem, ac).count() >= 1
+
+
+def test_tokenize_corpus_valid_split_keeps_clips_whole(spark):
+    from tokenmill.operators.encode import toy_acoustic, toy_semantic
+    from tokenmill.plans.flows import tokenize_corpus
+    from tokenmill.sources.store import read_token_store
+
+    d = tempfile.mkdtemp(prefix="tm-e1s-")
+    for i in range(12):
+        _wav(os.path.join(d, f"c{i}.wav"), 40, 1, sr=100)  # two chunks each
+    store = scratch_path(spark, "t-e1s-store")
+    enc = {"semantic": toy_semantic(2), "acoustic": toy_acoustic(2, 3)}
+    tokenize_corpus(spark, d, enc, store, bandwidth=1.5, valid_percent=0.5)
+    rows = read_token_store(spark, store, stream="semantic").select("key", "split").collect()
+    by_clip = {}
+    for r in rows:
+        by_clip.setdefault(os.path.basename(r.key)[:-1], set()).add(r.split)
+    assert len(rows) == 24 and all(len(v) == 1 for v in by_clip.values())
+    assert {s for v in by_clip.values() for s in v} == {"train", "valid"}

@@ -47,14 +47,18 @@ def encode_job(
     is_chunked: str = "is_chunked",
     micro_batch: int = K.ENCODER_MICRO_BATCH,
     paired: tuple[str, str] | None = None,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """D1 + P9: run every encoder over every piece -> ``(key, stream, depth, len, tokens, error)``.
 
     With ``paired=(semantic, acoustic)`` each piece instead yields one row
     ``(key, len_sem, units, depth, len_ac, tokens, error)``: the pairing join
     (J1) of the two streams becomes a projection, with no shuffle.
+    ``carry`` names columns passed through (as strings) to every output row,
+    e.g. the clip's split.
     """
     names = list(encoders)
+    carry = list(carry or [])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models = {n: encoders[n]() for n in names}  # once per task
@@ -80,12 +84,21 @@ def encode_job(
                                 except Exception as e:  # quarantined, the run continues
                                     out.append((k1, n, None, None, None, f"{type(e).__name__}: {e}"))
             long = pd.DataFrame(out, columns=["key", "stream", "depth", "len", "tokens", "error"])
-            yield _pair(long, *paired) if paired else long
+            res = _pair(long, *paired) if paired else long
+            if carry:
+                extra = pdf.drop_duplicates("key").set_index("key")[carry]
+                res = res.join(extra, on="key")
+            yield res
 
     staged = pieces.select(
-        F.col(key).alias("key"), F.col(samples).alias("samples"), F.col(sr).alias("sr"), F.col(is_chunked).alias("is_chunked")
+        F.col(key).alias("key"),
+        F.col(samples).alias("samples"),
+        F.col(sr).alias("sr"),
+        F.col(is_chunked).alias("is_chunked"),
+        *[F.col(c).cast("string").alias(c) for c in carry],
     )
-    return staged.mapInPandas(run, PAIRED_SCHEMA if paired else OUT_SCHEMA)
+    schema = (PAIRED_SCHEMA if paired else OUT_SCHEMA) + "".join(f", {c} string" for c in carry)
+    return staged.mapInPandas(run, schema)
 
 
 PAIRED_SCHEMA = "key string, len_sem int, units array<bigint>, depth int, len_ac int, tokens array<bigint>, error string"

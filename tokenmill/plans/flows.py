@@ -72,9 +72,14 @@ def tokenize_corpus(
     min_s: int = K.MIN_SECONDS,
     semantic: str = "semantic",
     acoustic: str = "acoustic",
+    valid_percent: float = 0.0,
+    seed: int = K.SPLIT_SEED,
 ) -> DataFrame:
     """List audio -> decode + chunk -> encode every stream once -> write both stores.
 
+    With ``valid_percent > 0`` each clip (all of its chunks) goes to
+    ``split`` or ``valid`` by the P1 draw on its path.
+
     The encode output is checkpointed (reliably) because model inference is
     the expensive step: both store writes and the report read it instead of
     re-running the encoders.  Returns the report of rejected clips and failed
@@ -91,17 +96,25 @@ def tokenize_corpus(
         .load(audio_root)
         .select(F.regexp_replace("path", "^file:", "").alias("key"), "content")
     )
+    from tokenmill.sources.manifest import split_train_valid
+
     pieces = decode_pieces(files, chunk_s=chunk_s, min_s=min_s)
-    encoded = encode_job(pieces.where(F.col("reason").isNull()), encoders).checkpoint(eager=True)
-    good, bad = quarantine(encoded)
+    ok = split_train_valid(pieces.where(F.col("reason").isNull()), valid_percent, seed, path="key")
+    ok = ok.withColumn("__split", F.when(F.col("subset") == "train", F.lit(split)).otherwise(F.lit("valid")))
+    encoded = encode_job(ok, encoders, key="chunk_key", carry=["__split"]).checkpoint(eager=True)
+    good, bad = quarantine(encoded.drop("__split"))
+    stored = encoded.where(F.col("error").isNull())
     write_token_store(
-        good.where(F.col("stream") == semantic).select("key", "len", "tokens"), store_root, semantic, split=split
+        stored.where(F.col("stream") == semantic).select("key", "len", "tokens", "__split"),
+        store_root,
+        semantic,
+        split="__split",
     )
     write_token_store(
-        good.where(F.col("stream") == acoustic).select("key", "depth", "len", "tokens"),
+        stored.where(F.col("stream") == acoustic).select("key", "depth", "len", "tokens", "__split"),
         store_root,
         acoustic,
-        split=split,
+        split="__split",
         bandwidth=bandwidth,
         codebook_columns=True,
     )
