@@ -87,3 +87,17 @@ def test_paired_encode_needs_no_join(spark):
     ref = sorted(tuple(map(str, r)) for r in paired_rows(encode_job(pieces, enc)).select(*cols).collect())
     assert got == ref and len(got) == 3
     assert [r.key for r in wide.where("error is not null").collect()] == ["k3"]
+
+
+def test_score_report_matches_separate_operators(spark):
+    from tokenmill.operators.scoring import argmax_predictions, masked_accuracy, prediction_align, smoothed_nll
+    from tokenmill.plans import fixtures as fx
+    from tokenmill.plans.flows import score_report
+
+    s = fx.fx_scores(spark, "/root/testdata/sf0.001")
+    report = {r.metric: r.value for r in score_report(s).collect()}
+    labels = s.where("class = 0").select("pos", "target", "keep")
+    acc = masked_accuracy(prediction_align(argmax_predictions(s), labels.select("pos", "target"), labels.where("keep"))).first()
+    nll = smoothed_nll(s, mask=labels.where("keep"), epsilon=0.1).first()
+    assert abs(report["accuracy"] - 100.0 * acc.n_correct / acc.total) < 1e-9
+    assert report["nll_loss"] == nll.nll_loss and report["loss"] == nll.loss

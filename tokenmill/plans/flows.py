@@ -134,3 +134,32 @@ def load_streams(spark, store_root: str, split: str, bandwidth: float, keep: int
         "key", "depth", "len", "tokens"
     )
     return sem, ac
+
+
+def score_report(scores: DataFrame, epsilon: float = K.LABEL_SMOOTHING) -> DataFrame:
+    """Masked accuracy and smoothed loss from a long score table, as ``(metric, value)``.
+
+    ``scores`` holds ``(pos, class, score, target, keep)``.  Argmax, label
+    and mask of a position come out of one aggregate (one shuffle on
+    ``pos``); the log-softmax for the loss is one window on ``pos``.
+    """
+    from tokenmill.operators.scoring import smoothed_nll
+
+    per_pos = scores.groupBy("pos").agg(
+        F.max_by(F.col("class"), F.struct(F.col("score"), -F.col("class"))).alias("pred"),
+        F.max("target").alias("target"),
+        F.max(F.col("keep").cast("int")).alias("keep"),
+    )
+    acc = per_pos.where(F.col("keep") == 1).agg(
+        F.count_if(F.col("pred") == F.col("target")).alias("n_correct"), F.count(F.lit(1)).alias("total")
+    )
+    accuracy = acc.select(
+        F.lit("accuracy").alias("metric"),
+        F.when(F.col("total") > 0, 100.0 * F.col("n_correct") / F.col("total")).alias("value"),
+    )
+    loss = smoothed_nll(scores, mask=per_pos.where(F.col("keep") == 1).select("pos"), epsilon=epsilon)
+    losses = loss.select(F.explode(F.array(
+        F.struct(F.lit("nll_loss").alias("metric"), F.col("nll_loss").alias("value")),
+        F.struct(F.lit("loss").alias("metric"), F.col("loss").alias("value")),
+    )).alias("m")).select("m.metric", "m.value")
+    return accuracy.unionByName(losses)
