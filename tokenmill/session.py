@@ -32,6 +32,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -52,3 +53,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """Fresh directory under the shared checkpoint folder for written tables."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{root}/tokenmill-scratch/{name}-{uuid.uuid4().hex}"
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tokenmill`` importable in Python workers (``addPyFile`` of a zip).
+
+    Arrow jobs pickle references to this package's functions; executors
+    (or local workers started outside the repository) need the package on
+    their path.  Done once per SparkContext.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="tokenmill-pkg-"), "tokenmill.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(id(sc))
