@@ -4,9 +4,11 @@ import pytest
 
 import __spark_entry__ as E
 from tests_support import SMALL, compare_query
+from tokenmill.plans import registry
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+registry.load_all()
+QUERIES = {name: fn for name, fn in E.queries().items() if name in registry.QUERIES}
+ORACLE = {name: sql for name, sql in E.oracle_sql().items() if name in registry.QUERIES}
 ROWS_ONLY = {"manifest_scan"}
 
 
