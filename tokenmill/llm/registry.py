@@ -13,7 +13,11 @@ ORACLE: dict[str, str] = {}
 MODULES = (
     "topk",
     "multi_index",
+    "packing",
+    "toxicity",
+    "quality",
     "mixing",
+    "html_text",
 )
 
 
