@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenmill.llm.common import table
+from tokenmill.llm.common import cut, table
 from tokenmill.llm.registry import query
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -89,6 +89,7 @@ def mix_sources(
     blocks = max(1, -(-rows // rows_per_block))
     sized = (
         docs.withColumn("_size", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint"))
+        .withColumn("_fp", F.xxhash64("text"))
         .withColumn("_skey", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~")))
         .withColumn(
             "_class",
@@ -99,7 +100,7 @@ def mix_sources(
         )
     )
     keys = ["_skey", "_class", "_block"]
-    groups = sized.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum("_size").alias("_words"))
+    groups = cut(sized.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum("_size").alias("_words")))
     classes = groups.groupBy("_skey", "_class").agg(F.sum("_n").alias("_n"), F.sum("_words").alias("_words"))
     below = Window.partitionBy("_skey").orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
     classes = classes.select("_skey", "_class", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_base"), "_words")
@@ -113,7 +114,7 @@ def mix_sources(
         .join(targets, "_skey")
         .select(*keys, (F.col("_base") + F.col("_in_class")).alias("_start"), "_source_size", "_target")
     )
-    order = Window.partitionBy(*keys).orderBy("_size", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = Window.partitionBy(*keys).orderBy("_size", F.col("doc_id").asc_nulls_first(), "_fp")
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
     offset = unit_hash(F.lit(str(seed)), F.col("_skey")) / F.lit(4294967296.0)
     rank = F.col("_start") + F.row_number().over(order)
@@ -121,7 +122,7 @@ def mix_sources(
     return (
         sized.join(starts, keys)
         .withColumn("_copies", F.least(crossed, F.lit(max_repeats)).cast("int"))
-        .drop("_class", "_block", "_start", "_skey")
+        .drop("_class", "_block", "_start", "_skey", "_fp")
     )
 
 

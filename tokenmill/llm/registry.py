@@ -16,6 +16,7 @@ MODULES = (
     "packing",
     "toxicity",
     "quality",
+    "substring",
     "mixing",
     "html_text",
 )

@@ -76,7 +76,7 @@ class Prefix:
         if n < k:
             return np.zeros(0, np.uint64)
         raw = (self._sum[k:] - self._sum[: n - k + 1]) * self._down[: n - k + 1]
-        return mix(raw ^ (np.uint64(k) * np.uint64(0xA24BAED4963EE407)))
+        return mix(raw ^ np.uint64(k * 0xA24BAED4963EE407 % (1 << 64)))
 
 
 def _plain(array) -> pa.Array:
