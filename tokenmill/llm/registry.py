@@ -17,6 +17,7 @@ MODULES = (
     "toxicity",
     "quality",
     "substring",
+    "ngram_join",
     "mixing",
     "html_text",
 )

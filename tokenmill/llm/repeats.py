@@ -49,20 +49,27 @@ class Windows:
         return Prefix(word_hashes(data, starts, ends), 1), first
 
     def super_windows(self, seq: Prefix, first: np.ndarray):
-        """(row, first window in the piece, number of windows, minimizer, content) of all super-windows."""
+        """(row, first window in the piece, number of windows, minimizer, content, place of the minimizer)."""
         grams = seq.grams(self.k)
         least = sliding_argmin(grams, self.width - self.k + 1)
         counts = np.maximum(0, np.diff(first) - self.width + 1)
         windows = ragged(first[:-1], counts)
         if not len(windows):
-            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)
         at = least[windows]
         cut = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
         start, anchor = windows[cut], at[cut]
         n = np.diff(np.concatenate([cut, [len(windows)]]))
         ctx = seq.of(start, start + n - 1 + self.width)
         ctx = mix(ctx ^ ((anchor - start).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)))
-        return owner(first, start), start, n, mix(grams[anchor]), ctx
+        return owner(first, start), start, n, mix(grams[anchor]), ctx, anchor
+
+    def phrases(self, seq: Prefix, row: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        """Hash from each minimizer through the next one of its row; 0 at a row's last."""
+        out = np.zeros(len(row), np.uint64)
+        more = np.flatnonzero(row[1:] == row[:-1])
+        out[more] = seq.of(anchor[more], anchor[more + 1] + self.k) | np.uint64(1)
+        return out
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -105,8 +112,11 @@ class Bloom:
         return (held & mask) == mask
 
 
-def super_window_rows(docs: DataFrame, spec: Windows, bloom: Bloom | None = None) -> DataFrame:
-    """(doc_id, fp, text) to (doc_id, fp, start, n, h, ctx); ``bloom`` leaves out minimizers that it does not hold."""
+def super_window_rows(docs: DataFrame, spec: Windows, bloom: Bloom | None = None, phrases: bool = False) -> DataFrame:
+    """(doc_id, fp, text) to (doc_id, fp, start, n, h, ctx); ``bloom`` leaves out minimizers that it does not hold.
+
+    With ``phrases`` also the minimizer's place and the phrase from it to the next one.
+    """
     kind = dict(docs.dtypes)["doc_id"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,11 +124,13 @@ def super_window_rows(docs: DataFrame, spec: Windows, bloom: Bloom | None = None
             ids, fps = batch.column("doc_id"), batch.column("fp")
             for row0, _, data, offsets in pieces(batch.column("text")):
                 seq, first = spec.sequence(data, offsets)
-                row, start, n, h, ctx = spec.super_windows(seq, first)
+                row, start, n, h, ctx, anchor = spec.super_windows(seq, first)
+                more = [anchor - first[row], spec.phrases(seq, row, anchor)] if phrases else []
                 if bloom is not None:
                     keep = np.flatnonzero(bloom.may_hold(h))
-                    row, start, n, h, ctx = row[keep], start[keep], n[keep], h[keep], ctx[keep]
+                    row, start, n, h, ctx, *more = (v[keep] for v in (row, start, n, h, ctx, *more))
                 take = pa.array(row + row0)
+                extra = [pa.array(more[0].astype(np.int32)), signed(more[1])] if phrases else []
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(take),
@@ -127,11 +139,13 @@ def super_window_rows(docs: DataFrame, spec: Windows, bloom: Bloom | None = None
                         pa.array(n.astype(np.int32)),
                         signed(h),
                         signed(ctx),
+                        *extra,
                     ],
-                    ["doc_id", "fp", "start", "n", "h", "ctx"],
+                    ["doc_id", "fp", "start", "n", "h", "ctx", *(["anchor", "phrase"] if phrases else [])],
                 )
 
-    return docs.mapInArrow(work, f"doc_id {kind}, fp bigint, start int, n int, h bigint, ctx bigint")
+    schema = f"doc_id {kind}, fp bigint, start int, n int, h bigint, ctx bigint"
+    return docs.mapInArrow(work, schema + (", anchor int, phrase bigint" if phrases else ""))
 
 
 def window_rows(docs: DataFrame, wanted: DataFrame, spec: Windows) -> DataFrame:

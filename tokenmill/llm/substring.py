@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tokenmill.llm.common import cut, table
 from tokenmill.llm.registry import query
 from tokenmill.llm.repeats import Bloom, Windows, keyed, merge_spans, super_window_rows, window_rows
-from tokenmill.llm.words import pieces, word_bounds
+from tokenmill.llm.words import pieces, ragged, word_bounds
 
 WIDTH, K = 50, 10
 
@@ -100,6 +100,21 @@ def span_arrays(column, row: int) -> tuple[np.ndarray, np.ndarray]:
     return merge_spans(values.field("a").to_numpy().astype(np.int64), values.field("b").to_numpy().astype(np.int64))
 
 
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Per row its next ``counts`` words, joined by one space."""
+    lengths = ends - starts + 1
+    flat = np.append(data, 32)[ragged(starts, lengths)].astype(np.uint8)
+    stops = np.cumsum(lengths) - 1
+    flat[stops] = 32
+    last = np.cumsum(counts)[counts > 0] - 1  # no space after a row's last word
+    flat = np.delete(flat, stops[last])
+    sizes = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
+    bounds = sizes - np.concatenate([[0], np.cumsum(counts > 0)])
+    return pa.Array.from_buffers(
+        pa.large_string(), len(counts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]
+    )
+
+
 def substring_dedup(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
     """(doc_id, text) to (doc_id, kept, n_words, n_removed, spans): the kept words joined by one space."""
     rows = keyed(docs)
@@ -111,23 +126,21 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFram
             column = batch.column("spans")
             for row0, end, data, offsets in pieces(batch.column("text")):
                 starts, ends, first = word_bounds(data, offsets)
-                raw = data.tobytes()
-                kept, words, removed, where = [], [], [], []
+                removed, where = [], []
+                gone = np.zeros(len(starts), bool)
                 for i in range(end - row0):
                     a, b = span_arrays(column, row0 + i)
-                    lo, hi = int(first[i]), int(first[i + 1])
-                    gone = np.zeros(hi - lo, bool)
-                    for x, y in zip(a, b):
-                        gone[x:y] = True
-                    left = np.flatnonzero(~gone) + lo
-                    kept.append(" ".join(raw[s:e].decode() for s, e in zip(starts[left].tolist(), ends[left].tolist())))
-                    words.append(hi - lo)
-                    removed.append(int(gone.sum()))
-                    where.append([{"a": int(x), "b": int(y)} for x, y in zip(a, b)])
+                    lo = int(first[i])
+                    for x, y in zip(a.tolist(), b.tolist()):
+                        gone[lo + x : lo + y] = True
+                    removed.append(int((b - a).sum()))
+                    where.append([{"a": x, "b": y} for x, y in zip(a.tolist(), b.tolist())])
+                words = np.diff(first)
+                kept = joined_words(data, starts[~gone], ends[~gone], words - np.array(removed, np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(row0, end - row0),
-                        pa.array(kept, pa.string()),
+                        kept.cast(pa.string()),
                         pa.array(words, pa.int64()),
                         pa.array(removed, pa.int64()),
                         pa.array(where, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),

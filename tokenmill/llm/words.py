@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE_BYTES = 3 << 20
+PIECE_ROWS = 8192
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 _IS_WORD = np.ones(256, bool)
@@ -98,7 +99,7 @@ def pieces(texts, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarr
     row = 0
     while row < n:
         end = int(np.searchsorted(offsets, offsets[row] + limit, side="right")) - 1
-        end = min(n, max(row + 1, end))
+        end = min(n, row + PIECE_ROWS, max(row + 1, end))
         yield row, end, raw[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
 
