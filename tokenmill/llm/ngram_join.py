@@ -42,6 +42,7 @@ COUNTERS = 1 << 18
 CHUNK = 1 << 12
 TOKEN_BITS = 50
 MOST_PAIRED = 40
+STARS = 2
 BITMAP = (64, 1 << 16)
 
 
@@ -148,42 +149,54 @@ def signatures(docs: DataFrame, gram: int, num: int, den: int, classes: np.ndarr
 
 
 def index_rows(classes: DataFrame, bloom: Bloom | None = None) -> DataFrame:
-    """(fp, n, rare, common) to (key, fp, n, single): rare n-grams, pairs of frequent ones, and frequent ones singly.
+    """(fp, n, rare, common) to (key, fp, n, kind, pos): rare n-grams, pairs of frequent ones, and frequent ones singly.
 
-    ``single`` marks entries of a class whose frequent n-grams are not paired.
+    ``kind`` 0 meets all in its bucket, 1 is a frequent n-gram of a paired
+    class and 2 one of a class that is not paired; ``pos`` is the place of the
+    (first) n-gram in the class's order.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                keys, rows, kinds = [], [], []
+                keys, rows, kinds, places = [], [], [], []
                 for i, (rare, common) in enumerate(zip(part.column("rare"), part.column("common"))):
                     r, c = rare.values.to_numpy().view(np.uint64), common.values.to_numpy().view(np.uint64)
+                    at_common = len(r) + np.arange(len(c))
+                    place = [np.arange(len(r)), at_common]
                     found = [mix(r), mix(c ^ np.uint64(0xA5A5A5A5A5A5A5A5))]
                     paired = len(c) <= MOST_PAIRED
                     if paired and len(c) > 1:
                         x, y = np.triu_indices(len(c), 1)
                         lo, hi = np.minimum(c[x], c[y]), np.maximum(c[x], c[y])
                         found.append(mix(mix(lo + np.uint64(77)) ^ hi))
-                    # 0 meets all in its bucket, 1: a frequent n-gram of a paired class, 2: of one that is not
+                        place.append(at_common[x])
                     kind = np.repeat([0, 1 if paired else 2, 0], [len(r), len(c), len(found[2]) if len(found) > 2 else 0])
                     keys.append(np.concatenate(found))
                     rows.append(np.full(len(kind), i))
                     kinds.append(kind)
+                    places.append(np.concatenate(place))
                 key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
                 row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
                 kind = np.concatenate(kinds) if kinds else np.zeros(0, np.int64)
+                pos = np.concatenate(places) if places else np.zeros(0, np.int64)
                 if bloom is not None:
                     keep = bloom.may_hold(key)
-                    key, row, kind = key[keep], row[keep], kind[keep]
+                    key, row, kind, pos = key[keep], row[keep], kind[keep], pos[keep]
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [signed(key), part.column("fp").take(take), part.column("n").take(take), pa.array(kind.astype(np.int32))],
-                    ["key", "fp", "n", "kind"],
+                    [
+                        signed(key),
+                        part.column("fp").take(take),
+                        part.column("n").take(take),
+                        pa.array(kind.astype(np.int32)),
+                        pa.array(pos.astype(np.int32)),
+                    ],
+                    ["key", "fp", "n", "kind", "pos"],
                 )
 
-    return classes.select("fp", "n", "rare", "common").mapInArrow(work, "key bigint, fp bigint, n bigint, kind int")
+    return classes.select("fp", "n", "rare", "common").mapInArrow(work, "key bigint, fp bigint, n bigint, kind int, pos int")
 
 
 def _bitmap_bound(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -281,39 +294,51 @@ def similar_documents(docs: DataFrame, gram: int = 5, num: int = 80, den: int =
             F.max("fp").alias("hi"),
             F.bit_xor(F.xxhash64("fp")).alias("who"),
             F.sum(F.shiftright(F.xxhash64("fp", F.lit(1)), 30)).alias("sum"),
-            F.max("kind").alias("_kind"),
         )
         .where("lo < hi")
     )
-    one = F.min(F.struct("_kind", "key")).getField("key").alias("key")  # least kind: it meets all in its bucket
-    buckets = cut(buckets.groupBy("members", "lo", "hi", "who", "sum").agg(one).select("key", "lo", "hi"))
+    # buckets of the same classes are one bucket, which keeps each class's least place
+    same = buckets.groupBy("members", "lo", "hi", "who", "sum").agg(F.min("key").alias("bucket"))
+    buckets = cut(buckets.join(same, ["members", "lo", "hi", "who", "sum"]).select("key", "bucket"))
     bloom = Bloom.of(buckets, "key", buckets.count())
-    entries = cut(index_rows(classes, bloom).join(buckets, "key"))
+    entries = cut(
+        index_rows(classes, bloom)
+        .join(buckets, "key")
+        .groupBy("bucket", "fp")
+        .agg(F.first("n").alias("n"), F.min("kind").alias("kind"), F.min("pos").alias("pos"))
+        .withColumnRenamed("bucket", "key")
+    )
     found = _Links(rows, classes, gram, num, den)
-    close = F.least("n", "other") * den >= F.greatest("n", "other") * num
-    sizes = classes.select(F.col("fp").alias("p"), F.col("n").alias("other"))
-
-    def star(df: DataFrame, pivot: str) -> DataFrame:
-        return df.select("fp", "n", F.col(pivot).alias("p")).where("fp <> p").distinct().join(sizes, "p").where(close).select(*_pairs("fp", "p"))
-
-    tried, links = found.of(star(entries, "lo"))
-    group = connected_components(links, "x", "y").withColumnRenamed("component", "c")
+    # What both have from their first shared n-gram on is enough for a link; a link passes this in the
+    # bucket of its first shared n-gram (or pair of them).  Two paired classes meet in pairs.
+    close = (F.least(F.col("n") - F.col("pos"), F.col("np") - F.col("pp")) * (num + den) >= (F.col("n") + F.col("np")) * num) & (
+        (F.col("kind") == 0) | (F.col("kp") == 0) | (F.col("kind") + F.col("kp") > 2)
+    )
+    other = entries.select("key", F.col("fp").alias("p"), F.col("n").alias("np"), F.col("pos").alias("pp"), F.col("kind").alias("kp"))
 
     def with_component(df: DataFrame, column: str, name: str) -> DataFrame:
         named = group.select(F.col("node").alias(column), F.col("c").alias("_c"))
         return df.join(named, column, "left").withColumn(name, F.coalesce("_c", column)).drop("_c")
 
-    second = with_component(with_component(entries, "fp", "c"), "hi", "ch").where("c <> ch")
-    more, links2 = found.of(star(second, "hi").join(tried, ["x", "y"], "left_anti"))
-    tried, links = tried.unionByName(more), cut(links.unionByName(links2))
-    group = connected_components(links, "x", "y").withColumnRenamed("component", "c")
+    tried = links = group = None
+    for turn in range(STARS):
+        # a star in every bucket whose members are apart: around another member each time
+        rows = entries if group is None else with_component(entries, "fp", "c")
+        if group is not None:
+            mixed = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
+            rows = rows.join(mixed, "key")
+        centre = rows.groupBy("key").agg(F.min_by("fp", F.struct("pos", F.xxhash64("fp", F.lit(turn)))).alias("p"))
+        stars = rows.join(centre.join(other, ["key", "p"]), "key").where((F.col("fp") != F.col("p")) & close)
+        stars = stars.select(*_pairs("fp", "p")).distinct()
+        more, new = found.of(stars if tried is None else stars.join(tried, ["x", "y"], "left_anti"))
+        tried = more if tried is None else cut(tried.unionByName(more))
+        links = new if links is None else cut(links.unionByName(new))
+        group = connected_components(links, "x", "y").withColumnRenamed("component", "c")
     apart = with_component(entries, "fp", "c")
     mixed = apart.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    left = cut(apart.join(mixed, "key").select("key", "fp", "n", "c", "kind"))
-    right = left.select("key", F.col("fp").alias("p"), F.col("n").alias("other"), F.col("c").alias("cp"), F.col("kind").alias("kp"))
-    # two paired classes that share a frequent n-gram and would link also share a pair
-    meets = (F.col("kind") == 0) | (F.col("kind") + F.col("kp") > 2)
-    rest = left.join(right, "key").where((F.col("fp") < F.col("p")) & (F.col("c") != F.col("cp")) & meets & close)
+    left = cut(apart.join(mixed, "key").select("key", "fp", "n", "pos", "kind", "c"))
+    right = left.toDF("key", "p", "np", "pp", "kp", "cp")
+    rest = left.join(right, "key").where((F.col("fp") < F.col("p")) & (F.col("c") != F.col("cp")) & close)
     _, links3 = found.of(rest.select(*_pairs("fp", "p")).distinct().join(tried, ["x", "y"], "left_anti"))
     if not links3.isEmpty():
         group = connected_components(links.unionByName(links3), "x", "y").withColumnRenamed("component", "c")

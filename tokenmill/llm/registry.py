@@ -18,6 +18,7 @@ MODULES = (
     "quality",
     "substring",
     "ngram_join",
+    "suffix",
     "mixing",
     "html_text",
 )

@@ -149,9 +149,10 @@ def super_window_rows(docs: DataFrame, spec: Windows, bloom: Bloom | None = None
 
 
 def window_rows(docs: DataFrame, wanted: DataFrame, spec: Windows) -> DataFrame:
-    """Hashes of single windows: (h, ctx, wins) for the super-windows in ``wanted`` (doc_id, fp, start, n, h, ctx)."""
+    """Hashes of single windows: (doc_id, h, ctx, wins) for the super-windows in ``wanted`` (doc_id, fp, start, n, h, ctx)."""
+    kind = dict(docs.dtypes)["doc_id"]
     asked = wanted.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("start", "n", "h", "ctx")).alias("asked"))
-    rows = docs.join(asked, ["doc_id", "fp"]).dropDuplicates(["doc_id", "fp"]).select("text", "asked")
+    rows = docs.join(asked, ["doc_id", "fp"]).dropDuplicates(["doc_id", "fp"]).select("doc_id", "text", "asked")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,10 +167,16 @@ def window_rows(docs: DataFrame, wanted: DataFrame, spec: Windows) -> DataFrame:
                 wins = seq.of(a, a + spec.width)
                 ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [items.field("h"), items.field("ctx"), pa.ListArray.from_arrays(ends, signed(wins))], ["h", "ctx", "wins"]
+                    [
+                        batch.column("doc_id").take(pa.array(row + row0)),
+                        items.field("h"),
+                        items.field("ctx"),
+                        pa.ListArray.from_arrays(ends, signed(wins)),
+                    ],
+                    ["doc_id", "h", "ctx", "wins"],
                 )
 
-    return rows.mapInArrow(work, "h bigint, ctx bigint, wins array<bigint>")
+    return rows.mapInArrow(work, f"doc_id {kind}, h bigint, ctx bigint, wins array<bigint>")
 
 
 def merge_spans(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -55,32 +55,31 @@ def repeated_spans(docs: DataFrame, spec: Windows) -> DataFrame:
     )
     bloom = Bloom.of(nodes, "h", nodes.count())
     paths = cut(super_window_rows(docs, spec, bloom).join(nodes, "h"))
-    plain = paths.where("not branches and least < doc_id").select("doc_id", "fp", "start", "n")
-    # branching minimizers: every distinct content once, opened into windows
-    contents = paths.where("branches").groupBy("h", "ctx").agg(
-        F.min("doc_id").alias("first_doc"), F.min(F.struct("doc_id", "fp", "start", "n")).alias("at")
+    # branching minimizers: every distinct content once, opened into windows at its first place
+    contents = cut(
+        paths.where("branches").groupBy("h", "ctx").agg(F.min(F.struct("doc_id", "fp", "start", "n")).alias("at"))
     )
-    contents = cut(contents)
     opened = window_rows(docs, contents.select("at.*", "h", "ctx"), spec)
     single = cut(
-        opened.join(contents.select("h", "ctx", "first_doc"), ["h", "ctx"]).select(
-            "h", "ctx", "first_doc", F.posexplode("wins").alias("j", "win")
-        )
+        opened.select(F.xxhash64("h", "ctx").alias("place"), F.col("doc_id").alias("own"), "h", F.posexplode("wins").alias("j", "win"))
+        .select("place", "own", F.xxhash64("h", "win").alias("win"), F.col("j").cast("smallint").alias("j"))
     )
-    least = single.groupBy("h", "win").agg(F.min("first_doc").alias("least"))
-    told = (
-        single.join(least, ["h", "win"])
-        .groupBy("h", "ctx")
-        .agg(F.sort_array(F.collect_list(F.struct("j", "least"))).alias("told"))
+    shared = single.groupBy("win").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least < most")
+    told = single.join(shared, "win").where("least < own").groupBy("place").agg(F.collect_list("j").alias("hit"))
+    split = (
+        paths.where("branches")
+        .join(contents.select("h", "ctx", F.col("at.doc_id").alias("own")), ["h", "ctx"])
+        .select("doc_id", "fp", "start", "n", "own", F.xxhash64("h", "ctx").alias("place"))
     )
-    split = paths.where("branches").join(told, ["h", "ctx"])
-    hits = split.select(
-        "doc_id", "fp", "start", F.expr("filter(told, x -> x.least < doc_id)").alias("hit")
-    ).where("size(hit) > 0")
-    spans = plain.select(
+    whole = paths.where("not branches and least < doc_id").select("doc_id", "fp", "start", "n")
+    whole = whole.unionByName(split.where("own < doc_id").select("doc_id", "fp", "start", "n"))
+    spans = whole.select(
         "doc_id", "fp", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + spec.width).alias("b")
     ).unionByName(
-        hits.select("doc_id", "fp", "start", F.explode("hit.j").alias("j")).select(
+        split.where("own = doc_id")
+        .join(told, "place")
+        .select("doc_id", "fp", "start", F.explode("hit").alias("j"))
+        .select(
             "doc_id", "fp", (F.col("start") + F.col("j")).alias("a"), (F.col("start") + F.col("j") + spec.width).alias("b")
         )
     )
