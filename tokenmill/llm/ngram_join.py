@@ -41,8 +41,8 @@ from tokenmill.llm.words import Prefix, lower_ascii, mix, pieces, ragged, signed
 COUNTERS = 1 << 18
 CHUNK = 1 << 12
 TOKEN_BITS = 50
-MOST_PAIRED = 40
-STARS = 2
+MOST_PAIRED = 12
+STARS = 3
 BITMAP = (64, 1 << 16)
 
 
