@@ -50,7 +50,7 @@ WIDTH, K = 400, 160
 def _below(rows: DataFrame, group: list[str], order: list[str], counts: list[str]) -> DataFrame:
     """For each distinct key the sums of ``counts`` over smaller keys of its group, as ``<name>_below``."""
     keys = rows.groupBy(*group, *order).agg(*[F.sum(c).cast("bigint").alias(c) for c in counts])
-    sums = running_sums(keys, group, order, {f"{c}_to": F.col(c) for c in counts})
+    sums = running_sums(keys, group, order, {f"{c}_to": F.col(c) for c in counts}, materialized=True)
     return sums.select(*group, *order, *[(F.col(f"{c}_to") - F.col(c)).alias(f"{c}_below") for c in counts])
 
 
@@ -68,9 +68,7 @@ def suffix_ranks(strings: DataFrame, depth: int) -> DataFrame:
             )
         ).alias("t"),
     ).select("sid", "t.*", F.lit(1).alias("n"))
-    triples = cut(triples)
     names = _below(triples, [], ["a", "b", "c"], ["n"]).withColumn("name", F.col("n_below") + 1).drop("n_below")
-    names = cut(names)
     named = triples.join(names, ["a", "b", "c"]).select("sid", "i", "name")
     if depth > 1 and names.count() < triples.count():
         deeper = named.groupBy((F.col("sid") * 2 + F.col("i") % 3 - 1).alias("sid")).agg(
@@ -122,7 +120,7 @@ def shared_prefixes(strings: DataFrame, ranks: DataFrame) -> DataFrame:
     rows = cut(rows)
     # one row per rank: its longest prefix asked for, and how many suffixes tie
     order = rows.groupBy("rank").agg(F.max_by("p", F.size("p")).alias("p"), F.count("*").alias("ties"))
-    placed = cut(running_sums(order, [], ["rank"], {"place": None}).select("place", "rank", "p", "ties"))
+    placed = cut(running_sums(order, [], ["rank"], {"place": None}, materialized=True).select("place", "rank", "p", "ties"))
     side = placed.select((F.col("place") + 1).alias("place"), F.col("p").alias("before"))
     after = placed.select((F.col("place") - 1).alias("place"), F.col("p").alias("after"))
     near = placed.join(side, "place", "left").join(after, "place", "left")
