@@ -145,7 +145,14 @@ def test_packing_round_trip(docs, empty):
         held.sort()
         assert held[0][0] == 0 and sum(n for _, n in held) <= 2048
         assert all(a + n == b for (a, n), (b, _) in zip(held, held[1:]))
-    assert len(bins) <= -(-sum(r.length for r in got) // 2048) + 1
+    first_fit: list[int] = []
+    for n in sorted((r.length for r in got), reverse=True):
+        k = next((k for k, room in enumerate(first_fit) if room >= n), None)
+        if k is None:
+            first_fit.append(2048 - n)
+        else:
+            first_fit[k] -= n
+    assert len(bins) <= len(first_fit) + 1
     assert packing.pack_documents(empty, path).count() == 0
 
 
