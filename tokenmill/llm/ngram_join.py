@@ -12,7 +12,9 @@ of documents is lost.
 Documents with equal sets are one class and enter once.  Inside a bucket the
 classes are first tried against its least and its greatest member; what these
 links join needs no further pairs, so a bucket of copies costs a star.  Only
-members of a bucket that are still apart are then tried pairwise.
+members of a bucket that are still apart are then tried pairwise, if the
+parities of their n-grams in ``64 * SKETCH_LONGS`` cells allow a link: cells
+that differ are at most as many as n-grams that differ, at any set size.
 Candidates pass a bitmap bound (which never rejects a link) and are verified
 on whole sets; components come from the links.
 
@@ -42,7 +44,8 @@ COUNTERS = 1 << 18
 CHUNK = 1 << 12
 TOKEN_BITS = 50
 MOST_PAIRED = 12
-STARS = 3
+STARS = 2
+SKETCH_LONGS = 8
 BITMAP = (64, 1 << 16)
 
 
@@ -89,8 +92,9 @@ def token_counts(docs: DataFrame, gram: int) -> np.ndarray:
     parts = docs.select("text").mapInArrow(work, "chunk int, salt int, v array<bigint>")
     once = parts.groupBy("chunk", "salt").applyInArrow(add, "chunk int, v array<bigint>")
     out = np.zeros((COUNTERS // CHUNK, CHUNK), np.int64)
-    for r in once.groupBy("chunk").applyInArrow(add, "chunk int, v array<bigint>").toLocalIterator():
-        out[r.chunk] = r.v
+    got = once.groupBy("chunk").applyInArrow(add, "chunk int, v array<bigint>").toArrow()  # COUNTERS numbers at any input
+    for chunk, v in zip(got.column("chunk").to_pylist(), got.column("v").combine_chunks()):
+        out[chunk] = v.values.to_numpy()
     return out.ravel()
 
 
@@ -102,7 +106,7 @@ def frequency_classes(counts: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, gram: int, num: int, den: int, classes: np.ndarray) -> DataFrame:
-    """(doc_id, rk, text) to (doc_id, rk, n, fp, rare array, common array, bitmap)."""
+    """(doc_id, rk, text) to (doc_id, rk, n, fp, rare array, common array, bitmap, sketch array)."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,6 +135,12 @@ def signatures(docs: DataFrame, gram: int, num: int, den: int, classes: np.ndarr
                 packed = np.packbits(flags, bitorder="little")
                 bounds = np.concatenate([base, [len(flags)]]).astype(np.int64) // 8
                 maps = pa.Array.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(bounds), pa.py_buffer(packed)])
+                cells = 64 * SKETCH_LONGS
+                cell = (mix(tokens ^ np.uint64(0x3C6EF372)) & np.uint64(cells - 1)).astype(np.int64)
+                odd = (np.bincount(row * cells + cell, minlength=rows * cells) & 1).astype(np.uint8)
+                sketch = pa.FixedSizeListArray.from_arrays(
+                    pa.array(np.packbits(odd, bitorder="little").view(np.int64)), SKETCH_LONGS
+                ).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(row0, rows),
@@ -139,12 +149,14 @@ def signatures(docs: DataFrame, gram: int, num: int, den: int, classes: np.ndarr
                         signed(fp),
                         *lists,
                         maps.cast(pa.binary()),
+                        sketch,
                     ],
-                    ["doc_id", "rk", "n", "fp", "rare", "common", "bitmap"],
+                    ["doc_id", "rk", "n", "fp", "rare", "common", "bitmap", "sketch"],
                 )
 
     return docs.mapInArrow(
-        work, f"doc_id {kind}, rk bigint, n bigint, fp bigint, rare array<bigint>, common array<bigint>, bitmap binary"
+        work,
+        f"doc_id {kind}, rk bigint, n bigint, fp bigint, rare array<bigint>, common array<bigint>, bitmap binary, sketch array<bigint>",
     )
 
 
@@ -282,6 +294,7 @@ def similar_documents(docs: DataFrame, gram: int = 5, num: int = 80, den: int =
             F.first("rare").alias("rare"),
             F.first("common").alias("common"),
             F.first("bitmap").alias("bitmap"),
+            F.first("sketch").alias("sketch"),
         )
     )
     # buckets with more than one class; buckets with the same classes are one bucket
@@ -320,28 +333,34 @@ def similar_documents(docs: DataFrame, gram: int = 5, num: int = 80, den: int =
         named = group.select(F.col("node").alias(column), F.col("c").alias("_c"))
         return df.join(named, column, "left").withColumn(name, F.coalesce("_c", column)).drop("_c")
 
-    tried = links = group = None
+    def joined(group, links):
+        edges = links if group is None else links.unionByName(group.select(F.col("node").alias("x"), F.col("c").alias("y")))
+        return connected_components(edges, "x", "y").withColumnRenamed("component", "c")
+
+    def still_apart(rows: DataFrame) -> DataFrame:
+        mixed = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
+        return rows.join(mixed, "key")
+
+    tried = group = None
     for turn in range(STARS):
         # a star in every bucket whose members are apart: around another member each time
-        rows = entries if group is None else with_component(entries, "fp", "c")
-        if group is not None:
-            mixed = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-            rows = rows.join(mixed, "key")
+        rows = entries if group is None else still_apart(with_component(entries, "fp", "c"))
         centre = rows.groupBy("key").agg(F.min_by("fp", F.struct("pos", F.xxhash64("fp", F.lit(turn)))).alias("p"))
         stars = rows.join(centre.join(other, ["key", "p"]), "key").where((F.col("fp") != F.col("p")) & close)
         stars = stars.select(*_pairs("fp", "p")).distinct()
-        more, new = found.of(stars if tried is None else stars.join(tried, ["x", "y"], "left_anti"))
-        tried = more if tried is None else cut(tried.unionByName(more))
-        links = new if links is None else cut(links.unionByName(new))
-        group = connected_components(links, "x", "y").withColumnRenamed("component", "c")
-    apart = with_component(entries, "fp", "c")
-    mixed = apart.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    left = cut(apart.join(mixed, "key").select("key", "fp", "n", "pos", "kind", "c"))
-    right = left.toDF("key", "p", "np", "pp", "kp", "cp")
-    rest = left.join(right, "key").where((F.col("fp") < F.col("p")) & (F.col("c") != F.col("cp")) & close)
-    _, links3 = found.of(rest.select(*_pairs("fp", "p")).distinct().join(tried, ["x", "y"], "left_anti"))
-    if not links3.isEmpty():
-        group = connected_components(links.unionByName(links3), "x", "y").withColumnRenamed("component", "c")
+        more, links = found.of(stars if tried is None else stars.join(tried, ["x", "y"], "left_anti"))
+        tried = more if tried is None else tried.unionByName(more)
+        if group is None or not links.isEmpty():
+            group = joined(group, links)
+    left = still_apart(with_component(entries, "fp", "c")).join(classes.select("fp", "sketch"), "fp")
+    left = cut(left.select("key", "fp", "n", "pos", "kind", "c", "sketch"))
+    right = left.toDF("key", "p", "np", "pp", "kp", "cp", "other")
+    differ = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("other")[i])) for i in range(SKETCH_LONGS)), F.lit(0))
+    alike = differ * (num + den) <= (F.col("n") + F.col("np")) * (den - num)
+    rest = left.join(right, "key").where((F.col("fp") < F.col("p")) & (F.col("c") != F.col("cp")) & close & alike)
+    _, links = found.of(rest.select(*_pairs("fp", "p")).distinct().join(tried, ["x", "y"], "left_anti"))
+    if not links.isEmpty():
+        group = joined(group, links)
     least = with_component(classes.select("fp", "least"), "fp", "c")
     named = least.join(least.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("fp", "component_id")
     return members.join(named, "fp", "left").select(
