@@ -98,14 +98,21 @@ def size_filter(
 # ---------------------------------------------------------------- P12 / P13
 
 
+def _deep_enough(tokens: Column, length: Column, keep: int, codes: Column) -> Column:
+    """``codes``, or an error where fewer than ``keep`` codebooks are stored."""
+    short = F.size(tokens) < length * keep
+    return F.when(short, F.raise_error(F.lit(f"fewer than {keep} codebooks are stored"))).otherwise(codes)
+
+
 def codebook_truncate(tokens, length, keep: int = K.CODEC_DEPTH) -> Column:
     """Flat codebook-major ``[depth * L]`` -> time-major ``[L][keep]``.
 
     One ``slice`` per kept codebook, transposed with ``arrays_zip``: linear in
-    the kept cells, never touches the dropped codebooks.
+    the kept cells, never touches the dropped codebooks.  Fewer stored
+    codebooks than ``keep`` are an error.
     """
     tokens, length = _c(tokens), _c(length)
-    return zip_rows([F.slice(tokens, length * q + 1, length) for q in range(keep)])
+    return _deep_enough(tokens, length, keep, zip_rows([F.slice(tokens, length * q + 1, length) for q in range(keep)]))
 
 
 def crop_start(key, len_s, max_source: int = K.MAX_SOURCE_POSITIONS, seed: int = 42) -> Column:
@@ -172,9 +179,8 @@ def crop_pair(
         "n_a", F.greatest(F.lit(0), F.least(F.lit(max_target), L - F.col("ac_start")))
     )
     a0 = F.col("ac_start")
-    out = out.withColumn(
-        "codes", zip_rows([safe_slice("tokens", L * q + a0, F.col("n_a")) for q in range(keep)])
-    )
+    codes = zip_rows([safe_slice("tokens", L * q + a0, F.col("n_a")) for q in range(keep)])
+    out = out.withColumn("codes", _deep_enough(F.col("tokens"), L, keep, codes))
     return out.drop("tokens", "n_a")
 
 

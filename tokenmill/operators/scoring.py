@@ -70,28 +70,30 @@ def local_drop(df: DataFrame, col: str = "target", p: float = 0.0, key: str = "k
     Real frames (any codebook != pad) are ranked by ``u("drop", key#t)``, pad
     frames rank last; at least one frame survives.  ``p`` is taken as a
     decimal literal so the keep count is exact.  Adds ``kept_frames``
-    (sorted frame indices); per-row work, no shuffle.  Rows may hold up to
-    2^20 frames (3.9 h at 75 Hz; cropped rows hold 976).
+    (sorted frame indices); per-row work, no shuffle.
     """
     n_real = F.size(F.filter(col, lambda r: F.exists(r, lambda x: x != pad)))
     keep_n = F.expr(f"floor(__n_real * (1 - {float(p)!r}BD) + 1)")
-    # rank key packed into one bigint: 32-bit draw (u = draw / 2^32), then the
-    # frame index; pad frames get draw 2^32 so they sort after every real frame.
-    # sort_array compares natively (array_sort would call a lambda per comparison).
-    packed = F.transform(
+    # (draw, frame): a 32-bit draw (u = draw / 2^32); pad frames get 2^32, so
+    # they sort after every real frame.  sort_array compares structs natively
+    # (array_sort would call a lambda per comparison).
+    ranked = F.transform(
         F.col(col),
-        lambda r, t: F.when(
-            F.exists(r, lambda x: x != pad), hash32(F.concat(F.lit("drop:"), F.col(key), F.lit("#"), t.cast("string"), F.lit(f":{seed}")))
-        ).otherwise(F.lit(1 << 32).cast("bigint"))
-        * F.lit(1 << 20).cast("bigint")
-        + t.cast("bigint"),
+        lambda r, t: F.struct(
+            F.when(
+                F.exists(r, lambda x: x != pad), hash32(F.concat(F.lit("drop:"), F.col(key), F.lit("#"), t.cast("string"), F.lit(f":{seed}")))
+            )
+            .otherwise(F.lit(1 << 32).cast("bigint"))
+            .alias("draw"),
+            t.cast("int").alias("t"),
+        ),
     )
-    first_k = F.slice(F.sort_array(packed), 1, F.least(F.col("__keep"), F.size(col)).cast("int"))
-    chosen = F.filter(first_k, lambda v: v < F.lit((1 << 32) * (1 << 20)).cast("bigint"))
+    first_k = F.slice(F.sort_array(ranked), 1, F.least(F.col("__keep"), F.size(col)).cast("int"))
+    chosen = F.filter(first_k, lambda v: v["draw"] < F.lit(1 << 32).cast("bigint"))
     return (
         df.withColumn("__n_real", n_real)
         .withColumn("__keep", keep_n.cast("int"))
-        .withColumn("kept_frames", F.sort_array(F.transform(chosen, lambda v: (v % (1 << 20)).cast("int"))))
+        .withColumn("kept_frames", F.sort_array(F.transform(chosen, lambda v: v["t"])))
         .drop("__n_real", "__keep")
     )
 
@@ -140,14 +142,17 @@ def smoothed_nll(
 ) -> DataFrame:
     """``nll`` mean and ``(1 - eps) * nll - eps * mean(log-prob)``, times factor.
 
-    ``scores`` carries the label per row (``target``).  The logged loss is
-    divided by ``factor`` again, as the reference logs it.
+    ``scores`` carries the label per row (``target``); a label that is none of
+    its position's classes is an error.  The logged loss is divided by
+    ``factor`` again, as the reference logs it.
     """
-    lp = log_softmax(scores, pos)
+    is_label = F.coalesce(F.col(cls) == F.col(target), F.lit(False))
+    lp = log_softmax(scores, pos).withColumn("labelled", F.max(is_label).over(Window.partitionBy(pos)))
     if mask is not None:
         lp = lp.join(mask.select(pos), pos, "left_semi")
+    n = F.count_if(F.col(cls) == F.col(target))  # one label row per position
     agg = lp.agg(
-        F.count_if(F.col(cls) == F.col(target)).alias("n_positions"),  # one label row per position
+        F.when(F.count_if(~F.col("labelled")) > 0, F.raise_error(F.lit("a label is outside the classes"))).otherwise(n).alias("n_positions"),
         (-F.avg(F.when(F.col(cls) == F.col(target), F.col("lprob")))).alias("nll"),
         F.avg("lprob").alias("mean_lprob"),
     )
@@ -188,11 +193,12 @@ def reduce_metrics(log: DataFrame, by: str = "update", worker: str = "worker", p
     sum n / sum total when the total is positive; ``x-loss`` -> ``x``.
     ``ppl_sig_digits`` additionally rounds the perplexity to significant
     digits: 2^loss magnifies last-bit summation noise into its integer digits.
+    An update whose ``sample_size`` is 0 has no loss, nll_loss and ppl rows.
     """
     totals, comps = _log_columns(log)
     sums = log_partial_sum(log, by, worker)
     ss = F.col("sample_size")
-    bits = lambda c: F.col(c) / ss / F.lit(LN2)
+    bits = lambda c: F.try_divide(F.col(c), ss) / F.lit(LN2)
     raw = F.pow(F.lit(2.0), bits("loss"))
     ppl = round_half_up(round_significant(raw, ppl_sig_digits) if ppl_sig_digits else raw, 2)
     metrics = [

@@ -76,7 +76,7 @@ def write_token_store(
     stored as one column per codebook (``cb00``, ``cb01``, ...), so a reader
     that keeps the first k codebooks reads only k columns (Parquet column
     pruning), e.g. 8 of 16 at 12 kbps.  ``max_depth`` (the codebook count)
-    saves the pass that would otherwise find it.
+    saves the pass that would otherwise find it; a deeper row fails the write.
 
     ``split`` is a literal split name or the name of a column holding it.
     Only the partitions present in ``df`` are replaced.  Rows are
@@ -86,12 +86,14 @@ def write_token_store(
     out = df
     if "depth" not in out.columns:
         out = out.withColumn("depth", F.lit(1))
+    depth = F.col("depth").cast("int")
     split_col = F.col(split) if isinstance(split, str) and split in df.columns else F.lit(split or "train")
     toks = F.col("tokens").cast("array<bigint>")
     if codebook_columns:
         depth_max = max_depth if max_depth is not None else (out.agg(F.max("depth")).first()[0] or 0)
         if depth_max > MAX_CODEBOOKS:
             raise ValueError(f"depth {depth_max} exceeds {MAX_CODEBOOKS} codebook columns")
+        depth = F.when(depth > depth_max, F.raise_error(F.lit(f"a row is deeper than max_depth {depth_max}"))).otherwise(depth)
         # only the codebook columns are written; readers see tokens = null
         payload = [
             F.when(F.col("depth") > q, F.slice(toks, F.col("len") * q + 1, F.col("len"))).alias(c)
@@ -101,7 +103,7 @@ def write_token_store(
         payload = [toks.alias("tokens")]  # codebook columns read back as null
     out = out.select(
         F.col("key").cast("string").alias("key"),
-        F.col("depth").cast("int").alias("depth"),
+        depth.alias("depth"),
         F.col("len").cast("int").alias("len"),
         *payload,
         F.lit(stream).alias("stream"),
