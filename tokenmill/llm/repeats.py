@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,9 @@ from tokenmill.llm.words import (
 )
 
 
+PROBES = 6  # per minimizer, at most
+
+
 @dataclass(frozen=True)
 class Windows:
     """What a window is: ``width`` units, minimized over k-grams of ``k`` units."""
@@ -71,6 +75,23 @@ class Windows:
         out[more] = seq.of(anchor[more], anchor[more + 1] + self.k) | np.uint64(1)
         return out
 
+    @property
+    def step(self) -> int:
+        """Windows whose minimizer lies at most this far apart in them share a probe."""
+        return -(-(self.width - self.k + 1) // PROBES)
+
+    def probes(self, seq: Prefix, start: np.ndarray, n: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per super-window hashes of what all windows of one step around its minimizer have in common, and their number.
+
+        Equal windows have equal probes, so a probe that occurs once tells of up to ``step`` windows that they do.
+        """
+        low = (anchor - start - n + 1) // self.step
+        counts = (anchor - start) // self.step - low + 1
+        q, at = ragged(low, counts), np.repeat(anchor, counts)
+        last = np.minimum((q + 1) * self.step - 1, self.width - self.k)
+        common = seq.of(at - q * self.step, at - last + self.width)
+        return mix(common ^ ((q + 1).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))), counts
+
 
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, text): fp tells apart repeated ids with other texts."""
@@ -111,11 +132,20 @@ class Bloom:
         mask = (one << ((h >> np.uint64(32)) & np.uint64(63))) | (one << ((h >> np.uint64(44)) & np.uint64(63)))
         return (held & mask) == mask
 
+    def test(self, column: str):
+        """Whether the set may hold the values of a bigint column, as a boolean column."""
+
+        @F.pandas_udf("boolean")
+        def held(values: pd.Series) -> pd.Series:
+            return pd.Series(self.may_hold(values.to_numpy().astype(np.int64).view(np.uint64)))
+
+        return held(F.col(column))
+
 
 def super_window_rows(docs: DataFrame, spec: Windows, bloom: Bloom | None = None, phrases: bool = False) -> DataFrame:
     """(doc_id, fp, text) to (doc_id, fp, start, n, h, ctx); ``bloom`` leaves out minimizers that it does not hold.
 
-    With ``phrases`` also the minimizer's place and the phrase from it to the next one.
+    With ``phrases`` also the minimizer's place, the phrase from it to the next one, and the probes.
     """
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -125,12 +155,17 @@ def super_window_rows(docs: DataFrame, spec: Windows, bloom: Bloom | None = None
             for row0, _, data, offsets in pieces(batch.column("text")):
                 seq, first = spec.sequence(data, offsets)
                 row, start, n, h, ctx, anchor = spec.super_windows(seq, first)
-                more = [anchor - first[row], spec.phrases(seq, row, anchor)] if phrases else []
+                more = [anchor, spec.phrases(seq, row, anchor)] if phrases else []
                 if bloom is not None:
                     keep = np.flatnonzero(bloom.may_hold(h))
                     row, start, n, h, ctx, *more = (v[keep] for v in (row, start, n, h, ctx, *more))
                 take = pa.array(row + row0)
-                extra = [pa.array(more[0].astype(np.int32)), signed(more[1])] if phrases else []
+                extra = []
+                if phrases:
+                    probes, counts = spec.probes(seq, start, n, more[0])
+                    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    extra = [pa.array((more[0] - first[row]).astype(np.int32)), signed(more[1])]
+                    extra.append(pa.ListArray.from_arrays(ends, signed(probes)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(take),
@@ -141,17 +176,20 @@ def super_window_rows(docs: DataFrame, spec: Windows, bloom: Bloom | None = None
                         signed(ctx),
                         *extra,
                     ],
-                    ["doc_id", "fp", "start", "n", "h", "ctx", *(["anchor", "phrase"] if phrases else [])],
+                    ["doc_id", "fp", "start", "n", "h", "ctx", *(["anchor", "phrase", "probes"] if phrases else [])],
                 )
 
     schema = f"doc_id {kind}, fp bigint, start int, n int, h bigint, ctx bigint"
-    return docs.mapInArrow(work, schema + (", anchor int, phrase bigint" if phrases else ""))
+    return docs.mapInArrow(work, schema + (", anchor int, phrase bigint, probes array<bigint>" if phrases else ""))
 
 
-def window_rows(docs: DataFrame, wanted: DataFrame, spec: Windows) -> DataFrame:
-    """Hashes of single windows: (doc_id, h, ctx, wins) for the super-windows in ``wanted`` (doc_id, fp, start, n, h, ctx)."""
+def window_rows(docs: DataFrame, wanted: DataFrame, spec: Windows, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Hashes of single windows: (doc_id, h, ctx, wins) for the windows in ``wanted`` (doc_id, fp, start, n, h, ctx).
+
+    Columns of ``wanted`` named in ``carry`` (bigint) are kept.
+    """
     kind = dict(docs.dtypes)["doc_id"]
-    asked = wanted.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("start", "n", "h", "ctx")).alias("asked"))
+    asked = wanted.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("start", "n", "h", "ctx", *carry)).alias("asked"))
     rows = docs.join(asked, ["doc_id", "fp"]).dropDuplicates(["doc_id", "fp"]).select("doc_id", "text", "asked")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,11 +210,13 @@ def window_rows(docs: DataFrame, wanted: DataFrame, spec: Windows) -> DataFrame:
                         items.field("h"),
                         items.field("ctx"),
                         pa.ListArray.from_arrays(ends, signed(wins)),
+                        *(items.field(c) for c in carry),
                     ],
-                    ["doc_id", "h", "ctx", "wins"],
+                    ["doc_id", "h", "ctx", "wins", *carry],
                 )
 
-    return rows.mapInArrow(work, f"doc_id {kind}, h bigint, ctx bigint, wins array<bigint>")
+    kept = "".join(f", {c} bigint" for c in carry)
+    return rows.mapInArrow(work, f"doc_id {kind}, h bigint, ctx bigint, wins array<bigint>{kept}")
 
 
 def merge_spans(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

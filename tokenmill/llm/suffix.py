@@ -112,6 +112,22 @@ def suffix_ranks(strings: DataFrame, depth: int) -> DataFrame:
     return parts.groupBy("sid", "i").agg((F.sum(gain) + 1).alias("rank"))
 
 
+def _agree(a: pa.ListArray, b: pa.ListArray) -> np.ndarray:
+    """Per row the number of leading names that two lists share; none with a null list."""
+    (av, ao, an), (bv, bo, bn) = (
+        (c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()[:-1], c.value_lengths().fill_null(0).to_numpy())
+        for c in (a, b)
+    )
+    most = np.minimum(an, bn)
+    same, row, k = np.zeros(len(a), np.int32), np.flatnonzero(most > 0), 0
+    while len(row):
+        row = row[av[ao[row] + k] == bv[bo[row] + k]]
+        k += 1
+        same[row] = k
+        row = row[most[row] > k]
+    return same
+
+
 def shared_prefixes(strings: DataFrame, ranks: DataFrame) -> DataFrame:
     """(sid, x, need) with ``lcp``: per position the phrases shared with a neighbour in the suffix array, up to ``need``."""
     rows = (
@@ -128,14 +144,17 @@ def shared_prefixes(strings: DataFrame, ranks: DataFrame) -> DataFrame:
     near = placed.join(side, "place", "left").join(after, "place", "left")
     tied = near.select("rank", F.when(F.col("ties") > 1, F.col("p")).alias("tie"), "before", "after")
 
-    def same(other: str) -> str:
-        return (
-            f"coalesce(aggregate(sequence(1, size(p)), struct(true as go, 0 as n), (acc, k) -> "
-            f"if(acc.go and k <= size({other}) and p[k - 1] = {other}[k - 1], struct(true as go, k as n), "
-            f"struct(false as go, acc.n as n))).n, 0)"
-        )
+    def longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = np.zeros(batch.num_rows, np.int32)
+            for other in ("tie", "before", "after"):
+                most = np.maximum(most, _agree(batch.column("p"), batch.column(other)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("sid"), batch.column("i"), pa.array(most)], ["sid", "i", "lcp"]
+            )
 
-    found = rows.join(tied, "rank").select("sid", "i", F.expr(f"greatest({same('tie')}, {same('before')}, {same('after')})").alias("lcp"))
+    found = rows.join(tied, "rank").select("sid", "i", "p", "tie", "before", "after")
+    found = found.mapInArrow(longest, "sid bigint, i int, lcp int")
     lists = found.groupBy("sid").agg(F.expr("transform(sort_array(collect_list(struct(i, lcp))), v -> v.lcp)").alias("lcp"))
     return lists
 
@@ -238,7 +257,7 @@ def repeated_bytes(docs: DataFrame, spec: Windows) -> DataFrame:
     bloom = Bloom.of(nodes, "h", nodes.count())
     repeated = cut(super_window_rows(docs, spec, bloom, phrases=True).join(nodes, "h"))
     copies = docs.groupBy("doc_id", "fp").agg(F.count("*").alias("rows")).where("rows > 1")
-    runs = cut(_runs(repeated.dropDuplicates(["doc_id", "fp", "start"]), spec))
+    runs = cut(_runs(repeated.drop("probes").dropDuplicates(["doc_id", "fp", "start"]), spec))
     distinct = cut(
         runs.join(copies, ["doc_id", "fp"], "left")
         .groupBy("sid")
@@ -268,13 +287,34 @@ def repeated_bytes(docs: DataFrame, spec: Windows) -> DataFrame:
     # windows that stay open: each distinct stretch around such a minimizer once
     unsure = repeated.join(judged.select(F.explode("open").alias("h")).distinct(), "h")
     contents = cut(
-        unsure.groupBy("h", "ctx").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "fp", "start", "n")).alias("at"))
+        unsure.groupBy("h", "ctx").agg(
+            F.count("*").alias("times"),
+            F.min(F.struct("doc_id", "fp", "start", "n", "anchor")).alias("at"),
+            F.first("probes").alias("probes"),
+        )
+    )
+    # of these only windows whose probe another stretch has too are counted
+    step, most = spec.step, spec.width - spec.k
+    parts = contents.select(
+        "h", "ctx", "times", "at.*", F.expr("at.anchor - at.start").alias("place"), F.posexplode("probes").alias("q", "probe")
+    ).withColumn("q", F.expr(f"q + (place - n + 1) div {step}"))
+    shared = parts.groupBy("probe").agg(F.count("*").alias("stretches"), F.min("times").alias("least"))
+    wanted = parts.join(shared.where("stretches > 1 and least = 1").select("probe"), "probe").select(
+        "doc_id", "fp", "start", "h", "ctx", "times",
+        F.expr(f"greatest(0L, place - least((q + 1) * {step} - 1, {most}))").alias("base"),
+        F.expr(f"least(n - 1L, place - q * {step})").alias("last"),
+    )
+    wanted = cut(
+        wanted.select(
+            "doc_id", "fp", "h", "ctx", "times", "base",
+            F.expr("cast(start + base as int)").alias("start"), F.expr("cast(last - base + 1 as int)").alias("n"),
+        )
     )
+    asked = Bloom.of(wanted, "doc_id", wanted.count())
     single = cut(
-        window_rows(docs, contents.select("at.*", "h", "ctx"), spec)
-        .drop("doc_id")
-        .join(contents.select("h", "ctx", "times"), ["h", "ctx"])
-        .select("h", "ctx", "times", F.posexplode("wins").alias("j", "win"))
+        window_rows(docs.where(asked.test("doc_id")), wanted, spec, ("times", "base")).select(
+            "h", "ctx", "times", "base", F.posexplode("wins").alias("j", "win")
+        ).withColumn("j", F.expr("cast(base + j as int)")).drop("base")
     )
     often = single.groupBy("h", "win").agg(F.sum("times").alias("all"), F.count("*").alias("rows")).where("all > 1")
     hits = (
@@ -282,11 +322,20 @@ def repeated_bytes(docs: DataFrame, spec: Windows) -> DataFrame:
         .join(often, ["h", "win"])
         .groupBy("h", "ctx")
         .agg(F.collect_list("j").alias("hit"))
+        # windows in a row are one run: its first has none before it, its last none behind it
+        .select(
+            "h",
+            "ctx",
+            F.arrays_zip(
+                F.expr("sort_array(array_except(hit, transform(hit, j -> j + 1)))").alias("a"),
+                F.expr("sort_array(array_except(hit, transform(hit, j -> j - 1)))").alias("b"),
+            ).alias("runs"),
+        )
     )
     found = (
         unsure.join(hits, ["h", "ctx"])
-        .select("doc_id", "fp", "start", F.explode("hit").alias("j"))
-        .select("doc_id", "fp", (F.col("start") + F.col("j")).alias("a"), (F.col("start") + F.col("j") + spec.width).alias("b"))
+        .select("doc_id", "fp", "start", F.explode("runs").alias("s"))
+        .select("doc_id", "fp", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b") + spec.width).alias("b"))
     )
     again = (
         unsure.join(contents.where("times > 1").select("h", "ctx"), ["h", "ctx"])
@@ -303,8 +352,10 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, k: int = K, whole_characte
     fp = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = docs.withColumn("_fp", fp).withColumn("_rk", F.xxhash64("doc_id", "_fp"))
     plain = rows.select(F.col("_rk").alias("doc_id"), F.col("_fp").alias("fp"), "text")
-    spans = repeated_bytes(plain, Windows(width, min(k, width), False)).select(
-        F.col("doc_id").alias("_rk"), F.col("fp").alias("_fp"), F.col("spans").alias("_spans")
+    spans = cut(
+        repeated_bytes(plain, Windows(width, min(k, width), False)).select(
+            F.col("doc_id").alias("_rk"), F.col("fp").alias("_fp"), F.col("spans").alias("_spans")
+        )
     )
     kept_columns = [c for c in docs.columns if c not in ("text", "kept", "n_bytes", "n_removed", "n_spans")]
     schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes if c in kept_columns])
@@ -343,9 +394,14 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, k: int = K, whole_characte
                     [*kept_columns, "kept", "n_bytes", "n_removed", "n_spans"],
                 )
 
+    # texts that lose nothing stay where they are
+    some = Bloom.of(spans, "_rk", spans.count()).test("_rk")
+    whole = rows.where(~some).withColumn("_spans", F.lit(None).cast(spans.schema["_spans"].dataType))
     return (
-        rows.join(spans, ["_rk", "_fp"], "left")
+        rows.where(some)
+        .join(spans, ["_rk", "_fp"], "left")
         .select(*kept_columns, "text", "_spans")
+        .unionByName(whole.select(*kept_columns, "text", "_spans"))
         .mapInArrow(work, f"{schema}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
     )
 
