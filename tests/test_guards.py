@@ -1,9 +1,12 @@
 """Inputs that must fail or be flagged rather than lose rows or tokens."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tokenmill.operators.assemble import codebook_truncate, crop_pair
+from tokenmill.operators.encode import encode_job
+from tokenmill.operators.quantize import _argmin, nearest_unit
 from tokenmill.operators.scoring import local_drop, reduce_metrics, smoothed_nll
 from tokenmill.sources.store import write_token_store
 
@@ -42,3 +45,26 @@ def test_update_without_samples_has_no_loss(spark):
     df = spark.createDataFrame([(1, 0, 2.0, 2.0, 0), (2, 0, 2.0, 2.0, 4)], "update int, worker int, loss double, nll_loss double, sample_size int")
     got = {(r["update"], r["metric"]): r["value"] for r in reduce_metrics(df).collect()}
     assert (1, "loss") not in got and got[(2, "loss")] is not None
+
+
+def test_far_centroids_change_no_unit(spark):
+    rng = np.random.default_rng(5)
+    near = np.round(rng.normal(size=(40, 64)), 1)
+    near[7] = near[3]  # a tie: the lower id is taken
+    frames = np.concatenate([near + 1e-9 * rng.normal(size=near.shape), near])
+    far = rng.normal(size=(2000, 64)) * 1e6 + 1e7  # 40 + 2,000 centroids: above 65,536 cells
+    exact = ((frames[:, None, :] - near[None]) ** 2).sum(-1).argmin(1)
+    assert (_argmin(frames, near) == exact).all()
+    assert (_argmin(frames, np.concatenate([near, far])) == exact).all()
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(frames)], "id long, v array<double>")
+    books = spark.createDataFrame(
+        [(i, v.tolist()) for i, v in enumerate(np.concatenate([near, far]))], "cid int, c array<double>"
+    )
+    got = {r["id"]: r["unit"] for r in nearest_unit(rows, books).collect()}
+    assert [got[i] for i in range(len(frames))] == exact.tolist()
+
+
+def test_paired_encoding_rejects_a_third_encoder(spark):
+    pieces = spark.createDataFrame([("k", [0.0], 16000, False)], "chunk_key string, samples array<float>, sr int, is_chunked boolean")
+    with pytest.raises(ValueError, match="exactly these two"):
+        encode_job(pieces, {"a": None, "b": None, "c": None}, paired=("a", "b"))

@@ -52,7 +52,7 @@ def test_wav_decode_mono_contract_and_chunks(spark):
             kept[os.path.basename(r.key)] = kept.get(os.path.basename(r.key), 0) + 1
             assert len(r.samples) == r.len == 30 * 16000
     assert kept == per
-    assert {os.path.basename(r.key): r.reason for r in fused if r.reason} == {"stereo.wav": "not_mono"}
+    assert {os.path.basename(r.key): r.reason for r in fused if r.reason} == {"stereo.wav": "not_mono", "mono_half.wav": "too_short"}
 
 
 def test_manifest_round_trip(spark):
@@ -97,7 +97,7 @@ def test_tokenize_corpus_end_to_end(spark):
     store = scratch_path(spark, "t-e1-store")
     enc = {"semantic": toy_semantic(2), "acoustic": toy_acoustic(4, 3)}
     report = {(os.path.basename(r.key), r.stage, r.reason) for r in tokenize_corpus(spark, d, enc, store, bandwidth=3.0).collect()}
-    assert report == {("s.wav", "decode", "not_mono")}
+    assert report == {("s.wav", "decode", "not_mono"), ("t.wav", "decode", "too_short")}
     sem, ac = load_streams(spark, store, "train", 3.0, keep=2)
     keys = sorted(os.path.basename(r.key) for r in sem.collect())
     assert keys == ["a.wav", "b.wav1", "b.wav2"]  # 0.5 s dropped; 40 s -> 30 s + back-aligned tail

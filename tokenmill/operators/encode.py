@@ -58,6 +58,8 @@ def encode_job(
     e.g. the clip's split.
     """
     names = list(encoders)
+    if paired and set(names) != set(paired):
+        raise ValueError(f"paired={paired} takes exactly these two encoders, not {names}")
     carry = list(carry or [])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

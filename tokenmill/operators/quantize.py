@@ -3,9 +3,10 @@
 Frames are compared with every centroid - a theta join that would be a
 cross join in SQL.  Instead the codebooks, whose size is fixed by the model
 (checked against ``max_cells`` before anything is collected), are broadcast
-once and each Arrow batch of frames is scored with numpy: exact squared
-differences in blocks for small codebooks, the ``|v|^2 - 2 v.c + |c|^2``
-matrix product for large ones.  Ties go to the lowest centroid id.
+once and each Arrow batch of frames is scored with numpy in blocks of bounded
+size: a matrix product shortlists the centroids that rounding leaves in
+question, exact squared differences decide between them, at any codebook
+size.  Ties go to the lowest centroid id.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_CELLS = 16 * 1024 * 1024  # centroid count x dimension broadcast bound (128 MiB of float64; 10k x 1280 fits)
-EXACT_LIMIT = 1 << 16  # K * D up to which exact differences are used
+BLOCK_CELLS = 1 << 20  # distances held at a time (8 MiB)
 
 
 def _collect_books(books: DataFrame, cid: str, vec: str, q: str | None, max_cells: int) -> dict[int, np.ndarray]:
@@ -44,16 +45,31 @@ def _collect_books(books: DataFrame, cid: str, vec: str, q: str | None, max_cell
 
 def _argmin(V: np.ndarray, C: np.ndarray) -> np.ndarray:
     K, D = C.shape
-    if K * D <= EXACT_LIMIT:
-        rows = max(1, (1 << 22) // max(1, K * D))
-        out = np.empty(len(V), dtype=np.int64)
-        for s in range(0, len(V), rows):
-            blk = V[s : s + rows]
-            dist = ((blk[:, None, :] - C[None, :, :]) ** 2).sum(-1)
-            out[s : s + rows] = dist.argmin(1)
-        return out
-    dist = (V * V).sum(1)[:, None] - 2.0 * (V @ C.T) + (C * C).sum(1)[None, :]
-    return dist.argmin(1)
+    cc = (C * C).sum(1)
+    rows = max(1, BLOCK_CELLS // max(1, K))
+    out = np.empty(len(V), dtype=np.int64)
+    for s in range(0, len(V), rows):
+        blk = V[s : s + rows]
+        vv = (blk * blk).sum(1)[:, None]
+        near = vv - 2.0 * (blk @ C.T) + cc[None, :]
+        # each distance is off by at most this: sums of D products, rounded
+        off = 8.0 * (D + 4) * np.finfo(np.float64).eps * (vv + cc[None, :])
+        best = (near + off).min(1)[:, None]
+        open_ = near - off <= best
+        open_[:, 0] |= ~open_.any(1)  # a frame without finite distances gets unit 0
+        out[s : s + rows] = _decide(blk, C, open_)
+    return out
+
+
+def _decide(V: np.ndarray, C: np.ndarray, open_: np.ndarray) -> np.ndarray:
+    """Per row the first of its open centroids with the least exact distance."""
+    row, cid = np.nonzero(open_)
+    step = max(1, BLOCK_CELLS // max(1, C.shape[1]))
+    parts = [((V[row[s : s + step]] - C[cid[s : s + step]]) ** 2).sum(1) for s in range(0, len(row), step)]
+    exact = np.concatenate(parts) if parts else np.zeros(0)
+    order = np.lexsort((cid, exact, row))
+    first = np.unique(row[order], return_index=True)[1]
+    return cid[order][first]
 
 
 def nearest_unit(

@@ -196,7 +196,7 @@ def reduce_metrics(log: DataFrame, by: str = "update", worker: str = "worker", p
     An update whose ``sample_size`` is 0 has no loss, nll_loss and ppl rows.
     """
     totals, comps = _log_columns(log)
-    sums = log_partial_sum(log, by, worker)
+    sums = log.groupBy(by).agg(*[F.sum(c).alias(c) for c in log.columns if c not in (by, worker)])
     ss = F.col("sample_size")
     bits = lambda c: F.try_divide(F.col(c), ss) / F.lit(LN2)
     raw = F.pow(F.lit(2.0), bits("loss"))

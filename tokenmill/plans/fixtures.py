@@ -49,17 +49,27 @@ def fx_sem0(spark, sf_dir) -> DataFrame:
     # read (column pruning) never computes the per-word hashes
     return spark.sql(
         "SELECT doc_id, key, cast(n_words as int) AS len, "
-        f"transform(split(text, ' ', -1), w -> {_h('substr(w, 1, 1)')} % 10000) AS units "
+        f"transform(split(text, ' ', -1), w -> {_h('w')} % 10000) AS units "
         "FROM {c}",
         c=fx_clips(spark, sf_dir),
     )
 
 
 def fx_sem(spark, sf_dir) -> DataFrame:
-    return fx_sem0(spark, sf_dir).where("doc_id % 29 <> 0")
+    return fx_sem0(spark, sf_dir)
+
+
+def fx_sem_gaps(spark, sf_dir) -> DataFrame:
+    """Semantic streams with missing keys, for the pairing queries only."""
+    return fx_sem(spark, sf_dir).where("doc_id % 29 <> 0")
 
 
 def fx_ac(spark, sf_dir) -> DataFrame:
+    """Acoustic streams of all clips."""
+    return fx_ac_all(spark, sf_dir).drop("doc_id")
+
+
+def fx_ac_all(spark, sf_dir) -> DataFrame:
     """Acoustic stand-in: 4 codebooks of ``la = len * 3 div 2`` frames, flat codebook-major.
 
     Frame ``t`` of codebook ``c`` is ``(units[t * 2 div 3] * (c + 1) + t * 7 + c * 13) % 1024``.
@@ -68,7 +78,7 @@ def fx_ac(spark, sf_dir) -> DataFrame:
     """
     from pyspark.sql import functions as F
 
-    s0 = fx_sem0(spark, sf_dir).where("doc_id % 31 <> 0")
+    s0 = fx_sem0(spark, sf_dir)
     la = F.expr("cast(len * 3 div 2 as int)")
     up = F.slice(F.flatten(F.transform("units", lambda x, j: F.array_repeat(x, 2 - j % 2))), 1, F.col("la"))
     def book(c: int):
@@ -78,10 +88,15 @@ def fx_ac(spark, sf_dir) -> DataFrame:
     return (
         s0.withColumn("la", la)
         .withColumn("ue", up)
-        .select("key", F.lit(4).alias("depth"), F.col("la").alias("len"), F.concat(*books).alias("tokens"))
+        .select("doc_id", "key", F.lit(4).alias("depth"), F.col("la").alias("len"), F.concat(*books).alias("tokens"))
     )
 
 
+def fx_ac_gaps(spark, sf_dir) -> DataFrame:
+    """Acoustic streams with other missing keys, for the pairing queries only."""
+    return fx_ac_all(spark, sf_dir).where("doc_id % 31 <> 0").drop("doc_id")
+
+
 def fx_shards(spark, sf_dir) -> DataFrame:
     sem = fx_sem(spark, sf_dir)
     return spark.sql(

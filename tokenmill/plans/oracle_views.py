@@ -27,15 +27,17 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "fx_sem0": (
         ["fx_clips"],
         "SELECT doc_id, key, len(units)::INT AS len, units FROM (SELECT doc_id, key, "
-        f"list_transform(string_split(text, ' '), lambda w: {h('substr(w, 1, 1)')} % 10000) AS units FROM fx_clips)",
+        f"list_transform(string_split(text, ' '), lambda w: {h('w')} % 10000) AS units FROM fx_clips)",
     ),
-    "fx_sem": (["fx_sem0"], "SELECT * FROM fx_sem0 WHERE doc_id % 29 <> 0"),
+    "fx_sem": (["fx_sem0"], "SELECT * FROM fx_sem0"),
+    "fx_sem_gaps": (["fx_sem0"], "SELECT * FROM fx_sem0 WHERE doc_id % 29 <> 0"),
     "fx_ac": (
         ["fx_sem0"],
-        "SELECT key, 4 AS depth, la AS len, list_transform(range(0, 4 * la), lambda i: "
+        "SELECT doc_id, key, 4 AS depth, la AS len, list_transform(range(0, 4 * la), lambda i: "
         "(units[((i % la) * 2) // 3 + 1] * (i // la + 1) + (i % la) * 7 + (i // la) * 13) % 1024) AS tokens "
-        "FROM (SELECT *, (len * 3 // 2)::INT AS la FROM fx_sem0) WHERE doc_id % 31 <> 0",
+        "FROM (SELECT *, (len * 3 // 2)::INT AS la FROM fx_sem0)",
     ),
+    "fx_ac_gaps": (["fx_ac"], "SELECT * FROM fx_ac WHERE doc_id % 31 <> 0"),
     "fx_shards": (
         ["fx_sem"],
         "SELECT (doc_id % 4)::INT AS worker, key, len FROM fx_sem UNION ALL "

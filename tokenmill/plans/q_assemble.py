@@ -139,24 +139,25 @@ _CODES = "tokens[(j % 2) * len_ac + ac_start + j // 2 + 1]"
 
 @query(
     "pair_streams",
-    with_views("ox_pair") + "SELECT key, len_sem, depth, len_ac FROM ox_pair",
+    with_views("fx_sem_gaps", "fx_ac_gaps")
+    + "SELECT s.key, s.len AS len_sem, a.depth, a.len AS len_ac FROM fx_sem_gaps s JOIN fx_ac_gaps a USING (key)",
 )
 def q_pair_streams(spark, sf):
     from tokenmill.operators.assemble import pair_streams
 
-    return pair_streams(fx.fx_sem(spark, sf), fx.fx_ac(spark, sf), with_tokens=False)
+    return pair_streams(fx.fx_sem_gaps(spark, sf), fx.fx_ac_gaps(spark, sf), with_tokens=False)
 
 
 @query(
     "unpaired_keys",
-    with_views("fx_sem", "fx_ac")
-    + "SELECT key, 'acoustic' AS missing_from FROM (SELECT key FROM fx_sem EXCEPT SELECT key FROM fx_ac) "
-    "UNION ALL SELECT key, 'semantic' FROM (SELECT key FROM fx_ac EXCEPT SELECT key FROM fx_sem)",
+    with_views("fx_sem_gaps", "fx_ac_gaps")
+    + "SELECT key, 'acoustic' AS missing_from FROM (SELECT key FROM fx_sem_gaps EXCEPT SELECT key FROM fx_ac_gaps) "
+    "UNION ALL SELECT key, 'semantic' FROM (SELECT key FROM fx_ac_gaps EXCEPT SELECT key FROM fx_sem_gaps)",
 )
 def q_unpaired_keys(spark, sf):
     from tokenmill.operators.assemble import unpaired_keys
 
-    return unpaired_keys(fx.fx_sem(spark, sf), fx.fx_ac(spark, sf))
+    return unpaired_keys(fx.fx_sem_gaps(spark, sf), fx.fx_ac_gaps(spark, sf))
 
 
 @query(

@@ -66,7 +66,7 @@ def decode_pieces(df: DataFrame, chunk_s: int = 30, min_s: int = 1, key: str = "
     """S4 + P5 + P2-P4 fused: decode each file once and emit its kept pieces.
 
     Mono clips yield one row per piece carrying only that piece's samples
-    (``reason`` null); a clip that is not mono or fails to decode yields one
+    (``reason`` null); a clip that is too short, not mono or fails to decode yields one
     row with its ``reason`` and no samples, so the reject list is a filter.
     """
     from tokenmill.operators.chunking import piece_plan
@@ -88,6 +88,7 @@ def decode_pieces(df: DataFrame, chunk_s: int = 30, min_s: int = 1, key: str = "
                 x = _pcm_to_float(raw, width, 1)
                 for no, start, ln, chunked in piece_plan(n, sr, chunk_s, min_s):
                     if not chunked and ln < min_s * sr:
+                        out.append((k, sr, ch, n, None, None, None, None, None, None, "too_short"))
                         continue
                     out.append((k, sr, ch, n, no, start, ln, chunked, f"{k}{no}" if chunked else k, x[start : start + ln], None))
             cols = [c.split()[0] for c in PIECES_SCHEMA.split(", ")]
