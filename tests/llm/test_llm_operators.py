@@ -276,6 +276,24 @@ def test_html_main_text(spark):
     assert sorted(got) == [(1, want, len(want)), (2, "", 0), (3, "", 0), (4, "cut", 3), (4, "cut", 3)]
 
 
+LINE = "The river rose over night, and the people of the town carried their things up the hill, as every spring."
+AROUND = "<nav><a href=/>Home</a><a href=/b>News</a></nav>{}<footer>Copyright us, all rights reserved.</footer>"
+
+
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        (f"<div><h1>Flood</h1><p>{LINE}</p><ul><li>one</li></ul></div><ul><li><a>Another page of ours</a></li></ul>", ["Flood", LINE, "one"]),
+        (f"<div id=content><h1>Flood</h1><p>{LINE}</p></div><div><article class=card><h3>Card</h3><p>More.</p></article></div>", ["Flood", LINE]),
+        (f"<article><h1>One</h1><p>{LINE}</p></article><div><article class=story><h2>Two</h2><p>{LINE}</p></article></div>", ["One", LINE, "Two", LINE]),
+        (f"<main><p>{LINE}</p><article><h1>One</h1><p>{LINE}</p></article></main>", [LINE, "One", LINE]),
+        (f"<main><p>{LINE}</p><table><tr><td>a</td><td>12</td></tr></table></main>", [LINE, "a", "12"]),
+    ],
+)
+def test_html_ratios_decide_with_and_without_an_article(body, want):
+    assert html_text.main_text(AROUND.format(body)).split("\n") == want
+
+
 def test_stages_keep_the_columns_of_documents(spark):
     import corpus_pipeline as P
 

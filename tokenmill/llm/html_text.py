@@ -1,14 +1,15 @@
 """Main text of HTML pages by tag-path ratios.
 
 A page is read as a sequence of text nodes, each under its root-to-leaf tag
-path.  Per path the page's text length, punctuation and node count are summed
-and turned into two ratios (text per node, and punctuation per text); both
-are smoothed towards the values of the path's parent and fused into one
-score.  The content root is the path prefix that holds the most fused score
-against the text it would leave out; paths below it are content unless their
-tags say otherwise (menus, headers, footers, asides, forms, scripts, adverts,
-notices, reader comments).  Short blocks inside the content root stay: the
-threshold is on paths, not on blocks.
+path.  Per path the text is turned into two ratios (characters per node,
+averaged over characters, and punctuation per text); both are smoothed towards
+the values of the path's parent and fused into one score, which names weigh:
+an article or main element, or a name such as content, raises it, names of
+menus, footers, adverts or comments lower it, and so do lists of links.  Paths
+whose score reaches a share of the page's best are content, wherever they are.
+Short blocks (headings, list items, cells) below a content root stay: they are
+smoothed towards the root's best path, unless a name below the root or their
+links lower them.
 
 Pages are independent rows, so the job is one pass over the table without a
 shuffle.  Defined results: null and empty html give an empty text; broken
@@ -57,6 +58,9 @@ CLOSES_P = BLOCK - {"html", "body", "head"}
 #: Elements that an opening tag of the same family ends where their own end tag is left out.
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
+ROOTS = frozenset("article main".split())
+CONTAINERS = frozenset("html body div section article main center table tbody tr td form blockquote".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MARKS = re.compile(r"[.,;:!?。，！？…]")
 # --- end of fixed values ---
 
@@ -69,6 +73,9 @@ NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([
 LAYOUT = re.compile(r"(?:^|[^a-z])(?:has|with|no|without)[-_ ]+[a-z]+")  # "content-with-sidebar" is not a sidebar
 SPACES = re.compile(r"\s+")
 SMOOTH = 0.3
+THRESHOLD = 0.15
+LONGEST = 120
+RAISED, LOWERED = 5.0, 0.02
 
 
 def _named(tag: str, attributes: str) -> tuple[bool, bool]:
@@ -166,84 +173,96 @@ def text_nodes(page: str) -> list[tuple[tuple[str, ...], int, str]]:
     return out
 
 
-def _outside(path: tuple[str, ...], root: int) -> bool:
-    """Whether a step below the content root names a part that is not main text."""
+def _weight(path: tuple[str, ...]) -> tuple[float, int]:
+    """Factor of a path by the names of its steps, and the depth from which on none of them lowers it."""
+    weight, raised, after = 1.0, False, 0
     for i, step in enumerate(path):
         plain = step.lstrip("!+")
-        if plain in OUTSIDE or step[0] == "!":
-            return True
-        if plain == "header" and not (i >= root > 0):
-            return True
-    return False
+        if step[0] == "!" or plain in OUTSIDE or plain == "header" and not raised:
+            weight, after = weight * LOWERED, i + 1
+        elif not raised and (step[0] == "+" or plain in ROOTS):
+            weight, raised = weight * RAISED, True
+    return weight, after
 
 
-def content_paths(nodes: list[tuple[tuple[str, ...], int, str]]) -> tuple[int, set[tuple[str, ...]]]:
-    """Depth of the content root and the content paths of a page."""
+def content_paths(nodes: list[tuple[tuple[str, ...], int, str]]) -> set[tuple[str, ...]]:
+    """The content paths of a page: those whose fused score reaches the threshold."""
     length: dict[tuple[str, ...], int] = defaultdict(int)
+    squares: dict[tuple[str, ...], int] = defaultdict(int)
     marks: dict[tuple[str, ...], int] = defaultdict(int)
-    count: dict[tuple[str, ...], int] = defaultdict(int)
     for path, _, text in nodes:
         n = len(SPACES.sub(" ", text).strip())
         if n:
             length[path] += n
+            squares[path] += n * n
             marks[path] += len(MARKS.findall(text))
-            count[path] += 1
     paths = list(length)
     if not paths:
-        return 0, set()
-    # an article or main element is the content root wherever a page has one
-    for wanted in ("article", "main"):
-        named = [p for p in paths if any(s.lstrip("!+") == wanted for s in p) and not _outside(p, 0)]
-        if named:
-            size: dict[tuple[str, ...], int] = defaultdict(int)
-            for p in named:
-                i = next(i for i, s in enumerate(p) if s.lstrip("!+") == wanted)
-                size[p[: i + 1]] += length[p]
-            root = max(size, key=lambda r: (size[r], -len(r)))
-            return len(root), {p for p in paths if p[: len(root)] == root and not _outside(p, len(root))}
-    inside = [p for p in paths if not _outside(p, 0)]
-    if not inside:
-        return 0, set()
-
-    # ratios of a path, smoothed towards those of its parent
-    def ratios(keys) -> tuple[float, float]:
-        n, m, c = (sum(d[k] for k in keys) for d in (length, marks, count))
-        return n / max(1, c), m / max(1, n) * 100
-
-    under: dict[tuple[str, ...], list[tuple[str, ...]]] = defaultdict(list)
-    for p in inside:
-        for d in range(len(p) + 1):
-            under[p[:d]].append(p)
+        return set()
+
+    weight = {p: _weight(p) for p in paths}
+
+    # ratios of a path, smoothed towards those of its parent and fused
+    total: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0, 0])
+    for p in {q[:-1] for q in paths}:
+        total[p] = [0, 0, 0]
+    for p in paths:
+        for d in range(weight[p][1], len(p) + 1):
+            if p[:d] in total:
+                for k, v in enumerate((length[p], squares[p], marks[p])):
+                    total[p[:d]][k] += v
+
+    def ratios(n: int, square: int, mark: int) -> tuple[float, float]:
+        return min(square / max(1, n), LONGEST), min(mark / max(1, n) * 100, 4.0)
+
     score = {}
-    for p in inside:
-        own, parent = ratios([p]), ratios(under[p[:-1]])
+    for p in paths:
+        own, parent = ratios(length[p], squares[p], marks[p]), ratios(*total[p[:-1]])
         text_ratio, mark_ratio = ((1 - SMOOTH) * a + SMOOTH * b for a, b in zip(own, parent))
-        score[p] = text_ratio * (0.25 + min(mark_ratio, 4.0))
+        score[p] = text_ratio * (1 + mark_ratio / 4) * weight[p][0]
+    linked = {p: _link_share(p, length) for p in paths}
+    score = {p: v * (1 - linked[p]) for p, v in score.items()}
     top = max(score.values())
-    strong = [p for p in inside if score[p] >= 0.15 * top]
-    total = sum(length[p] for p in strong)
-    best, best_value = (), -1.0
-    for prefix, held in under.items():
-        mine = sum(length[p] for p in held if p in score and score[p] >= 0.15 * top)
-        weak = sum(length[p] for p in held) - mine
-        named = any(s[:1] == "+" for s in prefix)
-        value = mine / total - 0.5 * weak / total + 0.01 * len(prefix) + 0.1 * named
-        if value > best_value:
-            best, best_value = prefix, value
-
+    strong = {p for p in paths if score[p] >= THRESHOLD * top}
 
-    def only_links(p: tuple[str, ...]) -> bool:
-        if score[p] >= 0.15 * top or not any(s.lstrip("!+") == "a" for s in p):
-            return False
-        around = p[: next(i for i, s in enumerate(p) if s.lstrip("!+") == "a")]
-        return length[around] < 0.5 * length[p] if around in length else True
-
-    return len(best), {p for p in inside if p[: len(best)] == best and not only_links(p)}
+    # content roots: the container that holds the most strong text, and those of the strong paths that are elsewhere or named
+    held: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0])
+    for p in paths:
+        for d in range(len(p) + 1):
+            if (d == 0 or p[d - 1].lstrip("!+") in CONTAINERS) and (p in strong or d >= weight[p][1]):
+                held[p[:d]][p not in strong] += length[p]
+    every = max(1, held[()][0])
+    best = max(held, key=lambda q: (held[q][0] - 0.5 * held[q][1]) / every + 0.01 * len(q))
+    roots: dict[tuple[str, ...], float] = defaultdict(float)
+    for p in strong:
+        inside = next((i + 1 for i, s in enumerate(p) if s[0] == "+" or s.lstrip("!+") in ROOTS), 0)
+        if p[: len(best)] == best:
+            roots[best] = max(roots[best], score[p])
+        elif not inside:
+            inside = max((i + 1 for i, s in enumerate(p) if s.lstrip("!+") in CONTAINERS), default=len(p))
+        if inside:
+            roots[p[:inside]] = max(roots[p[:inside]], score[p])
+
+    # a path below a root is smoothed towards the root's best path, unless its own names or links lower it
+    def fused(p: tuple[str, ...]) -> float:
+        near = [v for d in range(weight[p][1], len(p) + 1) if (v := roots.get(p[:d])) and linked[p] < 0.5]
+        return max([score[p], *near])
+
+    return {p for p in paths if fused(p) >= THRESHOLD * top}
+
+
+def _link_share(path: tuple[str, ...], length: dict[tuple[str, ...], int]) -> float:
+    """How far a path is a list of links: 1 if the element around its link has no text of its own."""
+    at = next((i for i, s in enumerate(path) if s.lstrip("!+") == "a"), None)
+    plain = {s.lstrip("!+") for s in path[:at]}
+    if at is None or plain & (ROOTS | HEADINGS):
+        return 0.0
+    return 1 - min(1.0, 2 * length.get(path[:at], 0) / length[path])
 
 
 def main_text(page: str | None) -> str:
     nodes = text_nodes(page or "")
-    _, content = content_paths(nodes)
+    content = content_paths(nodes)
     blocks: list[str] = []
     current, parts = None, []
     for path, block, text in nodes:
