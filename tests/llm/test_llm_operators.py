@@ -294,6 +294,21 @@ def test_html_ratios_decide_with_and_without_an_article(body, want):
     assert html_text.main_text(AROUND.format(body)).split("\n") == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<form id=aspnetForm>{AROUND.format(f'<div><h1>Flood</h1><p>{LINE}</p></div>')}</form>", ["Flood", LINE]),
+        (f"<form>{AROUND.format(f'<article><h1>Flood</h1><p>{LINE}</p></article>')}</form>", ["Flood", LINE]),
+        (f"<div id='widget-root'>{AROUND.format(f'<div><p>{LINE}</p></div>')}</div>", [LINE]),
+        (f"<p>A tagline.</p><form>{AROUND.format(f'<div><p>{LINE}</p><p>{LINE}</p></div>')}</form>", ["A tagline.", LINE, LINE]),
+        (f"<article><div class='page-header'><h1>Flood</h1></div><p class=teaser>{LINE}</p><div class=teaser>More.</div></article>", ["Flood", LINE]),
+        (f"<article><p>{LINE}</p><form><label>Name</label></form></article><div id=comments>{f'<p>{LINE}</p>' * 9}</div>", [LINE]),
+    ],
+)
+def test_html_names_weigh_and_do_not_veto(page, want):
+    assert html_text.main_text(page).split("\n") == want
+
+
 def test_stages_keep_the_columns_of_documents(spark):
     import corpus_pipeline as P
 

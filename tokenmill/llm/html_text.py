@@ -20,6 +20,7 @@ far as it goes; every row gives one row, repeated ones too.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -50,6 +51,11 @@ OUTSIDE_WORDS = frozenset(
     "sharing sidebar sidebars signup social sponsor sponsored sponsors subscribe subscription teaser toc toolbar widget "
     "widgets complementary contentinfo alert alertdialog".split()
 )
+#: Of these only the weight falls: long text with punctuation stays.
+SOFT = frozenset("form fieldset dialog label".split())
+SOFT_WORDS = frozenset("banner form login modal notice notices search social teaser toolbar widget widgets alert alertdialog".split())
+#: These say nothing inside an article, main or content element.
+TOP_WORDS = frozenset("header masthead".split())
 INSIDE_WORDS = frozenset("article body content entry main post story text".split())
 #: Of these elements only a few names say that they are not main text.
 KEPT = frozenset("article main body html".split())
@@ -75,29 +81,34 @@ SPACES = re.compile(r"\s+")
 SMOOTH = 0.3
 THRESHOLD = 0.15
 LONGEST = 120
-RAISED, LOWERED = 5.0, 0.02
+RAISED, SOFTENED, LOWERED = 5.0, 0.3, 0.02
+MARKED = "!?^+"
 
 
-def _named(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether the element's own names say that it is outside or inside the main text."""
-    outside = inside = False
+def _named(tag: str, attributes: str) -> str:
+    """The mark of an element by its own names: one of ``MARKED``, or nothing."""
+    found: set[str] = set()
+    hidden = inside = False
     for key, a, b, c in NAMED.findall(attributes):
         value = (a or b or c).lower()
         key = key.lower()
         if key == "hidden" or key == "aria-hidden":
-            outside |= key == "hidden" or value == "true"
+            hidden |= key == "hidden" or value == "true"
             continue
         words = set(re.split(r"[^a-z]+", LAYOUT.sub(" ", value)))
-        outside |= bool(words & (OUTSIDE_WORDS if tag not in KEPT else KEPT_OUTSIDE))
+        found |= words & (OUTSIDE_WORDS if tag not in KEPT else KEPT_OUTSIDE)
         inside |= bool(words & INSIDE_WORDS)
-    return outside, inside
+    if hidden or found - SOFT_WORDS - TOP_WORDS:
+        return "!"
+    return "?" if found & SOFT_WORDS else "^" if found else "+" if inside else ""
 
 
 def text_nodes(page: str) -> list[tuple[tuple[str, ...], int, str]]:
     """(tag path, number of the block, decoded text) in page order.
 
     A step of a path is the tag, with ``!`` before it where the element is
-    named as outside the main text and ``+`` where it is named as inside.
+    named as outside the main text, ``?`` where it may be, ``^`` where it is
+    named as the head of something and ``+`` where it is named as inside.
     """
     out: list[tuple[tuple[str, ...], int, str]] = []
     path: list[str] = []
@@ -165,24 +176,57 @@ def text_nodes(page: str) -> list[tuple[tuple[str, ...], int, str]]:
             continue
         if m[3].rstrip().endswith("/") and name not in BLOCK:
             continue
-        outside, inside = _named(name, m[3])
+        mark = _named(name, m[3])
         if name in BLOCK:
             block += 1
         names.append(name)
-        path.append(("!" if outside else "+" if inside else "") + name)
+        path.append(mark + name)
     return out
 
 
-def _weight(path: tuple[str, ...]) -> tuple[float, int]:
-    """Factor of a path by the names of its steps, and the depth from which on none of them lowers it."""
-    weight, raised, after = 1.0, False, 0
+def _inside(step: str) -> bool:
+    return step[0] == "+" or step.lstrip(MARKED) in ROOTS
+
+
+def _lowering(path: tuple[str, ...]) -> dict[int, float]:
+    """The steps of a path (by index) whose names lower it, with their factors."""
+    out, raised = {}, False
     for i, step in enumerate(path):
-        plain = step.lstrip("!+")
-        if step[0] == "!" or plain in OUTSIDE or plain == "header" and not raised:
-            weight, after = weight * LOWERED, i + 1
-        elif not raised and (step[0] == "+" or plain in ROOTS):
-            weight, raised = weight * RAISED, True
-    return weight, after
+        plain = step.lstrip(MARKED)
+        if step[0] == "!" or plain in OUTSIDE - SOFT:
+            out[i] = LOWERED
+        elif step[0] == "?" or plain in SOFT or not raised and (step[0] == "^" or plain == "header"):
+            out[i] = SOFTENED
+        elif _inside(step):
+            raised = True
+    return out
+
+
+def _weights(fused: dict[tuple[str, ...], float], count: dict[tuple[str, ...], int]) -> dict[tuple[str, ...], tuple[float, int]]:
+    """Factor of every path by the names of its steps, and the depth from which on none of them lowers it.
+
+    A step that holds most of the page's fused score is no part beside the
+    main text but the page or its text itself: its name does not count.
+    A soft name is left out of the score it is judged by.
+    """
+    lowering = {p: _lowering(p) for p in fused}
+    raised = {p: any(i not in lowering[p] and _inside(s) for i, s in enumerate(p)) for p in fused}
+    around: set[tuple[str, ...]] = set()
+    while True:
+        weight = {}
+        held: dict[tuple[str, ...], float] = defaultdict(float)
+        of: dict[tuple[str, ...], float] = {}
+        for p, steps in lowering.items():
+            left = {i: f for i, f in steps.items() if p[: i + 1] not in around}
+            weight[p] = math.prod(left.values()) * (RAISED if raised[p] else 1), max(left, default=-1) + 1
+            for i, f in left.items():
+                held[p[: i + 1]] += fused[p] * count[p] * weight[p][0]
+                of[p[: i + 1]] = f
+        every = sum(fused[p] * count[p] * w for p, (w, _) in weight.items())
+        more = {q for q, v in held.items() if (own := v / of[q] if of[q] == SOFTENED else v) > 0.5 * (every - v + own)}
+        if not more:
+            return weight
+        around |= more
 
 
 def content_paths(nodes: list[tuple[tuple[str, ...], int, str]]) -> set[tuple[str, ...]]:
@@ -190,17 +234,26 @@ def content_paths(nodes: list[tuple[tuple[str, ...], int, str]]) -> set[tuple[st
     length: dict[tuple[str, ...], int] = defaultdict(int)
     squares: dict[tuple[str, ...], int] = defaultdict(int)
     marks: dict[tuple[str, ...], int] = defaultdict(int)
+    count: dict[tuple[str, ...], int] = defaultdict(int)
     for path, _, text in nodes:
         n = len(SPACES.sub(" ", text).strip())
         if n:
             length[path] += n
             squares[path] += n * n
             marks[path] += len(MARKS.findall(text))
+            count[path] += 1
     paths = list(length)
     if not paths:
         return set()
 
-    weight = {p: _weight(p) for p in paths}
+
+    def ratios(n: int, square: int, mark: int) -> tuple[float, float]:
+        return min(square / max(1, n), LONGEST), min(mark / max(1, n) * 100, 4.0)
+
+    def fuse(text_ratio: float, mark_ratio: float) -> float:
+        return text_ratio * (1 + mark_ratio / 4)
+
+    weight = _weights({p: fuse(*ratios(length[p], squares[p], marks[p])) for p in paths}, count)
 
     # ratios of a path, smoothed towards those of its parent and fused
     total: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0, 0])
@@ -212,14 +265,11 @@ def content_paths(nodes: list[tuple[tuple[str, ...], int, str]]) -> set[tuple[st
                 for k, v in enumerate((length[p], squares[p], marks[p])):
                     total[p[:d]][k] += v
 
-    def ratios(n: int, square: int, mark: int) -> tuple[float, float]:
-        return min(square / max(1, n), LONGEST), min(mark / max(1, n) * 100, 4.0)
-
     score = {}
     for p in paths:
         own, parent = ratios(length[p], squares[p], marks[p]), ratios(*total[p[:-1]])
         text_ratio, mark_ratio = ((1 - SMOOTH) * a + SMOOTH * b for a, b in zip(own, parent))
-        score[p] = text_ratio * (1 + mark_ratio / 4) * weight[p][0]
+        score[p] = fuse(text_ratio, mark_ratio) * weight[p][0]
     linked = {p: _link_share(p, length) for p in paths}
     score = {p: v * (1 - linked[p]) for p, v in score.items()}
     top = max(score.values())
@@ -229,17 +279,17 @@ def content_paths(nodes: list[tuple[tuple[str, ...], int, str]]) -> set[tuple[st
     held: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0])
     for p in paths:
         for d in range(len(p) + 1):
-            if (d == 0 or p[d - 1].lstrip("!+") in CONTAINERS) and (p in strong or d >= weight[p][1]):
+            if (d == 0 or p[d - 1].lstrip(MARKED) in CONTAINERS) and (p in strong or d >= weight[p][1]):
                 held[p[:d]][p not in strong] += length[p]
     every = max(1, held[()][0])
     best = max(held, key=lambda q: (held[q][0] - 0.5 * held[q][1]) / every + 0.01 * len(q))
     roots: dict[tuple[str, ...], float] = defaultdict(float)
     for p in strong:
-        inside = next((i + 1 for i, s in enumerate(p) if s[0] == "+" or s.lstrip("!+") in ROOTS), 0)
+        inside = next((i + 1 for i, s in enumerate(p) if _inside(s)), 0)
         if p[: len(best)] == best:
             roots[best] = max(roots[best], score[p])
         elif not inside:
-            inside = max((i + 1 for i, s in enumerate(p) if s.lstrip("!+") in CONTAINERS), default=len(p))
+            inside = max((i + 1 for i, s in enumerate(p) if s.lstrip(MARKED) in CONTAINERS), default=len(p))
         if inside:
             roots[p[:inside]] = max(roots[p[:inside]], score[p])
 
@@ -253,8 +303,8 @@ def content_paths(nodes: list[tuple[tuple[str, ...], int, str]]) -> set[tuple[st
 
 def _link_share(path: tuple[str, ...], length: dict[tuple[str, ...], int]) -> float:
     """How far a path is a list of links: 1 if the element around its link has no text of its own."""
-    at = next((i for i, s in enumerate(path) if s.lstrip("!+") == "a"), None)
-    plain = {s.lstrip("!+") for s in path[:at]}
+    at = next((i for i, s in enumerate(path) if s.lstrip(MARKED) == "a"), None)
+    plain = {s.lstrip(MARKED) for s in path[:at]}
     if at is None or plain & (ROOTS | HEADINGS):
         return 0.0
     return 1 - min(1.0, 2 * length.get(path[:at], 0) / length[path])
