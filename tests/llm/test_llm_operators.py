@@ -202,6 +202,20 @@ def test_near_vectors_match_brute_force(spark):
     assert multi_index.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rows, threshold", [(2_000_000, 0.95), (2_000_000, 0.7)])
+def test_near_vectors_are_found_by_rows_outside_the_sample(rows, threshold):
+    rng = np.random.default_rng(11)
+    sample, x, away = (multi_index.unit(rng.standard_normal((n, 64))) for n in (4096, 600, 600))
+    grid = multi_index.fit_grid(sample, rows, threshold)
+    away = multi_index.unit(away - (away * x).sum(axis=1, keepdims=True) * x)
+    near = threshold * x + np.sqrt(1 - threshold**2) * away
+    met = []
+    for at in range(0, len(x), 20):
+        a, b = grid.cells(x[at : at + 20], grid.visits), grid.cells(near[at : at + 20], grid.visits)
+        met += ((a == b[:, :1]).any(axis=1) | (b == a[:, :1]).any(axis=1)).tolist()
+    assert np.mean(met) >= multi_index.TARGET_RECALL - 0.02
+
+
 def test_mixing_targets_and_copies(docs, empty):
     got = mixing.mix_sources(docs, rows_per_block=5).collect()
     assert len(got) == docs.count()

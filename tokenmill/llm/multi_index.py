@@ -6,7 +6,8 @@ its home cell and visits the first cells of its multi-sequence traversal (the
 order of rising distance sums); vectors that meet in a cell are compared in
 double precision.  The number of cells visited is the least that finds the
 home cell of a neighbour at exactly the threshold cosine for the wanted share
-of sampled vectors, so closer pairs are found with more certainty.
+of sampled vectors that the codebooks were not fitted on, so closer pairs are
+found with more certainty; there is no upper bound on it but all cells.
 
 Only the codebooks come from a sample (``SAMPLE_ROWS`` rows, least hash of the
 id); every vector is indexed and every vector is a query.  Equal vectors
@@ -39,7 +40,8 @@ SAMPLE_ROWS = 16_384
 CELL_ROWS = 16
 MAX_WORDS = 1024
 TARGET_RECALL = 0.98
-MAX_VISITS = 256
+HELD_ROWS = 2048
+FIRST_VISITS = 256
 BLOCK_ROWS = 4096
 CHUNK = 512
 
@@ -103,23 +105,37 @@ class Grid:
         return (o1[:, i] * k2 + o2[:, j])[np.arange(len(x))[:, None], best].astype(np.int32)
 
 
+def neighbour_ranks(grid: Grid, x: np.ndarray, near: np.ndarray, most: int) -> np.ndarray:
+    """Per pair the place of the cell in which it meets first in either traversal, ``most`` if not among these."""
+    ranks = np.full(len(x), most)
+    rows = max(16, 1024 * FIRST_VISITS // most)
+    for at in range(0, len(x), rows):
+        seen, back = grid.cells(x[at : at + rows], most), grid.cells(near[at : at + rows], most)
+        for path, home in ((seen, back[:, :1]), (back, seen[:, :1])):  # either of a pair may visit the other
+            hit = path == home
+            found = np.where(hit.any(axis=1), hit.argmax(axis=1), most)
+            ranks[at : at + rows] = np.minimum(ranks[at : at + rows], found)
+    return ranks
+
+
 def fit_grid(sample: np.ndarray, rows: int, threshold: float, recall: float = TARGET_RECALL, seed: int = 7) -> Grid:
-    """Codebooks for about ``CELL_ROWS`` rows a cell and a calibrated traversal."""
+    """Codebooks for about ``CELL_ROWS`` rows a cell and a traversal calibrated on rows kept out of their fit."""
     half = sample.shape[1] // 2
-    k = int(min(MAX_WORDS, max(1, np.sqrt(rows / CELL_ROWS)), max(1, len(sample) // 4)))
-    grid = Grid(codebook(sample[:, :half], k, seed), codebook(sample[:, half:], k, seed + 1))
     rng = np.random.default_rng(seed + 2)
-    x = sample[:2048]
+    held = min(HELD_ROWS, len(sample) // 4)
+    mixed = rng.permutation(len(sample))
+    fit, x = sample[mixed[held:]], sample[mixed[:held]] if held else sample
+    k = int(min(MAX_WORDS, max(1, np.sqrt(rows / CELL_ROWS)), max(1, len(fit) // 4)))
+    grid = Grid(codebook(fit[:, :half], k, seed), codebook(fit[:, half:], k, seed + 1))
+    x = np.repeat(x, max(1, HELD_ROWS // len(x)), axis=0)  # a small sample gives several neighbours of each row
     away = rng.standard_normal(x.shape)
     away = unit(away - (away * x).sum(axis=1, keepdims=True) * x)
     near = threshold * x + np.sqrt(1 - threshold * threshold) * away
-    most = min(MAX_VISITS, k * k)
-    seen, back = grid.cells(x, most), grid.cells(near, most)
-    ranks = np.full(len(x), most)
-    for path, home in ((seen, back[:, :1]), (back, seen[:, :1])):  # either of a pair may visit the other
-        hit = path == home
-        ranks = np.where(hit.any(axis=1), np.minimum(ranks, hit.argmax(axis=1)), ranks)
-    grid.visits = int(min(most, np.sort(ranks)[min(len(x) - 1, int(np.ceil(recall * len(x))))] + 1))
+    wanted = min(len(x) - 1, int(np.ceil(recall * len(x))))
+    most = min(FIRST_VISITS, k * k)
+    while (rank := np.sort(neighbour_ranks(grid, x, near, most))[wanted]) == most < k * k:
+        most = min(2 * most, k * k)
+    grid.visits = int(min(most, rank + 1))
     return grid
 
 
@@ -196,10 +212,12 @@ def near_vectors(
         dim = int(lengths.argmax())
         grid = fit_grid(unit(np.array([r.vector for r in sample if len(r.vector) == dim], float)), total, threshold, recall)
 
+        step = max(16, 2048 * FIRST_VISITS // max(FIRST_VISITS, grid.visits))
+
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 2048):
-                    part = batch.slice(at, 2048)
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
                     cells = grid.cells(unit(matrix(pa.chunked_array([part.column("vector")]))), grid.visits)
                     yield pa.RecordBatch.from_arrays(
                         [
