@@ -5,7 +5,8 @@ and returns a DataFrame.  All but the last return the columns of documents.
 
 1. toxicity: documents that score 0.5 or more go.
 2. n-gram Jaccard join: one document of each group (the least doc_id) stays,
-   five-word shingles, similarity 0.8; one row of repeated rows stays.
+   five-word shingles, similarity 0.8; one row of repeated rows stays.  Texts
+   that share a doc_id are documents of their own, each in its own group.
 3. suffix-array dedup: bytes under repeated 400-byte strings go, whole
    characters only; every document stays, an emptied one with empty text.
 4. mixing: a document is emitted once for each of its copies in the mix (none
@@ -41,17 +42,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
     found = similar_documents(docs.select("doc_id", "text"), gram=5, num=80, den=100)
-    keep = found.where("doc_id is null or doc_id = component_id").select("rk").distinct()
+    # of each component the row of least doc_id (of several texts under it, of least rk); what links with nothing stays
+    rows = found.where("component is not null").groupBy("component", "doc_id", "rk").agg(F.count("*").alias("n"))
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "rk", "n")).alias("first")).select("first.rk", "first.n")
+    alone = found.where("component is null").select("rk", F.lit(1).cast("bigint").alias("n")).distinct()
+    keep = first.unionByName(alone).select(F.col("rk").alias("_rk"), "n")
     rk = F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))))
-    # an id that several texts share stands for its group with the least of them
-    first = found.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").agg(
-        F.min("rk").alias("one"), F.countDistinct("rk").alias("texts")
-    ).where("texts > 1").select("doc_id", "one")
-    kept = docs.withColumn("_rk", rk).join(keep.withColumnRenamed("rk", "_rk"), "_rk", "left_semi")
-    kept = kept.join(first, "doc_id", "left").where("one is null or one = _rk")
-    repeated = found.where("n_shingles > 0 and doc_id is not null").groupBy("rk").agg(F.count("*").alias("n")).where("n > 1")
-    again = kept.join(repeated.select(F.col("rk").alias("_rk")), "_rk", "left_semi").dropDuplicates(["_rk"])
-    once = kept.join(repeated.select(F.col("rk").alias("_rk")), "_rk", "left_anti")
+    kept = docs.withColumn("_rk", rk).join(keep, "_rk")
+    once, again = kept.where("n = 1"), kept.where("n > 1").dropDuplicates(["_rk"])
     return once.select(*COLUMNS).unionByName(again.select(*COLUMNS))
 
 

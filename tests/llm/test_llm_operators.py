@@ -335,3 +335,64 @@ def test_stages_keep_the_columns_of_documents(spark):
     assert P.near_duplicates(spark, twice, sf_dir).count() <= 5
     assert P.mixing(spark, docs, sf_dir).columns == docs.columns
     assert P.repeated_strings(spark, docs.limit(20), sf_dir).columns == docs.columns
+
+
+def test_stages_match_brute_force(spark):
+    import corpus_pipeline as P
+
+    columns = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(5)]
+    rows = [(5, texts[0]), (5, texts[1]), (8, texts[0] + " more"), (9, texts[1] + " more"), (9, texts[2]), (6, texts[2]), (3, texts[3])]
+    rows += [(3, texts[3]), (7, texts[3]), (None, texts[4]), (None, texts[4]), (12, texts[4]), (1, ""), (1, ""), (2, None), (11, "x"), (10, "x")]
+    rows += [(i, t) for i, t in enumerate(_texts(), 100)]
+    df = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], columns)
+
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    sets = []
+    for i, t in rows:
+        w = WORD.findall((t or "").translate(lower)) if i is not None else []
+        sets.append({tuple(w[a : a + 5]) for a in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(rows)))
+    for _ in rows:
+        for x in range(len(rows)):
+            for y in range(len(rows)):
+                both = len(sets[x] & sets[y])
+                if both and 100 * both >= 80 * len(sets[x] | sets[y]):
+                    group[x] = group[y] = min(group[x], group[y])
+    members = {}
+    for x, g in enumerate(group):
+        members.setdefault(g, []).append(x)
+    found = P.near_duplicates(spark, df, "")
+    got = [(r.doc_id, r.text) for r in found.collect()]
+    assert found.columns == df.columns
+    # one row of each group, of its least doc_id
+    of = {r: g for r, g in zip(rows, group) if sets[group.index(g)]}
+    assert Counter((of[r], r[0]) for r in got if r in of) == Counter((g, min(rows[x][0] for x in m)) for g, m in members.items() if sets[m[0]])
+    assert Counter(r for r in got if r not in of) == Counter(r for r, s in zip(rows, sets) if not s)
+
+    seen = Counter((t or "").encode()[a : a + 400] for _, t in rows for a in range(len((t or "").encode()) - 399))
+    kept = {(r.doc_id, r.text, r.n_chars) for r in P.repeated_strings(spark, df, "").collect()}
+    for i, t in rows:
+        text = (t or "").encode()
+        gone = np.zeros(len(text), bool)
+        for a in range(len(text) - 399):
+            if seen[text[a : a + 400]] > 1:
+                gone[a : a + 400] = True
+        left = np.frombuffer(text, np.uint8)[~gone].tobytes().decode()
+        assert (i, left, len(left)) in kept
+    mixed = Counter((r.doc_id, r.text) for r in P.mixing(spark, df, "").collect())
+    want = Counter()
+    for r in mixing.mix_sources(df).collect():
+        want[(r.doc_id, r.text)] += r._copies
+    assert mixed == +want
+
+
+def test_toxic_documents_go(spark):
+    import corpus_pipeline as P
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    want = Counter((r.doc_id, r.text) for r in scored.collect() if r.toxicity < P.TOXIC_FROM)
+    assert Counter((r.doc_id, r.text) for r in P.toxicity(spark, docs, sf_dir).collect()) == want

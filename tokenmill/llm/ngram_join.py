@@ -278,7 +278,10 @@ def _pairs(a, b):
 
 
 def similar_documents(docs: DataFrame, gram: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, text) to (doc_id, rk, n_shingles, component_id); links where den * intersection >= num * union."""
+    """(doc_id, text) to (doc_id, rk, n_shingles, component_id, component); links where den * intersection >= num * union.
+
+    ``component`` is the component's own key (its least class), null where a row links with nothing.
+    """
     rows = docs.select(
         "doc_id", F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).alias("rk"), "text"
     )
@@ -362,12 +365,14 @@ def similar_documents(docs: DataFrame, gram: int = 5, num: int = 80, den: int =
     if not links.isEmpty():
         group = joined(group, links)
     least = with_component(classes.select("fp", "least"), "fp", "c")
-    named = least.join(least.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("fp", "component_id")
+    named = least.join(least.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("fp", "component_id", "c")
+    joins = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     return members.join(named, "fp", "left").select(
         "doc_id",
         "rk",
         F.col("n").alias("n_shingles"),
-        F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(joins, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(joins, F.col("c")).alias("component"),
     )
 
 
