@@ -216,6 +216,21 @@ def test_near_vectors_are_found_by_rows_outside_the_sample(rows, threshold):
     assert np.mean(met) >= multi_index.TARGET_RECALL - 0.02
 
 
+def test_near_vectors_of_every_length_meet(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for dim, n in ((16, 200), (9, 120), (5, 20), (1, 3)):
+        x = rng.standard_normal((n, dim))
+        x = np.vstack([x, x * (1 + 0.01 * rng.standard_normal((n, dim)))])
+        rows += [(1000 * dim + i, v.tolist()) for i, v in enumerate(x)]
+    got = {r.id: (r.n_links, r.component_id) for r in multi_index.near_vectors(spark.createDataFrame(rows, "id bigint, vector array<double>")).collect()}
+    assert len(got) == len(rows)
+    for dim, n in ((16, 200), (9, 120), (5, 20), (1, 3)):
+        pairs = [(1000 * dim + i, 1000 * dim + n + i) for i in range(n)]
+        assert np.mean([got[a][0] > 0 and got[a][1] == got[b][1] for a, b in pairs]) >= 0.97
+        assert all(c // 1000 == dim for i, (_, c) in got.items() if i // 1000 == dim)
+
+
 def test_mixing_targets_and_copies(docs, empty):
     got = mixing.mix_sources(docs, rows_per_block=5).collect()
     assert len(got) == docs.count()

@@ -9,16 +9,16 @@ home cell of a neighbour at exactly the threshold cosine for the wanted share
 of sampled vectors that the codebooks were not fitted on, so closer pairs are
 found with more certainty; there is no upper bound on it but all cells.
 
-Only the codebooks come from a sample (``SAMPLE_ROWS`` rows, least hash of the
-id); every vector is indexed and every vector is a query.  Equal vectors
+Only the codebooks come from a sample (``SAMPLE_ROWS`` rows of a length, least
+hash of the id); every vector is indexed and every vector is a query.  Equal vectors
 are one class with a weight, so copies never form pairs.  A cell with many
 vectors is cut into blocks whose pairs are separate tasks, and tasks return
 link counts and the roots of their links, not pairs.
 
 Defined results: vectors that are null, empty, zero, or hold null or
 non-finite components link with nothing and are their own component;
-vectors of another length than the most common of the sample meet only equal
-vectors; repeated rows are copies and link with each other; a null vec_id has
+every vector length has a grid of its own, and vectors of other lengths never
+link; repeated rows are copies and link with each other; a null vec_id has
 no component of its own (null) and is not kept; empty input gives empty output.
 """
 
@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -204,45 +205,55 @@ def near_vectors(
     classes = cut(
         rows.where("vector is not null").groupBy("vector").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
     )
-    total = classes.count()
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).select("vector").collect()
+    lengths = {r.dim: r.n for r in classes.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).collect()}
     links = edges = None
-    if sample:
-        lengths = np.bincount([len(r.vector) for r in sample])
-        dim = int(lengths.argmax())
-        grid = fit_grid(unit(np.array([r.vector for r in sample if len(r.vector) == dim], float)), total, threshold, recall)
-
-        step = max(16, 2048 * FIRST_VISITS // max(FIRST_VISITS, grid.visits))
+    if lengths:
+        grids = {}
+        for dim, total in lengths.items():
+            if total < 4 * CELL_ROWS:  # one cell
+                grids[dim] = Grid(np.zeros((1, dim // 2)), np.zeros((1, dim - dim // 2)))
+                continue
+            own = classes.where(F.size("vector") == dim)
+            sample = own.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).select("vector").collect()
+            grids[dim] = fit_grid(unit(np.array([r.vector for r in sample], float)), total, threshold, recall)
+        most = max(grid.visits for grid in grids.values())
+        step = max(16, 2048 * FIRST_VISITS // max(FIRST_VISITS, most))
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, step):
-                    part = batch.slice(at, step)
-                    cells = grid.cells(unit(matrix(pa.chunked_array([part.column("vector")]))), grid.visits)
+                sizes = pc.list_value_length(batch.column("vector")).to_numpy(zero_copy_only=False)
+                for part in (
+                    own.slice(at, step)
+                    for dim in np.unique(sizes)
+                    for own in [batch.filter(pa.array(sizes == dim))]
+                    for at in range(0, own.num_rows, step)
+                ):
+                    x = unit(matrix(pa.chunked_array([part.column("vector")])))
+                    cells = grids[x.shape[1]].cells(x, grids[x.shape[1]].visits)
                     yield pa.RecordBatch.from_arrays(
                         [
                             part.column("rep"),
                             part.column("weight"),
                             part.column("vector"),
+                            pa.array(np.full(len(x), x.shape[1], np.int32)),
                             pa.array(cells[:, 0].astype(np.int32)),
                             pa.ListArray.from_arrays(
                                 np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32), pa.array(cells.ravel())
                             ),
                         ],
-                        ["rep", "weight", "vector", "home", "visits"],
+                        ["rep", "weight", "vector", "dim", "home", "visits"],
                     )
 
         kind = dict(classes.dtypes)["vector"]
         placed = (
-            classes.where(F.size("vector") == dim)
-            .select("rep", "weight", "vector")
-            .mapInArrow(place, f"rep bigint, weight bigint, vector {kind}, home int, visits array<int>")
+            classes.select("rep", "weight", "vector")
+            .mapInArrow(place, f"rep bigint, weight bigint, vector {kind}, dim int, home int, visits array<int>")
         )
         met = placed.withColumn("cell", F.explode("visits"))
-        sizes = placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
+        sizes = placed.select("dim", F.explode("visits").alias("cell")).groupBy("dim", "cell").agg(F.count("*").alias("n"))
         parts = F.ceil(F.col("n") / F.lit(block_rows)).cast("int")
         met = (
-            met.join(sizes.select("cell", parts.alias("parts")), "cell")
+            met.join(sizes.select("dim", "cell", parts.alias("parts")), ["dim", "cell"])
             .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             .withColumn("lo", F.least("part", "other"))
@@ -251,9 +262,9 @@ def near_vectors(
         )
 
         def compare(key, block):
-            return compare_block(key[0].as_py(), key[1].as_py(), key[2].as_py(), block, threshold)
+            return compare_block(*(k.as_py() for k in key[1:]), block, threshold)
 
-        found = cut(met.groupBy("cell", "lo", "hi").applyInArrow(compare, "rep bigint, gained bigint, root bigint"))
+        found = cut(met.groupBy("dim", "cell", "lo", "hi").applyInArrow(compare, "rep bigint, gained bigint, root bigint"))
         links = found.groupBy("rep").agg(F.sum("gained").alias("gained"))
         edges = found.where("rep <> root").select(F.col("rep").alias("src"), F.col("root").alias("dst"))
     members = classes.select("vector", "rep", "weight")
