@@ -68,3 +68,14 @@ def test_paired_encoding_rejects_a_third_encoder(spark):
     pieces = spark.createDataFrame([("k", [0.0], 16000, False)], "chunk_key string, samples array<float>, sr int, is_chunked boolean")
     with pytest.raises(ValueError, match="exactly these two"):
         encode_job(pieces, {"a": None, "b": None, "c": None}, paired=("a", "b"))
+
+
+def test_kept_frames_are_the_frames_with_a_code_that_is_not_pad(spark):
+    from tokenmill.operators.scoring import frame_mask, kept_frames, pad_to_batch
+
+    rows = [(0, "a", [[5, 6], [1, 7], [1, 1]]), (0, "b", [[8, 1]]), (1, "c", [[1, 1]]), (1, "d", [])]
+    df = pad_to_batch(spark.createDataFrame(rows, "batch_id int, key string, target array<array<bigint>>"), "target", "batch_id", 2, pad=1)
+    got = sorted((r.batch_id, r.key, r.frame, r.codes) for r in kept_frames(df, pad=1).collect())
+    want = [(b, k, t, c) for b, k, frames in rows for t, c in enumerate(frames) if any(x != 1 for x in c)]
+    assert got == want == [(0, "a", 0, [5, 6]), (0, "a", 1, [1, 7]), (0, "b", 0, [8, 1])]
+    assert {r.batch_id: r.n_kept for r in frame_mask(df, pad=1).collect()} == {0: 3, 1: 0}

@@ -64,6 +64,12 @@ def frame_mask(df: DataFrame, col: str = "target", batch_col: str = "batch_id",
     )
 
 
+def kept_frames(df: DataFrame, col: str = "target", batch_col: str = "batch_id", key: str = "key", pad: int = K.PAD) -> DataFrame:
+    """The kept frames of every batch as rows (batch, key, frame, codes); (key, frame) order flattens a batch."""
+    frames = df.select(batch_col, key, F.posexplode(col).alias("frame", "codes"))
+    return frames.where(F.exists("codes", lambda x: x != pad))
+
+
 def local_drop(df: DataFrame, col: str = "target", p: float = 0.0, key: str = "key", seed: int = 42, pad: int = K.PAD) -> DataFrame:
     """Keep ``floor(n * (1 - p) + 1)`` randomly ranked real frames per row.
 
