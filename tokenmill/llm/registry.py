@@ -21,6 +21,8 @@ MODULES = (
     "suffix",
     "mixing",
     "html_text",
+    "whitening",
+    "prefix_trie",
 )
 
 
