@@ -23,6 +23,7 @@ MODULES = (
     "html_text",
     "whitening",
     "prefix_trie",
+    "lm_scoring",
 )
 
 
