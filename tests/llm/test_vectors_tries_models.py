@@ -201,7 +201,7 @@ def _texts():
     return texts
 
 
-def _scores(rows, order, folds=7, fold=2):
+def _scores(rows, order, folds=7, fold=2, model=False):
     """The same model, walked n-gram by n-gram with plain dictionaries."""
     end = None
     counts = [Counter() for _ in range(order + 1)]
@@ -217,18 +217,16 @@ def _scores(rows, order, folds=7, fold=2):
                         counts[k][tuple(seq[p - k + 1 : p + 1])] += 1
     total, distinct = sum(counts[1].values()), len(counts[1])
     discount = min(0.9, max(sum(c == 1 for c in counts[1].values()), 0.5) / distinct) if distinct else 0.0
-    strength = {}
+    share = {}
     for k in range(2, order + 1):
-        contexts = [c for g, c in counts[k - 1].items() if k == 2 or g[-1] is not end]
-        once = sum(c == 1 for c in counts[k].values())
-        low, high = math.log(1e-4), math.log(1e9)
-        for _ in range(80):
-            mid = (low + high) / 2
-            if sum(c * math.exp(mid) / (c - 1 + math.exp(mid)) for c in contexts) < once:
-                low = mid
-            else:
-                high = mid
-        strength[k] = math.exp((low + high) / 2)
+        after, fresh = Counter(), Counter()
+        for g, c in counts[k].items():
+            seen = counts[k - 1][g[:-1]]
+            if seen > 1:
+                bucket = math.floor(2 * math.log2(seen - 1) + 1e-9)
+                after[bucket] += c
+                fresh[bucket] += c == 1
+        share[k] = {b: (fresh[b] + 0.5) / (after[b] + 1) for b in range(160)}
 
     def p(history, w):
         if not history:
@@ -240,9 +238,11 @@ def _scores(rows, order, folds=7, fold=2):
         seen = counts[k - 1][history]
         if not seen:
             return p(history[1:], w)
-        c = counts[k][(*history, w)]
-        return (c + strength[k] * p(history[1:], w)) / (seen + strength[k])
+        g = share[k][math.floor(2 * math.log2(seen) + 1e-9)]
+        return (1 - g) * counts[k][(*history, w)] / seen + g * p(history[1:], w)
 
+    if model:
+        return p
     out = Counter()
     for i, held, seq in seqs:
         score = sum(math.log10(p(tuple(seq[max(0, q - order + 1) : q]), seq[q])) for q in range(1, len(seq)))
@@ -267,12 +267,28 @@ def test_language_model_matches_brute_force(spark, order, part, block, bins):
     assert _got(got) == _scores(rows, order)
 
 
-def test_language_model_sums_to_one_and_beats_the_base(spark):
-    rows = list(enumerate(_texts()))
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = lm_scoring.score_texts(docs, lm_scoring.left_out()).collect()
-    held = [r for r in got if r.held]
-    assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
+def test_language_model_beats_the_base_on_texts_it_has_not_seen(spark):
+    rng = random.Random(1)
+    follows = {w: [f"w{rng.randrange(40)}" for _ in range(3)] for w in (f"w{i}" for i in range(40))}
+
+    def text():
+        out = [f"w{rng.randrange(40)}"]
+        while len(out) < 30:
+            out.append(rng.choice(follows[out[-1]]))
+        return " ".join(out)
+
+    docs = spark.createDataFrame([(i, text()) for i in range(300)], "doc_id bigint, text string")
+    held = [r for r in lm_scoring.score_texts(docs, lm_scoring.left_out()).collect() if r.held]
+    # three continuations a word: about log10(3) a token, against log10(40) of single words
+    assert len(held) > 20 and all(r.score > 0.6 * r.base_score for r in held)
+
+
+def test_language_model_is_a_distribution():
+    rows = [(i, t) for i, t in enumerate(_texts())]
+    words = {w for _, t in rows for w in WORD.findall((t or "").translate(LOWER))}
+    p = _scores(rows, 3, folds=1, fold=-1, model=True)
+    for history in ((), (None,), ("w1",), ("w1", "w2"), (None, "one"), ("the", "the")):
+        assert abs(sum(p(history, w) for w in [*words, None, "never seen"]) - 1) < 1e-9
 
 
 def test_language_model_without_rows_or_training_texts(spark):

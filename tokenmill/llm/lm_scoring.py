@@ -4,30 +4,36 @@ The model is an n-gram model over lower-cased words and an end token.  Its
 states are the n-grams of up to ``order - 1`` tokens seen in training, its arcs
 the seen n-grams, with the log probability
 
-    p(w | h) = (c(hw) + K p(w | h')) / (c(h) + K),        h' = h without its first token,
+    p(w | h) = (1 - g) c(hw) / c(h) + g p(w | h'),        h' = h without its first token,
 
-and a state's failure arc leads to h' with the weight log(K / (c(h) + K)).
-The strength K of each order is the one at which the mass that leave-one-out
-expects for unseen n-grams equals the n-grams seen once, over the whole corpus.
-At the root a word seen c times has (c - D) / N, and all unseen words together
-the remaining D V / N, with D V the words seen once: the V + 1 events sum to 1.
+and a state's failure arc leads to h' with the weight log(g).  The share g of
+what a context leaves to shorter ones depends on the order and on c(h), by
+halves of a doubling: it is the share of the corpus' tokens that would be new
+after a context seen as often, were each left out of the counts once.  At the
+root a word seen c times has (c - D) / N, and all unseen words together the
+remaining D V / N, with D V the words seen once: the V + 1 events sum to 1.
 
 The automaton grows with the corpus and is never held whole.  Texts are dealt
-into blocks by hash.  A block lists the distinct n-grams it holds (64-bit
+into blocks by hash.  A block lists the distinct n-grams it holds (by hashed
 names, sorted, as differences) with its own training counts; lists meet by
 name range, where counts are summed, and each list is answered by the sums in
-its order.  So a block gets the states and arcs that its own texts can reach,
-builds them, and walks all its texts from left to right at once: each carries
-its state, takes the arc of its next token or falls through failure arcs, and
-accumulates weights.  Texts beyond ``PART_BYTES`` are cut between words into
-parts that start with the ``order - 1`` tokens before them, which lead to the
-same state.
+its order.  So a block gets the states and arcs that its own texts can reach.
+All blocks first tally what the shares g are computed from; then each builds
+its part of the automaton and walks all its texts from left to right at once:
+each carries its state, takes the arc of its next token or falls through
+failure arcs, and accumulates weights.  Texts beyond ``PART_BYTES`` are cut
+between words into parts that start with the ``order - 1`` tokens before them,
+which lead to the same state.  One exchange moves the texts to their blocks,
+and all three readings of a block use it.
+
+Words are told apart by 59 bits of hash, so counts of words are exact for any
+vocabulary; names of longer n-grams have ``SPARE_BITS`` more bits than their
+number takes, so about one n-gram in 2 ** SPARE_BITS shares its count.
 
 Defined results: a null text is an empty one, whose only token is its end; a
 null id is learned from; repeated rows are scored (and learned from) each; an
 empty table gives no rows, and without training texts every score is 0 as is
-the base; other columns are not read.  N-grams are told apart by 60 bits of
-hash.
+the base; other columns are not read.
 """
 
 from __future__ import annotations
@@ -46,12 +52,12 @@ from tokenmill.llm.registry import query
 from tokenmill.llm.words import lower_ascii, mix, pieces, ragged, word_bounds, word_hashes
 
 ORDER = 3
-BLOCK_BYTES = 8 << 20
-BIN_BYTES = 16 << 20
+BLOCK_BYTES = 3 << 20
+BIN_BYTES = 6 << 20
 PART_BYTES = 1 << 20
 PIECE_BYTES = 1 << 20
 WALK = 256
-EXACT = 64
+SPARE_BITS = 12
 _MARK = np.uint64(0x5851F42D4C957F2D)  # the token before the first word and after the last
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -134,10 +140,15 @@ def dealt(docs: DataFrame, held: Column, order: int, blocks: int, limit: int = P
 # ---------------------------------------------------------------- the n-grams of a block
 
 
+def name_bits(size: int) -> int:
+    """Bits of an n-gram's name in a corpus of ``size`` bytes."""
+    return min(58, max(24, size.bit_length() + SPARE_BITS))
+
+
 class Block:
-    """Token positions of a block's parts and the distinct n-grams that end at them."""
+    """Token positions of a block's parts and the names of the n-grams that end at them."""
 
-    def __init__(self, rows: pa.Table, order: int):
+    def __init__(self, rows: pa.Table, order: int, bits: int):
         self.order = order
         lead = rows.column("lead").to_numpy().astype(np.int64)
         begins = rows.column("begins").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -163,28 +174,50 @@ class Block:
         self.first = begins + lead
         self.scored = place >= self.first[self.row]
         self.learned = self.scored & ~held[self.row]
-        gram, names = token, []
         closing = (token == _MARK).astype(np.uint64)
-        self.at = []  # positions of each order's n-grams
-        for k in range(1, order + 1):
+        gram = token
+        self.at = [np.arange(total)]  # positions of each order's n-grams
+        self.names = [((mix(token) >> np.uint64(5)) << np.uint64(4)) | np.uint64(2) | closing]
+        for k in range(2, order + 1):
             at = np.flatnonzero(place >= k - 1)
-            if k > 1:
-                grown = np.zeros(total, np.uint64)
-                grown[at] = mix(gram[at - 1] * np.uint64(0xD6E8FEB86659FD93) + token[at])
-                gram = grown
-            names.append((mix(gram[at]) & ~np.uint64(15)) | np.uint64(k << 1) | closing[at])
+            grown = np.zeros(total, np.uint64)
+            grown[at] = mix(gram[at - 1] * np.uint64(0xD6E8FEB86659FD93) + token[at])
+            gram = grown
             self.at.append(at)
-        sizes = [len(x) for x in names]
-        every = np.concatenate(names)
-        del names
-        self.names, inverse = np.unique(every, return_inverse=True)
-        weight = np.concatenate([self.learned[at] for at in self.at])
-        self.counts = np.bincount(inverse, weight, len(self.names)).astype(np.int64)
+            self.names.append(((gram[at] >> np.uint64(64 - bits)) << np.uint64(4)) | np.uint64(k << 1) | closing[at])
+
+    def distinct(self, counted: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Sorted distinct names of the words, and of all longer n-grams, with their training counts here."""
+        out = []
+        for k in (slice(0, 1), slice(1, None)):
+            names, at = self.names[k], self.at[k]
+            if not names:
+                out.append((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+                continue
+            # the lowest bit says whether the occurrence is learned from
+            every = np.concatenate([(n << np.uint64(1)) | self.learned[a].astype(np.uint64) for n, a in zip(names, at)])
+            every.sort()
+            learned = every & np.uint64(1) if counted else None
+            every >>= np.uint64(1)
+            new = np.ones(len(every), bool)
+            np.not_equal(every[1:], every[:-1], out=new[1:])
+            first = np.flatnonzero(new)
+            counts = np.add.reduceat(learned, first).astype(np.int64) if counted and len(first) else np.zeros(0, np.int64)
+            out.append((every[first], counts))
+        return out
+
+    def number(self) -> int:
+        """Number the distinct n-grams (words first, then the longer ones, by name); returns how many there are."""
+        (words, _), (longer, _) = self.distinct(counted=False)
         self.gram = []  # by order: the n-gram that ends at a position, -1 where the text is too short
-        for k, part in enumerate(np.split(inverse, np.cumsum(sizes)[:-1])):
-            ids = np.full(total, -1, np.int64)
-            ids[self.at[k]] = part
+        for k, (names, at) in enumerate(zip(self.names, self.at)):
+            known, shift = (words, 0) if k == 0 else (longer, len(words))
+            ids = np.full(len(self.row), -1, np.int32)
+            ids[at] = pc.index_in(pa.array(names), value_set=pa.array(known)).to_numpy(zero_copy_only=False) + shift
             self.gram.append(ids)
+        self.level = np.concatenate([np.ones(len(words), np.int8), ((longer >> np.uint64(1)) & np.uint64(7)).astype(np.int8)])
+        self.names = []
+        return len(words) + len(longer)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -202,44 +235,43 @@ def unpack(data: bytes, n: int) -> np.ndarray:
     return out.view("<u8").reshape(n).astype(np.uint64)
 
 
-def _bins(names: np.ndarray, bins: int) -> np.ndarray:
-    """Where each bin of the name space starts in sorted names (with the end)."""
-    place = ((names >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
-    return np.searchsorted(place, np.arange(bins + 1, dtype=np.uint64))
+def _bins(names: np.ndarray, bits: int, bins: int) -> np.ndarray:
+    """Where each bin of the name space starts in sorted names of ``bits`` bits (with the end)."""
+    high = names >> np.uint64(bits - 32) if bits > 32 else names << np.uint64(32 - bits)
+    return np.searchsorted((high * np.uint64(bins)) >> np.uint64(32), np.arange(bins + 1, dtype=np.uint64))
 
 
 _LISTS = "bin int, block int, n bigint, low bigint, names binary, counts binary"
-_SUMS = "block int, bin int, n bigint, counts binary, k int, closing int, bucket int, grams bigint, total bigint"
+_SUMS = "block int, bin int, n bigint, counts binary, tokens bigint, types bigint, once bigint"
+_TALLY = "k int, bucket int, total bigint, fresh bigint, types bigint"
 
 
-def lists_of(order: int, bins: int):
+def lists_of(order: int, bits: int, bins: int):
+    """A block's lists by bin; bins below 0 are of words."""
+
     def work(key, rows):
-        block = Block(rows, order)
-        names, counts = block.names, block.counts
-        cuts = _bins(names, bins)
-        held = [b for b in range(bins) if cuts[b] < cuts[b + 1]]
-        spans = [(cuts[b], cuts[b + 1]) for b in held]
-        return pa.table(
-            {
-                "bin": pa.array(held, pa.int32()),
-                "block": pa.array([key[0].as_py()] * len(held), pa.int32()),
-                "n": pa.array([b - a for a, b in spans], pa.int64()),
-                "low": pa.array(names[[a for a, _ in spans]].view(np.int64)),
-                "names": pa.array([pack(np.diff(names[a:b])) for a, b in spans], pa.binary()),
-                "counts": pa.array([pack(counts[a:b]) for a, b in spans], pa.binary()),
-            }
-        )
+        (words, own), (longer, theirs) = Block(rows, order, bits).distinct(counted=True)
+        out = []
+        for names, counts, width, first in ((words, own, 63, -bins - 1), (longer, theirs, bits + 4, 0)):
+            cuts = _bins(names, width, bins) if len(names) else np.zeros(bins + 1, np.int64)
+            for b in np.flatnonzero(cuts[1:] > cuts[:-1]):
+                x, y = cuts[b], cuts[b + 1]
+                out.append((first + int(b), y - x, int(names[x].view(np.int64)), pack(np.diff(names[x:y])), pack(counts[x:y])))
+        columns = list(zip(*out)) or [[]] * 5
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        bin_, n, low, names, counts = (pa.array(c, t) for c, t in zip(columns, types))
+        block = pa.array([key[0].as_py()] * len(out), pa.int32())
+        return pa.table({"bin": bin_, "block": block, "n": n, "low": low, "names": names, "counts": counts})
 
     return work
 
 
-def buckets(counts: np.ndarray) -> np.ndarray:
-    """Counts up to ``EXACT`` each for itself, greater ones by eighths of a doubling."""
-    return np.where(counts <= EXACT, counts, EXACT + np.floor(8 * np.log2(np.maximum(counts, 1) / EXACT)) + 1).astype(np.int64)
-
-
 def sum_lists(key, rows):
-    """The lists of one bin: their counts summed, a row for each list and the bin's counts of counts."""
+    """The lists of one bin, each answered by the summed counts of its names.
+
+    The first answer of a bin of words also carries how many tokens were
+    learned from, how many words these are, and how many of them came once.
+    """
     n = rows.column("n").to_numpy()
     ends = np.cumsum(n)
     names = np.empty(int(ends[-1]), np.uint64)
@@ -251,64 +283,81 @@ def sum_lists(key, rows):
         names[a + 1 : b] = unpack(steps.as_py(), size - 1)
         np.cumsum(names[a:b], out=names[a:b])
         weight[a:b] = unpack(counts.as_py(), size)
-    distinct, inverse = np.unique(names, return_inverse=True)
-    del names
-    total = np.bincount(inverse, weight, len(distinct)).astype(np.int64)
-    del weight
+    coded = pa.array(names).dictionary_encode()
+    inverse = coded.indices.to_numpy(zero_copy_only=False)
+    total = np.bincount(inverse, weight, len(coded.dictionary)).astype(np.int64)
     answers = [pack(total[inverse[b - s : b]]) for s, b in zip(n, ends)]
-    seen = total > 0
-    c, k, closing = total[seen], (distinct[seen] >> np.uint64(1)).astype(np.int64) & 7, distinct[seen].astype(np.int64) & 1
-    bucket = buckets(c)
-    group, at, size = np.unique(np.stack([k, closing, bucket]), axis=1, return_inverse=True, return_counts=True)
-    sums = np.bincount(at.ravel(), c, group.shape[1]).astype(np.int64)
-    m, stats = len(answers), group.shape[1]
+    sums = [0, 0, 0]
+    if key[0].as_py() < 0:
+        sums = [int(total.sum()), int((total > 0).sum()), int((total == 1).sum())]
+    rest = [0] * (len(n) - 1)
     return pa.table(
         {
-            "block": pa.concat_arrays([rows.column("block").combine_chunks().cast(pa.int32()), pa.array([-1] * stats, pa.int32())]),
-            "bin": pa.array([key[0].as_py()] * (m + stats), pa.int32()),
-            "n": pa.array([*n.tolist(), *[0] * stats], pa.int64()),
-            "counts": pa.array([*answers, *[None] * stats], pa.binary()),
-            "k": pa.array([None] * m + group[0].tolist(), pa.int32()),
-            "closing": pa.array([None] * m + group[1].tolist(), pa.int32()),
-            "bucket": pa.array([None] * m + group[2].tolist(), pa.int32()),
-            "grams": pa.array([None] * m + size.tolist(), pa.int64()),
-            "total": pa.array([None] * m + sums.tolist(), pa.int64()),
+            "block": rows.column("block"),
+            "bin": rows.column("bin"),
+            "n": rows.column("n"),
+            "counts": pa.array(answers, pa.binary()),
+            **{name: pa.array([v, *rest], pa.int64()) for name, v in zip(("tokens", "types", "once"), sums)},
         }
     )
 
 
+def _answers(block: Block, sums: pa.Table) -> np.ndarray:
+    """The corpus counts of a block's n-grams, as it numbers them."""
+    total = block.number()
+    lists = sorted((r["bin"], r["n"], r["counts"]) for r in sums.select(["bin", "n", "counts"]).to_pylist() if r["counts"] is not None)
+    counts = np.concatenate([unpack(c, n) for _, n, c in lists]).astype(np.int64) if lists else np.zeros(0, np.int64)
+    if len(counts) != total:
+        raise ValueError("a block's n-grams differ between its readings")
+    return counts
+
+
 # ---------------------------------------------------------------- the model
 
 
-class Smoothing:
-    """What the counts of counts of the whole corpus say: sizes, the root's discount, and K of each order."""
+def buckets(counts: np.ndarray) -> np.ndarray:
+    """Counts from 1 by halves of a doubling."""
+    return np.floor(2 * np.log2(np.maximum(counts, 1)) + 1e-9).astype(np.int64)
 
-    def __init__(self, stats: list[dict], order: int):
-        first = [s for s in stats if s["k"] == 1]
-        self.tokens = sum(s["total"] for s in first)
-        self.distinct = sum(s["grams"] for s in first)
-        once = sum(s["grams"] for s in first if s["bucket"] == 1)
-        self.discount = min(0.9, max(once, 0.5) / self.distinct) if self.distinct else 0.0
-        self.strength = {
-            k: self._solve(
-                [(s["total"], s["total"] / s["grams"]) for s in stats if s["k"] == k - 1 and (k == 2 or not s["closing"])],
-                sum(s["grams"] for s in stats if s["k"] == k and s["bucket"] == 1),
-            )
-            for k in range(2, order + 1)
-        }
 
-    @staticmethod
-    def _solve(contexts: list[tuple[int, float]], unseen: int) -> float:
-        """K at which ``unseen`` tokens are expected to be new after their context, each left out once."""
-        low, high = math.log(1e-4), math.log(1e9)
-        for _ in range(80):
-            mid = (low + high) / 2
-            k = math.exp(mid)
-            if sum(total * k / (mean - 1 + k) for total, mean in contexts) < unseen:
-                low = mid
+def tally_block(order: int, bits: int):
+    """What the shares are computed from: of each order and bucket of contexts, tokens and those that would be new."""
+
+    def work(key, rows, sums):
+        held = [np.zeros(0, np.int64)] * 5
+        if rows.num_rows:
+            block = Block(rows, order, bits)
+            counts = _answers(block, sums)
+            own = [int(sums.column(c).to_numpy().sum()) for c in ("tokens", "once", "types")]
+            out = [(1, 0, *own)]
+            for k in range(2, order + 1):
+                at = block.at[k - 1]
+                at = at[block.learned[at]]
+                context, gram = counts[block.gram[k - 2][at - 1]], counts[block.gram[k - 1][at]]
+                seen = context > 1  # besides the token itself
+                b = buckets(context[seen] - 1)
+                total, fresh = np.bincount(b), np.bincount(b, gram[seen] == 1)
+                out += [(k, i, int(total[i]), int(fresh[i]), 0) for i in np.flatnonzero(total)]
+            held = list(zip(*out))
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        names = ("k", "bucket", "total", "fresh", "types")
+        return pa.table({name: pa.array(c, t) for name, c, t in zip(names, held, types)})
+
+    return work
+
+
+class Smoothing:
+    """What the tallies of the whole corpus say: sizes, the root's discount, and the shares of each order."""
+
+    def __init__(self, tallies: list[dict], order: int):
+        self.tokens = self.distinct = once = 0
+        self.share = {k: np.full(160, 0.5) for k in range(2, order + 1)}
+        for t in tallies:
+            if t["k"] == 1:
+                self.tokens, once, self.distinct = t["total"], t["fresh"], t["types"]
             else:
-                high = mid
-        return math.exp((low + high) / 2)
+                self.share[t["k"]][t["bucket"]] = (t["fresh"] + 0.5) / (t["total"] + 1)
+        self.discount = min(0.9, max(once, 0.5) / self.distinct) if self.distinct else 0.0
 
 
 class Automaton:
@@ -316,10 +365,9 @@ class Automaton:
 
     def __init__(self, block: Block, counts: np.ndarray, smoothing: Smoothing):
         n = len(counts)
-        self.counts, self.order = counts, block.order
-        self.suffix = np.full(n, -1, np.int64)  # where a state's failure arc leads
-        context = np.full(n, -1, np.int64)
-        self.level = (block.names >> np.uint64(1)).astype(np.int64) & 7
+        self.counts, self.order, self.level = counts, block.order, block.level
+        self.suffix = np.full(n, -1, np.int32)  # where a state's failure arc leads
+        context = np.full(n, -1, np.int32)
         for k in range(1, block.order):
             at = block.at[k]
             self.suffix[block.gram[k][at]] = block.gram[k - 1][at]
@@ -331,12 +379,12 @@ class Automaton:
         weight[one] = np.log10((counts[one] - discount) / tokens) if tokens else 0.0
         self.fall = np.zeros(n)
         for k in range(2, block.order + 1):
-            strength = smoothing.strength[k]
             arc = np.flatnonzero((self.level == k) & (counts > 0))
-            below = 10.0 ** weight[self.suffix[arc]]
-            weight[arc] = np.log10((counts[arc] + strength * below) / (counts[context[arc]] + strength))
+            seen = counts[context[arc]]
+            share = smoothing.share[k][buckets(seen)]
+            weight[arc] = np.log10((1 - share) * counts[arc] / seen + share * 10.0 ** weight[self.suffix[arc]])
             state = np.flatnonzero((self.level == k - 1) & (counts > 0))
-            self.fall[state] = np.log10(strength / (counts[state] + strength))
+            self.fall[state] = np.log10(smoothing.share[k][buckets(counts[state])])
         self.weight = weight
 
     def walk(self, block: Block) -> np.ndarray:
@@ -379,25 +427,16 @@ class Automaton:
         return np.bincount(row, total, block.rows)
 
 
-def score_block(order: int, kind: str):
+def score_block(order: int, bits: int):
     def work(key, rows, sums):
         names = ["doc_id", "rk", "held", "parts", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         if not rows.num_rows:
             schema = rows.schema
             empty = [schema.field("doc_id").type, pa.int64(), pa.bool_(), pa.int32(), *[pa.int64()] * 3, *[pa.float64()] * 2]
             return pa.table({n: pa.array([], t) for n, t in zip(names, empty)})
-        block = Block(rows, order)
-        stats, lists = [], []
-        for r in sums.to_pylist():
-            if r["stats"] is not None:
-                stats = r["stats"]
-            else:
-                lists.append((r["bin"], unpack(r["counts"], r["n"])))
-        lists.sort(key=lambda x: x[0])
-        counts = np.concatenate([c for _, c in lists]).astype(np.int64)
-        if len(counts) != len(block.names):
-            raise ValueError("a block's n-grams differ between its two readings")
-        smoothing = Smoothing(stats, order)
+        block = Block(rows, order, bits)
+        counts = _answers(block, sums)
+        smoothing = Smoothing(next(x for x in sums.column("tallies").to_pylist() if x is not None), order)
         score = Automaton(block, counts, smoothing).walk(block)
         at = np.flatnonzero(block.scored)
         c = counts[block.gram[0][at]]
@@ -433,21 +472,24 @@ def score_texts(
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, bins = max(1, -(-size // block_bytes)), max(1, -(-size // bin_bytes))
     kind = dict(docs.dtypes)["doc_id"]
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks // 8)
-    # one exchange of the texts: the lists and the walk read the same one
+    width, bits = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks // 8), name_bits(size)
+    # one exchange of the texts, and one of the answers: all readings of a block use them
     placed = dealt(docs, held, order, blocks, part_bytes).repartition(width, "block")
-    lists = placed.groupBy("block").applyInArrow(lists_of(order, bins), _LISTS)
+    lists = placed.groupBy("block").applyInArrow(lists_of(order, bits, bins), _LISTS)
     sums = lists.groupBy("bin").applyInArrow(sum_lists, _SUMS)
-    by = sums.where("block < 0").groupBy("k", "closing", "bucket").agg(F.sum("grams").alias("grams"), F.sum("total").alias("total"))
-    # counts of counts: at most a few hundred rows for each order
-    stats = by.agg(F.collect_list(F.struct("k", "closing", "bucket", "grams", "total")).alias("stats"))
-    kind_of = dict(stats.dtypes)["stats"]
-    to_blocks = spark.range(blocks).select(F.col("id").cast("int").alias("block")).join(F.broadcast(stats))
-    answers = sums.where("block >= 0").select("block", "bin", "n", "counts", F.lit(None).cast(kind_of).alias("stats")).unionByName(
-        to_blocks.select("block", F.lit(-1).alias("bin"), F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("counts"), "stats")
-    )
+    # a row of each block's own carries the tallies to it
+    own = spark.range(blocks).select(
+        F.col("id").cast("int").alias("block"), F.lit(None).cast("int").alias("bin"), F.lit(0).cast("bigint").alias("n"),
+        F.lit(None).cast("binary").alias("counts"), *[F.lit(0).cast("bigint").alias(c) for c in ("tokens", "types", "once")],
+    )
+    answers = sums.unionByName(own).repartition(width, "block")
+    tallies = placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tally_block(order, bits), _TALLY)
+    by = tallies.groupBy("k", "bucket").agg(*[F.sum(c).alias(c) for c in ("total", "fresh", "types")])
+    # one row, of at most 160 buckets for each order
+    whole = by.agg(F.collect_list(F.struct("k", "bucket", "total", "fresh", "types")).alias("tallies"))
+    told = answers.join(F.broadcast(whole)).withColumn("tallies", F.when(F.col("bin").isNull(), F.col("tallies")))
     schema = f"doc_id {kind}, rk bigint, held boolean, parts int, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    found = placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score_block(order, kind), schema)
+    found = placed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score_block(order, bits), schema)
     # parts of a text, and repeated rows, meet again
     whole = found.groupBy("doc_id", "rk", "held", "parts").agg(
         F.count("*").alias("rows"),
