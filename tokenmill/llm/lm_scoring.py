@@ -26,9 +26,10 @@ between words into parts that start with the ``order - 1`` tokens before them,
 which lead to the same state.  One exchange moves the texts to their blocks,
 and all three readings of a block use it.
 
-Words are told apart by 59 bits of hash, so counts of words are exact for any
-vocabulary; names of longer n-grams have ``SPARE_BITS`` more bits than their
-number takes, so about one n-gram in 2 ** SPARE_BITS shares its count.
+Words are told apart by 62 bits of hash, so counts of words are exact for any
+vocabulary; names of longer n-grams have ``SPARE_BITS`` more bits than the
+corpus' bytes take to count, so of each order fewer than one n-gram in
+2 ** SPARE_BITS shares its count.
 
 Defined results: a null text is an empty one, whose only token is its end; a
 null id is learned from; repeated rows are scored (and learned from) each; an
@@ -57,7 +58,8 @@ BIN_BYTES = 6 << 20
 PART_BYTES = 1 << 20
 PIECE_BYTES = 1 << 20
 WALK = 256
-SPARE_BITS = 12
+SPARE_BITS = 10
+WORD_BITS = 62
 _MARK = np.uint64(0x5851F42D4C957F2D)  # the token before the first word and after the last
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -142,7 +144,7 @@ def dealt(docs: DataFrame, held: Column, order: int, blocks: int, limit: int = P
 
 def name_bits(size: int) -> int:
     """Bits of an n-gram's name in a corpus of ``size`` bytes."""
-    return min(58, max(24, size.bit_length() + SPARE_BITS))
+    return min(WORD_BITS, max(32, size.bit_length() + SPARE_BITS))
 
 
 class Block:
@@ -174,28 +176,23 @@ class Block:
         self.first = begins + lead
         self.scored = place >= self.first[self.row]
         self.learned = self.scored & ~held[self.row]
-        closing = (token == _MARK).astype(np.uint64)
         gram = token
         self.at = [np.arange(total)]  # positions of each order's n-grams
-        self.names = [((mix(token) >> np.uint64(5)) << np.uint64(4)) | np.uint64(2) | closing]
+        self.names = [mix(token) >> np.uint64(64 - WORD_BITS)]
         for k in range(2, order + 1):
             at = np.flatnonzero(place >= k - 1)
             grown = np.zeros(total, np.uint64)
             grown[at] = mix(gram[at - 1] * np.uint64(0xD6E8FEB86659FD93) + token[at])
             gram = grown
             self.at.append(at)
-            self.names.append(((gram[at] >> np.uint64(64 - bits)) << np.uint64(4)) | np.uint64(k << 1) | closing[at])
+            self.names.append(gram[at] >> np.uint64(64 - bits))
 
     def distinct(self, counted: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Sorted distinct names of the words, and of all longer n-grams, with their training counts here."""
+        """Of each order the sorted distinct names, with their training counts here."""
         out = []
-        for k in (slice(0, 1), slice(1, None)):
-            names, at = self.names[k], self.at[k]
-            if not names:
-                out.append((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-                continue
+        for names, at in zip(self.names, self.at):
             # the lowest bit says whether the occurrence is learned from
-            every = np.concatenate([(n << np.uint64(1)) | self.learned[a].astype(np.uint64) for n, a in zip(names, at)])
+            every = (names << np.uint64(1)) | self.learned[at].astype(np.uint64)
             every.sort()
             learned = every & np.uint64(1) if counted else None
             every >>= np.uint64(1)
@@ -207,17 +204,18 @@ class Block:
         return out
 
     def number(self) -> int:
-        """Number the distinct n-grams (words first, then the longer ones, by name); returns how many there are."""
-        (words, _), (longer, _) = self.distinct(counted=False)
-        self.gram = []  # by order: the n-gram that ends at a position, -1 where the text is too short
-        for k, (names, at) in enumerate(zip(self.names, self.at)):
-            known, shift = (words, 0) if k == 0 else (longer, len(words))
+        """Number the distinct n-grams, by order and name; returns how many there are."""
+        self.gram, levels, ahead = [], [], 0  # by order: the n-gram that ends at a position, -1 where the text is too short
+        for k, (known, _) in enumerate(self.distinct(counted=False)):
             ids = np.full(len(self.row), -1, np.int32)
-            ids[at] = pc.index_in(pa.array(names), value_set=pa.array(known)).to_numpy(zero_copy_only=False) + shift
+            found = pc.index_in(pa.array(self.names[k]), value_set=pa.array(known)).to_numpy(zero_copy_only=False)
+            ids[self.at[k]] = found + ahead
             self.gram.append(ids)
-        self.level = np.concatenate([np.ones(len(words), np.int8), ((longer >> np.uint64(1)) & np.uint64(7)).astype(np.int8)])
+            levels.append(np.full(len(known), k + 1, np.int8))
+            ahead += len(known)
+        self.level = np.concatenate(levels)
         self.names = []
-        return len(words) + len(longer)
+        return ahead
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -237,7 +235,7 @@ def unpack(data: bytes, n: int) -> np.ndarray:
 
 def _bins(names: np.ndarray, bits: int, bins: int) -> np.ndarray:
     """Where each bin of the name space starts in sorted names of ``bits`` bits (with the end)."""
-    high = names >> np.uint64(bits - 32) if bits > 32 else names << np.uint64(32 - bits)
+    high = names >> np.uint64(bits - 32)
     return np.searchsorted((high * np.uint64(bins)) >> np.uint64(32), np.arange(bins + 1, dtype=np.uint64))
 
 
@@ -247,16 +245,15 @@ _TALLY = "k int, bucket int, total bigint, fresh bigint, types bigint"
 
 
 def lists_of(order: int, bits: int, bins: int):
-    """A block's lists by bin; bins below 0 are of words."""
+    """A block's lists by bin: of order k those from ``(k - 1) * bins``, so bins below ``bins`` are of words."""
 
     def work(key, rows):
-        (words, own), (longer, theirs) = Block(rows, order, bits).distinct(counted=True)
         out = []
-        for names, counts, width, first in ((words, own, 63, -bins - 1), (longer, theirs, bits + 4, 0)):
-            cuts = _bins(names, width, bins) if len(names) else np.zeros(bins + 1, np.int64)
+        for k, (names, counts) in enumerate(Block(rows, order, bits).distinct(counted=True)):
+            cuts = _bins(names, bits if k else WORD_BITS, bins)
             for b in np.flatnonzero(cuts[1:] > cuts[:-1]):
                 x, y = cuts[b], cuts[b + 1]
-                out.append((first + int(b), y - x, int(names[x].view(np.int64)), pack(np.diff(names[x:y])), pack(counts[x:y])))
+                out.append((k * bins + int(b), y - x, int(names[x]), pack(np.diff(names[x:y])), pack(counts[x:y])))
         columns = list(zip(*out)) or [[]] * 5
         types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         bin_, n, low, names, counts = (pa.array(c, t) for c, t in zip(columns, types))
@@ -266,7 +263,11 @@ def lists_of(order: int, bits: int, bins: int):
     return work
 
 
-def sum_lists(key, rows):
+def sum_lists(bins: int):
+    return lambda key, rows: _sum_lists(key, rows, bins)
+
+
+def _sum_lists(key, rows, bins):
     """The lists of one bin, each answered by the summed counts of its names.
 
     The first answer of a bin of words also carries how many tokens were
@@ -276,7 +277,7 @@ def sum_lists(key, rows):
     ends = np.cumsum(n)
     names = np.empty(int(ends[-1]), np.uint64)
     weight = np.empty(len(names), np.float64)
-    low = rows.column("low").to_numpy().view(np.uint64)
+    low = rows.column("low").to_numpy().astype(np.uint64)
     for i, (size, steps, counts) in enumerate(zip(n, rows.column("names"), rows.column("counts"))):
         a, b = ends[i] - size, ends[i]
         names[a] = low[i]
@@ -288,7 +289,7 @@ def sum_lists(key, rows):
     total = np.bincount(inverse, weight, len(coded.dictionary)).astype(np.int64)
     answers = [pack(total[inverse[b - s : b]]) for s, b in zip(n, ends)]
     sums = [0, 0, 0]
-    if key[0].as_py() < 0:
+    if key[0].as_py() < bins:
         sums = [int(total.sum()), int((total > 0).sum()), int((total == 1).sum())]
     rest = [0] * (len(n) - 1)
     return pa.table(
@@ -476,7 +477,7 @@ def score_texts(
     # one exchange of the texts, and one of the answers: all readings of a block use them
     placed = dealt(docs, held, order, blocks, part_bytes).repartition(width, "block")
     lists = placed.groupBy("block").applyInArrow(lists_of(order, bits, bins), _LISTS)
-    sums = lists.groupBy("bin").applyInArrow(sum_lists, _SUMS)
+    sums = lists.groupBy("bin").applyInArrow(sum_lists(bins), _SUMS)
     # a row of each block's own carries the tallies to it
     own = spark.range(blocks).select(
         F.col("id").cast("int").alias("block"), F.lit(None).cast("int").alias("bin"), F.lit(0).cast("bigint").alias("n"),
