@@ -15,8 +15,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 3 << 20
+#: Some dozens of 8-byte temporaries per byte live while a piece is worked on.
+PIECE_BYTES = 1 << 20
 PIECE_ROWS = 8192
+KEPT_POWERS = 1 << 21
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 _IS_WORD = np.ones(256, bool)
@@ -53,7 +55,7 @@ def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
                 done *= 2
             pair.append(out)
         got = (pair[0], pair[1])
-        if size > 1 << 23:  # a very long text: not kept
+        if size > KEPT_POWERS:  # a very long text: not kept
             return got
         _POWERS[which] = got
     return got
@@ -102,6 +104,7 @@ def pieces(texts, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarr
         end = min(n, row + PIECE_ROWS, max(row + 1, end))
         yield row, end, raw[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+    pa.default_memory_pool().release_unused()  # workers live on into other stages
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
