@@ -51,6 +51,27 @@ def _rows(docs):
     return [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
 
 
+def test_a_piece_of_text_takes_bounded_memory():
+    """What a worker holds while it cuts a piece into super-windows, by tracing its allocations."""
+    import tracemalloc
+
+    from tokenmill.llm.repeats import Windows
+    from tokenmill.llm.words import PIECE_BYTES, pieces
+
+    rng = np.random.default_rng(1)
+    text = rng.integers(97, 123, 4 * PIECE_BYTES).astype(np.uint8)
+    text[rng.integers(0, len(text), len(text) // 6)] = 32
+    rows = pa.array([bytes(text[i : i + 5000]).decode() for i in range(0, len(text), 5000)])
+    for windows in (Windows(400, 40, words=False), Windows(50, 8, words=True)):
+        tracemalloc.start()
+        for _, _, data, offsets in pieces(rows):
+            seq, first = windows.sequence(data, offsets)
+            windows.super_windows(seq, first)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 200 << 20, peak
+
+
 def test_substring_matches_brute_force(docs, empty):
     rows = _rows(docs)
     least = {}
@@ -126,6 +147,20 @@ def test_ngram_join_matches_brute_force(docs, empty):
     assert ngram_join.similar_documents(empty.select("doc_id", "text")).count() == 0
 
 
+def test_special_tokens_in_any_case_match_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = packing.default_vocabulary()
+    tok = Tokenizer.from_file(path)
+    rng = random.Random(6)
+    texts = ["a <|ENDOFTEXT|> b", "<|StartOfText|>", "x<|endoftext|>Y.", "<|", "<|ENDOF TEXT|>", "A<|B!? <|EndOfText|><|endoftext|>Z", "<|\u00c9|> \u00c9A"]
+    parts = ["<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "EndOfText", "Word", "W.", "!?", "\u00c4b", " ", "  ", "\n", "<", "|"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(400)]
+    got = [ids for _, flat, at in packing.token_ids(pa.array(texts), path) for ids in np.split(flat, at[1:-1])]
+    for text, ids in zip(texts, got, strict=True):
+        assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_packing_round_trip(docs, empty):
     from tokenizers import Tokenizer
 
@@ -266,7 +301,11 @@ def _labelled(spark, n=400):
 def test_toxicity_and_quality_on_held_out_rows(spark):
     docs, labels = _labelled(spark)
     model = toxicity.fit_toxicity(docs, labels)
-    assert {"worthless", "scoundrel"} <= set(model.terms)
+    # "worthless" and "worthlesss" are endings of one beginning, which is the term then
+    assert {t.rstrip("*") for t in model.terms} == {"worthless", "scoundrel"}
+    found = toxicity.Automaton(model.terms)
+    assert all(found.errors(w) >= 0 for w in ("worthless", "worthlesss", "scoundrel"))
+    assert all(found.errors(w) < 0 for w in ("river", "stone", "gardens", "winterly"))
     told = {r.doc_id: r for r in labels.where("toxic is not null").collect()}
     for r in toxicity.score_toxicity(docs, model).collect():
         assert 0 <= r.toxicity <= 1
