@@ -59,11 +59,10 @@ def vocab_sizing(spark, sem: DataFrame, ac: DataFrame, source_symbols: int = K.S
     overridden when it disagrees); the largest offset code of the kept
     codebooks is read from the acoustic store.
     """
-    from tokenmill.operators.joins import build_vocab, target_vocab_size
+    from tokenmill.operators.joins import target_vocab_size
 
     n_tgt = target_vocab_size(codec_depth, codec_dim)
-    src_size = build_vocab(spark, source_symbols).count()
-    tgt_size = build_vocab(spark, n_tgt).count()
+    src_size, tgt_size = source_symbols + K.NSPECIAL, n_tgt + K.NSPECIAL
     src_max = sem.select(F.max(F.array_max("units")).alias("m"))
     kept = F.slice("tokens", 1, F.col("len") * codec_depth)
     offset = F.transform(kept, lambda x, j: x + F.floor(j / F.col("len")).cast("long") * codec_dim)

@@ -37,20 +37,28 @@ def length_order(
     return res.drop("__shuffle") if shuffle else res
 
 
-def batch_plan(hist: list[tuple[int, int]], max_tokens: int = K.MAX_TOKENS) -> list[tuple[int, int, int, int, int]]:
-    """Greedy token-budget batching from a length histogram.
-
-    ``hist`` holds ``(length, count)``.  Returns ``(length, open_batch, head,
-    first_new, cap)``: the first ``head`` rows of a length join the batch that
-    is open when the length starts; the rest fill fresh batches of ``cap``
-    rows numbered from ``first_new``.
+def batch_plan(
+    hist: list[tuple[int, int]], max_tokens: int = K.MAX_TOKENS, max_sentences: int | None = None
+) -> list[tuple[int, int, int, int, int]]:
+    """Greedy batching from a length histogram, in two dimensions: tokens and sentences.
+
+    ``hist`` holds ``(length, count)``.  A batch is closed when one more row
+    would bring it over ``max_tokens`` (rows times longest row) or over
+    ``max_sentences`` rows (by default ``max_tokens``, which only rows of
+    length 0 can reach, so no batch is unbounded).  Returns ``(length,
+    open_batch, head, first_new, cap)``: the first ``head`` rows of a length
+    join the batch that is open when the length starts; the rest fill fresh
+    batches of ``cap`` rows numbered from ``first_new``.
     """
+    most = max_tokens if max_sentences is None else max_sentences
+    if most < 1:
+        raise ValueError("a batch holds at least one sentence")
     plan = []
     b, k = -1, 0  # id and fill of the open batch
     for length, count in sorted(hist):
         if length > max_tokens:
             raise ValueError(f"sample of size {length} exceeds max_tokens={max_tokens}")
-        cap = max_tokens // length if length > 0 else (1 << 62)
+        cap = min(most, max_tokens // length) if length > 0 else most
         head = min(max(cap - k, 0), count) if k > 0 else 0
         rest = count - head
         plan.append((length, b, head, b + 1, cap))
@@ -71,8 +79,9 @@ def token_budget_batches(
     shuffle: bool = True,
     seed: int = 42,
     out: str = "batch_id",
+    max_sentences: int | None = None,
 ) -> DataFrame:
-    """Assign every row the id of its token-budget batch (0-based)."""
+    """Assign every row the id of its batch (0-based), of at most ``max_tokens`` tokens and ``max_sentences`` rows."""
     spark = df.sparkSession
     staged = df.withColumn("__shuffle", uniform("shuffle", F.col(key), seed)) if shuffle else df
     staged = staged.checkpoint(eager=True)  # read by the histogram and the rank scan
@@ -82,7 +91,7 @@ def token_budget_batches(
     over = [ln for ln, _ in hist if ln is not None and ln > max_tokens]
     if over or len(hist) > max_tokens + 1:
         raise ValueError(f"sample of size {max(over) if over else '>' + str(max_tokens)} exceeds max_tokens={max_tokens}")
-    plan = batch_plan(hist, max_tokens)
+    plan = batch_plan(hist, max_tokens, max_sentences)
     schema = T.StructType(
         [
             T.StructField(len_col, df.schema[len_col].dataType, False),
@@ -123,7 +132,7 @@ def strided_shard(
 def batch_row_order(df: DataFrame, batch_col: str = "batch_id", len_col: str = "src_length", key: str = "key") -> DataFrame:
     """Rank members of a batch by source length, longest first (key breaks ties).
 
-    A batch holds at most ``max_tokens`` members, so each window group is bounded.
+    A batch holds at most ``max_tokens`` members, rows of length 0 included, so each window group is bounded.
     """
     w = Window.partitionBy(batch_col).orderBy(F.col(len_col).desc(), F.col(key))
     return df.withColumn("rank_in_batch", (F.row_number().over(w) - 1).cast("int"))

@@ -43,17 +43,19 @@ def pad_to_batch(df: DataFrame, col: str, batch_col: str, depth: int, pad: int =
 
 
 def position_class_counts(
-    df: DataFrame, col: str = "src_tokens", shift: int = K.SOURCE_DICT_LEN, pad: int = K.PAD
+    df: DataFrame, col: str = "src_tokens", batch_col: str = "batch_id", key: str = "key", shift: int = K.SOURCE_DICT_LEN, pad: int = K.PAD
 ) -> DataFrame:
-    """P20: count semantic (tok0 < shift, != pad), acoustic (tok0 >= shift) and pad positions."""
+    """P20: semantic (tok0 < shift, != pad), acoustic (tok0 >= shift) and pad positions of each row in its padded batch.
+
+    Rows are counted as they are; only counts are moved to find a batch's
+    longest row, whose length is the padded length of all.
+    """
     first = lambda r: F.get(r, 0)
     n_sem = F.size(F.filter(col, lambda r: (first(r) < shift) & (first(r) != pad)))
     n_ac = F.size(F.filter(col, lambda r: first(r) >= shift))
-    return (
-        df.withColumn("n_semantic", n_sem.cast("bigint"))
-        .withColumn("n_acoustic", n_ac.cast("bigint"))
-        .withColumn("n_pad", (F.size(col) - n_sem - n_ac).cast("bigint"))
-    )
+    counts = df.select(key, batch_col, n_sem.cast("bigint").alias("n_semantic"), n_ac.cast("bigint").alias("n_acoustic"), F.size(col).alias("__n"))
+    longest = F.max("__n").over(Window.partitionBy(batch_col))  # a batch has at most max_tokens rows
+    return counts.withColumn("n_pad", (longest - F.col("n_semantic") - F.col("n_acoustic")).cast("bigint")).drop("__n")
 
 
 def frame_mask(df: DataFrame, col: str = "target", batch_col: str = "batch_id", pad: int = K.PAD) -> DataFrame:

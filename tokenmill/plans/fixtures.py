@@ -137,6 +137,26 @@ def fx_scores(spark, sf_dir) -> DataFrame:
     )
 
 
+def fx_score_rows(spark, sf_dir) -> DataFrame:
+    """The scores of ``fx_scores`` as they are stored: one array per position."""
+    return spark.sql(
+        "SELECT vec_id AS pos, cast(embedding as array<double>) AS scores, label AS target, vec_id % 5 <> 0 AS keep FROM {e}",
+        e=table(spark, sf_dir, "embeddings"),
+    )
+
+
+def fx_components(spark, sf_dir) -> DataFrame:
+    """Two model outputs per position, of 64 and of 32 classes, each with its labels and mask; worker 2 has one."""
+    return spark.sql(
+        "SELECT pos, cast(pos % 7 as bigint) AS update, cast(pos % 3 as int) AS worker, c.component, c.scores, c.target, c.keep "
+        "FROM (SELECT pos, explode(array("
+        "named_struct('component', 'word_ins_acoustic', 'scores', scores, 'target', target, 'keep', keep), "
+        "named_struct('component', 'word_ins_semantic', 'scores', slice(scores, 1, 32), 'target', target % 32, 'keep', pos % 4 <> 0))) AS c "
+        "FROM {s}) WHERE c.component = 'word_ins_acoustic' OR pos % 3 <> 2",
+        s=fx_score_rows(spark, sf_dir),
+    )
+
+
 def fx_log(spark, sf_dir) -> DataFrame:
     return spark.sql(
         "SELECT l_linenumber AS worker, l_orderkey AS update, l_extendedprice / 1000 AS loss, "

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tokenmill.functions import constants as K
 from tokenmill.functions.arrays import dedupe_consecutive, safe_slice
-from tokenmill.operators.assemble import crop_start, pair_streams, size_clip
+from tokenmill.operators.assemble import assemble_rows, crop_start, size_clip
 from tokenmill.operators.batching import batch_stats, token_budget_batches
+from tokenmill.operators.collate import collate
 
 
 def row_shapes(
@@ -60,9 +61,32 @@ def training_batches(
     return batch_stats(batched)
 
 
+def collated_batches(
+    sem: DataFrame,
+    ac: DataFrame,
+    keep: int = K.CODEC_DEPTH,
+    reduce: bool = True,
+    max_tokens: int = K.MAX_TOKENS,
+    shuffle: bool = True,
+    seed: int = 42,
+    parts: int | None = None,
+) -> DataFrame:
+    """E2 in full: streams -> paired, cropped, encoded rows -> token-budget batches -> one collated row per batch.
+
+    Batch ids come from the narrow shapes of the rows; the rows meet them on
+    the key they are paired on, and cross one more exchange, into their batches.
+    """
+    ids = token_budget_batches(
+        row_shapes(sem, ac, reduce=reduce, seed=seed).select("key", "len_s"), max_tokens=max_tokens, shuffle=shuffle, seed=seed
+    ).select("key", "batch_id")
+    last = ids.agg(F.max("batch_id")).first()[0]
+    rows = assemble_rows(sem, ac, keep=keep, reduce=reduce, seed=seed)
+    return collate(rows.join(ids, "key"), keep, 0 if last is None else last + 1, parts=parts)
+
+
 def tokenize_corpus(
     spark,
-    audio_root: str,
+    audio_root: str | None,
     encoders: dict,
     store_root: str,
     split: str = "train",
@@ -74,35 +98,45 @@ def tokenize_corpus(
     acoustic: str = "acoustic",
     valid_percent: float = 0.0,
     seed: int = K.SPLIT_SEED,
+    manifest: DataFrame | str | None = None,
 ) -> DataFrame:
-    """List audio -> decode + chunk -> encode every stream once -> write both stores.
+    """List audio, or read a manifest -> decode + chunk -> encode every stream once -> write both stores.
 
-    With ``valid_percent > 0`` each clip (all of its chunks) goes to
-    ``split`` or ``valid`` by the P1 draw on its path.
+    Files are those under ``audio_root``, or those that ``manifest`` names (a
+    written manifest or its rows).  A manifest's ``subset`` decides the split
+    of its clips; otherwise, with ``valid_percent > 0``, each clip (all of its
+    chunks) goes to ``split`` or ``valid`` by the P1 draw on its path.
 
-    The encode output is checkpointed (reliably) because model inference is
-    the expensive step: both store writes and the report read it instead of
-    re-running the encoders.  Returns the report of rejected clips and failed
-    encodes ``(key, stage, reason)``.
+    Audio is read, decoded and encoded in one pass, which also gives the
+    rejected clips; its output is checkpointed (reliably), because inference is
+    the expensive step: both store writes and the report read it.  Returns the
+    report of rejected clips and failed encodes ``(key, stage, reason)``.
     """
-    from tokenmill.operators.encode import encode_job, quarantine
+    from tokenmill.operators.encode import encode_job
     from tokenmill.sources.audio import decode_pieces
+    from tokenmill.sources.manifest import manifest_files, manifest_read, split_train_valid
     from tokenmill.sources.store import write_token_store
 
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", f"*.{ext}")
-        .load(audio_root)
-        .select(F.regexp_replace("path", "^file:", "").alias("key"), "content")
-    )
-    from tokenmill.sources.manifest import split_train_valid
-
-    pieces = decode_pieces(files, chunk_s=chunk_s, min_s=min_s)
-    ok = split_train_valid(pieces.where(F.col("reason").isNull()), valid_percent, seed, path="key")
-    ok = ok.withColumn("__split", F.when(F.col("subset") == "train", F.lit(split)).otherwise(F.lit("valid")))
-    encoded = encode_job(ok, encoders, key="chunk_key", carry=["__split"]).checkpoint(eager=True)
-    good, bad = quarantine(encoded.drop("__split"))
+    if (audio_root is None) == (manifest is None):
+        raise ValueError("tokens come from the files of a folder, or of a manifest")
+    if manifest is not None:
+        listed = manifest_read(spark, manifest) if isinstance(manifest, str) else manifest
+        if "subset" not in listed.columns:
+            listed = split_train_valid(listed, valid_percent, seed)
+        files = manifest_files(listed)
+    else:
+        listed = (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", f"*.{ext}")
+            .load(audio_root)
+            .select(F.regexp_replace("path", "^file:", "").alias("key"), "content")
+        )
+        files = split_train_valid(listed, valid_percent, seed, path="key")
+    pieces = decode_pieces(files, chunk_s=chunk_s, min_s=min_s, carry=["subset"])
+    pieces = pieces.withColumn("__split", F.when(F.col("subset") == "train", F.lit(split)).otherwise(F.lit("valid")))
+    pieces = pieces.withColumn("chunk_key", F.coalesce("chunk_key", "key"))
+    encoded = encode_job(pieces, encoders, key="chunk_key", carry=["__split"], reason="reason").checkpoint(eager=True)
     stored = encoded.where(F.col("error").isNull())
     write_token_store(
         stored.where(F.col("stream") == semantic).select("key", "len", "tokens", "__split"),
@@ -118,15 +152,22 @@ def tokenize_corpus(
         bandwidth=bandwidth,
         codebook_columns=True,
     )
-    rejects = pieces.where(F.col("reason").isNotNull()).select("key", F.lit("decode").alias("stage"), "reason")
-    failures = bad.select("key", F.concat(F.lit("encode:"), F.col("stream")).alias("stage"), F.col("error").alias("reason"))
-    return rejects.unionByName(failures)
+    stage = F.when(F.col("stream") == "decode", F.lit("decode")).otherwise(F.concat(F.lit("encode:"), F.col("stream")))
+    return encoded.where(F.col("error").isNotNull()).select("key", stage.alias("stage"), F.col("error").alias("reason"))
+
 
+def load_streams(spark, store_root: str, split: str, bandwidth: float, keep: int | None = None, num_shards: int = 0):
+    """E2 inputs from the store: ``(semantic, acoustic)`` frames, acoustic cut to ``keep`` codebooks at read.
 
-def load_streams(spark, store_root: str, split: str, bandwidth: float, keep: int | None = None):
-    """E2 inputs from the store: ``(semantic, acoustic)`` frames, acoustic cut to ``keep`` codebooks at read."""
+    A training split asked for in shards is refused, and so is a store whose
+    acoustic depth is mixed or below ``keep`` (one column-pruned scan).
+    """
+    from tokenmill.operators.aggregates import assert_depth
+    from tokenmill.operators.assemble import check_shard_request
     from tokenmill.sources.store import read_token_store
 
+    check_shard_request(split, num_shards)
+    assert_depth(read_token_store(spark, store_root, stream="acoustic", split=split, bandwidth=bandwidth).select("depth"), keep or 1)
     sem = read_token_store(spark, store_root, stream="semantic", split=split).select(
         "key", "len", F.col("tokens").alias("units")
     )

@@ -57,6 +57,12 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         "SELECT vec_id AS pos, (i - 1)::INT AS class, embedding[i]::DOUBLE AS score, label AS target, "
         "vec_id % 5 <> 0 AS keep FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings)",
     ),
+    "fx_components": (
+        ["fx_scores"],
+        "SELECT pos, pos % 7 AS update, (pos % 3)::INT AS worker, 'word_ins_acoustic' AS component, class, score, target, keep FROM fx_scores "
+        "UNION ALL SELECT pos, pos % 7, (pos % 3)::INT, 'word_ins_semantic', class, score, target % 32, pos % 4 <> 0 FROM fx_scores "
+        "WHERE class < 32 AND pos % 3 <> 2",
+    ),
     "fx_log": (
         [],
         "SELECT l_linenumber AS worker, l_orderkey AS update, l_extendedprice / 1000 AS loss, "

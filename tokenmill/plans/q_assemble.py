@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tokenmill.functions.numeric import round_sql
 from tokenmill.plans import fixtures as fx
-from tokenmill.plans.flows import row_shapes, training_batches
+from tokenmill.plans.flows import collated_batches, row_shapes, training_batches
 from tokenmill.plans.oracle_views import add_view, u, with_views
 from tokenmill.plans.registry import query
 
@@ -74,13 +74,15 @@ def q_training_batches(spark, sf):
     with_views("ox_batched")
     + "SELECT batch_id, count(*) AS nsentences, sum(target_length)::BIGINT AS ntokens, "
     "max(src_length)::INT AS max_src_length, max(row_length)::INT AS padded_length, "
-    "sum(row_length)::BIGINT AS real_cells, max(len_s)::INT AS max_len_s, "
-    "(count(*) * max(len_s))::BIGINT AS budget_tokens, "
+    "sum(row_length)::BIGINT AS real_cells, "
     f"{round_sql('1 - sum(row_length) / (count(*) * max(row_length))', 6)} AS padding_ratio "
     "FROM ox_batched GROUP BY batch_id",
 )
 def q_batch_stats(spark, sf):
-    return training_batches(fx.fx_sem(spark, sf), fx.fx_ac(spark, sf))
+    """A4 of the collated batches themselves."""
+    from tokenmill.operators.collate import collated_stats
+
+    return collated_stats(_collated(spark, sf))
 
 
 @query(
@@ -130,6 +132,10 @@ def _rows(spark, sf, keep=KEEP):
     return assemble_rows(fx.fx_sem(spark, sf), fx.fx_ac(spark, sf), keep=keep)
 
 
+def _collated(spark, sf, keep=KEEP):
+    return collated_batches(fx.fx_sem(spark, sf), fx.fx_ac(spark, sf), keep=keep)
+
+
 # cropped codes of the first KEEP codebooks, flattened time-major, as DuckDB text
 _CODES = "tokens[(j % 2) * len_ac + ac_start + j // 2 + 1]"
 
@@ -418,10 +424,56 @@ def _batched_rows(spark, sf):
     "(max(row_length) OVER (PARTITION BY batch_id) - row_length)::BIGINT AS n_pad FROM ox_batched",
 )
 def q_position_class(spark, sf):
-    from tokenmill.operators.scoring import pad_to_batch, position_class_counts
+    from tokenmill.operators.scoring import position_class_counts
+
+    return position_class_counts(_batched_rows(spark, sf)).select("key", "batch_id", "n_semantic", "n_acoustic", "n_pad")
+
+
+# every sample of a batch in order, with its arrays and where it starts
+add_view(
+    "ox_collate",
+    ["ox_batched", "ox_dedup"],
+    "SELECT b.batch_id, b.key, b.src_length, b.target_length, b.row_length, d.n_a, d.du, d.tokens, d.len_ac, d.ac_start, "
+    "list_append(list_transform(d.du, lambda x: x + 4), 2) AS labels, "
+    "row_number() OVER w AS i, sum(b.row_length) OVER w - b.row_length AS src_at, sum(b.target_length) OVER w - b.target_length AS target_at, "
+    "sum(b.src_length) OVER w - b.src_length AS label_at "
+    "FROM ox_batched b JOIN ox_dedup d USING (key) "
+    "WINDOW w AS (PARTITION BY b.batch_id ORDER BY b.src_length DESC, b.key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
+)
+_TARGET_CELL = f"CASE WHEN j // 2 < n_a THEN {_CODES} + (j % 2) * 1024 + 4 ELSE 2 END"
+
+
+def _in_order(cells: str) -> str:
+    return dg(f"flatten(list({cells} ORDER BY i))")
 
-    padded = pad_to_batch(_batched_rows(spark, sf), "src_tokens", "batch_id", KEEP)
-    return position_class_counts(padded, "src_tokens").select("key", "batch_id", "n_semantic", "n_acoustic", "n_pad")
+
+def _offsets(start: str, size: str) -> str:
+    return dg(f"list_append(list({start} ORDER BY i), sum({size}))")
+
+
+@query(
+    "collated_batches",
+    with_views("ox_collate")
+    + "SELECT batch_id, count(*) AS nsentences, sum(target_length)::BIGINT AS ntokens, string_agg(key, ',' ORDER BY i) AS keys, "
+    "md5(string_agg(array_to_string(list_transform(du, lambda x: x::VARCHAR), ' '), '|' ORDER BY i)) AS texts_md5, "
+    f"{dg('list(src_length ORDER BY i)')} AS src_lengths, {dg('list(target_length ORDER BY i)')} AS target_lengths, "
+    f"{_offsets('src_at', 'row_length')} AS src_offsets, "
+    f"{_in_order(f'list_transform(range(0, row_length * 2), lambda j: {_ROW_CELL})')} AS src_tokens, "
+    f"{_offsets('target_at', 'target_length')} AS target_offsets, "
+    f"{_in_order(f'list_transform(range(0, target_length * 2), lambda j: {_TARGET_CELL})')} AS target, "
+    f"{_offsets('label_at', 'src_length')} AS label_offsets, {_in_order('labels')} AS src_labels, "
+    "max(row_length)::INT AS padded_length, max(target_length)::INT AS padded_target FROM ox_collate GROUP BY batch_id",
+)
+def q_collated_batches(spark, sf):
+    """A4 with W4, P17 and P18: the arrays of every batch, one ragged row each."""
+    from tokenmill.functions.arrays import digest
+
+    arrays = ("src_lengths", "target_lengths", "src_offsets", "src_tokens", "target_offsets", "target", "label_offsets", "src_labels")
+    return _collated(spark, sf).select(
+        "batch_id", F.col("nsentences").cast("bigint").alias("nsentences"), "ntokens",
+        F.array_join("keys", ",").alias("keys"), F.md5(F.array_join("src_texts", "|").cast("binary")).alias("texts_md5"),
+        *[digest(c).alias(c) for c in arrays], "padded_length", "padded_target",
+    )
 
 
 @query(
@@ -431,10 +483,27 @@ def q_position_class(spark, sf):
     "FROM ox_batched GROUP BY batch_id",
 )
 def q_frame_mask(spark, sf):
-    from tokenmill.operators.scoring import frame_mask, pad_to_batch
+    from tokenmill.operators.collate import frame_mask
 
-    padded = pad_to_batch(_batched_rows(spark, sf), "target", "batch_id", KEEP)
-    return frame_mask(padded, "target", "batch_id")
+    return frame_mask(_collated(spark, sf))
+
+
+@query(
+    "kept_frames",
+    with_views("ox_collate")
+    + "SELECT batch_id, target_at + f AS flat, key, f::INT AS frame, "
+    "CASE WHEN f < n_a THEN tokens[ac_start + f + 1] + 4 ELSE 2 END::INT AS code0, "
+    "CASE WHEN f < n_a THEN tokens[len_ac + ac_start + f + 1] + 1028 ELSE 2 END::INT AS code1 "
+    "FROM (SELECT *, unnest(range(0, target_length)) AS f FROM ox_collate)",
+)
+def q_kept_frames(spark, sf):
+    """Every kept frame with its place in the flattened batch and its codes."""
+    from tokenmill.operators.collate import kept_frames
+
+    frames = kept_frames(_collated(spark, sf))
+    return frames.select(
+        "batch_id", "flat", "key", "frame", F.get("codes", F.lit(0)).alias("code0"), F.get("codes", F.lit(1)).alias("code1")
+    )
 
 
 @query(
@@ -491,19 +560,20 @@ def q_detokenize(spark, sf):
     with_views("ox_dedup")
     + "SELECT key, mode, n_sem::INT AS n_sem, n_ac::INT AS n_ac, "
     + dg("list_slice(du, 1, n_sem)")
-    + " AS sem_digest FROM (SELECT key, du, mode, "
+    + f" AS sem_digest, {dg(f'list_transform(range(0, n_ac * 2), lambda j: {_CODES})')} AS ac_digest FROM (SELECT *, "
     "CASE mode WHEN 0 THEN 0 WHEN 1 THEN len(du) ELSE len(du) // 2 END AS n_sem, "
     "CASE mode WHEN 2 THEN n_a // 2 ELSE 0 END AS n_ac FROM (SELECT *, unnest([0, 1, 2, 3]) AS mode FROM ox_dedup))",
 )
 def q_prompt_slice(spark, sf):
-    from tokenmill.functions.arrays import digest
+    from tokenmill.functions.arrays import digest, nested_digest
     from tokenmill.operators.assemble import prompt_slice, run_length_units_array
 
     rows = run_length_units_array(_cropped(spark, sf))
     out = prompt_slice(rows, "units", "codes")
     return out.select(
-        "key", "mode", F.size("prompt_units").alias("n_sem"), F.size("prompt_codes").alias("n_ac"), digest("prompt_units").alias("sem_digest")
-    )
+        "key", "mode", F.size("prompt_units").alias("n_sem"), F.size("prompt_codes").alias("n_ac"), digest("prompt_units").alias("sem_digest"),
+        nested_digest("prompt_codes").alias("ac_digest"),
+    )
 
 
 @query(

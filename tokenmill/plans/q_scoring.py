@@ -41,9 +41,32 @@ add_view(
 )
 
 
-def _labels(scores):
-    # one row per position: class 0 exists for every position
-    return scores.where(F.col("class") == 0).select("pos", "target", "keep")
+add_view(
+    "ox_complp",
+    ["fx_components"],
+    "SELECT pos, update, worker, component, class, target, keep, score - (m + ln(sum(exp(score - m)) OVER (PARTITION BY component, pos))) AS lprob, "
+    "row_number() OVER (PARTITION BY component, pos ORDER BY score DESC, class) AS rn FROM ("
+    "SELECT *, max(score) OVER (PARTITION BY component, pos) AS m FROM fx_components)",
+)
+_OX_EACH = (
+    "count(*) FILTER (WHERE rn = 1 AND class = target) AS n_correct, count(*) FILTER (WHERE rn = 1) AS total, "
+    "-avg(lprob) FILTER (WHERE class = target) AS nll, "
+    "-avg(lprob) FILTER (WHERE class = target) * 0.9 - avg(lprob) * 0.1 AS loss, "
+    "CASE component WHEN 'word_ins_semantic' THEN 0.5 ELSE 1.0 END::DOUBLE AS factor"
+)
+add_view("ox_comp", ["ox_complp"], f"SELECT component, {_OX_EACH} FROM ox_complp WHERE keep GROUP BY component")
+add_view(
+    "ox_complog",
+    ["ox_complp"],
+    "SELECT update, sum(l) AS l, sum(nl) AS nl, count(*)::DOUBLE AS ss, sum(la) AS la, sum(ls) AS ls, sum(ca) AS ca, sum(ta) AS ta, "
+    "sum(cs) AS cs, sum(ts) AS ts FROM (SELECT update, worker, sum(loss * factor) AS l, sum(nll) AS nl, "
+    "sum(loss) FILTER (WHERE component = 'word_ins_acoustic') AS la, sum(loss) FILTER (WHERE component = 'word_ins_semantic') AS ls, "
+    "sum(n_correct) FILTER (WHERE component = 'word_ins_acoustic') AS ca, sum(total) FILTER (WHERE component = 'word_ins_acoustic') AS ta, "
+    "sum(n_correct) FILTER (WHERE component = 'word_ins_semantic') AS cs, sum(total) FILTER (WHERE component = 'word_ins_semantic') AS ts "
+    f"FROM (SELECT update, worker, component, {_OX_EACH} FROM ox_complp WHERE keep GROUP BY update, worker, component) GROUP BY update, worker) "
+    "GROUP BY update",
+)
+FACTORS = {"word_ins_semantic": 0.5}
 
 
 @query(
@@ -51,13 +74,9 @@ def _labels(scores):
     with_views("ox_argmax") + "SELECT pos, pred, target FROM ox_argmax WHERE keep",
 )
 def q_prediction_align(spark, sf):
-    from tokenmill.operators.scoring import argmax_predictions, prediction_align
+    from tokenmill.operators.score_rows import position_scores
 
-    s = fx.fx_scores(spark, sf)
-    labels = _labels(s)
-    return prediction_align(argmax_predictions(s), labels.select("pos", "target"), labels.where("keep")).select(
-        "pos", "pred", "target"
-    )
+    return position_scores(fx.fx_score_rows(spark, sf), mask="keep").where("keep").select("pos", "pred", "target")
 
 
 @query(
@@ -67,14 +86,17 @@ def q_prediction_align(spark, sf):
     "UNION ALL SELECT 'all', count(*) FILTER (WHERE pred = target), count(*) FROM ox_argmax",
 )
 def q_masked_accuracy(spark, sf):
-    from tokenmill.operators.scoring import argmax_predictions, masked_accuracy, prediction_align
-
-    s = fx.fx_scores(spark, sf)
-    labels = _labels(s)
-    preds = argmax_predictions(s)
-    masked = masked_accuracy(prediction_align(preds, labels.select("pos", "target"), labels.where("keep")))
-    full = masked_accuracy(prediction_align(preds, labels.select("pos", "target")))
-    return masked.select(F.lit("masked").alias("scope"), "*").unionByName(full.select(F.lit("all").alias("scope"), "*"))
+    from tokenmill.operators.score_rows import position_scores
+
+    scored = position_scores(fx.fx_score_rows(spark, sf))
+    right = F.col("pred") == F.col("target")
+    both = scored.agg(
+        F.array(
+            F.struct(F.lit("masked").alias("scope"), F.count_if(right & F.col("keep")).alias("n_correct"), F.count_if("keep").alias("total")),
+            F.struct(F.lit("all").alias("scope"), F.count_if(right).alias("n_correct"), F.count(F.lit(1)).alias("total")),
+        ).alias("r")
+    )
+    return both.select(F.explode("r").alias("r")).select("r.scope", "r.n_correct", "r.total")
 
 
 @query(
@@ -87,10 +109,49 @@ def q_masked_accuracy(spark, sf):
     + " AS loss FROM ox_lp WHERE keep",
 )
 def q_smoothed_nll(spark, sf):
-    from tokenmill.operators.scoring import smoothed_nll
+    from tokenmill.functions.numeric import round_half_up
+    from tokenmill.operators.score_rows import component_metrics
+
+    one = component_metrics(fx.fx_score_rows(spark, sf).withColumn("component", F.lit("word_ins")), epsilon=0.1)
+    return one.where("component = 'total'").select(
+        F.col("total").alias("n_positions"), round_half_up("nll_loss", 6).alias("nll_loss"), round_half_up("loss", 6).alias("loss")
+    )
+
+
+@query(
+    "component_metrics",
+    with_views("ox_comp")
+    + f"SELECT component, n_correct, total, {round_sql('nll', 6)} AS nll_loss, {round_sql('loss', 6)} AS loss, factor FROM ox_comp UNION ALL "
+    f"SELECT 'total', sum(n_correct)::BIGINT, sum(total)::BIGINT, {round_sql('sum(nll)', 6)}, {round_sql('sum(loss * factor)', 6)}, NULL FROM ox_comp",
+)
+def q_component_metrics(spark, sf):
+    """A5 and A6 of two model outputs and their total, one scan."""
+    from tokenmill.functions.numeric import round_half_up
+    from tokenmill.operators.score_rows import component_metrics
+
+    found = component_metrics(fx.fx_components(spark, sf), factors=FACTORS)
+    return found.select(
+        "component", "n_correct", "total", round_half_up("nll_loss", 6).alias("nll_loss"), round_half_up("loss", 6).alias("loss"), "factor"
+    )
 
-    s = fx.fx_scores(spark, sf)
-    return smoothed_nll(s, mask=_labels(s).where("keep"), epsilon=0.1)
+
+@query(
+    "component_logs",
+    with_views("ox_complog")
+    + f"SELECT update, 'loss' AS metric, {round_sql('l / ss / ln(2)', 3)} AS value FROM ox_complog UNION ALL "
+    f"SELECT update, 'nll_loss', {round_sql('nl / ss / ln(2)', 3)} FROM ox_complog UNION ALL "
+    f"SELECT update, 'ppl', {round_sql(round_significant_sql('pow(2.0, l / ss / ln(2))', 6), 2)} FROM ox_complog UNION ALL "
+    f"SELECT update, 'word_ins_acoustic', {round_sql('la / ss / ln(2)', 3)} FROM ox_complog WHERE la IS NOT NULL UNION ALL "
+    f"SELECT update, 'word_ins_semantic', {round_sql('ls / ss / ln(2)', 3)} FROM ox_complog WHERE ls IS NOT NULL UNION ALL "
+    f"SELECT update, 'accuracy_word_ins_acoustic', {round_sql('100.0::DOUBLE * ca / ta', 3)} FROM ox_complog WHERE ta > 0 UNION ALL "
+    f"SELECT update, 'accuracy_word_ins_semantic', {round_sql('100.0::DOUBLE * cs / ts', 3)} FROM ox_complog WHERE ts > 0",
+)
+def q_component_logs(spark, sf):
+    """A7 and A8 on the maps that workers log, whose components differ: per update the union of their keys."""
+    from tokenmill.operators.score_rows import component_metrics, logging_output, reduce_metric_maps
+
+    found = component_metrics(fx.fx_components(spark, sf), by=["update", "worker"], factors=FACTORS)
+    return reduce_metric_maps(logging_output(found, ["update", "worker"]), ppl_sig_digits=6)
 
 
 @query(
@@ -150,9 +211,9 @@ def q_weighted_meter(spark, sf):
 )
 def q_topk_candidates(spark, sf):
     from tokenmill.functions.numeric import round_half_up
-    from tokenmill.operators.scoring import topk_candidates
+    from tokenmill.operators.score_rows import top_classes
 
-    c = topk_candidates(fx.fx_scores(spark, sf).select("pos", "class", "score"), k=5, temperature=0.7)
+    c = top_classes(fx.fx_score_rows(spark, sf), k=5, temperature=0.7)
     return c.select("pos", "class", round_half_up("lprob", 6).alias("lprob"), "rank")
 
 
@@ -164,10 +225,9 @@ def q_topk_candidates(spark, sf):
     f"FROM ox_topk) WHERE cp > {u('sample', 'pos')} GROUP BY pos",
 )
 def q_topk_sample(spark, sf):
-    from tokenmill.operators.scoring import topk_candidates, topk_sample
+    from tokenmill.operators.score_rows import sample_classes
 
-    c = topk_candidates(fx.fx_scores(spark, sf).select("pos", "class", "score"), k=5, temperature=0.7)
-    return topk_sample(c, codebook=F.col("pos") % 2).select("pos", "class", "token_id")
+    return sample_classes(fx.fx_score_rows(spark, sf), k=5, temperature=0.7, codebook=F.col("pos") % 2)
 
 
 # ---------------------------------------------------------------- key-value, vocabulary, order, merge
@@ -192,16 +252,12 @@ def q_size_join(spark, sf):
     "FROM fx_sem",
 )
 def q_vocab_lookup(spark, sf):
-    from tokenmill.operators.joins import build_vocab, vocab_lookup
+    from tokenmill.functions.arrays import digest
+    from tokenmill.operators.joins import build_vocab, vocab_lookup_arrays
 
-    sem = fx.fx_sem(spark, sf)
-    cells = sem.select("key", F.posexplode("units").alias("p", "unit")).select(
-        "key", "p", F.col("unit").cast("string").alias("symbol")
-    )
-    ids = vocab_lookup(cells, build_vocab(spark, 10000))
-    return ids.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("id").cast("bigint") * (F.col("p") + 1)).cast("bigint").alias("id_digest")
-    )
+    named = fx.fx_sem(spark, sf).select("key", F.col("units").cast("array<string>").alias("symbols"))
+    ids = vocab_lookup_arrays(named, build_vocab(spark, 10000))
+    return ids.select("key", F.size("ids").cast("bigint").alias("n"), digest("ids").alias("id_digest"))
 
 
 @query(
