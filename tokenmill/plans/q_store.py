@@ -49,13 +49,15 @@ def q_token_store_write(spark, sf):
 
 @query(
     "token_store_read",
-    with_views("ox_store") + "SELECT key, depth, len, len(tokens)::INT AS n_tokens FROM ox_store WHERE stream = 'acoustic' AND split = 'train'",
+    with_views("ox_store")
+    + f"SELECT key, depth, len, len(tokens)::INT AS n_tokens, {_dg('tokens')} AS digest FROM ox_store WHERE stream = 'acoustic' AND split = 'train'",
 )
 def q_token_store_read(spark, sf):
+    from tokenmill.functions.arrays import digest
     from tokenmill.sources.store import read_token_store
 
     store = read_token_store(spark, _write_store(spark, sf), stream="acoustic", split="train", bandwidth=3.0)
-    return store.select("key", "depth", "len", F.size("tokens").alias("n_tokens"))
+    return store.select("key", "depth", "len", F.size("tokens").alias("n_tokens"), digest("tokens").alias("digest"))
 
 
 @query(
@@ -141,3 +143,53 @@ def q_token_store_read_kept(spark, sf):
 
     store = read_token_store(spark, _write_store(spark, sf), stream="acoustic", bandwidth=3.0, keep=2)
     return store.select("key", "len", F.size("tokens").alias("n_tokens"), digest("tokens").alias("digest"))
+
+
+def _published(spark, sf):
+    """Both streams published together, then the semantic valid split published anew."""
+    from tokenmill.sources.manifest import split_train_valid
+    from tokenmill.sources.publish import publish_streams, read_published
+
+    root = scratch_path(spark, "published")
+    sem = split_train_valid(fx.fx_sem(spark, sf).select("key", "len", F.col("units").alias("tokens")), 0.1, path="key")
+    ac = split_train_valid(fx.fx_ac(spark, sf), 0.1, path="key")
+    streams = [
+        {"df": sem, "stream": "semantic", "split": "subset"},
+        {"df": ac, "stream": "acoustic", "split": "subset", "bandwidth": 3.0, "codebook_columns": True, "max_depth": 4},
+    ]
+    publish_streams(spark, root, streams, files=8)
+    valid = read_published(spark, root, "semantic", "valid").select("key", (F.col("len") + 1000).alias("len"), "tokens")
+    publish_streams(spark, root, [{"df": valid, "stream": "semantic", "split": "valid"}], files=2)
+    return root
+
+
+@query(
+    "publish_streams",
+    with_views("ox_store")
+    + "SELECT stream, bandwidth, split, key, (len + CASE WHEN stream = 'semantic' AND split = 'valid' THEN 1000 ELSE 0 END)::INT AS len, "
+    f"{_dg('tokens')} AS digest FROM ox_store",
+)
+def q_publish_streams(spark, sf):
+    """S9 for several streams: one pointer for both, partitions replaced alone."""
+    from tokenmill.functions.arrays import digest
+    from tokenmill.sources.publish import read_published
+
+    store = read_published(spark, _published(spark, sf))
+    return store.select("stream", "bandwidth", "split", "key", "len", digest("tokens").alias("digest"))
+
+
+@query(
+    "point_read",
+    with_views("ox_store")
+    + f"SELECT key, depth, len, {_dg('tokens')} AS digest FROM ox_store WHERE stream = 'acoustic' AND key IN ("
+    "SELECT min(key) FROM ox_store UNION ALL SELECT max(key) FROM ox_store)",
+)
+def q_point_read(spark, sf):
+    """S6 by key: the least and the greatest key of the corpus, out of the files that may hold them."""
+    from tokenmill.functions.arrays import digest
+    from tokenmill.sources.publish import point_read_published
+
+    root = _published(spark, sf)
+    ends = fx.fx_sem(spark, sf).agg(F.min("key"), F.max("key")).first()
+    found = point_read_published(spark, root, list(ends), "acoustic", bandwidth=3.0)
+    return found.select("key", "depth", "len", digest("tokens").alias("digest"))

@@ -62,40 +62,60 @@ PIECES_SCHEMA = (
 )
 
 
-def decode_pieces(df: DataFrame, chunk_s: int = 30, min_s: int = 1, key: str = "key", content: str = "content") -> DataFrame:
+def decode_pieces(
+    df: DataFrame, chunk_s: int = 30, min_s: int = 1, key: str = "key", content: str = "content", carry: list[str] | None = None
+) -> DataFrame:
     """S4 + P5 + P2-P4 fused: decode each file once and emit its kept pieces.
 
     Mono clips yield one row per piece carrying only that piece's samples
     (``reason`` null); a clip that is too short, not mono or fails to decode yields one
     row with its ``reason`` and no samples, so the reject list is a filter.
+    A file without content has the reason that its ``error`` column (if any)
+    gives.  ``carry`` names columns passed on, as strings, to every row.
     """
     from tokenmill.operators.chunking import piece_plan
 
+    carry = list(carry or [])
+    failed = "error" if "error" in df.columns else None
+    cols = [c.split()[0] for c in PIECES_SCHEMA.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for k, blob in zip(pdf["key"], pdf["content"]):
-                try:
-                    with wave.open(io.BytesIO(bytes(blob)), "rb") as w:
-                        ch, width, sr, n = w.getnchannels(), w.getsampwidth(), w.getframerate(), w.getnframes()
-                        raw = w.readframes(n)
-                except Exception as e:
-                    out.append((k, None, None, None, None, None, None, None, None, None, f"decode_error: {e}"))
-                    continue
-                if ch != 1:
-                    out.append((k, sr, ch, n, None, None, None, None, None, None, "not_mono"))
-                    continue
-                x = _pcm_to_float(raw, width, 1)
-                for no, start, ln, chunked in piece_plan(n, sr, chunk_s, min_s):
-                    if not chunked and ln < min_s * sr:
-                        out.append((k, sr, ch, n, None, None, None, None, None, None, "too_short"))
-                        continue
-                    out.append((k, sr, ch, n, no, start, ln, chunked, f"{k}{no}" if chunked else k, x[start : start + ln], None))
-            cols = [c.split()[0] for c in PIECES_SCHEMA.split(", ")]
-            yield pd.DataFrame(out, columns=cols)
+            whole = pd.DataFrame(decode(pdf), columns=["__row", *cols])
+            for c in carry:
+                whole[c] = pdf[c].to_numpy()[whole["__row"].to_numpy(dtype=np.int64)]
+            yield whole.drop(columns="__row")
 
-    staged = df.select(F.col(key).alias("key"), F.col(content).alias("content"))
-    return staged.mapInPandas(run, PIECES_SCHEMA)
+    def decode(pdf: pd.DataFrame) -> list[tuple]:
+        out = []
+        errors = pdf["__error"] if failed else [None] * len(pdf)
+        for row, (k, blob, error) in enumerate(zip(pdf["key"], pdf["content"], errors)):
+            out += [(row, *piece) for piece in pieces_of(k, blob, error)]
+        return out
+
+    def pieces_of(k: str, blob, error) -> list[tuple]:
+        if error is not None:
+            return [(k, None, None, None, None, None, None, None, None, None, error)]
+        out = []
+        try:
+            with wave.open(io.BytesIO(bytes(blob)), "rb") as w:
+                ch, width, sr, n = w.getnchannels(), w.getsampwidth(), w.getframerate(), w.getnframes()
+                raw = w.readframes(n)
+        except Exception as e:
+            return [(k, None, None, None, None, None, None, None, None, None, f"decode_error: {e}")]
+        if ch != 1:
+            return [(k, sr, ch, n, None, None, None, None, None, None, "not_mono")]
+        x = _pcm_to_float(raw, width, 1)
+        for no, start, ln, chunked in piece_plan(n, sr, chunk_s, min_s):
+            if not chunked and ln < min_s * sr:
+                out.append((k, sr, ch, n, None, None, None, None, None, None, "too_short"))
+                continue
+            out.append((k, sr, ch, n, no, start, ln, chunked, f"{k}{no}" if chunked else k, x[start : start + ln], None))
+        return out
+
+    more = [F.col(failed).alias("__error")] if failed else []
+    staged = df.select(F.col(key).alias("key"), F.col(content).alias("content"), *more, *[F.col(c).cast("string").alias(c) for c in carry])
+    return staged.mapInPandas(run, PIECES_SCHEMA + "".join(f", {c} string" for c in carry))
 
 
 def clip_load(spark: SparkSession, root: str, ext: str = "wav", with_samples: bool = True) -> DataFrame:

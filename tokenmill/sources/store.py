@@ -69,6 +69,7 @@ def write_token_store(
     files_per_partition: int | None = None,
     codebook_columns: bool = False,
     max_depth: int | None = None,
+    bloom: bool = False,
 ) -> str:
     """Write ``(key, [depth], len, tokens)`` rows into the store.
 
@@ -81,7 +82,8 @@ def write_token_store(
     ``split`` is a literal split name or the name of a column holding it.
     Only the partitions present in ``df`` are replaced.  Rows are
     clustered by ``key`` within each task (no shuffle unless
-    ``files_per_partition`` asks for a range repartition).
+    ``files_per_partition`` asks for a range repartition).  ``bloom`` gives
+    every row group a Bloom filter on ``key``.
     """
     out = df
     if "depth" not in out.columns:
@@ -112,13 +114,10 @@ def write_token_store(
     )
     if files_per_partition:
         out = out.repartitionByRange(files_per_partition, "split", "key")
-    out = out.sortWithinPartitions("split", "key")
-    (
-        out.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*PARTITIONS)
-        .parquet(root)
-    )
+    writer = out.sortWithinPartitions("split", "key").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    if bloom:
+        writer = writer.option("parquet.bloom.filter.enabled#key", "true")
+    writer.partitionBy(*PARTITIONS).parquet(root)
     return root
 
 
@@ -129,15 +128,18 @@ def read_token_store(
     split: str | None = None,
     bandwidth: float | None = None,
     keep: int | None = None,
+    paths: list[str] | None = None,
 ) -> DataFrame:
     """Read the store; stream/split/bandwidth filters prune partitions.
 
+    ``paths`` reads these partition folders or files of the store alone.
+
     ``tokens`` is always the flat codebook-major array.  Rows written with
     codebook columns are reassembled from them; with ``keep`` only the first
     ``keep`` codebook columns are read, so ``tokens`` holds ``keep * len``
     values (what the pairing join would cut to anyway).
     """
-    raw = spark.read.schema(STORE_SCHEMA).option("basePath", root).parquet(root)
+    raw = spark.read.schema(STORE_SCHEMA).option("basePath", root).parquet(*(paths or [root]))
     n = keep if keep is not None else MAX_CODEBOOKS
     from_books = F.flatten(F.filter(F.array(*[F.col(c) for c in CODEBOOK_COLUMNS[:n]]), lambda a: a.isNotNull()))
     flat = F.col("tokens") if keep is None else F.slice("tokens", 1, F.col("len") * keep)
