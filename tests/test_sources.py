@@ -6,6 +6,7 @@ import tempfile
 import wave
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tokenmill.operators.chunking import chunk_clips, short_clip_filter
@@ -124,3 +125,34 @@ def test_tokenize_corpus_valid_split_keeps_clips_whole(spark):
         by_clip.setdefault(os.path.basename(r.key)[:-1], set()).add(r.split)
     assert len(rows) == 24 and all(len(v) == 1 for v in by_clip.values())
     assert {s for v in by_clip.values() for s in v} == {"train", "valid"}
+
+
+def test_tokens_of_the_files_that_a_manifest_names(spark):
+    from tokenmill.operators.encode import toy_acoustic, toy_semantic
+    from tokenmill.plans.flows import load_streams, tokenize_corpus
+
+    d = tempfile.mkdtemp(prefix="tm-e1m-")
+    for i in range(6):
+        _wav(os.path.join(d, f"c{i}.wav"), 2 if i else 0.2, 1, sr=100)
+    with open(os.path.join(d, "bad.wav"), "wb") as f:
+        f.write(b"not audio")
+    named = [(os.path.join(d, f"{n}.wav"), s) for n, s in [("c0", "train"), ("c1", "train"), ("c2", "valid"), ("c3", "train"), ("bad", "train"), ("gone", "train")]]
+    rows = spark.createDataFrame(named, "path string, subset string")
+    written = manifest_write(rows, scratch_path(spark, "t-e1m-manifest"))
+    enc = {"semantic": toy_semantic(2), "acoustic": toy_acoustic(4, 3)}
+    for manifest in (rows, written):
+        store = scratch_path(spark, "t-e1m-store")
+        report = {(os.path.basename(r.key), r.stage): r.reason for r in tokenize_corpus(spark, None, enc, store, bandwidth=3.0, manifest=manifest).collect()}
+        assert set(report) == {("c0.wav", "decode"), ("bad.wav", "decode"), ("gone.wav", "decode")}
+        assert report[("c0.wav", "decode")] == "too_short"
+        assert report[("bad.wav", "decode")].startswith("decode_error") and report[("gone.wav", "decode")].startswith("read_error")
+        store_rows = read_token_store(spark, store, stream="acoustic", bandwidth=3.0).collect()
+        assert {(os.path.basename(r.key), r.split) for r in store_rows} == {("c1.wav", "train"), ("c2.wav", "valid"), ("c3.wav", "train")}
+        # a training split is not read in shards, and not with more codebooks than are stored
+        assert load_streams(spark, store, "train", 3.0, keep=4)[0].count() == 2
+        with pytest.raises(ValueError, match="depth"):
+            load_streams(spark, store, "train", 3.0, keep=8)
+        with pytest.raises(ValueError, match="sharded"):
+            load_streams(spark, store, "train", 3.0, keep=4, num_shards=2)
+    with pytest.raises(ValueError, match="folder, or of a manifest"):
+        tokenize_corpus(spark, d, enc, store, manifest=rows)

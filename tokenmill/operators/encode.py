@@ -48,6 +48,7 @@ def encode_job(
     micro_batch: int = K.ENCODER_MICRO_BATCH,
     paired: tuple[str, str] | None = None,
     carry: list[str] | None = None,
+    reason: str | None = None,
 ) -> DataFrame:
     """D1 + P9: run every encoder over every piece -> ``(key, stream, depth, len, tokens, error)``.
 
@@ -55,19 +56,27 @@ def encode_job(
     ``(key, len_sem, units, depth, len_ac, tokens, error)``: the pairing join
     (J1) of the two streams becomes a projection, with no shuffle.
     ``carry`` names columns passed through (as strings) to every output row,
-    e.g. the clip's split.
+    e.g. the clip's split.  ``reason`` names a column that says why a row is
+    not to be encoded: such a row gives one row of stream ``decode`` with that
+    error (long form only), so one pass yields the tokens and the whole report.
     """
     names = list(encoders)
     if paired and set(names) != set(paired):
         raise ValueError(f"paired={paired} takes exactly these two encoders, not {names}")
+    if paired and reason:
+        raise ValueError("rows that are not encoded are reported in the long form only")
     carry = list(carry or [])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models = {n: encoders[n]() for n in names}  # once per task
         for pdf in batches:
             out: list[tuple] = []
+            if reason:
+                off = pdf[pdf["__reason"].notna()]
+                out += [(k, "decode", None, None, None, r) for k, r in zip(off["key"], off["__reason"])]
+                pdf = pd.concat([pdf[pdf["__reason"].isna()], off])
             for fixed in (True, False):
-                part = pdf[pdf["is_chunked"] == fixed]
+                part = pdf[(pdf["is_chunked"] == fixed) & (pdf["__reason"].isna() if reason else True)]
                 step = micro_batch if fixed else 1
                 for s in range(0, len(part), step):
                     mb = part.iloc[s : s + step]
@@ -98,6 +107,7 @@ def encode_job(
         F.col(sr).alias("sr"),
         F.col(is_chunked).alias("is_chunked"),
         *[F.col(c).cast("string").alias(c) for c in carry],
+        *([F.col(reason).alias("__reason")] if reason else []),
     )
     schema = (PAIRED_SCHEMA if paired else OUT_SCHEMA) + "".join(f", {c} string" for c in carry)
     return staged.mapInPandas(run, schema)

@@ -48,3 +48,24 @@ def pad_to_multiple(
         .withColumn("padding_mask", F.when(any_pad, mask))
         .drop("__target", "__npad")
     )
+
+
+def pad_rows(df: DataFrame, col: str, key: str = "key", size: int = K.ENCODER_MICRO_BATCH, multiple: int = K.PAD_MULTIPLE, pad: int = K.PAD_VALUE) -> DataFrame:
+    """W5 + P8: pad each sequence to the longest of its micro-batch, in order of the (unique) key.
+
+    Micro-batches, their longest lengths and whether any member is padded come
+    from (key, length) alone; sequences meet them on their key and are never
+    ordered or windowed themselves.
+    """
+    from tokenmill.operators.batching import micro_batch
+
+    sizes = micro_batch(df.select(key, F.size(col).alias("__n")), key, size)
+    w = Window.partitionBy("micro_batch")  # at most ``size`` rows
+    target = (F.ceil(F.max("__n").over(w) / multiple) * multiple).cast("int")
+    sizes = sizes.withColumn("__target", target)
+    sizes = sizes.withColumn("__any", F.max(F.col("__target") - F.col("__n")).over(w) > 0).drop("__n")
+    n_pad = F.col("__target") - F.size(col)
+    fill = F.array_repeat(F.lit(pad).cast(df.schema[col].dataType.elementType), n_pad)
+    mask = F.concat(F.array_repeat(F.lit(False), F.size(col)), F.array_repeat(F.lit(True), n_pad))
+    joined = df.join(sizes, key).withColumn("padded", F.concat(F.col(col), fill))
+    return joined.withColumn("padding_mask", F.when(F.col("__any"), mask)).drop("__target", "__any")

@@ -184,7 +184,7 @@ add_view(
     [],
     "SELECT concat_ws('/', source, lang, concat(doc_id, '.wav')) AS key, 100 AS sr, "
     "CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END AS n_channels, "
-    "CASE WHEN doc_id % 7 = 0 THEN (octet_length(encode(text)) + 1) // 2 ELSE octet_length(encode(text)) END::BIGINT AS n_samples "
+    "CASE WHEN doc_id % 7 = 0 THEN (octet_length(encode(text)) + 1) // 2 ELSE octet_length(encode(text)) END::BIGINT AS n_samples, text "
     "FROM documents",
 )
 
@@ -221,47 +221,64 @@ add_view(
     "ox_wpieces",
     ["ox_wav"],
     "SELECT key, n, sr, is_chunked, CASE WHEN is_chunked THEN C ELSE n END::BIGINT AS len, "
+    "CASE WHEN is_chunked THEN least((chunk_no - 1) * C, n - C) ELSE 0 END::BIGINT AS start, bytes, "
     "CASE WHEN is_chunked THEN key || chunk_no ELSE key END AS chunk_key FROM ("
     "SELECT *, unnest(range(1, n_pieces + 1)) AS chunk_no FROM ("
     "SELECT *, CASE WHEN n <= C THEN 1 WHEN n - (k - 1) * C < sr THEN k - 1 ELSE k END AS n_pieces FROM ("
-    "SELECT key, n_samples AS n, sr, sr * 30 AS C, (n_samples + sr * 30 - 1) // (sr * 30) AS k, n_samples > sr * 30 AS is_chunked "
-    "FROM ox_wav WHERE n_channels = 1))) WHERE is_chunked OR n >= sr",
+    "SELECT key, n_samples AS n, sr, sr * 30 AS C, (n_samples + sr * 30 - 1) // (sr * 30) AS k, n_samples > sr * 30 AS is_chunked, "
+    "list_transform(range(0, n_samples), lambda i: ('0x' || h[2 * i + 1] || h[2 * i + 2])::INT) AS bytes "
+    "FROM (SELECT *, string_split(hex(encode(text)), '') AS h FROM ox_wav WHERE n_channels = 1)))) WHERE is_chunked OR n >= sr",
 )
+# what the test encoders make of a piece's samples, in whole numbers
+_B = "(CASE WHEN start + {i} < n THEN bytes[start + {i} + 1] ELSE 128 END)"
+_UNITS = f"list_transform(range(0, len // 2), lambda t: (({_B.format(i='2 * t')} + {_B.format(i='2 * t + 1')}) * 1000 // 128) % 10000)"
+_SUM3 = " + ".join(_B.format(i=f"3 * (j % (len // 3)) + {d}") for d in range(3))
+_BASE = f"(abs({_SUM3} - 384) * 997 // 128)"
+_CODES4 = f"list_transform(range(0, 4 * (len // 3)), lambda j: ({_BASE} * (j // (len // 3) + 1) + j // (len // 3)) % 1024)"
+
+
+def _dg(x: str) -> str:
+    return f"coalesce(list_sum(list_transform({x}, lambda v, i: v * i)), 0)::BIGINT"
 
 
 @query(
     "encode_job",
     with_views("ox_wpieces")
-    + "SELECT chunk_key AS key, 'semantic' AS stream, 1 AS depth, (len // 2)::INT AS len FROM ox_wpieces UNION ALL "
-    "SELECT chunk_key, 'acoustic', 4, (len // 3)::INT FROM ox_wpieces",
+    + f"SELECT chunk_key AS key, 'semantic' AS stream, 1 AS depth, (len // 2)::INT AS len, {_dg(_UNITS)} AS digest FROM ox_wpieces UNION ALL "
+    f"SELECT chunk_key, 'acoustic', 4, (len // 3)::INT, {_dg(_CODES4)} FROM ox_wpieces",
 )
 def q_encode_job(spark, sf):
-    return _encoded(spark, sf).select("key", "stream", "depth", "len")
+    from tokenmill.functions.arrays import digest
+
+    return _encoded(spark, sf).select("key", "stream", "depth", "len", digest("tokens").alias("digest"))
 
 
 @query(
     "quarantine_failures",
     with_views("ox_wpieces")
-    + "SELECT chunk_key AS key, 'acoustic' AS stream FROM ox_wpieces WHERE len % 13 = 0",
+    + "SELECT chunk_key AS key, 'acoustic' AS stream, concat('RuntimeError: encoder failed on a clip of ', len, ' samples') AS error "
+    "FROM ox_wpieces WHERE len % 13 = 0",
 )
 def q_quarantine_failures(spark, sf):
     from tokenmill.operators.encode import quarantine
 
     good, bad = quarantine(_encoded(spark, sf, fail_mod=13))
-    return bad.select("key", "stream")
+    return bad.select("key", "stream", "error")
 
 
 @query(
     "encode_job_paired",
     with_views("ox_wpieces")
-    + "SELECT chunk_key AS key, (len // 2)::INT AS len_sem, 4 AS depth, (len // 3)::INT AS len_ac FROM ox_wpieces",
+    + f"SELECT chunk_key AS key, (len // 2)::INT AS len_sem, 4 AS depth, (len // 3)::INT AS len_ac, {_dg(_UNITS)} AS units_digest, "
+    f"{_dg(_CODES4)} AS tokens_digest FROM ox_wpieces",
 )
 def q_encode_job_paired(spark, sf):
     """D1 emitting both streams per row: J1 is a projection, no shuffle."""
+    from tokenmill.functions.arrays import digest
     from tokenmill.operators.encode import encode_job, toy_acoustic, toy_semantic
     from tokenmill.sources.audio import decode_pieces
 
     pieces = decode_pieces(wav_clips(spark, sf)).where(F.col("reason").isNull())
     encoders = {"semantic": toy_semantic(2), "acoustic": toy_acoustic(4, 3)}
-    out = encode_job(pieces, encoders, paired=("semantic", "acoustic"))
-    return out.where(F.col("error").isNull()).select("key", "len_sem", "depth", "len_ac")
+    out = encode_job(pieces, encoders, paired=("semantic", "acoustic")).where(F.col("error").isNull())
+    return out.select("key", "len_sem", "depth", "len_ac", digest("units").alias("units_digest"), digest("tokens").alias("tokens_digest"))

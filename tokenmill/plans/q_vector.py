@@ -77,11 +77,9 @@ def q_waveform_zscore(spark, sf):
 )
 def q_pad_to_multiple(spark, sf):
     from tokenmill.functions.arrays import digest
-    from tokenmill.operators.batching import micro_batch
-    from tokenmill.operators.features import pad_to_multiple
+    from tokenmill.operators.features import pad_rows
 
-    sem = micro_batch(fx.fx_sem(spark, sf).select("key", "units"), "key", 128)
-    padded = pad_to_multiple(sem, "units", "micro_batch", multiple=2, pad=1)
+    padded = pad_rows(fx.fx_sem(spark, sf).select("key", "units"), "units", size=128, multiple=2, pad=1)
     return padded.select(
         "key",
         "micro_batch",
