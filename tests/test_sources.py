@@ -156,3 +156,19 @@ def test_tokens_of_the_files_that_a_manifest_names(spark):
             load_streams(spark, store, "train", 3.0, keep=4, num_shards=2)
     with pytest.raises(ValueError, match="folder, or of a manifest"):
         tokenize_corpus(spark, d, enc, store, manifest=rows)
+
+
+def test_headers_are_read_without_the_samples(spark):
+    from tokenmill.sources.audio import HEADER_BYTES, decode_wav
+
+    d = tempfile.mkdtemp(prefix="tm-head-")
+    for name, sec, ch in (("a", 3, 1), ("b", 9, 2), ("c", 0, 1)):
+        _wav(os.path.join(d, f"{name}.wav"), sec, ch)
+    assert os.path.getsize(os.path.join(d, "b.wav")) > 4 * HEADER_BYTES
+    with open(os.path.join(d, "x.wav"), "wb") as f:
+        f.write(b"RIFF")
+    files = spark.read.format("binaryFile").load(d).select(F.col("path").alias("key"), "content")
+    cols = ["key", "sr", "n_channels", "sample_width", "n_samples"]
+    whole, heads = decode_wav(files), decode_wav(files, with_samples=False)
+    assert sorted(map(tuple, whole.select(*cols).collect()), key=str) == sorted(map(tuple, heads.select(*cols).collect()), key=str)
+    assert heads.where("samples is not null").count() == 0 and heads.where("error is not null").count() == 1

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tokenmill.functions import constants as K
 from tokenmill.functions.arrays import dedupe_consecutive, safe_slice
-from tokenmill.operators.assemble import assemble_rows, crop_start, size_clip
+from tokenmill.operators.assemble import assemble_rows, crop_start, size_clip, size_filter
 from tokenmill.operators.batching import batch_stats, token_budget_batches
 from tokenmill.operators.collate import collate
 
@@ -23,9 +23,13 @@ def row_shapes(
     max_source: int = K.MAX_SOURCE_POSITIONS,
     max_target: int = K.MAX_TARGET_POSITIONS,
     seed: int = 42,
+    skip_long: bool = False,
 ) -> DataFrame:
     """Per paired key: batching size and the lengths of its assembled LM row.
 
+    With ``skip_long`` samples beyond the positions of either stream are left
+    out (P11 on raw sizes) instead of cropped.
+
     Only the semantic units are read (to crop and dedupe them); the acoustic
     side contributes its size column alone, so the scan of the largest store
     prunes every token array.
@@ -41,6 +45,8 @@ def row_shapes(
     s = s.select("key", "len_sem", "crop_start", (n_units + 1).alias("src_length"))
     a = ac.select("key", F.col("len").alias("len_ac"))
     paired = size_clip(s.join(a, "key", "inner"), max_source, max_target)
+    if skip_long:
+        paired = size_filter(paired, max_source, max_target).where("fits")
     a0 = F.expr(f"cast(crop_start * {max_target} div {max_source} as int)")
     n_a = F.greatest(F.lit(0), F.least(F.lit(max_target), F.col("len_ac") - a0))
     return paired.select("key", "len_s", "src_length", (n_a + 1).alias("target_length")).withColumn(
@@ -70,6 +76,8 @@ def collated_batches(
     shuffle: bool = True,
     seed: int = 42,
     parts: int | None = None,
+    max_sentences: int | None = None,
+    skip_long: bool = False,
 ) -> DataFrame:
     """E2 in full: streams -> paired, cropped, encoded rows -> token-budget batches -> one collated row per batch.
 
@@ -77,8 +85,9 @@ def collated_batches(
     the key they are paired on, and cross one more exchange, into their batches.
     """
     ids = token_budget_batches(
-        row_shapes(sem, ac, reduce=reduce, seed=seed).select("key", "len_s"), max_tokens=max_tokens, shuffle=shuffle, seed=seed
-    ).select("key", "batch_id")
+        row_shapes(sem, ac, reduce=reduce, seed=seed, skip_long=skip_long).select("key", "len_s"),
+        max_tokens=max_tokens, shuffle=shuffle, seed=seed, max_sentences=max_sentences,
+    ).select("key", "batch_id")
     last = ids.agg(F.max("batch_id")).first()[0]
     rows = assemble_rows(sem, ac, keep=keep, reduce=reduce, seed=seed)
     return collate(rows.join(ids, "key"), keep, 0 if last is None else last + 1, parts=parts)
@@ -180,27 +189,18 @@ def load_streams(spark, store_root: str, split: str, bandwidth: float, keep: int
 def score_report(scores: DataFrame, epsilon: float = K.LABEL_SMOOTHING) -> DataFrame:
     """Masked accuracy and smoothed loss from a long score table, as ``(metric, value)``.
 
-    ``scores`` holds ``(pos, class, score, target, keep)``.  Argmax, label
-    and mask of a position come out of one aggregate (one shuffle on
-    ``pos``); the log-softmax for the loss is one window on ``pos``.
+    ``scores`` holds ``(pos, class, score, target, keep)``.  One shuffle on the
+    position brings its classes together; one pass over the arrays then gives
+    argmax, label probability and mask of every position.
     """
-    from tokenmill.operators.scoring import smoothed_nll
-
-    per_pos = scores.groupBy("pos").agg(
-        F.max_by(F.col("class"), F.struct(F.col("score"), -F.col("class"))).alias("pred"),
-        F.max("target").alias("target"),
-        F.max(F.col("keep").cast("int")).alias("keep"),
-    )
-    acc = per_pos.where(F.col("keep") == 1).agg(
-        F.count_if(F.col("pred") == F.col("target")).alias("n_correct"), F.count(F.lit(1)).alias("total")
-    )
-    accuracy = acc.select(
-        F.lit("accuracy").alias("metric"),
-        F.when(F.col("total") > 0, 100.0 * F.col("n_correct") / F.col("total")).alias("value"),
+    from tokenmill.functions.numeric import round_half_up
+    from tokenmill.operators.score_rows import component_metrics, to_score_rows
+
+    rows = to_score_rows(scores.select("pos", "class", "score", "target", "keep")).withColumn("component", F.lit("word_ins"))
+    whole = component_metrics(rows, epsilon=epsilon).where("component = 'total'")
+    metrics = F.array(
+        F.struct(F.lit("accuracy").alias("metric"), F.when(F.col("total") > 0, 100.0 * F.col("n_correct") / F.col("total")).alias("value")),
+        F.struct(F.lit("nll_loss").alias("metric"), round_half_up("nll_loss", 6).alias("value")),
+        F.struct(F.lit("loss").alias("metric"), round_half_up("loss", 6).alias("value")),
     )
-    loss = smoothed_nll(scores, mask=per_pos.where(F.col("keep") == 1).select("pos"), epsilon=epsilon)
-    losses = loss.select(F.explode(F.array(
-        F.struct(F.lit("nll_loss").alias("metric"), F.col("nll_loss").alias("value")),
-        F.struct(F.lit("loss").alias("metric"), F.col("loss").alias("value")),
-    )).alias("m")).select("m.metric", "m.value")
-    return accuracy.unionByName(losses)
+    return whole.select(F.explode(metrics).alias("m")).select("m.metric", "m.value")
