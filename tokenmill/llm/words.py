@@ -9,6 +9,8 @@ sums: ``P[i] = sum(v[j] * B**j for j < i)`` modulo 2**64, and the hash of
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,6 +63,16 @@ def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     return got
 
 
+def release_memory() -> None:
+    """Give back what earlier stages left in this worker: kept powers, Arrow's pool, and the allocator's free pages."""
+    _POWERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 class Prefix:
     """Hashes of any ``[a, b)`` of a sequence of 64-bit values."""
 
@@ -107,6 +119,11 @@ def pieces(texts, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarr
     pa.default_memory_pool().release_unused()  # workers live on into other stages
 
 
+def word_bytes(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to words."""
+    return _IS_WORD[data]
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and the first word of each row (with the end)."""
     inside = _IS_WORD[data]
