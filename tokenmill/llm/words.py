@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Some dozens of 8-byte temporaries per byte live while a piece is worked on.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 PIECE_ROWS = 8192
 KEPT_POWERS = 1 << 21
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -63,16 +63,21 @@ def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     return got
 
 
-def release_memory() -> None:
-    """Give back what earlier stages left in this worker: kept powers, Arrow's pool, and the allocator's free pages."""
-    _POWERS.clear()
-    gc.collect()
+def trim_memory() -> None:
+    """Give the free pages of Arrow's pool and of the allocator back to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
     if trim is not None:
         trim(0)
 
 
+def release_memory() -> None:
+    """Drop what earlier stages left in this worker."""
+    _POWERS.clear()
+    gc.collect()
+    trim_memory()
+
+
 class Prefix:
     """Hashes of any ``[a, b)`` of a sequence of 64-bit values."""
 
@@ -116,7 +121,7 @@ def pieces(texts, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarr
         end = min(n, row + PIECE_ROWS, max(row + 1, end))
         yield row, end, raw[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
-    pa.default_memory_pool().release_unused()  # workers live on into other stages
+    trim_memory()  # workers live on into other stages
 
 
 def word_bytes(data: np.ndarray) -> np.ndarray:
