@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 PIECE_BYTES = 1 << 19
 PIECE_ROWS = 8192
 KEPT_POWERS = 1 << 21
+TRIM_BYTES = 8 << 20
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 _IS_WORD = np.ones(256, bool)
@@ -121,7 +122,8 @@ def pieces(texts, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarr
         end = min(n, row + PIECE_ROWS, max(row + 1, end))
         yield row, end, raw[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
-    trim_memory()  # workers live on into other stages
+    if offsets[n] - offsets[0] >= TRIM_BYTES:
+        trim_memory()  # workers live on into other stages
 
 
 def word_bytes(data: np.ndarray) -> np.ndarray:
