@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tokenmill.llm.common import cut, table
 from tokenmill.llm.labelled import held_out, sample
 from tokenmill.llm.registry import query
-from tokenmill.llm.words import pieces, ragged, word_bounds
+from tokenmill.llm.words import keep_in_worker, pieces, ragged, word_bounds
 
 FIT_TOXIC = 6_000
 FIT_OTHER = 12_000
@@ -62,7 +62,7 @@ def bare(word: str) -> str:
 
 def split_words(texts) -> Iterator[tuple[int, pa.DictionaryArray, np.ndarray]]:
     """Yield ``(first row, dictionary-coded words, first word of each row and the end)``."""
-    for row, _, data, offsets in pieces(texts):
+    for row, _, data, offsets in pieces(texts, operator="automata"):
         starts, ends, first = word_bounds(data, offsets)
         lengths = ends - starts
         bounds = np.zeros(len(starts) + 1, np.int64)
@@ -245,7 +245,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -500, 500)))
 
 
-_AUTOMATA: dict[tuple, tuple[Automaton, Automaton, dict[str, int]]] = {}
+_AUTOMATA: dict[tuple, tuple[Automaton, Automaton, dict[str, int]]] = keep_in_worker("automata", {})
 
 
 def _automata(terms: list[str], hints: list[str]) -> tuple[Automaton, Automaton, dict[str, int]]:

@@ -72,11 +72,26 @@ def trim_memory() -> None:
         trim(0)
 
 
-def release_memory() -> None:
-    """Drop what earlier stages left in this worker."""
-    _POWERS.clear()
-    gc.collect()
-    trim_memory()
+#: Caches that an operator keeps in its workers from batch to batch.
+_CACHES: dict[str, dict] = {"powers": _POWERS}
+_IN_USE = [""]
+
+
+def keep_in_worker(operator: str, cache: dict) -> dict:
+    """Register a cache that lives while its operator is the one that reads texts in this worker."""
+    _CACHES[operator] = cache
+    return cache
+
+
+def _enter(operator: str) -> None:
+    """Workers outlive stages: when another operator begins, drop what the last one kept."""
+    if _IN_USE[0] != operator:
+        _IN_USE[0] = operator
+        for name, cache in _CACHES.items():
+            if name != operator:
+                cache.clear()
+        gc.collect()
+        trim_memory()
 
 
 class Prefix:
@@ -107,8 +122,12 @@ def _plain(array) -> pa.Array:
     return pc.fill_null(array.cast(pa.large_string()), "")
 
 
-def pieces(texts, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Yield ``(first row, end row, bytes, offsets)``; null counts as empty."""
+def pieces(texts, limit: int = PIECE_BYTES, operator: str = "powers") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Yield ``(first row, end row, bytes, offsets)``; null counts as empty.
+
+    ``operator`` names the cache (see ``keep_in_worker``) that the caller uses.
+    """
+    _enter(operator)
     texts = _plain(texts)
     n = len(texts)
     if n == 0:
