@@ -1,7 +1,7 @@
 """Fixed values that must equal the published model/data settings.
 
 FIXED VALUES (do not change; results depend on them):
-  special symbols (fairseq Dictionary order): bos 0, pad 1, eos 2, unk 3; nspecial 4
+  special symbols (in dictionary order): bos 0, pad 1, eos 2, unk 3; nspecial 4
   special symbol strings: "<s>", "<pad>", "</s>", "<unk>"
   chunk length 30 s, minimum clip length 1 s
   max_source_positions 650, max_target_positions 975
