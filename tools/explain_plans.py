@@ -17,7 +17,8 @@ from tokenmill.operators.aggregates import run_length_units  # noqa: E402
 from tokenmill.operators.assemble import pair_streams, unpaired_keys  # noqa: E402
 from tokenmill.operators.shards import shard_merge  # noqa: E402
 from tokenmill.plans import fixtures as fx  # noqa: E402
-from tokenmill.plans.flows import training_batches  # noqa: E402
+from tokenmill.operators.score_rows import component_metrics, top_classes  # noqa: E402
+from tokenmill.plans.flows import collated_batches, training_batches  # noqa: E402
 from tokenmill.session import local_session, scratch_path  # noqa: E402
 from tokenmill.sources.store import point_read, read_token_store, write_token_store  # noqa: E402
 
@@ -50,6 +51,9 @@ def main() -> None:
         ("J1 pair_streams, sizes only (token arrays pruned, partition filters)", pair_streams(sem, ac, with_tokens=False)),
         ("J1 pair_streams keeping 2 codebooks (cut before the exchange)", pair_streams(sem, ac, keep=2)),
         ("E2 flagship training_batches over the store", training_batches(sem, ac)),
+        ("A4 collated_batches over the store (one exchange by range of batch ids)", collated_batches(sem, ac, keep=2)),
+        ("A5, A6 component_metrics (one pass over score arrays, one aggregate)", component_metrics(fx.fx_components(spark, sf))),
+        ("O2 top_classes (no exchange)", top_classes(fx.fx_score_rows(spark, sf), 5)),
         ("S6 point read (key pushed to Parquet)", point_read(ac, ac.select("key").first()[0])),
         ("J2 unpaired_keys (one full outer join)", unpaired_keys(sem, ac)),
         ("U1 shard_merge (max_by, partial aggregation)", shard_merge(fx.fx_shards(spark, sf))),
