@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HEADER_BYTES = 1 << 16  # where a file's data chunk must have begun
+OUT_BYTES = 4 << 20  # samples of this size are handed on at once, however many files an Arrow batch has
 
 DECODED_SCHEMA = (
     "key string, sr int, n_channels int, sample_width int, n_samples long, samples array<float>, error string"
@@ -36,8 +37,9 @@ def _pcm_to_float(raw: bytes, width: int, channels: int) -> np.ndarray:
 
 
 def _decode_batches(batches: Iterator[pd.DataFrame], with_samples: bool) -> Iterator[pd.DataFrame]:
+    names = ["key", "sr", "n_channels", "sample_width", "n_samples", "samples", "error"]
     for pdf in batches:
-        out = []
+        out, size = [], 0
         for key, content in zip(pdf["key"], pdf["content"]):
             try:
                 with wave.open(io.BytesIO(bytes(content)), "rb") as w:
@@ -47,9 +49,13 @@ def _decode_batches(batches: Iterator[pd.DataFrame], with_samples: bool) -> Iter
                 x = _pcm_to_float(raw, width, ch)  # also refuses widths that are not PCM's
                 samples = x.reshape(-1) if with_samples else None  # numpy -> Arrow list without Python floats
                 out.append((key, sr, ch, width, int(n), samples, None))
+                size += 0 if samples is None else samples.nbytes
             except Exception as e:  # a bad file is reported, not fatal
                 out.append((key, None, None, None, None, None, f"{type(e).__name__}: {e}"))
-        yield pd.DataFrame(out, columns=["key", "sr", "n_channels", "sample_width", "n_samples", "samples", "error"])
+            if size >= OUT_BYTES:
+                yield pd.DataFrame(out, columns=names)
+                out, size = [], 0
+        yield pd.DataFrame(out, columns=names)
 
 
 def decode_wav(df: DataFrame, key: str = "key", content: str = "content", with_samples: bool = True) -> DataFrame:
@@ -88,17 +94,25 @@ def decode_pieces(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            whole = pd.DataFrame(decode(pdf), columns=["__row", *cols])
-            for c in carry:
-                whole[c] = pdf[c].to_numpy()[whole["__row"].to_numpy(dtype=np.int64)]
-            yield whole.drop(columns="__row")
-
-    def decode(pdf: pd.DataFrame) -> list[tuple]:
-        out = []
+            for found in decode(pdf):
+                whole = pd.DataFrame(found, columns=["__row", *cols])
+                for c in carry:
+                    whole[c] = pdf[c].to_numpy()[whole["__row"].to_numpy(dtype=np.int64)]
+                yield whole.drop(columns="__row")
+
+    def decode(pdf: pd.DataFrame) -> Iterator[list[tuple]]:
+        """The pieces of a batch's files, some MB of samples at a time."""
+        out, size = [], 0
         errors = pdf["__error"] if failed else [None] * len(pdf)
         for row, (k, blob, error) in enumerate(zip(pdf["key"], pdf["content"], errors)):
-            out += [(row, *piece) for piece in pieces_of(k, blob, error)]
-        return out
+            for piece in pieces_of(k, blob, error):
+                out.append((row, *piece))
+                size += 0 if piece[9] is None else piece[9].nbytes
+                if size >= OUT_BYTES:
+                    yield out
+                    out, size = [], 0
+        if out:
+            yield out
 
     def pieces_of(k: str, blob, error) -> list[tuple]:
         if error is not None:
