@@ -65,3 +65,14 @@ def test_decoded_pieces_leave_in_parts(spark):
     parts = list(decode_pieces(_Frame())(iter([files])))
     assert len(parts) > 2 and sum(map(len, parts)) == 1200
     assert max(sum(x.nbytes for x in p["samples"]) for p in parts) < 8 << 20
+
+
+def test_published_files_hold_a_bounded_number_of_tokens(spark, tmp_path, monkeypatch):
+    from tokenmill.sources import publish
+
+    monkeypatch.setattr(publish, "TOKENS_PER_FILE", 100, raising=False)
+    rows = [(f"k{i:03}", 20, list(range(20))) for i in range(50)]
+    df = spark.createDataFrame(rows, "key string, len int, tokens array<bigint>")
+    publish.publish_streams(spark, str(tmp_path), [{"df": df, "stream": "semantic", "split": "train"}], files=1)
+    read = publish.read_published(spark, str(tmp_path))
+    assert read.count() == 50 and read.select(F.input_file_name()).distinct().count() >= 5

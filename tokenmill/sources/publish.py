@@ -29,6 +29,7 @@ from tokenmill.sources.store import PARTITIONS, STORE_SCHEMA, read_token_store,
 
 POINTER = "CURRENT"
 ROWS_PER_FILE = 1 << 20
+TOKENS_PER_FILE = 1 << 24
 
 
 def _path(spark: SparkSession, name: str):
@@ -72,14 +73,18 @@ def publish_streams(
     A stream is the keyword arguments of ``write_token_store`` besides the
     root: ``df``, ``stream`` and, as needed, ``split``, ``bandwidth``,
     ``codebook_columns``, ``max_depth``.  Each is written in files of some
-    ``rows_per_file`` rows (or in ``files``), clustered by key.
+    ``rows_per_file`` rows (or in ``files``), clustered by key; in more where
+    these would hold over ``TOKENS_PER_FILE`` tokens, since a file is one task's.
     """
     version = uuid.uuid4().hex
     base = f"{root}/versions/{version}"
     for stream in streams:
         options = dict(stream)
         df = options.pop("df")
-        n = files or max(1, -(-df.count() // rows_per_file))
+        # sizes alone: the scan prunes the tokens
+        depth = F.col("depth") if "depth" in df.columns else F.lit(1)
+        rows, tokens = df.agg(F.count("*"), F.sum(depth.cast("bigint") * F.col("len"))).first()
+        n = max(files or -(-rows // rows_per_file), -(-(tokens or 0) // TOKENS_PER_FILE), 1)
         write_token_store(df, base, files_per_partition=n, bloom=True, **options)
     written = spark.read.schema(STORE_SCHEMA).parquet(base)
     keys = written.select("key", *PARTITIONS, F.col("_metadata.file_path").alias("file"))
