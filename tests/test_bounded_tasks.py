@@ -76,3 +76,12 @@ def test_published_files_hold_a_bounded_number_of_tokens(spark, tmp_path, monkey
     publish.publish_streams(spark, str(tmp_path), [{"df": df, "stream": "semantic", "split": "train"}], files=1)
     read = publish.read_published(spark, str(tmp_path))
     assert read.count() == 50 and read.select(F.input_file_name()).distinct().count() >= 5
+
+
+def test_packing_evolves_where_best_fit_is_not_enough():
+    from tokenmill.llm.packing import evolve
+
+    sizes = np.sort(np.random.default_rng(0).integers(400, 1000, 600)).astype(np.int64)
+    best = evolve(sizes, [], 1)[0]
+    assert np.bincount(best, sizes).max() <= 2048
+    assert best.max() + 1 <= 222  # six generations of four gave 224; the bound is 209

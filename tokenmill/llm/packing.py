@@ -34,8 +34,8 @@ CAPACITY = 2048
 REGION = 3000
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 6
-POPULATION = 4
+GENERATIONS = 120
+POPULATION = 12
 ELITES = 2
 #: Bins below this share of the capacity are dissolved and packed again with those of other regions.
 SETTLED = 0.995
