@@ -85,3 +85,32 @@ def test_packing_evolves_where_best_fit_is_not_enough():
     best = evolve(sizes, [], 1)[0]
     assert np.bincount(best, sizes).max() <= 2048
     assert best.max() + 1 <= 222  # six generations of four gave 224; the bound is 209
+
+
+def test_a_task_gives_memory_back_behind_its_last_row(monkeypatch):
+    from tokenmill.functions import workers
+    from tokenmill.llm.repeats import Windows, super_window_rows
+
+    events = []
+    monkeypatch.setattr(workers, "trim_memory", lambda: events.append("trim"))
+
+    class Held:
+        def __del__(self):
+            events.append("freed")
+
+    def work(batches):
+        held = Held()  # noqa: F841
+        yield from batches
+
+    assert list(workers.trimmed(work)(iter([1, 2]))) == [1, 2]
+    assert events == ["freed", "trim"]
+
+    class Docs(_Frame):
+        dtypes = [("doc_id", "bigint"), ("fp", "bigint"), ("text", "string")]
+
+    events.clear()
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1], pa.int64()), pa.array([2], pa.int64()), pa.array(["abc " * 300])], ["doc_id", "fp", "text"]
+    )
+    rows = list(super_window_rows(Docs(), Windows(400, 160, False))(iter([batch])))
+    assert rows and events == ["trim"]

@@ -35,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenmill.functions.workers import trimmed
 from tokenmill.llm.common import connected_components, cut, table
 from tokenmill.llm.registry import query
 from tokenmill.llm.repeats import Bloom
@@ -89,7 +90,7 @@ def token_counts(docs: DataFrame, gram: int) -> np.ndarray:
             v += np.asarray(c.flatten()).reshape(-1, CHUNK).sum(axis=0)
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([v.tolist()], pa.list_(pa.int64()))})
 
-    parts = docs.select("text").mapInArrow(work, "chunk int, salt int, v array<bigint>")
+    parts = docs.select("text").mapInArrow(trimmed(work), "chunk int, salt int, v array<bigint>")
     once = parts.groupBy("chunk", "salt").applyInArrow(add, "chunk int, v array<bigint>")
     out = np.zeros((COUNTERS // CHUNK, CHUNK), np.int64)
     got = once.groupBy("chunk").applyInArrow(add, "chunk int, v array<bigint>").toArrow()  # COUNTERS numbers at any input
@@ -155,7 +156,7 @@ def signatures(docs: DataFrame, gram: int, num: int, den: int, classes: np.ndarr
                 )
 
     return docs.mapInArrow(
-        work,
+        trimmed(work),
         f"doc_id {kind}, rk bigint, n bigint, fp bigint, rare array<bigint>, common array<bigint>, bitmap binary, sketch array<bigint>",
     )
 
@@ -208,7 +209,7 @@ def index_rows(classes: DataFrame, bloom: Bloom | None = None) -> DataFrame:
                     ["key", "fp", "n", "kind", "pos"],
                 )
 
-    return classes.select("fp", "n", "rare", "common").mapInArrow(work, "key bigint, fp bigint, n bigint, kind int, pos int")
+    return classes.select("fp", "n", "rare", "common").mapInArrow(trimmed(work), "key bigint, fp bigint, n bigint, kind int, pos int")
 
 
 def _bitmap_bound(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -228,7 +229,7 @@ def _bitmap_bound(pairs: DataFrame, num: int, den: int) -> DataFrame:
                 keep[i] = int(np.bitwise_count(a ^ b).sum()) <= most[i]
             yield batch.select(["x", "y"]).filter(pa.array(keep))
 
-    return pairs.select("x", "y", "nx", "ny", "bx", "by").mapInArrow(work, "x bigint, y bigint")
+    return pairs.select("x", "y", "nx", "ny", "bx", "by").mapInArrow(trimmed(work), "x bigint, y bigint")
 
 
 def token_arrays(docs: DataFrame, wanted: DataFrame, gram: int) -> DataFrame:
@@ -245,7 +246,7 @@ def token_arrays(docs: DataFrame, wanted: DataFrame, gram: int) -> DataFrame:
                     [part.column("rk").slice(row0, len(n)), pa.ListArray.from_arrays(ends, signed(tokens))], ["rk", "tokens"]
                 )
 
-    found = docs.select("rk", "text").mapInArrow(work, "rk bigint, tokens array<bigint>")
+    found = docs.select("rk", "text").mapInArrow(trimmed(work), "rk bigint, tokens array<bigint>")
     return found.join(wanted, "rk").dropDuplicates(["fp"]).select("fp", "tokens")
 
 

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenmill.functions.workers import trimmed
 from tokenmill.llm.common import cut, table
 from tokenmill.llm.labelled import held_out, sample
 from tokenmill.llm.registry import query
@@ -105,7 +106,7 @@ def _document_frequencies(docs: DataFrame, wanted: frozenset[str] | None) -> Dat
                 [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"]
             )
 
-    return docs.select("text").mapInArrow(work, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(trimmed(work), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def choose_terms(
@@ -345,7 +346,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic: int = FIT_TOXIC, oth
             x = features(batch.column("text"), terms, hints)
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["y", "x"])
 
-    got = rows.select("text", "y").mapInArrow(work, "y int, x array<double>").collect()
+    got = rows.select("text", "y").mapInArrow(trimmed(work), "y int, x array<double>").collect()
     x, y = np.array([r.x for r in got], float), np.array([r.y for r in got])
     return ToxicityModel(terms, hints, logistic(x, y), True)
 
@@ -360,7 +361,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, column: str = "toxicit
             score = model.score(features(batch.column("text"), model.terms, model.hints))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(score)], [*kept, column])
 
-    return docs.select(*kept).mapInArrow(work, schema)
+    return docs.select(*kept).mapInArrow(trimmed(work), schema)
 
 
 @query("op6_toxicity")
