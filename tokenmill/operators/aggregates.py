@@ -64,9 +64,10 @@ def vocab_sizing(spark, sem: DataFrame, ac: DataFrame, source_symbols: int = K.S
     n_tgt = target_vocab_size(codec_depth, codec_dim)
     src_size, tgt_size = source_symbols + K.NSPECIAL, n_tgt + K.NSPECIAL
     src_max = sem.select(F.max(F.array_max("units")).alias("m"))
-    kept = F.slice("tokens", 1, F.col("len") * codec_depth)
-    offset = F.transform(kept, lambda x, j: x + F.floor(j / F.col("len")).cast("long") * codec_dim)
-    tgt_max = ac.select(F.max(F.array_max(offset)).alias("m"))
+    # the largest code of each codebook, then its offset: no code is offset one by one
+    size = F.col("len")
+    books = [F.array_max(F.slice("tokens", size * q + 1, size)) + F.lit(q * codec_dim).cast("bigint") for q in range(codec_depth)]
+    tgt_max = ac.select(F.max(F.array_max(F.array(*books))).alias("m"))
     combined = src_size + tgt_size
     src = src_max.select(
         F.lit("source").alias("dictionary"), F.lit(source_symbols).cast("bigint").alias("n_symbols"),

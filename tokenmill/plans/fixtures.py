@@ -8,7 +8,14 @@ so its size grows with the scale factor.  The DuckDB twins live in
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -20,8 +27,70 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _h(x: str) -> str:
-    return f"cast(conv(substr(md5({x}), 1, 8), 16, 10) as bigint)"
+#: a task turns so many words into units at a time, and so many units into tokens
+WORDS, UNITS = 1 << 20, 1 << 18
+
+
+def _slices(batches: Iterator[pa.Array], size, limit: int) -> Iterator[pa.Array]:
+    """The rows of ``batches`` in order, in slices of at most ``limit`` by ``size(batch)``, or of one row."""
+    for rows in batches:
+        ends = np.cumsum(np.maximum(size(rows), 1))
+        start = 0
+        while start < len(rows):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            yield rows.slice(start, stop - start)
+            start = stop
+        if not len(rows):
+            yield rows
+
+
+def _word_units(texts: pa.Array) -> pa.Array:
+    """Units of every text: the first 32 bits of the md5 of each word (split at every space), mod 10,000."""
+    words = pc.split_pattern(texts, " ")
+    coded = words.flatten().dictionary_encode()
+    units = [int.from_bytes(hashlib.md5(w, usedforsecurity=False).digest()[:4], "big") % 10000 for w in coded.dictionary.cast(pa.binary()).to_pylist()]
+    values = np.array(units, np.int64)[coded.indices.to_numpy()]
+    return _like(texts, pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False), values)
+
+
+def _like(rows: pa.Array, sizes: np.ndarray, values: np.ndarray) -> pa.Array:
+    """A list array of ``sizes`` values a row, null where ``rows`` is."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    mask = pc.is_null(rows) if rows.null_count else None
+    return pa.ListArray.from_arrays(offsets, pa.array(values, pa.int64()), mask=mask)
+
+
+def _book_tokens(rows: pa.Array) -> pa.Array:
+    """The four codebooks of every row of units, flat and codebook-major."""
+    n = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    units = rows.flatten().to_numpy(zero_copy_only=False)
+    frames = n * 3 // 2
+    first = np.cumsum(frames) - frames  # of a row among all frames; a book of a row starts at 4 * first + book * frames
+    t = np.arange(frames.sum()) - np.repeat(first, frames)
+    unit = units[np.repeat(np.cumsum(n) - n, frames) + t * 2 // 3]
+    place, step = np.repeat(4 * first, frames) + t, np.repeat(frames, frames)
+    tokens = np.empty(4 * len(t), np.int64)
+    for c in range(4):
+        tokens[place + c * step] = (unit * (c + 1) + t * 7 + c * 13) % 1024
+    return _like(rows, 4 * frames, tokens)
+
+
+def _units_udf():
+    def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        # some four bytes a word
+        for texts in _slices(batches, lambda b: pc.fill_null(pc.binary_length(b), 0).to_numpy(zero_copy_only=False) // 4, WORDS):
+            yield _word_units(texts)
+
+    return F.arrow_udf(work, "array<bigint>")
+
+
+def _tokens_udf():
+    def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for rows in _slices(batches, lambda b: pc.fill_null(pc.list_value_length(b), 0).to_numpy(zero_copy_only=False), UNITS):
+            yield _book_tokens(rows)
+
+    return F.arrow_udf(work, "array<bigint>")
 
 
 def fx_manifest(spark, sf_dir) -> DataFrame:
@@ -47,12 +116,7 @@ def fx_clips(spark, sf_dir) -> DataFrame:
 def fx_sem0(spark, sf_dir) -> DataFrame:
     # len = size(units) = number of words; spelled from the split so a size-only
     # read (column pruning) never computes the per-word hashes
-    return spark.sql(
-        "SELECT doc_id, key, cast(n_words as int) AS len, "
-        f"transform(split(text, ' ', -1), w -> {_h('w')} % 10000) AS units "
-        "FROM {c}",
-        c=fx_clips(spark, sf_dir),
-    )
+    return fx_clips(spark, sf_dir).select("doc_id", "key", F.col("n_words").cast("int").alias("len"), _units_udf()("text").alias("units"))
 
 
 def fx_sem(spark, sf_dir) -> DataFrame:
@@ -73,22 +137,10 @@ def fx_ac_all(spark, sf_dir) -> DataFrame:
     """Acoustic stand-in: 4 codebooks of ``la = len * 3 div 2`` frames, flat codebook-major.
 
     Frame ``t`` of codebook ``c`` is ``(units[t * 2 div 3] * (c + 1) + t * 7 + c * 13) % 1024``.
-    The semantic units are first upsampled 2:1:2:1... (unit ``j`` covers
-    ``2 - j % 2`` frames) so no lambda reads an outer array.
+    One pass over Arrow batches computes the books of a row from its units.
     """
-    from pyspark.sql import functions as F
-
-    s0 = fx_sem0(spark, sf_dir)
-    la = F.expr("cast(len * 3 div 2 as int)")
-    up = F.slice(F.flatten(F.transform("units", lambda x, j: F.array_repeat(x, 2 - j % 2))), 1, F.col("la"))
-    def book(c: int):
-        return F.transform("ue", lambda x, t: (x * (c + 1) + t * 7 + c * 13) % 1024)
-
-    books = [book(c) for c in range(4)]
-    return (
-        s0.withColumn("la", la)
-        .withColumn("ue", up)
-        .select("doc_id", "key", F.lit(4).alias("depth"), F.col("la").alias("len"), F.concat(*books).alias("tokens"))
+    return fx_sem0(spark, sf_dir).select(
+        "doc_id", "key", F.lit(4).alias("depth"), F.expr("cast(len * 3 div 2 as int)").alias("len"), _tokens_udf()("units").alias("tokens")
     )
 
 
@@ -108,8 +160,6 @@ def fx_shards(spark, sf_dir) -> DataFrame:
 
 def fx_runs(spark, sf_dir) -> DataFrame:
     """Per-user event stream with a 1-based position (skew-safe row number)."""
-    from pyspark.sql import functions as F
-
     from tokenmill.operators.ordered import row_number_within
 
     ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("unit"))
