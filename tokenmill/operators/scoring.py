@@ -10,10 +10,15 @@ reductions are algebraic aggregates (map-side combined).
 
 from __future__ import annotations
 
+from decimal import Decimal
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenmill.functions import constants as K
+from tokenmill.functions import constants as K, ragged
 from tokenmill.functions.hashing import hash32, uniform
 from tokenmill.functions.numeric import LN2, round_half_up, round_significant
 from tokenmill.operators.ordered import running_sums
@@ -50,10 +55,18 @@ def position_class_counts(
     Rows are counted as they are; only counts are moved to find a batch's
     longest row, whose length is the padded length of all.
     """
-    first = lambda r: F.get(r, 0)
-    n_sem = F.size(F.filter(col, lambda r: (first(r) < shift) & (first(r) != pad)))
-    n_ac = F.size(F.filter(col, lambda r: first(r) >= shift))
-    counts = df.select(key, batch_col, n_sem.cast("bigint").alias("n_semantic"), n_ac.cast("bigint").alias("n_acoustic"), F.size(col).alias("__n"))
+
+    def work(rows: pa.Array) -> pa.Array:
+        first = ragged.first_values(rows)
+        ends, ids = ragged.ends_of(ragged.sizes(first)), first.flatten()
+        x, held = ragged.ints(ids), ~ragged.nulls(ids)
+        counts = [ragged.ends_of(held & is_one)[ends] for is_one in ((x < shift) & (x != pad), x >= shift)]
+        columns = [pa.array(np.diff(c), pa.int64()) for c in counts] + [pa.array(np.diff(ends), pa.int32())]
+        mask = pa.array(ragged.nulls(rows))
+        return pa.StructArray.from_arrays(columns, ["n_semantic", "n_acoustic", "n"], mask=mask)
+
+    found = ragged.column(work, "struct<n_semantic:bigint,n_acoustic:bigint,n:int>", col)
+    counts = df.select(key, batch_col, found.alias("__c")).select(key, batch_col, "__c.n_semantic", "__c.n_acoustic", F.col("__c.n").alias("__n"))
     longest = F.max("__n").over(Window.partitionBy(batch_col))  # a batch has at most max_tokens rows
     return counts.withColumn("n_pad", (longest - F.col("n_semantic") - F.col("n_acoustic")).cast("bigint")).drop("__n")
 
@@ -77,32 +90,42 @@ def local_drop(df: DataFrame, col: str = "target", p: float = 0.0, key: str = "k
 
     Real frames (any codebook != pad) are ranked by ``u("drop", key#t)``, pad
     frames rank last; at least one frame survives.  ``p`` is taken as a
-    decimal literal so the keep count is exact.  Adds ``kept_frames``
-    (sorted frame indices); per-row work, no shuffle.
+    decimal so the keep count is exact.  Adds ``kept_frames`` (sorted frame
+    indices) and ``n_frames``; per-row work over Arrow batches, no shuffle.
     """
-    n_real = F.size(F.filter(col, lambda r: F.exists(r, lambda x: x != pad)))
-    keep_n = F.expr(f"floor(__n_real * (1 - {float(p)!r}BD) + 1)")
-    # (draw, frame): a 32-bit draw (u = draw / 2^32); pad frames get 2^32, so
-    # they sort after every real frame.  sort_array compares structs natively
-    # (array_sort would call a lambda per comparison).
-    ranked = F.transform(
-        F.col(col),
-        lambda r, t: F.struct(
-            F.when(
-                F.exists(r, lambda x: x != pad), hash32(F.concat(F.lit("drop:"), F.col(key), F.lit("#"), t.cast("string"), F.lit(f":{seed}")))
-            )
-            .otherwise(F.lit(1 << 32).cast("bigint"))
-            .alias("draw"),
-            t.cast("int").alias("t"),
-        ),
-    )
-    first_k = F.slice(F.sort_array(ranked), 1, F.least(F.col("__keep"), F.size(col)).cast("int"))
-    chosen = F.filter(first_k, lambda v: v["draw"] < F.lit(1 << 32).cast("bigint"))
+    num, den = (1 - Decimal(repr(float(p)))).as_integer_ratio()
+
+    def real(rows: pa.Array) -> pa.Array:
+        inner = rows.flatten()
+        values = inner.flatten()
+        ahead = ragged.ends_of((ragged.ints(values) != pad) & ~ragged.nulls(values))
+        at = ragged.ends_of(ragged.sizes(inner))
+        return ragged.lists(ragged.sizes(rows), pa.array(ahead[at[1:]] > ahead[at[:-1]]), ragged.nulls(rows))
+
+    def ranked(rows: pa.Array, keys: pa.Array) -> pa.Array:
+        n = ragged.sizes(rows)
+        flags = rows.flatten().to_numpy(zero_copy_only=False).astype(bool)
+        flags &= ~np.repeat(ragged.nulls(keys), n)  # without a key there is no draw
+        row, t = np.repeat(np.arange(len(n)), n)[flags], ragged.ranges(np.zeros(len(n), np.int64), n)[flags]
+        ends = ragged.ends_of(np.bincount(row, minlength=len(n)))
+        frames = [b"%d:%d" % (i, seed) for i in range(int(n.max(initial=0)))]
+        draws = bytearray()
+        for i, k in enumerate(keys.to_pylist()):
+            if ends[i + 1] > ends[i]:
+                begin = f"drop:{k}#".encode()
+                draws += b"".join([md5(begin + frames[j], usedforsecurity=False).digest()[:4] for j in t[ends[i] : ends[i + 1]].tolist()])
+        # by row, draw and frame: the frames of a row are in order already
+        order = np.argsort((row.astype(np.uint64) << np.uint64(32)) | np.frombuffer(bytes(draws), ">u4").astype(np.uint64), kind="stable")
+        size = np.diff(ends)
+        keep_n = np.minimum([int(m) * num // den + 1 for m in size], size).astype(np.int64)
+        chosen = np.sort(order[ragged.ranges(ends[:-1], keep_n)])
+        return ragged.lists(keep_n, pa.array(t[chosen], pa.int32()), ragged.nulls(rows))
+
     return (
-        df.withColumn("__n_real", n_real)
-        .withColumn("__keep", keep_n.cast("int"))
-        .withColumn("kept_frames", F.sort_array(F.transform(chosen, lambda v: v["t"])))
-        .drop("__n_real", "__keep")
+        df.withColumn("__real", ragged.column(real, "array<boolean>", col))
+        .withColumn("kept_frames", ragged.column(ranked, "array<int>", "__real", F.col(key).cast("string")))
+        .withColumn("n_frames", F.size("__real"))
+        .drop("__real")
     )
 
 
