@@ -1,6 +1,7 @@
-"""Array-column expressions shared by the operators (all JVM-side).
+"""Array-column expressions shared by the operators.
 
-Rule followed throughout: a lambda never reads an *outer* array column.
+Digests and runs of whole numbers are Arrow functions (``ragged``), the others
+expressions.  Rule followed throughout: a lambda never reads an *outer* array column.
 Catalyst's CollapseProject may inline a computed array into the lambda,
 which re-evaluates it once per element (quadratic).  Element lookups are
 therefore expressed with ``slice``, ``arrays_zip`` and ``zip_with`` on
@@ -11,6 +12,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tokenmill.functions import ragged
 
 
 def _col(c) -> Column:
@@ -46,15 +50,18 @@ def zip_rows(arrays: list[Column]) -> Column:
 
 
 def digest(arr) -> Column:
-    """Order-sensitive checksum ``sum(x * (i + 1))`` of an integer array."""
-    arr = _col(arr)
-    weighted = F.transform(arr, lambda x, i: x.cast("bigint") * (i + 1).cast("bigint"))
-    return F.coalesce(F.aggregate(weighted, F.lit(0).cast("bigint"), lambda a, y: a + y), F.lit(0).cast("bigint"))
+    """Order-sensitive checksum ``sum(x * (i + 1))`` of an integer array, or of a matrix row by row."""
+    return ragged.column(ragged.digests, "bigint", arr)
 
 
 def nested_digest(arr2d) -> Column:
     """:func:`digest` of a row-major flattened matrix."""
-    return digest(F.flatten(_col(arr2d)))
+    return digest(arr2d)
+
+
+def sized_digest(arr) -> Column:
+    """``struct(n, digest)``: size and :func:`digest` in one use of the array."""
+    return ragged.column(ragged.sized_digests, "struct<n:int,digest:bigint>", arr)
 
 
 def _run_flags(arr) -> Column:
@@ -71,6 +78,14 @@ def dedupe_consecutive(arr) -> Column:
     return F.when(F.size(arr) > 0, kept).otherwise(arr)
 
 
+def dedupe_units(df, units: str) -> Column:
+    """:func:`dedupe_consecutive` of a column of ``df``; whole numbers in one pass over Arrow batches."""
+    kind = df.schema[units].dataType
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.IntegerType | T.LongType):
+        return ragged.column(ragged.deduped, kind.simpleString(), units)
+    return dedupe_consecutive(units)
+
+
 def run_lengths(arr) -> Column:
     """Lengths of the runs collapsed by :func:`dedupe_consecutive`."""
     arr = _col(arr)

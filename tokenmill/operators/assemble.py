@@ -7,7 +7,7 @@ Stores are DataFrames:
 Matrices produced here are time-major ``ARRAY<ARRAY<BIGINT>>`` (outer =
 position, inner = codebook), the layout of one LM row.
 
-All work is per-row higher-order array functions (no shuffle); the only
+All work is per row, the array steps over Arrow batches (no shuffle); the only
 shuffle on this path is the key join that pairs the two streams.
 """
 
@@ -16,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.functions import constants as K
-from tokenmill.functions.arrays import dedupe_consecutive, run_lengths, safe_slice, zip_rows
+from tokenmill.functions import constants as K, ragged
+from tokenmill.functions.arrays import dedupe_units, run_lengths, safe_slice
 from tokenmill.functions.hashing import uniform
 
 
@@ -98,21 +98,23 @@ def size_filter(
 # ---------------------------------------------------------------- P12 / P13
 
 
-def _deep_enough(tokens: Column, length: Column, keep: int, codes: Column) -> Column:
-    """``codes``, or an error where fewer than ``keep`` codebooks are stored."""
+MATRIX = "array<array<bigint>>"
+
+
+def _deep_enough(tokens: Column, length: Column, keep: int) -> Column:
+    """``tokens``, or an error where fewer than ``keep`` codebooks are stored."""
     short = F.size(tokens) < length * keep
-    return F.when(short, F.raise_error(F.lit(f"fewer than {keep} codebooks are stored"))).otherwise(codes)
+    return F.when(short, F.raise_error(F.lit(f"fewer than {keep} codebooks are stored"))).otherwise(tokens)
 
 
 def codebook_truncate(tokens, length, keep: int = K.CODEC_DEPTH) -> Column:
     """Flat codebook-major ``[depth * L]`` -> time-major ``[L][keep]``.
 
-    One ``slice`` per kept codebook, transposed with ``arrays_zip``: linear in
-    the kept cells, never touches the dropped codebooks.  Fewer stored
-    codebooks than ``keep`` are an error.
+    One gather of the kept cells, linear in them, which never touches the
+    dropped codebooks.  Fewer stored codebooks than ``keep`` are an error.
     """
-    tokens, length = _c(tokens), _c(length)
-    return _deep_enough(tokens, length, keep, zip_rows([F.slice(tokens, length * q + 1, length) for q in range(keep)]))
+    tokens, length = _c(tokens), _c(length).cast("int")
+    return ragged.column(ragged.code_rows(keep), MATRIX, _deep_enough(tokens, length, keep), length, F.lit(0), length)
 
 
 def crop_start(key, len_s, max_source: int = K.MAX_SOURCE_POSITIONS, seed: int = 42) -> Column:
@@ -167,21 +169,29 @@ def crop_pair(
 ) -> DataFrame:
     """P12 + P13 fused on the stored layout of a paired row.
 
-    Reads only the ``keep * max_target`` cropped cells of the flat acoustic
-    array instead of transposing the whole stream, then emits
+    Gathers only the ``keep * max_target`` cropped cells of the flat acoustic
+    array instead of transposing the whole stream, and emits
     ``units`` (cropped) and time-major ``codes [n_a][keep]``.
     """
+    codes = ragged.column(ragged.code_rows(keep), MATRIX, *_CELLS)
+    return _placed(df, keep, max_source, max_target, seed).withColumn("codes", codes).drop("tokens", "n_a")
+
+
+#: what a row's codes are cut from
+_CELLS = ("tokens", "len_ac", "ac_start", "n_a")
+
+
+def _placed(df: DataFrame, keep: int, max_source: int, max_target: int, seed: int) -> DataFrame:
+    """Paired rows with cropped ``units`` and the frames to cut: ``ac_start`` and ``n_a``."""
     L = F.col("len_ac")
     out = df
     if "crop_start" not in df.columns:  # not pre-cropped on the semantic side
         out = crop_semantic(out, max_source, seed)
-    out = out.withColumn("ac_start", F.expr(f"cast(crop_start * {max_target} div {max_source} as int)")).withColumn(
-        "n_a", F.greatest(F.lit(0), F.least(F.lit(max_target), L - F.col("ac_start")))
+    return (
+        out.withColumn("ac_start", F.expr(f"cast(crop_start * {max_target} div {max_source} as int)"))
+        .withColumn("n_a", F.greatest(F.lit(0), F.least(F.lit(max_target), L - F.col("ac_start"))).cast("int"))
+        .withColumn("tokens", _deep_enough(F.col("tokens"), L, keep))
     )
-    a0 = F.col("ac_start")
-    codes = zip_rows([safe_slice("tokens", L * q + a0, F.col("n_a")) for q in range(keep)])
-    out = out.withColumn("codes", _deep_enough(F.col("tokens"), L, keep, codes))
-    return out.drop("tokens", "n_a")
 
 
 # ---------------------------------------------------------------- A3 (array form)
@@ -192,7 +202,7 @@ def run_length_units_array(df: DataFrame, units: str = "units", keep_durations:
     out = df
     if keep_durations:
         out = out.withColumn("durations", run_lengths(units))
-    return out.withColumn(units, dedupe_consecutive(units))
+    return out.withColumn(units, dedupe_units(out, units))
 
 
 # ---------------------------------------------------------------- P14 - P18
@@ -200,20 +210,17 @@ def run_length_units_array(df: DataFrame, units: str = "units", keep_durations:
 
 def source_encode(units, nspecial: int = K.NSPECIAL, eos: int = K.EOS) -> Column:
     """Unit + nspecial, then eos."""
-    return F.concat(F.transform(_c(units), lambda x: x + nspecial), F.array(F.lit(eos).cast("bigint")))
+    return ragged.column(ragged.unit_rows(nspecial, eos), "array<bigint>", units)
 
 
 def target_encode(codes, depth: int, codec_dim: int = K.CODEC_DIM, nspecial: int = K.NSPECIAL, eos: int = K.EOS) -> Column:
     """Code + q * codec_dim + nspecial per codebook, then an all-eos row."""
-    shifted = F.transform(_c(codes), lambda row: F.transform(row, lambda x, q: x + q * codec_dim + nspecial))
-    return F.concat(shifted, F.array(F.array_repeat(F.lit(eos).cast("bigint"), depth)))
+    return ragged.column(ragged.target_rows(depth, codec_dim, nspecial, eos), MATRIX, codes)
 
 
 def depth_tile(source, depth: int, pad: int = K.PAD) -> Column:
     """``[Ls+1] -> [Ls+1][depth]`` with columns 1.. set to pad."""
-    return F.transform(
-        _c(source), lambda x: F.concat(F.array(x), F.array_repeat(F.lit(pad).cast("bigint"), depth - 1))
-    )
+    return ragged.column(ragged.tiled_rows(depth, pad), MATRIX, source)
 
 
 def lm_interleave(source2d, target2d, depth: int, shift: int = K.SOURCE_DICT_LEN, eos: int = K.EOS, pad: int = K.PAD) -> Column:
@@ -221,19 +228,20 @@ def lm_interleave(source2d, target2d, depth: int, shift: int = K.SOURCE_DICT_LEN
 
     Length ``1 + Ls + 1 + La`` - the shifted next-token input of one sample.
     """
-    src, tgt = _c(source2d), _c(target2d)
-    first = F.array(F.concat(F.array(F.lit(eos).cast("bigint")), F.array_repeat(F.lit(pad).cast("bigint"), depth - 1)))
-    n_s, n_t = F.size(src), F.size(tgt)
-
-    def plus(rows):
-        return F.transform(rows, lambda r: F.transform(r, lambda x: x + shift))
-
-    return F.concat(
-        first,
-        F.slice(src, 1, n_s - 1),
-        plus(F.slice(tgt, n_t, 1)),
-        plus(F.slice(tgt, 1, n_t - 1)),
-    )
+    return ragged.column(ragged.interleaved_rows(depth, shift, eos, pad), MATRIX, source2d, target2d)
+
+
+def _lm_rows(depth: int):
+    """P12 and P14 to P17 of a row from its units and the cells of its codes, in one pass."""
+    codes = ragged.code_rows(depth)
+    source, tile = ragged.unit_rows(K.NSPECIAL, K.EOS), ragged.tiled_rows(depth, K.PAD)
+    target = ragged.target_rows(depth, K.CODEC_DIM, K.NSPECIAL, K.EOS)
+    interleave = ragged.interleaved_rows(depth, K.SOURCE_DICT_LEN, K.EOS, K.PAD)
+
+    def work(units, *cells):
+        return interleave(tile(source(units)), target(codes(*cells)))
+
+    return work
 
 
 def encode_rows(df: DataFrame, depth: int = K.CODEC_DEPTH) -> DataFrame:
@@ -252,10 +260,10 @@ def lm_labels(df: DataFrame) -> DataFrame:
     """``src_labels`` (= source column 0), ``target`` (= prev_output_tokens) and lengths."""
     return df.select(
         "key",
-        F.transform("source", lambda r: F.get(r, 0)).alias("src_labels"),
+        ragged.column(ragged.first_values, "array<bigint>", "source").alias("src_labels"),
         F.col("target"),
         F.col("target").alias("prev_output_tokens"),
-        F.size("target").alias("target_length"),
+        (F.col("target_length") if "target_length" in df.columns else F.size("target")).alias("target_length"),
     )
 
 
@@ -270,14 +278,33 @@ def assemble_rows(
     max_source: int = K.MAX_SOURCE_POSITIONS,
     max_target: int = K.MAX_TARGET_POSITIONS,
     seed: int = 42,
+    ids: DataFrame | None = None,
 ) -> DataFrame:
-    """J1 -> P10 -> P12/P13 -> A3 -> P14-P17 for every paired key."""
+    """J1 -> P10 -> P12/P13 -> A3 -> P14-P17 for every paired key.
+
+    ``ids`` (a key and what is to be known of it) meet the pairs before their
+    rows are made, so that the join moves no assembled row.
+    """
     sem = crop_semantic(sem.select("key", "len", "units"), max_source, seed)
     if reduce:
         sem = run_length_units_array(sem)
     paired = size_clip(pair_streams(sem, ac, keep=keep, extra=["crop_start"]), max_source, max_target)
-    cropped = crop_pair(paired, keep, max_source, max_target, seed)
-    return encode_rows(cropped, keep)
+    if ids is not None:
+        paired = paired.join(ids, "key")
+    placed = _placed(paired, keep, max_source, max_target, seed)
+    codes = ragged.column(ragged.code_rows(keep), MATRIX, *_CELLS)
+    held = F.col("tokens").isNotNull() & F.col("len_ac").isNotNull() & F.col("ac_start").isNotNull()
+    return placed.select(
+        *[c for c in placed.columns if c not in ("tokens", "n_a")],
+        codes.alias("codes"),
+        source_encode("units").alias("src_labels"),
+        depth_tile(source_encode("units"), keep).alias("source"),
+        target_encode(codes, keep).alias("target"),
+        ragged.column(_lm_rows(keep), MATRIX, "units", *_CELLS).alias("src_tokens"),
+        # the sizes of source and target, without making them
+        (F.size("units") + 1).alias("src_length"),
+        F.when(held, F.col("n_a") + 1).alias("target_length"),
+    )
 
 
 # ---------------------------------------------------------------- P23 - P26
@@ -285,9 +312,7 @@ def assemble_rows(
 
 def detokenize(ids, nspecial: int = K.NSPECIAL) -> Column:
     """Ids -> space-joined symbols; specials dropped, symbol of id i is ``str(i - nspecial)``."""
-    return F.array_join(
-        F.transform(F.filter(_c(ids), lambda x: x >= nspecial), lambda x: (x - nspecial).cast("string")), " "
-    )
+    return ragged.column(ragged.spelled(nspecial), "string", ids)
 
 
 def prompt_slice(df: DataFrame, units: str = "units", codes: str = "codes", modes=(0, 1, 2, 3)) -> DataFrame:

@@ -30,9 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.functions import constants as K
+from tokenmill.functions import constants as K, ragged
 from tokenmill.functions.numeric import round_half_up
-from tokenmill.operators.assemble import detokenize
 
 SCHEMA = (
     "batch_id bigint, nsentences int, ntokens bigint, depth int, keys array<string>, src_texts array<string>, "
@@ -52,10 +51,22 @@ def _lists(values, starts: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values, kind) if not isinstance(values, pa.Array) else values)
 
 
+def _interleaved(labels: pa.Array, target: pa.Array, depth: int) -> pa.Array:
+    """P16 and P17 of labels and flat target rows, flat."""
+    frames = ragged.sizes(target) // depth
+    codes = ragged.lists(np.full(int(frames.sum()), depth), target.flatten())
+    interleave = ragged.interleaved_rows(depth, K.SOURCE_DICT_LEN, K.EOS, K.PAD)
+    return ragged.flat_ints(interleave(ragged.tiled_rows(depth, K.PAD)(labels), ragged.lists(frames, codes, ragged.nulls(target))))
+
+
 def collate_table(rows: pa.Table | pa.RecordBatch, depth: int) -> pa.RecordBatch:
     """Whole batches, sorted, to one row each."""
     columns = {n: rows.column(n) for n in rows.schema.names}
     columns = {n: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for n, c in columns.items()}
+    if "src_text" not in columns:  # texts are cheap to spell where they are used, and are not moved
+        columns["src_text"] = ragged.spelled(K.NSPECIAL)(columns["src_labels"])
+    if "src_tokens" not in columns:  # nor is the input, which follows from labels and target
+        columns["src_tokens"] = _interleaved(columns["src_labels"], columns["target"], depth)
     batch = columns["batch_id"].to_numpy()
     first = np.flatnonzero(np.diff(batch, prepend=batch[0] - 1))
     bounds = np.append(first, len(batch))
@@ -100,28 +111,23 @@ def collate(rows: DataFrame, depth: int, batches: int, batch_col: str = "batch_i
     """Rows with a batch id (``0 .. batches - 1``) to one row per batch.
 
     Expects ``src_tokens`` and ``target`` ([position][code]), ``src_labels``,
-    ``src_length`` and ``target_length``.  ``parts`` ranges of batch ids are
+    ``src_length`` and ``target_length``; rows without ``src_tokens`` get them
+    (P17 of labels and target) where they are collated.  ``parts`` ranges of batch ids are
     written in order, one task each, and so can be read in order.
     """
     spark = rows.sparkSession
     parts = max(1, min(batches, parts or int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
-    def ints(c):
-        return c.cast("array<int>")
-
     flat = rows.select(
         F.col(batch_col).cast("bigint").alias("batch_id"),
         F.col(key).cast("string").alias("key"),
         F.col("src_length").cast("int").alias("src_length"),
         F.col("target_length").cast("int").alias("target_length"),
-        ints(F.flatten("src_tokens")).alias("src_tokens"),
-        ints(F.flatten("target")).alias("target"),
-        ints(F.col("src_labels")).alias("src_labels"),
+        *[ragged.column(ragged.flat_ints, "array<int>", c).alias(c) for c in ("src_tokens", "target") if c in rows.columns],
+        F.col("src_labels").cast("array<int>").alias("src_labels"),
     )
     place = F.expr(f"cast(batch_id * {parts} div {max(1, batches)} as int)")
     clustered = flat.repartitionById(parts, place).sortWithinPartitions("batch_id", F.col("src_length").desc(), "key")
-    # texts are cheap to spell where they are used, and are not moved
-    clustered = clustered.withColumn("src_text", detokenize("src_labels"))
 
     def work(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # the rows of the batch that is still open

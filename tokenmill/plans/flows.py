@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.functions import constants as K
-from tokenmill.functions.arrays import dedupe_consecutive, safe_slice
+from tokenmill.functions.arrays import dedupe_units, safe_slice
 from tokenmill.operators.assemble import assemble_rows, crop_start, size_clip, size_filter
 from tokenmill.operators.batching import batch_stats, token_budget_batches
 from tokenmill.operators.collate import collate
@@ -41,7 +41,7 @@ def row_shapes(
         .withColumn("crop_start", crop_start(F.col("key"), F.size("units"), max_source, seed))
         .withColumn("units", safe_slice("units", F.col("crop_start"), F.lit(max_source)))
     )
-    n_units = F.size(dedupe_consecutive("units")) if reduce else F.size("units")
+    n_units = F.size(dedupe_units(s, "units")) if reduce else F.size("units")
     s = s.select("key", "len_sem", "crop_start", (n_units + 1).alias("src_length"))
     a = ac.select("key", F.col("len").alias("len_ac"))
     paired = size_clip(s.join(a, "key", "inner"), max_source, max_target)
@@ -81,16 +81,17 @@ def collated_batches(
 ) -> DataFrame:
     """E2 in full: streams -> paired, cropped, encoded rows -> token-budget batches -> one collated row per batch.
 
-    Batch ids come from the narrow shapes of the rows; the rows meet them on
-    the key they are paired on, and cross one more exchange, into their batches.
+    Batch ids come from the narrow shapes of the rows; the pairs meet them on
+    their key before their rows are made, which cross one more exchange, into their batches; the
+    input follows from labels and target and is interleaved behind it.
     """
     ids = token_budget_batches(
         row_shapes(sem, ac, reduce=reduce, seed=seed, skip_long=skip_long).select("key", "len_s"),
         max_tokens=max_tokens, shuffle=shuffle, seed=seed, max_sentences=max_sentences,
     ).select("key", "batch_id")
     last = ids.agg(F.max("batch_id")).first()[0]
-    rows = assemble_rows(sem, ac, keep=keep, reduce=reduce, seed=seed)
-    return collate(rows.join(ids, "key"), keep, 0 if last is None else last + 1, parts=parts)
+    rows = assemble_rows(sem, ac, keep=keep, reduce=reduce, seed=seed, ids=ids)
+    return collate(rows.drop("src_tokens"), keep, 0 if last is None else last + 1, parts=parts)
 
 
 def tokenize_corpus(

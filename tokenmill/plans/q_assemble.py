@@ -126,10 +126,17 @@ def _cropped(spark, sf, keep=KEEP):
     return crop_pair(size_clip(paired), keep=keep)
 
 
-def _rows(spark, sf, keep=KEEP):
+def _rows(spark, sf, keep=KEEP, ids=None):
     from tokenmill.operators.assemble import assemble_rows
 
-    return assemble_rows(fx.fx_sem(spark, sf), fx.fx_ac(spark, sf), keep=keep)
+    return assemble_rows(fx.fx_sem(spark, sf), fx.fx_ac(spark, sf), keep=keep, ids=ids)
+
+
+def _sized(df, column: str, n: str = "n", digest: str = "digest"):
+    """``key``, and the size and digest of one array column, which is made once for both."""
+    from tokenmill.functions.arrays import sized_digest
+
+    return df.select("key", sized_digest(column).alias("d")).select("key", F.col("d.n").alias(n), F.col("d.digest").alias(digest))
 
 
 def _collated(spark, sf, keep=KEEP):
@@ -305,11 +312,9 @@ def q_run_length_units(spark, sf):
     + " AS digest FROM fx_sem",
 )
 def q_source_encode(spark, sf):
-    from tokenmill.functions.arrays import digest
     from tokenmill.operators.assemble import source_encode
 
-    src = fx.fx_sem(spark, sf).withColumn("src", source_encode("units"))
-    return src.select("key", F.size("src").alias("n"), digest("src").alias("digest"))
+    return _sized(fx.fx_sem(spark, sf).withColumn("src", source_encode("units")), "src")
 
 
 _TGT_WHOLE = (
@@ -323,11 +328,10 @@ _TGT_WHOLE = (
     with_views("fx_ac") + f"SELECT key, (len + 1)::INT AS n_rows, {_TGT_WHOLE} AS digest FROM fx_ac",
 )
 def q_target_encode(spark, sf):
-    from tokenmill.functions.arrays import nested_digest
     from tokenmill.operators.assemble import codebook_truncate, target_encode
 
     ac = fx.fx_ac(spark, sf).withColumn("target", target_encode(codebook_truncate("tokens", "len", KEEP), KEEP))
-    return ac.select("key", F.size("target").alias("n_rows"), nested_digest("target").alias("digest"))
+    return _sized(ac, "target", "n_rows")
 
 
 @query(
@@ -338,11 +342,9 @@ def q_target_encode(spark, sf):
     "FROM fx_sem",
 )
 def q_depth_tile(spark, sf):
-    from tokenmill.functions.arrays import nested_digest
     from tokenmill.operators.assemble import depth_tile, source_encode
 
-    src = fx.fx_sem(spark, sf).withColumn("source", depth_tile(source_encode("units"), KEEP))
-    return src.select("key", F.size("source").alias("n_rows"), nested_digest("source").alias("digest"))
+    return _sized(fx.fx_sem(spark, sf).withColumn("source", depth_tile(source_encode("units"), KEEP)), "source", "n_rows")
 
 
 _ROW_CELL = (
@@ -361,9 +363,7 @@ _ROW_CELL = (
     "FROM ox_dedup",
 )
 def q_lm_interleave(spark, sf):
-    from tokenmill.functions.arrays import nested_digest
-
-    return _rows(spark, sf).select("key", F.size("src_tokens").alias("n_rows"), nested_digest("src_tokens").alias("digest"))
+    return _sized(_rows(spark, sf), "src_tokens", "n_rows")
 
 
 @query(
@@ -377,16 +377,13 @@ def q_lm_interleave(spark, sf):
     "FROM ox_dedup",
 )
 def q_lm_labels(spark, sf):
-    from tokenmill.functions.arrays import digest, nested_digest
+    from tokenmill.functions.arrays import nested_digest, sized_digest
     from tokenmill.operators.assemble import lm_labels
 
-    return lm_labels(_rows(spark, sf)).select(
-        "key",
-        F.size("src_labels").alias("n_labels"),
-        digest("src_labels").alias("labels_digest"),
-        "target_length",
-        nested_digest("prev_output_tokens").alias("target_digest"),
+    labels = lm_labels(_rows(spark, sf)).select(
+        "key", sized_digest("src_labels").alias("d"), "target_length", nested_digest("prev_output_tokens").alias("target_digest")
     )
+    return labels.select("key", F.col("d.n").alias("n_labels"), F.col("d.digest").alias("labels_digest"), "target_length", "target_digest")
 
 
 @query(
@@ -411,10 +408,8 @@ def q_target_unoffset(spark, sf):
 def _batched_rows(spark, sf):
     from tokenmill.operators.batching import token_budget_batches
 
-    rows = _rows(spark, sf)
     shapes = row_shapes(fx.fx_sem(spark, sf), fx.fx_ac(spark, sf)).select("key", "len_s")
-    ids = token_budget_batches(shapes).select("key", "batch_id")
-    return rows.join(ids, "key")
+    return _rows(spark, sf, ids=token_budget_batches(shapes).select("key", "batch_id"))
 
 
 @query(
@@ -523,7 +518,7 @@ def q_local_drop(spark, sf):
     kept = local_drop(rows, "target", p=0.5)
     return kept.select(
         "key",
-        F.size("target").cast("bigint").alias("n_frames"),
+        F.col("n_frames").cast("bigint").alias("n_frames"),
         F.size("kept_frames").cast("bigint").alias("n_kept"),
         F.aggregate("kept_frames", F.lit(0).cast("bigint"), lambda a, t: a + t + 1).alias("kept_digest"),
     )
