@@ -120,6 +120,41 @@ def test_suffix_ranks_order_suffixes(spark):
     assert {(k, i): 1 + sum(o < s for o, _, _ in suffixes) for s, k, i in suffixes} == got
 
 
+def test_shared_phrases_match_brute_force(spark):
+    rng = random.Random(4)
+    strings = [[rng.randrange(1, 4) for _ in range(rng.randrange(1, 14))] for _ in range(9)] + [[7, 8, 9], [5, 7, 8, 9, 6], [1] * 9]
+    rows = []
+    for k, x in enumerate(strings):
+        left = [len(x) - i for i in range(len(x))]
+        rows.append((k, x, [3 if n >= 3 else 0 for n in left], [min(5, n) for n in left]))
+    df = spark.createDataFrame(rows, "sid bigint, x array<bigint>, least array<int>, need array<int>")
+    got = {}
+    for r in suffix.shared_phrases(df).collect():
+        got |= {(r.sid, r.at + i): v for i, v in enumerate(r.lcp)}
+    for k, x in enumerate(strings):
+        for i in range(len(x)):
+            most = max(
+                sum(1 for n in range(1, 6) if i + n <= len(x) and x[i : i + n] == y[j : j + n])
+                for o, y in enumerate(strings) for j in range(len(y)) if (o, j) != (k, i)
+            )
+            if most >= 3:
+                assert got[k, i] == most
+            else:
+                assert got.get((k, i), 0) <= most
+
+
+def test_only_suffixes_of_common_windows_are_ranked(spark, monkeypatch):
+    rng = random.Random(6)
+    own = ["".join(rng.choice("abcdefgh") for _ in range(3000)) for _ in range(7)]
+    passage, ranked = own.pop(), []
+    real = suffix.suffix_ranks
+    monkeypatch.setattr(suffix, "suffix_ranks", lambda s, d: ranked.append(s.agg(F.sum(F.size("x"))).first()[0]) or real(s, d))
+    df = spark.createDataFrame([(i, f"{t[:1500]}{i}{passage}{i}{t[1500:]}") for i, t in enumerate(own)], "doc_id bigint, text string")
+    for r in suffix.suffix_dedup(df).collect():
+        assert (r.n_removed, r.n_spans, bytes(r.kept).decode()) == (3000, 1, f"{own[r.doc_id][:1500]}{r.doc_id}{r.doc_id}{own[r.doc_id][1500:]}")
+    assert not ranked  # one passage, whole in all texts, stands for itself
+
+
 def test_whole_characters_leave_text(spark):
     text = "é" * 300 + "x" + "ü" * 300
     df = spark.createDataFrame([(1, text), (2, "a" + text)], "doc_id bigint, text string")
