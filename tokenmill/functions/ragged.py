@@ -8,6 +8,8 @@ them never leave the worker.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -81,8 +83,27 @@ def flat_ints(rows: pa.Array) -> pa.Array:
     return flattened(rows).cast(pa.list_(pa.int32()))
 
 
+#: so many values are looked at at a time (a row at least)
+VALUES = 1 << 18
+
+
+def parts(counts: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Rows ``start`` to ``stop`` in order, of at most ``limit`` of ``counts`` together, or one row."""
+    ends, start = np.cumsum(np.maximum(counts, 1)), 0
+    while start < len(counts):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield start, stop
+        start = stop
+
+
 def digests(rows: pa.Array) -> pa.Array:
     """``sum(x * (i + 1))`` of every row, of lists one behind another; 0 for a null row and one that holds a null."""
+    out = [_digests(rows.slice(a, b - a), a) for a, b in parts(sizes(rows), VALUES)]
+    return pa.concat_arrays(out) if out else pa.array([], pa.int64())
+
+
+def _digests(rows: pa.Array, start: int) -> pa.Array:
     while pa.types.is_list(rows.type.value_type):
         rows = flattened(rows)
     n, values = sizes(rows), rows.flatten()
@@ -95,7 +116,7 @@ def digests(rows: pa.Array) -> pa.Array:
         for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
             whole = sum(v * (k + 1) for k, v in enumerate(x[a:b].tolist()))
             if not LEAST <= whole <= MOST:
-                raise OverflowError(f"the digest of row {i} exceeds a long")
+                raise OverflowError(f"the digest of row {start + i} exceeds a long")
     if values.null_count:
         holes = ends_of(nulls(values))
         out[holes[ends[1:]] > holes[ends[:-1]]] = 0

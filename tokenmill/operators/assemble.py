@@ -13,10 +13,12 @@ shuffle on this path is the key join that pairs the two streams.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tokenmill.functions import constants as K, ragged
+from tokenmill.functions import constants as K, packed, ragged
 from tokenmill.functions.arrays import dedupe_units, run_lengths, safe_slice
 from tokenmill.functions.hashing import uniform
 
@@ -29,7 +31,7 @@ def _c(c) -> Column:
 
 
 def pair_streams(
-    sem: DataFrame, ac: DataFrame, with_tokens: bool = True, keep: int | None = None, extra: list[str] | None = None
+    sem: DataFrame, ac: DataFrame, with_tokens: bool = True, keep: int | None = None, extra: list[str] | None = None, pack: bool = False
 ) -> DataFrame:
     """Inner key join of the semantic and acoustic stores.
 
@@ -37,14 +39,18 @@ def pair_streams(
     the parquet scans prune the token arrays (the size index of the store).
     With ``keep`` the acoustic arrays are cut to their first ``keep``
     codebooks *before* the join, so dropped codebooks are never shuffled.
+    With ``pack`` units and tokens meet, and stay, packed (``functions.packed``).
     Keys are unique per store, so the join is skew-free; both sides are
     large, so Spark plans a sort-merge join on ``key``.
     """
-    s = sem.select("key", F.col("len").alias("len_sem"), *(["units"] if with_tokens else []), *(extra or []))
+    units = packed.column("units").alias("units") if pack else F.col("units")
+    s = sem.select("key", F.col("len").alias("len_sem"), *([units] if with_tokens else []), *(extra or []))
     toks = []
     if with_tokens:
-        t = F.col("tokens") if keep is None else F.slice("tokens", 1, F.col("len") * keep)
-        toks = [t.alias("tokens")]
+        if pack:
+            ac = ac.select("key", "depth", "len", packed.streamed(F.col("tokens")).alias("tokens"))
+        t, cut = F.col("tokens"), packed.first if pack else lambda t, n: F.slice(t, 1, n)
+        toks = [(t if keep is None else cut(t, F.col("len") * keep)).alias("tokens")]
     a = ac.select("key", F.col("depth").alias("depth"), F.col("len").alias("len_ac"), *toks)
     return s.join(a, "key", "inner")
 
@@ -101,9 +107,9 @@ def size_filter(
 MATRIX = "array<array<bigint>>"
 
 
-def _deep_enough(tokens: Column, length: Column, keep: int) -> Column:
-    """``tokens``, or an error where fewer than ``keep`` codebooks are stored."""
-    short = F.size(tokens) < length * keep
+def _deep_enough(tokens: Column, length: Column, keep: int, stored: Column | None = None) -> Column:
+    """``tokens`` (of which there are ``stored``), or an error where fewer than ``keep`` codebooks are stored."""
+    short = (F.size(tokens) if stored is None else stored) < length * keep
     return F.when(short, F.raise_error(F.lit(f"fewer than {keep} codebooks are stored"))).otherwise(tokens)
 
 
@@ -184,13 +190,14 @@ _CELLS = ("tokens", "len_ac", "ac_start", "n_a")
 def _placed(df: DataFrame, keep: int, max_source: int, max_target: int, seed: int) -> DataFrame:
     """Paired rows with cropped ``units`` and the frames to cut: ``ac_start`` and ``n_a``."""
     L = F.col("len_ac")
+    stored = None if isinstance(df.schema["tokens"].dataType, T.ArrayType) else F.col("tokens.n")
     out = df
     if "crop_start" not in df.columns:  # not pre-cropped on the semantic side
         out = crop_semantic(out, max_source, seed)
     return (
         out.withColumn("ac_start", F.expr(f"cast(crop_start * {max_target} div {max_source} as int)"))
         .withColumn("n_a", F.greatest(F.lit(0), F.least(F.lit(max_target), L - F.col("ac_start"))).cast("int"))
-        .withColumn("tokens", _deep_enough(F.col("tokens"), L, keep))
+        .withColumn("tokens", _deep_enough(F.col("tokens"), L, keep, stored))
     )
 
 
@@ -244,6 +251,32 @@ def _lm_rows(depth: int):
     return work
 
 
+def _packed_labels():
+    """P14 of packed units, packed."""
+    source = ragged.unit_rows(K.NSPECIAL, K.EOS)
+
+    def row(units):
+        return packed.pack(source(packed.unpack(units)).cast(pa.list_(pa.int32())))
+
+    def work(units: pa.Array) -> pa.Array:
+        return packed.in_parts(row, packed.sizes(units), units)
+
+    return work
+
+
+def _packed_target(depth: int):
+    """P12 and P15 of the packed cells of a row's codes: the target, flat and packed."""
+    codes, target = ragged.code_rows(depth), ragged.target_rows(depth, K.CODEC_DIM, K.NSPECIAL, K.EOS)
+
+    def row(tokens, *cells):
+        return packed.pack(ragged.flat_ints(target(codes(packed.unpack(tokens), *cells))))
+
+    def work(tokens: pa.Array, length: pa.Array, start: pa.Array, frames: pa.Array) -> pa.Array:
+        return packed.in_parts(row, packed.sizes(tokens), tokens, length, start, frames)
+
+    return work
+
+
 def encode_rows(df: DataFrame, depth: int = K.CODEC_DEPTH) -> DataFrame:
     """P14-P18 on cropped rows: ``source``, ``target``, ``src_tokens`` and labels."""
     return (
@@ -279,21 +312,33 @@ def assemble_rows(
     max_target: int = K.MAX_TARGET_POSITIONS,
     seed: int = 42,
     ids: DataFrame | None = None,
+    pack: bool = False,
 ) -> DataFrame:
     """J1 -> P10 -> P12/P13 -> A3 -> P14-P17 for every paired key.
 
     ``ids`` (a key and what is to be known of it) meet the pairs before their
-    rows are made, so that the join moves no assembled row.
+    rows are made, so that the join moves no assembled row.  With ``pack`` the
+    streams meet packed (``functions.packed``), and of the arrays of a row only
+    ``src_labels`` and ``target`` (its codes flat, as ints) are made, packed too.
     """
     sem = crop_semantic(sem.select("key", "len", "units"), max_source, seed)
     if reduce:
         sem = run_length_units_array(sem)
-    paired = size_clip(pair_streams(sem, ac, keep=keep, extra=["crop_start"]), max_source, max_target)
+    paired = size_clip(pair_streams(sem, ac, keep=keep, extra=["crop_start"], pack=pack), max_source, max_target)
     if ids is not None:
         paired = paired.join(ids, "key")
     placed = _placed(paired, keep, max_source, max_target, seed)
-    codes = ragged.column(ragged.code_rows(keep), MATRIX, *_CELLS)
     held = F.col("tokens").isNotNull() & F.col("len_ac").isNotNull() & F.col("ac_start").isNotNull()
+    target_length = F.when(held, F.col("n_a") + 1).alias("target_length")
+    if pack:
+        return placed.select(
+            *[c for c in placed.columns if c not in ("units", "tokens", "n_a")],
+            ragged.column(_packed_labels(), packed.KIND, "units").alias("src_labels"),
+            ragged.column(_packed_target(keep), packed.KIND, *_CELLS).alias("target"),
+            (F.col("units.n") + 1).alias("src_length"),
+            target_length,
+        )
+    codes = ragged.column(ragged.code_rows(keep), MATRIX, *_CELLS)
     return placed.select(
         *[c for c in placed.columns if c not in ("tokens", "n_a")],
         codes.alias("codes"),
@@ -303,7 +348,7 @@ def assemble_rows(
         ragged.column(_lm_rows(keep), MATRIX, "units", *_CELLS).alias("src_tokens"),
         # the sizes of source and target, without making them
         (F.size("units") + 1).alias("src_length"),
-        F.when(held, F.col("n_a") + 1).alias("target_length"),
+        target_length,
     )
 
 

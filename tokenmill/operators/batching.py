@@ -21,6 +21,7 @@ from tokenmill.functions import constants as K
 from tokenmill.functions.hashing import uniform
 from tokenmill.functions.numeric import round_half_up
 from tokenmill.operators.ordered import global_index, row_number_within
+from tokenmill.session import checkpointed
 
 
 def length_order(
@@ -84,7 +85,7 @@ def token_budget_batches(
     """Assign every row the id of its batch (0-based), of at most ``max_tokens`` tokens and ``max_sentences`` rows."""
     spark = df.sparkSession
     staged = df.withColumn("__shuffle", uniform("shuffle", F.col(key), seed)) if shuffle else df
-    staged = staged.checkpoint(eager=True)  # read by the histogram and the rank scan
+    staged = checkpointed(staged)  # read by the histogram and the rank scan
     # valid lengths are 0..max_tokens, so a histogram of more rows than that
     # already proves a violation: the collect is bounded either way
     hist = [(r[0], r[1]) for r in staged.groupBy(len_col).count().limit(max_tokens + 2).collect()]

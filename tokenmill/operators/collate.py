@@ -3,8 +3,8 @@
 Batch ids are dense, so a batch's range is known without sampling: batches are
 dealt to ``parts`` contiguous ranges of ids by one exchange, sorted inside
 (batch, longest source first, key), and one Arrow pass turns the rows of a
-batch into flat values with offsets.  No array is copied per row: the values
-of neighbouring rows are neighbours in Arrow memory already.
+batch into flat values with offsets.  Arrays cross the exchange and are sorted
+packed (``functions.packed``), and are unpacked some rows at a time.
 
 A collated row holds, for its ``nsentences`` samples in batch order,
 
@@ -27,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.functions import constants as K, ragged
+from tokenmill.functions import constants as K, packed, ragged
 from tokenmill.functions.numeric import round_half_up
+from tokenmill.functions.workers import trimmed
 
 SCHEMA = (
     "batch_id bigint, nsentences int, ntokens bigint, depth int, keys array<string>, src_texts array<string>, "
@@ -107,11 +108,37 @@ def collate_table(rows: pa.Table | pa.RecordBatch, depth: int) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([out[n] for n in names], names)
 
 
+def _is_packed(rows: DataFrame, column: str) -> bool:
+    return rows.schema[column].dataType.simpleString() == packed.KIND
+
+
+def _packed_codes(rows: DataFrame, column: str) -> Column:
+    """Codes of ``[position][code]``, flat and packed."""
+    if _is_packed(rows, column):
+        return F.col(column)
+    return ragged.column(lambda codes: packed.pack(ragged.flat_ints(codes)), packed.KIND, column)
+
+
+def _packed_ids(rows: DataFrame, column: str) -> Column:
+    return F.col(column) if _is_packed(rows, column) else packed.column(F.col(column).cast("array<int>"))
+
+
+def _unpacked(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their arrays, of a bounded number of values at a time."""
+    for rows in arrow:
+        names = [n for n in ("src_tokens", "target", "src_labels") if n in rows.schema.names]
+        for start, stop in ragged.parts(sum(packed.sizes(rows.column(n)) for n in names), packed.VALUES):
+            part = rows.slice(start, stop - start)
+            columns = [packed.unpack(part.column(n), pa.int32()) if n in names else part.column(n) for n in part.schema.names]
+            yield pa.RecordBatch.from_arrays(columns, part.schema.names)
+
+
 def collate(rows: DataFrame, depth: int, batches: int, batch_col: str = "batch_id", key: str = "key", parts: int | None = None) -> DataFrame:
     """Rows with a batch id (``0 .. batches - 1``) to one row per batch.
 
     Expects ``src_tokens`` and ``target`` ([position][code]), ``src_labels``,
-    ``src_length`` and ``target_length``; rows without ``src_tokens`` get them
+    ``src_length`` and ``target_length``; the arrays may come packed, with codes
+    flat.  Rows without ``src_tokens`` get them
     (P17 of labels and target) where they are collated.  ``parts`` ranges of batch ids are
     written in order, one task each, and so can be read in order.
     """
@@ -123,17 +150,15 @@ def collate(rows: DataFrame, depth: int, batches: int, batch_col: str = "batch_i
         F.col(key).cast("string").alias("key"),
         F.col("src_length").cast("int").alias("src_length"),
         F.col("target_length").cast("int").alias("target_length"),
-        *[ragged.column(ragged.flat_ints, "array<int>", c).alias(c) for c in ("src_tokens", "target") if c in rows.columns],
-        F.col("src_labels").cast("array<int>").alias("src_labels"),
+        *[_packed_codes(rows, c).alias(c) for c in ("src_tokens", "target") if c in rows.columns],
+        _packed_ids(rows, "src_labels").alias("src_labels"),
     )
     place = F.expr(f"cast(batch_id * {parts} div {max(1, batches)} as int)")
     clustered = flat.repartitionById(parts, place).sortWithinPartitions("batch_id", F.col("src_length").desc(), "key")
 
     def work(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # the rows of the batch that is still open
-        for rows in arrow:
-            if not rows.num_rows:
-                continue
+        for rows in _unpacked(arrow):
             ids = rows.column("batch_id").to_numpy()
             last = int(np.searchsorted(ids, ids[-1]))
             if last or (held and held[0].column("batch_id")[0].as_py() != ids[0]):
@@ -145,7 +170,7 @@ def collate(rows: DataFrame, depth: int, batches: int, batch_col: str = "batch_i
         if held:
             yield collate_table(pa.Table.from_batches(held), depth)
 
-    return clustered.mapInArrow(work, SCHEMA)
+    return clustered.mapInArrow(trimmed(work), SCHEMA)
 
 
 def collated_stats(collated: DataFrame) -> DataFrame:

@@ -97,30 +97,35 @@ def fx_manifest(spark, sf_dir) -> DataFrame:
     return spark.sql("SELECT concat('  ', url, ' ') AS path FROM {p}", p=table(spark, sf_dir, "pages"))
 
 
-def fx_clips(spark, sf_dir) -> DataFrame:
+def fx_clips(spark, sf_dir, spread: bool = True) -> DataFrame:
     """Clips hash-partitioned by ``key`` at the session's shuffle width.
 
     The given documents file has only a few row groups; spreading it lets the
-    per-row array work use every core, and both token streams derived from
-    it arrive co-partitioned on the pairing key.
+    per-row array work use every core.  Without ``spread`` texts are shuffled
+    only where their files have fewer partitions than there are cores.
     """
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # n_words is computed before the exchange: size-only plans prune the text
-    return spark.sql(
+    docs = table(spark, sf_dir, "documents")
+    clips = spark.sql(
         "SELECT doc_id, concat_ws('/', source, lang, concat(cast(doc_id as string), '.flac')) AS key, "
         "n_chars AS n, 100 AS sr, text, size(split(text, ' ', -1)) AS n_words FROM {d}",
-        d=table(spark, sf_dir, "documents"),
-    ).repartition(width, "key")
+        d=docs,
+    )
+    if not spread and docs.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
+        return clips
+    return clips.repartition(width, "key")
 
 
-def fx_sem0(spark, sf_dir) -> DataFrame:
+def fx_sem0(spark, sf_dir, spread: bool = True) -> DataFrame:
     # len = size(units) = number of words; spelled from the split so a size-only
     # read (column pruning) never computes the per-word hashes
-    return fx_clips(spark, sf_dir).select("doc_id", "key", F.col("n_words").cast("int").alias("len"), _units_udf()("text").alias("units"))
+    clips = fx_clips(spark, sf_dir, spread)
+    return clips.select("doc_id", "key", F.col("n_words").cast("int").alias("len"), _units_udf()("text").alias("units"))
 
 
-def fx_sem(spark, sf_dir) -> DataFrame:
-    return fx_sem0(spark, sf_dir)
+def fx_sem(spark, sf_dir, spread: bool = True) -> DataFrame:
+    return fx_sem0(spark, sf_dir, spread)
 
 
 def fx_sem_gaps(spark, sf_dir) -> DataFrame:
@@ -128,18 +133,18 @@ def fx_sem_gaps(spark, sf_dir) -> DataFrame:
     return fx_sem(spark, sf_dir).where("doc_id % 29 <> 0")
 
 
-def fx_ac(spark, sf_dir) -> DataFrame:
+def fx_ac(spark, sf_dir, spread: bool = True) -> DataFrame:
     """Acoustic streams of all clips."""
-    return fx_ac_all(spark, sf_dir).drop("doc_id")
+    return fx_ac_all(spark, sf_dir, spread).drop("doc_id")
 
 
-def fx_ac_all(spark, sf_dir) -> DataFrame:
+def fx_ac_all(spark, sf_dir, spread: bool = True) -> DataFrame:
     """Acoustic stand-in: 4 codebooks of ``la = len * 3 div 2`` frames, flat codebook-major.
 
     Frame ``t`` of codebook ``c`` is ``(units[t * 2 div 3] * (c + 1) + t * 7 + c * 13) % 1024``.
     One pass over Arrow batches computes the books of a row from its units.
     """
-    return fx_sem0(spark, sf_dir).select(
+    return fx_sem0(spark, sf_dir, spread).select(
         "doc_id", "key", F.lit(4).alias("depth"), F.expr("cast(len * 3 div 2 as int)").alias("len"), _tokens_udf()("units").alias("tokens")
     )
 

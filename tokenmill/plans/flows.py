@@ -83,15 +83,15 @@ def collated_batches(
 
     Batch ids come from the narrow shapes of the rows; the pairs meet them on
     their key before their rows are made, which cross one more exchange, into their batches; the
-    input follows from labels and target and is interleaved behind it.
+    input follows from labels and target and is interleaved behind it.  Both exchanges move packed arrays.
     """
     ids = token_budget_batches(
         row_shapes(sem, ac, reduce=reduce, seed=seed, skip_long=skip_long).select("key", "len_s"),
         max_tokens=max_tokens, shuffle=shuffle, seed=seed, max_sentences=max_sentences,
     ).select("key", "batch_id")
     last = ids.agg(F.max("batch_id")).first()[0]
-    rows = assemble_rows(sem, ac, keep=keep, reduce=reduce, seed=seed, ids=ids)
-    return collate(rows.drop("src_tokens"), keep, 0 if last is None else last + 1, parts=parts)
+    rows = assemble_rows(sem, ac, keep=keep, reduce=reduce, seed=seed, ids=ids, pack=True)
+    return collate(rows, keep, 0 if last is None else last + 1, parts=parts)
 
 
 def tokenize_corpus(

@@ -140,7 +140,8 @@ def _sized(df, column: str, n: str = "n", digest: str = "digest"):
 
 
 def _collated(spark, sf, keep=KEEP):
-    return collated_batches(fx.fx_sem(spark, sf), fx.fx_ac(spark, sf), keep=keep)
+    # the streams meet on their key in an exchange of their own: their texts need none before
+    return collated_batches(fx.fx_sem(spark, sf, spread=False), fx.fx_ac(spark, sf, spread=False), keep=keep)
 
 
 # cropped codes of the first KEEP codebooks, flattened time-major, as DuckDB text
