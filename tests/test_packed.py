@@ -92,6 +92,24 @@ def test_collated_batches_move_packed_arrays_and_no_texts(spark, tmp_path):
     assert len(frames) == sum(r.ntokens for r in got.values())
 
 
+def test_kept_frames_are_the_targets_of_their_batches(spark, tmp_path):
+    from tokenmill.operators.assemble import target_encode
+    from tokenmill.plans.q_assemble import q_kept_frames
+
+    sf = _clips(spark, tmp_path, 2)
+    frames = q_kept_frames(spark, sf)
+    moved = [s for s in _exchanged(frames) if "text:" not in s]  # two files are spread as texts
+    assert any("cells:binary" in s for s in moved) and not any("array<" in s for s in moved), moved
+    rows = assemble_rows(fx.fx_sem(spark, sf), fx.fx_ac(spark, sf), keep=2).select("key", target_encode("codes", 2).alias("target")).collect()
+    targets = {r.key: r.target for r in rows}
+    got = frames.collect()
+    assert {(r.key, r.frame, r.code0, r.code1) for r in got} == {(k, f, *codes) for k, t in targets.items() for f, codes in enumerate(t)}
+    places = {}
+    for r in got:
+        places.setdefault(r.batch_id, []).append(r.flat)
+    assert all(sorted(x) == list(range(len(x))) for x in places.values())
+
+
 def test_packed_rows_collate_as_arrays_do(spark):
     rows = [("a", [7, 7, 9], [1, 2, 3, 4, 5, 6], 3, 0), ("b", [4], [8, 9], 1, 0), ("c", [5, 6], [1, 2, 3, 4, 5, 6, 7, 8], 2, 1), ("d", [1, 70_000], [1, 2, 3, 4, 5, 6], 3, 1)]
     df = spark.createDataFrame(rows, "key string, units array<bigint>, tokens array<bigint>, n int, batch_id bigint").repartition(3)
